@@ -85,9 +85,9 @@ drawn AS (
          section <> 'prompt' AND coalesce(t.role = 'assistant', false) AS learn FROM parts),
 placed AS (
   SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY pair_id, section, part ORDER BY turn
-            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM drawn)
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS from_char FROM drawn)
 SELECT pair_id, section, part, CAST(count(*) AS BIGINT) AS n_turns, string_agg(head || body, '' ORDER BY turn) AS text,
-       coalesce(string_agg(CAST(at + length(head) AS VARCHAR) || ':' || CAST(at + length(head) + length(body) AS VARCHAR), ',' ORDER BY turn)
+       coalesce(string_agg(CAST(from_char + length(head) AS VARCHAR) || ':' || CAST(from_char + length(head) + length(body) AS VARCHAR), ',' ORDER BY turn)
                 FILTER (WHERE learn), '') AS mask
 FROM placed GROUP BY pair_id, section, part
 """
@@ -96,14 +96,14 @@ _OP8 = r"""
 WITH w AS (
   SELECT doc_id, coalesce('=' || lang, 'null') AS lang, coalesce('=' || source, 'null') AS source, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
-l AS (SELECT *, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+l AS (SELECT *, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines,
              row_number() OVER () AS k FROM w),
 g AS (SELECT k, unnest(range(1, len(words) - 6)) AS i, words FROM l WHERE len(words) > 8),
 h AS (SELECT k, i, count(*) OVER (PARTITION BY k, array_to_string(words[i:i + 7], ' ')) AS n FROM g),
 rep AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(i, i + 8)) AS p FROM h WHERE n > 1) GROUP BY k),
 s AS (
   SELECT l.k, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words,
-         CAST(coalesce(list_sum(list_transform(words, x -> length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(coalesce(list_sum([length(x) FOR x IN words]), 0) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
          len(lines) AS n_lines FROM l LEFT JOIN rep ON rep.k = l.k),
