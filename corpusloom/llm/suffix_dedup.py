@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, shared_dir, splitmix, written
+from .common import shared_dir, splitmix, written
 
 LENGTH, ANCHOR, BLOCK = 400, 64, 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -100,7 +100,8 @@ def prefix_intervals(lcp: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
 
 
 def maximal_repeats(contexts: list[tuple[bytes, bytes, int]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """For each context (left, right, count) the (bytes before, bytes after its anchor) that repeats of ``length`` cover."""
+    """For each context (left, right, count) the maximal repeats of ``length`` and more through its anchor, each as
+    (bytes before, bytes after the anchor)."""
     n = len(contexts)
     out: list[list[tuple[int, int]]] = [[] for _ in contexts]
     for k, (left, right, count) in enumerate(contexts):
@@ -128,7 +129,8 @@ def _row_key(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, spans): sorted, disjoint, non-adjacent [start, end) byte spans to remove, for the rows that have any.
+    """(key, spans): sorted, disjoint byte spans [start, end) to remove, none touching the next, as a flat array start, end,
+    ..., for the rows that have any.
 
     ``docs``: key, text (equal keys only for equal rows).
     """
@@ -187,11 +189,11 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -
 
         def close():
             got = maximal_repeats([g[1:] for g in group], length)
-            out.extend((held, g[0], [x for pair in set(s) for x in pair]) for g, s in zip(group, got) if s)
+            # All repeats of an occurrence hold its anchor, so what they cover together is one span.
+            out.extend((held, g[0], max(a for a, _ in s), max(b for _, b in s)) for g, s in zip(group, got) if s)
 
         def batch():
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["h", "c", "ext"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["h", "c", "l", "r"])
 
         for b in batches:
             for h, c, left, right, n in zip(*(x.to_pylist() for x in b.columns)):
@@ -209,38 +211,33 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -
             yield batch()
 
     sorted_groups = distinct.repartition("h").sortWithinPartitions("h", "c").select("h", "c", "before", "after", "n")
-    repeats = written(spark, sorted_groups.mapInArrow(solve, "h long, c long, ext array<long>"), f"{folder}/repeats")
-    spans = occurrences.join(repeats.hint("merge"), ["h", "c"]).select("key", F.explode(F.expr("transform(sequence(1, size(ext), 2), k -> struct(pos - element_at(ext, k) AS s, pos + element_at(ext, k + 1) AS e))")).alias("x")).select("key", "x.*").distinct()
-    merged = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("xs"))  # bounded by a text
-    return written(spark, merged.select("key", merge_spans("xs").alias("spans")), f"{folder}/spans")
+    repeats = written(spark, sorted_groups.mapInArrow(solve, "h long, c long, l long, r long"), f"{folder}/repeats")
+    spans = occurrences.join(repeats.hint("merge"), ["h", "c"]).select("key", (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("r")).alias("e"))
+    merged = spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("xs"))  # bounded by a text
+    return written(spark, merged.select("key", merge_spans(F.col("xs.s"), F.col("xs.e")).alias("spans")), f"{folder}/spans")
 
 
-def merge_spans(xs: str) -> Column:
-    """Sorted (s, e) spans merged where they touch or overlap; linear in their number."""
+def merge_spans(starts: Column, ends: Column) -> Column:
+    """Spans sorted by start, merged where they touch or overlap, as a flat array start, end, start, end, ..."""
 
-    def merge(arrays):
+    def merge(all_starts, all_ends):
         import pandas as pd
 
-        def one(rows):
-            out: list[list[int]] = []
-            for r in rows:
-                s, e = r["s"], r["e"]
-                if out and s <= out[-1][1]:
-                    out[-1][1] = max(out[-1][1], e)
-                else:
-                    out.append([s, e])
-            return [{"s": int(s), "e": int(e)} for s, e in out]
+        def one(s, e):
+            reach = np.maximum.accumulate(e)
+            new = np.concatenate([[True], s[1:] > reach[:-1]])
+            return np.stack([s[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(s) - 1)]], 1).ravel()
 
-        return pd.Series([one(x) for x in arrays], dtype=object)
+        return pd.Series([one(np.asarray(s), np.asarray(e)) for s, e in zip(all_starts, all_ends)], dtype=object)
 
-    return F.pandas_udf(merge, "array<struct<s: long, e: long>>")(F.col(xs))
+    return F.pandas_udf(merge, "array<long>")(starts, ends)
 
 
 def kept_bytes(text: str | None, spans) -> bytes:
     data, out, at = (text or "").encode("utf-8", "surrogatepass"), [], 0
-    for x in spans if spans is not None else ():
-        out.append(data[at : x["s"]])
-        at = x["e"]
+    for s, e in zip(spans[::2], spans[1::2]) if spans is not None else ():
+        out.append(data[at:s])
+        at = e
     return b"".join([*out, data[at:]])
 
 
@@ -258,7 +255,7 @@ def repeat_report(spark: SparkSession, docs: DataFrame, length: int = LENGTH) ->
     keyed = _row_key(docs.select("doc_id", "text"))
     texts = keyed.select(F.col("__sd_key").alias("key"), "text")
     spans = repeated_spans(spark, texts, length)
-    cut = texts.join(spans.hint("merge"), "key").dropDuplicates(["key"]).select("key", _kept_column("text", "spans").alias("kept"), F.size("spans").alias("n_spans"))
+    cut = texts.join(spans.hint("merge"), "key").dropDuplicates(["key"]).select("key", _kept_column("text", "spans").alias("kept"), (F.size("spans") / 2).cast("long").alias("n_spans"))
     cut = cut.select(F.col("key").alias("__sd_key"), F.octet_length("kept").alias("n_kept"), "n_spans", F.sha2("kept", 256).alias("sha"))
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     narrow = keyed.select("doc_id", "__sd_key", F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("whole"))
