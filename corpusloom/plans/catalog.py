@@ -1,13 +1,28 @@
-"""All registered queries of the document operators, and their DuckDB SQL."""
+"""All registered queries of the document operators, and their DuckDB SQL over the same tables.
+
+Queries either read the HTML, text and event tables or first build documents from the star schema (``plans.corpus``),
+take them apart with the operators, and must agree with SQL on the base tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FLAGSHIP = "page_links"
+from ..functions import text as T
+from ..operators import documents as D
+from ..operators import keys as K
+from ..operators import maps as M
+from ..operators import refs as R
+from ..operators import site as S
+from ..sources import shred as X
+from ..streaming import changes as C
+from . import corpus
+from .corpus import cat, table
+
+FLAGSHIP = "diagnostics_by_code"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,10 +40,416 @@ def query(sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("content"), "page_id", "html")
+
+
+# ------------------------------------------------------------------ pages and text
 
 
 @query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS value FROM pages")
-def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.expr("regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)")).alias("value"))
+def page_links(spark, sf_dir):
+    return R.collect_refs(_pages(spark, sf_dir)).where("attr = 'href'").select(F.col("doc").cast("long").alias("page_id"), "value")
+
+
+@query("""
+WITH l AS (SELECT unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS v FROM pages)
+SELECT v = '' OR regexp_matches(v, '^([A-Za-z][A-Za-z0-9+.-]*:|/)') AS external, regexp_extract(v, '^[a-z]+://([^/]*)', 1) AS host, count(*) AS n
+FROM l GROUP BY 1, 2""")
+def page_link_hosts(spark, sf_dir):
+    refs = R.collect_refs(_pages(spark, sf_dir)).where("attr = 'href'")
+    return refs.groupBy(T.is_external("value", "scope").alias("external"), F.regexp_extract("value", "^[a-z]+://([^/]*)", 1).alias("host")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT page_id, value, strpos(html, 'href="' || value || '"') + 5 AS first_start FROM (
+  SELECT page_id, html, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS value FROM pages)""")
+def ref_offsets(spark, sf_dir):
+    refs = R.collect_refs(_pages(spark, sf_dir)).where("attr = 'href'")
+    return refs.groupBy(F.col("doc").cast("long").alias("page_id"), "value").agg(F.min("value_start").cast("long").alias("first_start"))
+
+
+@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+def page_titles(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@query("""
+WITH a AS (SELECT page_id, html, '../' || '../' AS up FROM pages),
+b AS (SELECT page_id, up, CASE WHEN contains(html, '</head>') THEN left(html, strpos(html, '</head>') - 1) || '<link rel="stylesheet" data-site-assets href="' || up || 'site.css">' || substr(html, strpos(html, '</head>')) ELSE html END AS h FROM a)
+SELECT page_id, md5(CASE WHEN contains(h, '</body>') THEN left(h, strpos(h, '</body>') - 1) || '<script data-site-assets src="' || up || 'site.js"></script>' || substr(h, strpos(h, '</body>')) ELSE h END) AS hash FROM b""")
+def page_inject(spark, sf_dir):
+    once = table(spark, sf_dir, "pages").select("page_id", S.inject_assets("html", 2).alias("html"))
+    return once.select("page_id", F.md5(S.inject_assets("html", 2)).alias("hash"))
+
+
+@query("""
+SELECT page, CAST(pos AS BIGINT) AS pos, id, title FROM (
+  SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos,
+         'l' || l_linenumber || '-' || l_partkey AS id, 'Line ' || l_linenumber AS title, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) WHERE n >= 2""")
+def html_toc_items(spark, sf_dir):
+    return S.toc_items(corpus.html_pages(spark, sf_dir)).select("page", F.col("pos").cast("long").alias("pos"), "id", "title")
+
+
+@query("SELECT CASE WHEN l_returnflag = 'N' THEN 'code' ELSE lower(l_returnflag) END AS lang, count(*) AS n FROM lineitem GROUP BY 1")
+def html_code_langs(spark, sf_dir):
+    return S.code_languages(corpus.html_pages(spark, sf_dir))
+
+
+@query("SELECT l_orderkey AS page, 'l' || l_linenumber || '-' || l_partkey AS id FROM lineitem")
+def html_ids(spark, sf_dir):
+    pages = corpus.html_pages(spark, sf_dir).select(F.col("page").cast("string").alias("path"), F.col("html").alias("content"))
+    return R.collect_ids(pages).select(F.col("doc").cast("long").alias("page"), "id")
+
+
+@query("""
+SELECT doc_id, CAST(least(len(regexp_extract_all(lower(text), 'tion')), 1000) AS BIGINT) AS n, CAST(strpos(lower(text), 'tion') - 1 AS BIGINT) AS first_at
+FROM documents WHERE contains(lower(text), 'tion')""")
+def search_hits(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("content"))
+    return S.search(docs, "TION").groupBy(F.col("doc").alias("doc_id")).agg(F.max("total").cast("long").alias("n"), F.min("start").cast("long").alias("first_at"))
+
+
+@query("""
+WITH h AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+ [a-z]{2} ')) AS m FROM documents)
+SELECT doc_id, count(*) AS n, CAST(sum(length(m)) AS BIGINT) AS chars FROM h GROUP BY doc_id""")
+def search_regex(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("content"))
+    hits = S.search(docs, "[A-Z][a-z]+ [a-z]{2} ", regex=True, case_sensitive=True, most=1 << 30)
+    return hits.groupBy(F.col("doc").alias("doc_id")).agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
+
+
+# ------------------------------------------------------------------ shredding and documents
+
+
+@query("""
+SELECT 'topic' AS tag, count(DISTINCT l_orderkey) AS n FROM lineitem UNION ALL SELECT 'title', count(DISTINCT l_orderkey) FROM lineitem
+UNION ALL SELECT 'prolog', count(DISTINCT l_orderkey) FROM lineitem UNION ALL SELECT 'author', count(DISTINCT l_orderkey) FROM lineitem
+UNION ALL SELECT 'body', count(DISTINCT l_orderkey) FROM lineitem UNION ALL SELECT 'p', count(*) FROM lineitem
+UNION ALL SELECT 'xref', count(*) FROM lineitem UNION ALL SELECT 'keyword', count(*) FROM lineitem""")
+def element_counts(spark, sf_dir):
+    return X.shred(corpus.order_topics(spark, sf_dir)).where("type = 'element'").groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT p_partkey, 'A' || p_name || ' © ' || p_brand || ' &amp; ' AS clean FROM part""")
+def entity_clean(spark, sf_dir):
+    c = F.col
+    p = table(spark, sf_dir, "part")
+    xml = cat('<!DOCTYPE topic [<!ENTITY n "', c("p_name"), '"><!ENTITY b.x "', c("p_brand"), '">]>A&n; &copy; &b.x;&unknown; &amp; ')
+    return p.select("p_partkey", X.clean_entities(xml).alias("clean"))
+
+
+@query("SELECT 'topics/o' || l_orderkey || '.dita' AS doc, 'o' || l_orderkey AS id, 'Order ' || l_orderkey AS title FROM lineitem GROUP BY l_orderkey")
+def topic_titles(spark, sf_dir):
+    return D.title_map(X.shred(corpus.order_topics(spark, sf_dir)))
+
+
+@query("""
+SELECT 'parts/p' || p_partkey || '.dita' AS doc, 0 AS depth, p_name AS name, 'topic' AS kind FROM part WHERE p_size % 2 = 0""")
+def topic_outline(spark, sf_dir):
+    return D.topic_outline(X.shred(corpus.part_topics(spark, sf_dir))).select("doc", "depth", "name", "kind")
+
+
+@query("""
+SELECT 'topics/o' || l_orderkey || '.dita' AS doc, 'Order ' || l_orderkey AS own FROM lineitem GROUP BY l_orderkey""")
+def suppressed_text(spark, sf_dir):
+    nodes = D.suppress(X.shred(corpus.order_topics(spark, sf_dir)))
+    text = D.element_text(nodes)
+    root = nodes.where("depth = 0").select("doc", "pre").join(text, ["doc", "pre"])
+    return root.select("doc", T.js_trim("own").alias("own"))
+
+
+@query("""
+SELECT 'topics/o' || l_orderkey || '.dita' AS doc, '../parts/p' || l_partkey || '.dita#p' || l_partkey AS href,
+       CASE WHEN p_size % 4 = 0 THEN p_name ELSE '../parts/p' || l_partkey || '.dita#p' || l_partkey END AS shown, count(*) AS n
+FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY ALL""")
+def xref_titles(spark, sf_dir):
+    nodes = X.shred(corpus.order_topics(spark, sf_dir).unionByName(corpus.part_topics(spark, sf_dir)))
+    return D.xref_titles(nodes).groupBy("doc", "href", "shown").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT 'topics/o' || l_orderkey || '.dita' AS doc, md5('<article><h1 class="title">Order ' || l_orderkey || '</h1><div class="body">' || chr(10) ||
+  string_agg('<p><span class="xref">' || x || '</span><span class="keyword"></span></p>', '' ORDER BY l_linenumber, l_partkey, l_suppkey) || chr(10) || '</div></article>') AS hash
+FROM (SELECT *, CASE WHEN p_size % 4 = 0 THEN p_name ELSE '../parts/p' || l_partkey || '.dita#p' || l_partkey END AS x FROM lineitem LEFT JOIN part ON p_partkey = l_partkey) GROUP BY l_orderkey""")
+def topic_html(spark, sf_dir):
+    topics = X.shred(corpus.order_topics(spark, sf_dir))
+    both = topics.unionByName(X.shred(corpus.part_topics(spark, sf_dir)))
+    return D.topic_html(topics, D.xref_titles(both).where("doc LIKE 'topics/%'")).select("doc", F.md5("html").alias("hash"))
+
+
+@query("""
+SELECT 'copy/p' || p_partkey || '.dita' AS doc, CASE WHEN p_size % 4 = 0 THEN p_name || p_brand ELSE 'literal' END AS shown, p_size % 4 = 0 AS resolved FROM part WHERE p_size % 2 = 0""")
+def conref_text(spark, sf_dir):
+    c = F.col
+    parts = table(spark, sf_dir, "part").where("p_size % 2 = 0")
+    users = parts.select(cat("copy/p", c("p_partkey"), ".dita").alias("path"), cat('<topic id="c"><title>C</title><body><p conref="../parts/p', c("p_partkey"), ".dita#p", c("p_partkey"), '">literal</p></body></topic>').alias("content"))
+    return D.conref_text(X.shred(users.unionByName(corpus.part_topics(spark, sf_dir)))).select("doc", "shown", "resolved")
+
+
+@query("""
+SELECT 'tables/t' || l_orderkey || '.dita' AS doc, CAST(k AS BIGINT) AS "row", cell, col, colspan, rowspan, txt AS text FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem) JOIN LATERAL (
+  SELECT 1 AS cell, 1 AS col, CASE WHEN l_linenumber % 2 = 0 THEN 2 ELSE 1 END AS colspan, 1 AS rowspan, CAST(l_partkey AS VARCHAR) AS txt
+  UNION ALL SELECT 2, 3, 1, l_linenumber % 3 + 1, CAST(l_suppkey AS VARCHAR)) ON true""")
+def cals_cells(spark, sf_dir):
+    cells = D.cals_cells(X.shred(corpus.table_topics(spark, sf_dir)))
+    return cells.select("doc", F.col("row").cast("long").alias("row"), "cell", "col", "colspan", "rowspan", "text")
+
+
+@query("""
+SELECT 'tables/t' || l_orderkey || '.dita' AS doc, col, width FROM (SELECT DISTINCT l_orderkey FROM lineitem)
+CROSS JOIN (VALUES (1, '33.33%'), (2, '66.67%'), (3, '120px')) AS w(col, width)""")
+def cals_widths(spark, sf_dir):
+    return D.cals_columns(X.shred(corpus.table_topics(spark, sf_dir))).select("doc", "col", "width")
+
+
+@query("""
+SELECT 'topics/o' || l_orderkey || '.dita' AS doc, 1 AS line, CASE WHEN count(*) = 1 THEN 'keyword' ELSE 'keyword' END AS tag FROM lineitem GROUP BY l_orderkey""")
+def position_element(spark, sf_dir):
+    topics = corpus.order_topics(spark, sf_dir)
+    nodes = X.shred(topics)
+    return D.elements_at(topics.select(F.col("path").alias("doc"), F.lit(1).alias("line")), nodes).select("doc", "line", "tag")
+
+
+# ------------------------------------------------------------------ references
+
+
+def _keys(spark, sf_dir):
+    """The key spaces of the topics folder: nearer maps first, then those at the root (which expand to maps/)."""
+    maps = corpus.key_maps(spark, sf_dir)
+    nodes = X.shred(maps)
+    definitions = K.key_definitions(M.expand_maps(nodes), nodes)
+    visible = K.visible_maps(spark.createDataFrame([("topics",)], "scope_dir string"), maps)
+    return K.key_space(visible, definitions)
+
+
+_MISSING_FILE = "SELECT count(*) AS n FROM lineitem LEFT JOIN part ON p_partkey = l_partkey WHERE p_size IS NULL OR p_size % 2 <> 0"
+_MISSING_ID = "SELECT count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size % 4 = 2"
+_UNDEFINED = "SELECT count(*) AS n FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey WHERE s_suppkey IS NULL OR s_suppkey % 3 = 0 AND s_suppkey % 5 <> 0"
+
+
+@query(f"""
+SELECT 'missing-file' AS code, n FROM ({_MISSING_FILE}) UNION ALL SELECT 'missing-id', n FROM ({_MISSING_ID}) UNION ALL SELECT 'undefined-key', n FROM ({_UNDEFINED})""")
+def diagnostics_by_code(spark, sf_dir):
+    docs = corpus.order_topics(spark, sf_dir).unionByName(corpus.part_topics(spark, sf_dir))
+    return R.diagnostics(docs, _keys(spark, sf_dir)).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT 'topics/o' || l_orderkey || '.dita' AS doc, '../parts/p' || l_partkey || '.dita#p' || l_partkey AS value, count(*) AS n
+FROM lineitem LEFT JOIN part ON p_partkey = l_partkey WHERE p_size IS NULL OR p_size % 2 <> 0 GROUP BY ALL""")
+def missing_file(spark, sf_dir):
+    topics = corpus.order_topics(spark, sf_dir)
+    return R.missing_files(R.collect_refs(topics), topics.select("path").unionByName(corpus.part_topics(spark, sf_dir).select("path"))).groupBy("doc", "value").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT 'topics/o' || l_orderkey || '.dita' AS doc, 'p' || l_partkey AS topic, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size % 4 = 2 GROUP BY ALL""")
+def missing_id(spark, sf_dir):
+    topics = corpus.order_topics(spark, sf_dir)
+    return R.missing_ids(R.collect_refs(topics), topics.unionByName(corpus.part_topics(spark, sf_dir))).groupBy("doc", "topic").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT 's' || l_suppkey AS key, count(*) AS n FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey
+WHERE s_suppkey IS NULL OR s_suppkey % 3 = 0 AND s_suppkey % 5 <> 0 GROUP BY ALL""")
+def undefined_key(spark, sf_dir):
+    return R.undefined_keys(R.collect_refs(corpus.order_topics(spark, sf_dir)), _keys(spark, sf_dir)).groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT 's' || s_suppkey AS key, CASE WHEN s_suppkey % 5 = 0 THEN 'near ' ELSE '' END || s_name AS value, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE 1 END AS distance
+FROM supplier WHERE s_suppkey % 5 = 0 OR s_suppkey % 3 <> 0""")
+def key_space_nearest(spark, sf_dir):
+    return _keys(spark, sf_dir).select("key", "value", "distance")
+
+
+@query("""
+SELECT 's' || l_suppkey AS key, CASE WHEN s_suppkey % 5 = 0 THEN 'near ' || s_name WHEN s_suppkey % 3 <> 0 THEN s_name ELSE '' END AS shown, count(*) AS n
+FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL""")
+def keyref_text(spark, sf_dir):
+    nodes = X.shred(corpus.order_topics(spark, sf_dir))
+    uses = nodes.where("tag = 'keyword'").join(D.element_text(nodes), ["doc", "pre"]).select(T.dirname("doc").alias("scope_dir"), F.col("attrs")["keyref"].alias("key"), "tag", "own")
+    return K.resolve_keyrefs(uses, _keys(spark, sf_dir)).groupBy("key", "shown").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH m AS (SELECT DISTINCT s_suppkey // 1000 AS n FROM supplier WHERE s_suppkey % 5 = 0), r AS (SELECT DISTINCT s_suppkey // 1000 AS n FROM supplier WHERE s_suppkey % 3 <> 0)
+SELECT 'topics' AS scope_dir, (SELECT min('topics/keys' || n || '.ditamap') FROM m) AS map_path, (SELECT count(*) FROM m) AS candidates
+UNION ALL SELECT 'parts', (SELECT min('root' || n || '.ditamap') FROM r), (SELECT count(*) FROM r)""")
+def owning_map(spark, sf_dir):
+    dirs = corpus.order_topics(spark, sf_dir).select("path").unionByName(corpus.part_topics(spark, sf_dir).select("path")).select(T.dirname("path").alias("scope_dir"))
+    return K.owning_map(dirs, corpus.key_maps(spark, sf_dir)).select("scope_dir", "map_path", F.size("candidates").cast("long").alias("candidates"))
+
+
+# ------------------------------------------------------------------ maps and books
+
+
+def _entries(spark, sf_dir):
+    maps = corpus.book_maps(spark, sf_dir)
+    return M.map_entries(M.expand_maps(X.shred(maps), maps.where("path LIKE 'maps/r%'")))
+
+
+_BOOK = """
+WITH e AS (
+  SELECT n_regionkey AS r, n_nationkey AS n, -1 AS c, 0 AS depth, n_name AS name, ['chapter', 'part', 'appendix'][n_nationkey % 3 + 1] AS tag, 'n' || n_nationkey || '.ditamap' AS href FROM nation
+  UNION ALL SELECT n_regionkey, n_nationkey, c_custkey, 1, c_name, 'topicref', 'c' || c_custkey || '.dita' FROM customer JOIN nation ON n_nationkey = c_nationkey),
+p AS (SELECT *, 'maps/r' || r || '.ditamap' AS root_map, CAST(row_number() OVER (PARTITION BY r ORDER BY n, c) AS BIGINT) AS pos FROM e)
+"""
+
+
+@query(_BOOK + "SELECT root_map, pos, depth, tag, href, name AS display_name FROM p")
+def map_entries(spark, sf_dir):
+    return _entries(spark, sf_dir).select("root_map", F.col("pos").cast("long").alias("pos"), "depth", "tag", "href", "display_name")
+
+
+@query(_BOOK + "SELECT root_map, depth, count(*) AS n FROM p GROUP BY ALL")
+def map_depth_counts(spark, sf_dir):
+    return _entries(spark, sf_dir).groupBy("root_map", "depth").agg(F.count("*").alias("n"))
+
+
+@query(_BOOK + """, d AS (SELECT *, row_number() OVER (PARTITION BY r, tag ORDER BY pos) AS k FROM p WHERE depth = 0)
+SELECT root_map, pos, CASE tag WHEN 'chapter' THEN 'Chapter ' || k WHEN 'part' THEN 'Part ' || ['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X'][k]
+       ELSE 'Appendix ' || chr(CAST(64 + k AS INTEGER)) END AS role FROM d""")
+def book_numbering(spark, sf_dir):
+    return M.number_divisions(_entries(spark, sf_dir)).where("n IS NOT NULL").select("root_map", F.col("pos").cast("long").alias("pos"), "role")
+
+
+@query(_BOOK + "SELECT root_map, pos, row_number() OVER (PARTITION BY r, href ORDER BY pos) > 1 AS repeat FROM p")
+def book_dedupe(spark, sf_dir):
+    return M.first_occurrences(_entries(spark, sf_dir)).select("root_map", F.col("pos").cast("long").alias("pos"), "repeat")
+
+
+@query(_BOOK + """
+SELECT root_map, pos, replace(href, '.dita', '.html') AS file, replace(lag(href) OVER w, '.dita', '.html') AS prev, replace(lead(href) OVER w, '.dita', '.html') AS next
+FROM p WHERE tag = 'topicref' WINDOW w AS (PARTITION BY r ORDER BY pos)""")
+def nav_prev_next(spark, sf_dir):
+    return M.prev_next(M.nav_manifest(_entries(spark, sf_dir))).select("root_map", F.col("pos").cast("long").alias("pos"), "file", "prev", "next")
+
+
+@query("""
+SELECT 'rel/n' || a.c_nationkey || '.ditamap' AS doc, 'c' || a.c_custkey AS href_a, 'c' || b.c_custkey AS href_b
+FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey // 10 = b.c_custkey // 10 AND a.c_custkey % 2 = 0 AND b.c_custkey % 2 = 1""")
+def rel_pairs(spark, sf_dir):
+    c, cu = F.col, table(spark, sf_dir, "customer")
+    side = lambda k: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(c("c_custkey") % 2 == k, c("c_custkey")))), lambda x: F.concat(F.lit('<topicref href="c'), x.cast("string"), F.lit('"/>'))), "")
+    rows = cu.groupBy("c_nationkey", F.expr("c_custkey div 10").alias("g")).agg(cat("<relrow><relcell>", side(0), "</relcell><relcell>", side(1), "</relcell></relrow>").alias("x"))
+    maps = rows.groupBy("c_nationkey").agg(corpus.joined(c("x"), ["g"]).alias("x")).select(cat("rel/n", c("c_nationkey"), ".ditamap").alias("path"), cat("<map><reltable>", c("x"), "</reltable></map>").alias("content"))
+    return M.reltable_pairs(X.shred(maps)).select("doc", "href_a", "href_b")
+
+
+@query(_BOOK + """
+SELECT root_map, md5(string_agg('<article><h1 class="title">' || name || '</h1></article>', chr(10) ORDER BY pos)) AS hash FROM p WHERE tag = 'topicref' GROUP BY root_map""")
+def book_html(spark, sf_dir):
+    c = F.col
+    topics = table(spark, sf_dir, "customer").select(cat("maps/c", c("c_custkey"), ".dita").alias("path"), cat("<topic><title>", c("c_name"), "</title></topic>").alias("content"))
+    return D.book_html(_entries(spark, sf_dir), D.topic_html(X.shred(topics))).select("root_map", F.md5("html").alias("hash"))
+
+
+# ------------------------------------------------------------------ functions and audits
+
+
+@query("""
+SELECT p_partkey, 'x/y/' || p_size || '/f.dita' AS resolved, 'f' AS stem, '../' || p_size || '/f.dita' AS rel FROM part""")
+def path_functions(spark, sf_dir):
+    c = F.col
+    p = table(spark, sf_dir, "part").select("p_partkey", T.resolve(F.lit("x/y/z"), cat(".././", c("p_size"), "/f.dita#a/b")).alias("resolved"))
+    return p.select("p_partkey", "resolved", T.stem("resolved").alias("stem"), T.relative("resolved", F.lit("x/y/z")).alias("rel"))
+
+
+@query("""
+WITH n AS (SELECT DISTINCT l_suppkey + 1 AS n FROM lineitem WHERE l_suppkey < 700)
+SELECT n, ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC'][n // 100 + 1] || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][n // 10 % 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][n % 10 + 1] AS roman,
+       CASE WHEN n <= 26 THEN chr(CAST(64 + n AS INTEGER)) ELSE chr(CAST(64 + (n - 1) // 26 AS INTEGER)) || chr(CAST(65 + (n - 1) % 26 AS INTEGER)) END AS letters FROM n""")
+def ordinals(spark, sf_dir):
+    n = table(spark, sf_dir, "lineitem").where("l_suppkey < 700").select((F.col("l_suppkey") + 1).alias("n")).distinct()
+    return n.select("n", T.roman("n").alias("roman"), T.letters("n").alias("letters"))
+
+
+_CAT = """
+WITH a AS (SELECT p_brand || '-' || p_size AS tag, min(p_type) AS t FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1),
+b AS (SELECT p_brand || '-' || p_size AS tag, min(p_type) AS t FROM part WHERE p_partkey % 3 <> 1 GROUP BY 1),
+d AS (SELECT coalesce(a.tag, b.tag) AS tag, CASE WHEN a.tag IS NULL THEN 'only-new' WHEN b.tag IS NULL THEN 'only-code' WHEN a.t = b.t THEN 'matched' ELSE 'conflict' END AS status, a.t AS code_type, b.t AS found_type FROM a FULL JOIN b ON a.tag = b.tag)
+"""
+
+
+def _diff(spark, sf_dir):
+    tags = lambda k: table(spark, sf_dir, "part").where(f"p_partkey % 3 <> {k}").groupBy(cat(F.col("p_brand"), "-", F.col("p_size")).alias("tag")).agg(F.min("p_type").alias("base_type"))
+    return S.catalogue_diff(tags(0), tags(1))
+
+
+@query(_CAT + "SELECT tag, status, code_type, found_type FROM d")
+def catalog_diff(spark, sf_dir):
+    return _diff(spark, sf_dir).select("tag", "status", "code_type", "found_type")
+
+
+@query(_CAT + "SELECT status, CASE WHEN grouping(status) = 1 THEN NULL ELSE left(min(tag), 5) END AS sample, count(*) AS n FROM d GROUP BY ROLLUP (status)")
+def catalog_diff_rollup(spark, sf_dir):
+    r = _diff(spark, sf_dir).rollup("status").agg(F.min("tag").alias("t"), F.count("*").alias("n"), F.grouping("status").alias("g"))
+    return r.select("status", F.when(F.col("g") == 0, F.substring("t", 1, 5)).alias("sample"), "n")
+
+
+@query("""
+SELECT p_brand AS tag, CAST(p_size % 2 AS BIGINT) AS bucket, count(DISTINCT p_type) AS n_types, arg_max(p_type, p_partkey) AS base_type FROM part GROUP BY ALL""")
+def declared_conflicts(spark, sf_dir):
+    d = table(spark, sf_dir, "part").select(F.col("p_brand").alias("tag"), (F.col("p_size") % 2).cast("long").alias("bucket"), F.col("p_type").alias("base_type"), F.col("p_partkey").alias("ord"))
+    return S.declared_conflicts(d)
+
+
+@query("""
+SELECT 'dtd/' || p_partkey || '.mod' AS path, 1 AS line, unnest(['a' || p_partkey, 'b']) AS tag, '- topic/ph ' || p_brand || '/x ' AS class_value FROM part""")
+def schema_scan(spark, sf_dir):
+    c = F.col
+    f = table(spark, sf_dir, "part").select(cat("dtd/", c("p_partkey"), ".mod").alias("path"), cat('<!ENTITY % dom "', c("p_brand"), '">\n<!ATTLIST (a', c("p_partkey"), ' | b) id ID #IMPLIED class CDATA "- topic/ph %dom;/x ">').alias("content"))
+    return S.scan_classes(f).select("path", "line", "tag", "class_value")
+
+
+@query("""
+SELECT c_nationkey AS scope, CAST(c_custkey % 7 AS BIGINT) AS name, arg_min(c_name, c_custkey) AS path FROM customer GROUP BY ALL""")
+def layered_lookup(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("scope"), (F.col("c_custkey") % 7).alias("name"), F.col("c_custkey").alias("layer"), F.col("c_name").alias("path"))
+    return S.layered_lookup(c).select("scope", "name", "path")
+
+
+# ------------------------------------------------------------------ change and log streams (batch twins)
+
+
+def _log(spark, sf_dir):
+    """Each user's events as one log text, cut into chunks in the middle of a line."""
+    e = table(spark, sf_dir, "events")
+    line = cat(F.when(F.col("event_type") == "error", F.lit("[ERROR] ")).otherwise(F.lit("")), F.col("event_type"), " ", F.col("event_id"), "\n")
+    half = F.expr("length(line) div 2")
+    x = e.select(F.col("user_id").alias("run"), "event_id", line.alias("line")).select("run", F.explode(F.array(F.struct((F.col("event_id") * 2).alias("seq"), F.substring("line", F.lit(1), half).alias("chunk")), F.struct((F.col("event_id") * 2 + 1).alias("seq"), F.substring("line", half + 1, F.length("line")).alias("chunk")))).alias("x"))
+    return x.select("run", "x.seq", "x.chunk")
+
+
+@query("""
+SELECT user_id AS run, CASE WHEN event_type = 'error' THEN '[ERROR] ' ELSE '' END || event_type || ' ' || event_id AS line,
+       CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS level, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS line_no FROM events""")
+def log_lines(spark, sf_dir):
+    return C.log_lines(_log(spark, sf_dir)).select("run", "line", "level", "line_no")
+
+
+@query("SELECT CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS level, count(*) AS n FROM events GROUP BY 1")
+def log_levels(spark, sf_dir):
+    return C.log_lines(_log(spark, sf_dir)).groupBy("level").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH s AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM s)
+SELECT user_id AS path, arg_max(CAST(event_id AS VARCHAR), ts) AS content, count(*) AS n FROM g GROUP BY user_id, k""")
+def debounced_changes(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("ts").cast("timestamp").alias("ts"), F.lit("change").alias("op"), F.col("event_id").cast("string").alias("content"))
+    return C.debounced(e, "10 minutes").select("path", "content", "n")
+
+
+@query("""
+WITH a AS (SELECT user_id AS path, max(ts) AS m FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT user_id AS path, max(ts) AS m FROM events WHERE event_id % 3 = 0 GROUP BY 1)
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.m IS NULL THEN 'added' WHEN b.m IS NULL THEN 'removed' ELSE 'touched' END AS change
+FROM a FULL JOIN b ON a.path = b.path WHERE a.m IS DISTINCT FROM b.m""")
+def snapshot_changes(spark, sf_dir):
+    snap = lambda k: table(spark, sf_dir, "events").where(f"event_id % {k} = 0").groupBy(F.col("user_id").alias("path")).agg(F.max("ts").alias("mtime"))
+    return C.snapshot_changes(snap(2), snap(3))
