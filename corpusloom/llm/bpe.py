@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 #: Fixed value: the pattern that splits text into words before merging, as the vocabulary's pre-tokenizer defines it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _WORDS = regex.compile(PATTERN)
-_SPACES = re.compile(r" \s|\s ")
+_SPACES = re.compile(r"\s\s")
 #: Words and space-separated pieces that a worker remembers before it starts anew: bounds memory, never results.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 
 
 def byte_symbols() -> list[str]:
@@ -52,7 +52,8 @@ class Vocabulary:
         ids = {raw(t): i for t, i in spec["model"]["vocab"].items()}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.byte_ids = [ids[bytes([b])] for b in range(256)]
-        self.merges = {(ids[raw(a)], ids[raw(b)]): (rank, ids[raw(a + b)]) for rank, (a, b) in enumerate(pairs)}
+        self.ranks = {(ids[raw(a)], ids[raw(b)]): rank for rank, (a, b) in enumerate(pairs)}
+        self.merged = [ids[raw(a + b)] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: t for t, i in ids.items()} | {i: t.encode() for t, i in self.special.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -60,36 +61,37 @@ class Vocabulary:
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: always the pair of lowest rank, leftmost first. O(n log n), so long words are no problem."""
         ids = [self.byte_ids[b] for b in word]
-        n, merges = len(ids), self.merges
-        if n < 2:
-            return ids
-        if n <= 24:
-            while len(ids) > 1:
-                best = min((merges.get(p, _NEVER)[0], i) for i, p in enumerate(zip(ids, ids[1:])))
-                if best[0] == _NEVER[0]:
-                    break
-                i = best[1]
-                ids[i : i + 2] = [merges[ids[i], ids[i + 1]][1]]
+        rank, merged, n = self.ranks.get, self.merged, len(ids)
+        if n <= 64:
+            ranks = [rank(p, _NEVER) for p in zip(ids, ids[1:])]
+            while ranks and (best := min(ranks)) != _NEVER:
+                i = ranks.index(best)
+                ids[i : i + 2] = [merged[best]]
+                del ranks[i]
+                if i < len(ranks):
+                    ranks[i] = rank((ids[i], ids[i + 1]), _NEVER)
+                if i:
+                    ranks[i - 1] = rank((ids[i - 1], ids[i]), _NEVER)
             return ids
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(merges[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in merges]
+        heap = [(r, i, p) for i, p in enumerate(zip(ids, ids[1:])) if (r := rank(p, _NEVER)) != _NEVER]
         heapq.heapify(heap)
         while heap:
-            _, i, pair = heapq.heappop(heap)
+            best, i, pair = heapq.heappop(heap)
             j = after[i]
             if ids[i] < 0 or j < 0 or (ids[i], ids[j]) != pair:
                 continue
-            ids[i], ids[j] = merges[pair][1], -1
+            ids[i], ids[j] = merged[best], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (p := (ids[a], ids[b])) in merges:
-                    heapq.heappush(heap, (merges[p][0], a, p))
+                if a >= 0 and b >= 0 and (r := rank((ids[a], ids[b]), _NEVER)) != _NEVER:
+                    heapq.heappush(heap, (r, a, (ids[a], ids[b])))
         return [x for x in ids if x >= 0]
 
 
-_NEVER = (1 << 60, -1)
+_NEVER = 1 << 60
 
 
 # ---------------------------------------------------------------- the transducer
@@ -214,19 +216,29 @@ class Encoder:
 
     def __init__(self, word, special: dict[str, int], split):
         self.words, self.special, self.split = _Memo(lambda w: word(w.encode())), special, split
-        self.inner = _Memo(lambda piece: self._by_words(" " + piece))
+        self.heads, self.inner = _Memo(self._by_words), _Memo(self._after_space)
 
     def _by_words(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, _WORDS.findall(text)))
 
+    def _after_space(self, piece: str) -> bytes:
+        # A memo's own results need not be kept twice: only words that pieces share go through the words' memo.
+        if piece.isalpha():
+            return self.words.make(" " + piece)
+        if piece[:-1].isalpha() and piece[-1] in ".,":
+            return self.inner[piece[:-1]] + self.words[piece[-1]]
+        return self._by_words(" " + piece)
+
     def _plain(self, text: str) -> bytes:
-        # A space between two other characters that are not white space always starts a word. Where all spaces are of
-        # that kind, pieces between spaces are independent of each other and can be remembered whole.
+        # Where white-space characters stand alone, a word starts at each space and after each line end, so pieces
+        # between them are independent of each other and can be remembered whole.
         if _SPACES.search(text):
             return self._by_words(text)
-        head, *rest = text.split(" ")
-        inner, whole = self.inner, self._by_words
-        return whole(head) + b"".join([whole(" " + p) if "\n" in p else inner[p] for p in rest])
+        heads, inner, out = self.heads, self.inner.__getitem__, []
+        for line in text.split("\n"):
+            head, *rest = line.split(" ")
+            out.append(heads[head] + b"".join(map(inner, rest)))
+        return self.words["\n"].join(out)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -236,33 +248,38 @@ class Encoder:
         return b"".join(self.special[t].to_bytes(4, "little") if t in self.special else self._plain(t) for t in self.split.split(text) if t)
 
 
-def pieces_of(text: str) -> list[str]:
-    """Words of a text as (countable) pieces: split at spaces where that is exact, else words."""
-    return _WORDS.findall(text) if _SPACES.search(text) else [p if not k else " " + p for k, p in enumerate(text.split(" "))]
-
-
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over all documents: counted inside each task first, then summed by Spark."""
 
     def count(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        def flush(pieces: Counter):
+        def flush(inner: Counter, heads: Counter):
             words: Counter = Counter()
-            for piece, n in pieces.items():
-                for w in _WORDS.findall(piece):
-                    words[w] += n
+            for lead, pieces in ((" ", inner), ("", heads)):
+                for piece, n in pieces.items():
+                    for w in _WORDS.findall(lead + piece):
+                        words[w] += n
+                pieces.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
-        pieces: Counter = Counter()
+        inner: Counter = Counter()
+        heads: Counter = Counter()
         for b in batches:
             for t in b.column(0):
-                if text := t.as_py():
-                    pieces.update(pieces_of(text))
-                    if len(pieces) > CACHE_ENTRIES:
-                        yield flush(pieces)
-                        pieces.clear()
-        yield flush(pieces)
+                if not (text := t.as_py()):
+                    continue
+                if _SPACES.search(text):
+                    heads.update(_WORDS.findall(text))
+                else:
+                    for line in text.split("\n"):
+                        head, *rest = line.split(" ")
+                        heads[head] += 1
+                        inner.update(rest)
+                    heads["\n"] += text.count("\n")
+                if len(inner) + len(heads) > CACHE_ENTRIES:
+                    yield flush(inner, heads)
+        yield flush(inner, heads)
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 

@@ -2,7 +2,7 @@
 
 File format, all integers little-endian: per record ``length u64 | masked crc32(length) u32 | payload | masked
 crc32(payload) u32``; the mask rotates a checksum right by 15 bits and adds 0xA282EAD8. The payload is ``doc_id i64``
-and the ids as u32. Checksums are CRC-32 (zlib), which runs at memory speed in Python. The index is a Parquet table:
+and the ids: two bytes each where the vocabulary fits, else four. Checksums are CRC-32 (zlib), which runs at memory speed in Python. The index is a Parquet table:
 one row per record with file, byte offset, payload length, number of tokens and the token position in the whole output,
 so that a reader can fetch records in any order. Files hold documents in ascending doc_id order, and file numbers
 follow that order too.
@@ -63,6 +63,22 @@ def unframe(data: bytes, at: int = 0) -> tuple[bytes, int]:
     return payload, at + 16 + n
 
 
+def id_width(vocabulary_path: str) -> int:
+    """Bytes of an id in the files: 2 if the vocabulary's ids (with special tokens) fit, else 4."""
+    import json
+
+    with open(vocabulary_path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return 2 if max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) < 1 << 16 else 4
+
+
+def resize(ids: bytes, old: int, new: int) -> bytes:
+    """Little-endian ids of ``old`` bytes each as ids of ``new`` bytes."""
+    import numpy as np
+
+    return ids if old == new else np.frombuffer(ids, f"<u{old}").astype(f"<u{new}").tobytes()
+
+
 _LOADED: dict = {}
 
 
@@ -84,6 +100,8 @@ def library_encoder(path: str) -> Encoder:
 def write_records(spark: SparkSession, docs: DataFrame, vocabulary_path: str, folder: str, end_id: int = 0, partitions: int | None = None) -> DataFrame:
     """Encode ``docs`` (doc_id, text), write record files into ``folder``, return the index of the files that count."""
 
+    width = id_width(vocabulary_path)
+
     def write(batches: Iterable) -> Iterator:
         import uuid
 
@@ -98,8 +116,9 @@ def write_records(spark: SparkSession, docs: DataFrame, vocabulary_path: str, fo
             for doc_id, text in zip(b.column(0), b.column(1)):
                 ids = enc.encode(text.as_py()) + u32(end_id)
                 key = doc_id.as_py()
-                buf.append(frame(key_bytes(key) + ids))
-                rows.append((part, None, key, seq, offset, len(ids) + 8, len(ids) // 4, before))
+                payload = key_bytes(key) + resize(ids, 4, width)
+                buf.append(frame(payload))
+                rows.append((part, None, key, seq, offset, len(payload), len(ids) // 4, before))
                 seq, offset, before = seq + 1, offset + len(buf[-1]), before + len(ids) // 4
             if out is None:
                 name = f"records-{part:06d}-{uuid.uuid4().hex}.bin"
@@ -145,7 +164,8 @@ def read_records(index: DataFrame, folder: str, gap: int = 1 << 16, most: int =
             for _, off, length, _, _ in run:
                 payload, _ = unframe(data[off - lo : off - lo + length + 16])
                 keys.append(key_of(payload))
-                ids.append(payload[8:])
+                n = run[len(ids)][4]
+                ids.append(resize(payload[8:], (len(payload) - 8) // n, 4))
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([r[3] for r in run], pa.int64()), pa.array([r[4] for r in run], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
         run: list = []
