@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import mmap
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -24,6 +25,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import shared_dir, written
+
 #: Fixed value: the pattern that splits text into words before merging, as the vocabulary's pre-tokenizer defines it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _WORDS = regex.compile(PATTERN)
@@ -92,6 +95,7 @@ class Vocabulary:
 
 
 _NEVER = 1 << 60
+_ONE = [bytes([b]) for b in range(256)]
 
 
 # ---------------------------------------------------------------- the transducer
@@ -167,28 +171,30 @@ class Lexicon:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             head = f.readline()
-        mapped = np.memmap(path, np.uint8, "r")
+        with open(path, "rb") as f:
+            self.mapped = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        mapped = memoryview(self.mapped)
         for name, kind, n, at in json.loads(head):
             lo = len(head) + at
-            setattr(self, name, memoryview(mapped[lo : lo + n * np.dtype(kind).itemsize]).cast(np.dtype(kind).char if np.dtype(kind).char != "L" else "I"))
+            setattr(self, name, mapped[lo : lo + n * np.dtype(kind).itemsize].cast("B" if kind.endswith("u1") else kind[1].replace("u", "I")))
+            if name == "label":
+                self.base = lo
         self.root = len(self.final) - 1
 
+    def find(self, label: int, lo: int, hi: int) -> int:
+        """The arc with this label among arcs lo..hi-1, searched in the mapped file itself; negative if there is none."""
+        return self.mapped.find(_ONE[label], self.base + lo, self.base + hi) - self.base
+
     def lookup(self, word: bytes) -> bytes | None:
         """The word's ids as little-endian 32-bit integers, or None if the lexicon does not hold it."""
         state, rank = self.root, 0
-        first, label, target, skip = self.first, self.label, self.target, self.skip
+        first, label, target, skip = self.first, self.find, self.target, self.skip
         for b in word:
-            lo, hi = first[state], first[state + 1]
-            while lo < hi:  # arcs are sorted by label
-                mid = (lo + hi) >> 1
-                if label[mid] < b:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo == first[state + 1] or label[lo] != b:
+            arc = label(b, first[state], first[state + 1])
+            if arc < 0:
                 return None
-            rank += skip[lo]
-            state = target[lo]
+            rank += skip[arc]
+            state = target[arc]
         if not self.final[state]:
             return None
         return self.ids[self.start[rank] : self.start[rank + 1]].tobytes()
@@ -258,6 +264,9 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             words: Counter = Counter()
             for lead, pieces in ((" ", inner), ("", heads)):
                 for piece, n in pieces.items():
+                    if piece.isalpha():
+                        words[lead + piece] += n
+                        continue
                     for w in _WORDS.findall(lead + piece):
                         words[w] += n
                 pieces.clear()
@@ -292,7 +301,14 @@ def build_lexicon(spark: SparkSession, docs: DataFrame, vocabulary_path: str, te
     import tempfile
     import uuid
 
-    rows = word_counts(docs, text_col).where(F.length("word") <= max_word).orderBy(F.desc("n"), "word").limit(lexicon_size).collect()
+    counts = written(spark, word_counts(docs, text_col), f"{shared_dir(spark)}/words").where(F.length("word") <= max_word)
+    least, room = 1, lexicon_size
+    for n, words in counts.groupBy("n").count().orderBy(F.desc("n")).limit(lexicon_size).toLocalIterator():  # one row per distinct count
+        if words > room:
+            least = n + 1
+            break
+        room -= words
+    rows = counts.where(F.col("n") >= least).select("word").collect()
     v = Vocabulary(vocabulary_path)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = f"{tempfile.mkdtemp(prefix='corpusloom-')}/{name}"
@@ -304,7 +320,7 @@ def build_lexicon(spark: SparkSession, docs: DataFrame, vocabulary_path: str, te
 _LOADED: dict = {}
 
 
-def worker_encoder(vocabulary_path: str, lexicon: str | None) -> tuple[Encoder, Vocabulary]:
+def worker_encoder(vocabulary_path: str, lexicon: str | None) -> Encoder:
     """The encoder of this Python worker: kept between tasks, one at a time."""
     key = (vocabulary_path, lexicon)
     if key not in _LOADED:
@@ -316,13 +332,37 @@ def worker_encoder(vocabulary_path: str, lexicon: str | None) -> tuple[Encoder,
             known = find(w)
             return known if known is not None else np.array(v.merge(w), "<u4").tobytes()
 
-        _LOADED[key] = Encoder(word, v.special, v.split), v
+        _LOADED[key] = Encoder(word, v.special, v.split)
     return _LOADED[key]
 
 
-def decode(v: Vocabulary, ids: bytes) -> str:
-    """Text of little-endian 32-bit ids, special tokens included; broken UTF-8 becomes U+FFFD as in the library."""
-    return b"".join(map(v.bytes_of.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
+_DECODERS: dict = {}
+
+
+def worker_decoder(vocabulary_path: str) -> Decoder:
+    if vocabulary_path not in _DECODERS:
+        _DECODERS.clear()
+        _DECODERS[vocabulary_path] = Decoder(Vocabulary(vocabulary_path))
+    return _DECODERS[vocabulary_path]
+
+
+class Decoder:
+    """Ids -> text: bytes of all tokens in one flat table, gathered by numpy."""
+
+    def __init__(self, v: Vocabulary):
+        tokens = [v.bytes_of.get(i, b"") for i in range(max(v.bytes_of) + 1)]
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: bytes) -> str:
+        """Text of little-endian 32-bit ids, special tokens included; broken UTF-8 becomes U+FFFD as in the library."""
+        i = np.frombuffer(ids, "<u4")
+        size = self.size[i]
+        end = np.cumsum(size)
+        at = np.repeat(self.start[i] - end + size, size)
+        at += np.arange(len(at))
+        return self.flat[at].tobytes().decode("utf-8", "replace")
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str, lexicon: str | None, text_col: str = "text", out_col: str = "ids") -> DataFrame:
@@ -330,8 +370,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, lexicon: str | None,
 
     @F.pandas_udf("binary")
     def encode(texts):
-        e, _ = worker_encoder(vocabulary_path, lexicon)
-        return texts.map(lambda t: e.encode(t))
+        return texts.map(worker_encoder(vocabulary_path, lexicon).encode)
 
     return docs.withColumn(out_col, encode(F.col(text_col)))
 
@@ -341,8 +380,7 @@ def decode_documents(docs: DataFrame, vocabulary_path: str, ids_col: str = "ids"
 
     @F.pandas_udf("string")
     def back(ids):
-        _, v = worker_encoder(vocabulary_path, next((k[1] for k in _LOADED if k[0] == vocabulary_path), None))
-        return ids.map(lambda b: decode(v, b) if b else "")
+        return ids.map(worker_decoder(vocabulary_path).decode)
 
     return docs.withColumn(out_col, back(F.col(ids_col)))
 
