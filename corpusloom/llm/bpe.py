@@ -25,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import CACHES, shared_dir, written
 
 #: Fixed value: the pattern that splits text into words before merging, as the vocabulary's pre-tokenizer defines it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -318,6 +318,7 @@ def build_lexicon(spark: SparkSession, docs: DataFrame, vocabulary_path: str, te
 
 
 _LOADED: dict = {}
+CACHES.append(_LOADED)
 
 
 def worker_encoder(vocabulary_path: str, lexicon: str | None) -> Encoder:

@@ -44,6 +44,16 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+#: What Python workers remember between tasks (encoders); other operators' tasks in the same worker let it go.
+CACHES: list[dict] = []
+
+
+def forget() -> None:
+    """Free what an earlier stage left in this Python worker."""
+    for c in CACHES:
+        c.clear()
+
+
 def splitmix(x):
     """splitmix64 finaliser over a numpy uint64 array."""
     import numpy as np

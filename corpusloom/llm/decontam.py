@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import splitmix
+from .common import forget, splitmix
 
 MIN_TILE, COVERAGE = 5, 0.6
 BLOCK_BYTES = 16 << 20
@@ -151,6 +151,7 @@ def hits_column(spark: SparkSession, benchmark: DataFrame, text: Column, least:
         def hits(texts, held=held):
             import pandas as pd
 
+            forget()
             model = held.value
             return pd.Series([tile_text(model, t, least, coverage) for t in texts], dtype=object)
 

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, shared_dir, splitmix, written
+from .common import bytes_of, forget, shared_dir, splitmix, written
 from .graph import connected_components
 
 SHINGLE, GROWTH, FOLD = 4, 1.35, 8  # FOLD: 64-bit words of the folded sketch
@@ -111,6 +111,7 @@ def classes(docs: DataFrame) -> DataFrame:
     def describe(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
+        forget()
         for b in batches:
             ns, a, c, sk, keys = [], [], [], [], []
             for t in b.column(1):
@@ -132,6 +133,7 @@ def _packed_keys(n_buckets: int):
     def pack(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
+        forget()
         for b in batches:
             texts = b.column(0)
             for lo in range(0, len(texts), 2000):

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, splitmix, written
+from .common import forget, shared_dir, splitmix, written
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 #: White space and symbols of the base rules.
@@ -59,6 +59,7 @@ def stats_column(text_col: str) -> Column:
     def stats(texts):
         import pandas as pd
 
+        forget()
         return pd.DataFrame([text_stats(t) for t in texts], columns=[c.split()[0] for c in STATS.split(", ")], dtype="int64")
 
     return F.pandas_udf(stats, STATS)(F.col(text_col))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Encoder
-from .common import open_fs, shared_dir, written
+from .common import CACHES, open_fs, shared_dir, written
 
 INDEX = "part int, file string, doc_id long, seq long, offset long, length long, n_tokens long, before long"
 _NO_ID = -(1 << 63)
@@ -80,6 +80,7 @@ def resize(ids: bytes, old: int, new: int) -> bytes:
 
 
 _LOADED: dict = {}
+CACHES.append(_LOADED)
 
 
 def library_encoder(path: str) -> Encoder:

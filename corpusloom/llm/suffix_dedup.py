@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, splitmix, written
+from .common import forget, shared_dir, splitmix, written
 
 LENGTH, ANCHOR, BLOCK = 400, 64, 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -139,6 +139,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -
     def find(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
+        forget()
         for b in batches:
             keys, places, values = [], [], []
             for key, t in zip(b.column(0).to_pylist(), b.column(1)):
