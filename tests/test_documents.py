@@ -1,5 +1,7 @@
 """Small documents with known results."""
 
+import time
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -93,8 +95,12 @@ def test_stream_of_chunks_gives_lines(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([("r", 0, "a\nb[ERR"), ("r", 1, "OR]\nc")], "run string, seq long, chunk string").coalesce(1).write.parquet(src)
     stream = C.stream_log_lines(spark.readStream.schema("run string, seq long, chunk string").parquet(src))
-    q = stream.writeStream.format("memory").queryName("lines").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = stream.writeStream.format("memory").queryName("lines").option("checkpointLocation", str(tmp_path / "c")).start()
+    for _ in range(120):  # a query with processing-time timeouts never runs out of batches
+        if spark.table("lines").count() >= 2:
+            break
+        time.sleep(0.5)
+    q.stop()
     assert {(r.line, r.level) for r in spark.table("lines").collect()} == {("a", "info"), ("b[ERROR]", "error")}
 
 
