@@ -373,7 +373,8 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, lexicon: str | None,
     def encode(texts):
         return texts.map(worker_encoder(vocabulary_path, lexicon).encode)
 
-    return docs.withColumn(out_col, encode(F.col(text_col)))
+    # Declared nondeterministic so that the plan never runs it again for each use of its column.
+    return docs.withColumn(out_col, encode.asNondeterministic()(F.col(text_col)))
 
 
 def decode_documents(docs: DataFrame, vocabulary_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -62,7 +62,8 @@ def stats_column(text_col: str) -> Column:
         forget()
         return pd.DataFrame([text_stats(t) for t in texts], columns=[c.split()[0] for c in STATS.split(", ")], dtype="int64")
 
-    return F.pandas_udf(stats, STATS)(F.col(text_col))
+    # Declared nondeterministic so that the plan never runs it again for each use of its column.
+    return F.pandas_udf(stats, STATS).asNondeterministic()(F.col(text_col))
 
 
 def base_failed(s: str) -> Column:
