@@ -37,8 +37,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids (array), n_tokens and whether decoding gives the text back."""
     name = bpe.build_lexicon(spark, docs, vocabulary())
-    ids = bpe.encode_documents(docs, vocabulary(), name)
-    back = bpe.decode_documents(ids.select("doc_id", "lang", "source", "text", "ids"), vocabulary())
+    back = bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), vocabulary(), name)
     return back.select(
         "doc_id", "lang", "source", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),

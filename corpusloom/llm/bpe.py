@@ -25,14 +25,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHES, shared_dir, written
+from .common import CACHES, forget, shared_dir, written
 
 #: Fixed value: the pattern that splits text into words before merging, as the vocabulary's pre-tokenizer defines it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _WORDS = regex.compile(PATTERN)
 _SPACES = re.compile(r"\s\s")
 #: Words and space-separated pieces that a worker remembers before it starts anew: bounds memory, never results.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -272,6 +272,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 pieces.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
+        forget()
         inner: Counter = Counter()
         heads: Counter = Counter()
         for b in batches:
@@ -387,11 +388,23 @@ def decode_documents(docs: DataFrame, vocabulary_path: str, ids_col: str = "ids"
     return docs.withColumn(out_col, back(F.col(ids_col)))
 
 
+def encode_and_decode(docs: DataFrame, vocabulary_path: str, lexicon: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ids and decoded, both made by one Python worker per task."""
+
+    @F.pandas_udf("ids binary, decoded string")
+    def both(texts):
+        import pandas as pd
+
+        ids = texts.map(worker_encoder(vocabulary_path, lexicon).encode)
+        return pd.DataFrame({"ids": ids, "decoded": ids.map(worker_decoder(vocabulary_path).decode)})
+
+    return docs.withColumn("__bpe", both.asNondeterministic()(F.col(text_col))).withColumns({"ids": F.col("__bpe.ids"), "decoded": F.col("__bpe.decoded")}).drop("__bpe")
+
+
 def bpe_roundtrip(spark: SparkSession, docs: DataFrame, vocabulary_path: str, lexicon_size: int = 50_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: every whole text encoded and decoded."""
     name = build_lexicon(spark, docs, vocabulary_path, lexicon_size=lexicon_size)
-    ids = encode_documents(docs.select("doc_id", "text"), vocabulary_path, name).select("doc_id", "ids")
-    out = decode_documents(ids, vocabulary_path)
+    out = encode_and_decode(docs.select("doc_id", "text"), vocabulary_path, name)
     return out.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
