@@ -321,7 +321,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with one document (the smallest doc_id) of each component; of repeated rows of it, one stays."""
+    """``docs`` with one document (the smallest doc_id) of each component. Repeated rows of that doc_id all stay."""
     folder = shared_dir(spark)
     gone = written(spark, jaccard_components(spark, docs).where("doc_id <> component_id").select("doc_id").distinct(), f"{folder}/gone")
     small = bytes_of(spark, f"{folder}/gone") <= BROADCAST_BYTES
