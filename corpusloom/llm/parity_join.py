@@ -1,9 +1,9 @@
 """Operator 4: n-gram Jaccard join by parity sketches.
 
-A document's set holds 64-bit hashes of its distinct 4-word shingles. Its parity sketch has one bit per hash value, kept
+A document's set holds 64-bit hashes of its distinct shingles of ``shingle`` words; two sets link when 100 * intersection
+>= ``percent`` * union (five words and 80 unless the caller says otherwise). Its parity sketch has one bit per hash value, kept
 sparse; flipping a bit per element makes the Hamming distance of two sketches a lower bound of the sets' symmetric
-difference. At 100 * intersection >= 85 * union, two sets of sizes a + b = t differ in at most ``t - 2 ceil(17 t / 37)``
-elements. Sizes are cut into bands; a band whose largest pair may differ in D elements cuts the sketch into D + 1 + slack
+difference. Two linked sets of sizes a + b = t differ in at most ``t - 2 ceil(percent t / (100 + percent))`` elements. Sizes are cut into bands; a band whose largest pair may differ in D elements cuts the sketch into D + 1 + slack
 blocks, so linked sets agree on at least 1 + slack blocks, and on one that is not empty unless both have more than slack
 empty ones (only then are empty blocks used). Sketch blocks (XOR of the mixed positions of their odd bits) are joined by
 equality; a document also enters the next band if partners can lie there. Candidates are tested by the Hamming bound on a
@@ -14,7 +14,7 @@ classes with the same block key are paired with each other; larger groups are pa
 is then still in several components of one group is compared in blocks of sketches (``rest_pairs``), so hot shingles and
 large families of near copies cost no quadratic candidate table and lose no link.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer than 4 words are one shingle; null, empty and wordless
+Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer than ``shingle`` words are one shingle; null, empty and wordless
 texts have no shingles and link with nothing. Repeated rows fall into one class. Rows without doc_id get classes too but
 never name a component.
 """
@@ -31,32 +31,29 @@ from pyspark.sql import functions as F
 from .common import bytes_of, forget, shared_dir, splitmix, written
 from .graph import connected_components
 
-SHINGLE, GROWTH, FOLD = 4, 1.35, 8  # FOLD: 64-bit words of the folded sketch
+GROWTH, FOLD = 1.35, 8  # FOLD: 64-bit words of the folded sketch
+#: Linked sets lie in the same band or in neighbours only if sizes differ by less than GROWTH, so no percent below this one.
+LEAST_PERCENT = 75
 SMALL_GROUP, CHUNK, BUCKET_BYTES = 16, 256, 8 << 20
 #: A table of ids up to this size is broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 8 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def most_difference(t: int) -> int:
-    """Largest symmetric difference of linked sets whose sizes sum to t."""
-    return t - 2 * -(-17 * t // 37)
-
-
-@lru_cache(1)
-def bands() -> tuple[list[int], list[int], list[int]]:
+@lru_cache(4)
+def bands(percent: int) -> tuple[list[int], list[int], list[int]]:
     """(first size, number of blocks, slack) of each band."""
     firsts, blocks, slack = [1], [], []
     while firsts[-1] < 1 << 40:
         firsts.append(max(firsts[-1] + 8, int(firsts[-1] * GROWTH)))
     for last in (f - 1 for f in firsts[1:]):
-        d = max(most_difference(t) for t in range(max(0, 2 * last - 40), 2 * last + 1))
+        d = 2 * last * (100 - percent) // (100 + percent)
         slack.append(2 + d // 16)
         blocks.append(d + 1 + slack[-1])
     return firsts, blocks, slack
 
 
-def shingle_set(text: str | None) -> np.ndarray:
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a whole text."""
     from xxhash import xxh3_64_intdigest
 
@@ -64,11 +61,11 @@ def shingle_set(text: str | None) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    v, width = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, n), min(n, SHINGLE)
+    v, width = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, n), min(n, shingle)
     with np.errstate(over="ignore"):
         h = np.full(n - width + 1, width, np.uint64)
         for k in range(width):
-            h = splitmix(h ^ v[k : n - width + 1 + k]) if width < SHINGLE else h * np.uint64(0xD6E8FEB86659FD93) + v[k : n - width + 1 + k]
+            h = splitmix(h ^ v[k : n - width + 1 + k]) if width < shingle else h * np.uint64(0xD6E8FEB86659FD93) + v[k : n - width + 1 + k]
     return np.unique(splitmix(h))
 
 
@@ -87,12 +84,12 @@ def folded(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_keys(s: np.ndarray) -> np.ndarray:
+def block_keys(s: np.ndarray, percent: int) -> np.ndarray:
     """Keys of the sketch blocks of a set, for its own band and, where partners can lie there, the next."""
-    firsts, blocks, slack = bands()
+    firsts, blocks, slack = bands(percent)
     n, out = len(s), []
     own = int(np.searchsorted(firsts, n, side="right")) - 1
-    for band in (own, own + 1) if n * 100 >= 85 * firsts[own + 1] else (own,):
+    for band in (own, own + 1) if n * 100 >= percent * firsts[own + 1] else (own,):
         k = blocks[band]
         of = ((s >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)  # ascending, as s is
         starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
@@ -105,7 +102,7 @@ def block_keys(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """doc_id, n (set size), ka, kb (the set's name), sketch, n_keys."""
 
     def describe(batches: Iterable) -> Iterator:
@@ -115,19 +112,19 @@ def classes(docs: DataFrame) -> DataFrame:
         for b in batches:
             ns, a, c, sk, keys = [], [], [], [], []
             for t in b.column(1):
-                s = shingle_set(t.as_py())
+                s = shingle_set(t.as_py(), shingle)
                 x, y = set_key(s)
                 ns.append(len(s))
                 a.append(x)
                 c.append(y)
                 sk.append(folded(s).view(np.int64).tolist())
-                keys.append(len(block_keys(s)) if len(s) else 0)
+                keys.append(len(block_keys(s, percent)) if len(s) else 0)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(sk, pa.list_(pa.int64())), pa.array(keys, pa.int64())], ["doc_id", "n", "ka", "kb", "sketch", "n_keys"])
 
     return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, ka long, kb long, sketch array<long>, n_keys long")
 
 
-def _packed_keys(n_buckets: int):
+def _packed_keys(n_buckets: int, shingle: int, percent: int):
     """Task function: texts -> (bucket, keys, classes) rows, packed per batch."""
 
     def pack(batches: Iterable) -> Iterator:
@@ -139,8 +136,8 @@ def _packed_keys(n_buckets: int):
             for lo in range(0, len(texts), 2000):
                 keys, owners = [], []
                 for t in texts[lo : lo + 2000]:
-                    if len(s := shingle_set(t.as_py())):
-                        keys.append(k := block_keys(s))
+                    if len(s := shingle_set(t.as_py(), shingle)):
+                        keys.append(k := block_keys(s, percent))
                         owners.append(np.full(len(k), set_key(s)[0], np.int64))
                 if not keys:
                     continue
@@ -206,31 +203,31 @@ def _pair_bucket(batches: Iterable) -> Iterator:
         yield from out(keys, owners)
 
 
-def _near_enough(a: str, b: str):
+def _near_enough(a: str, b: str, percent: int):
     """The Hamming bound on folded sketches and the bound on sizes."""
     t = f"({a}.n + {b}.n)"
     far = " + ".join(f"bit_count({a}.sketch[{k}] ^ {b}.sketch[{k}])" for k in range(FOLD))
-    return F.expr(f"100 * least({a}.n, {b}.n) >= 85 * greatest({a}.n, {b}.n) AND {far} <= {t} - 2 * ((17 * {t} + 36) div 37)")
+    return F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND {far} <= {t} - 2 * (({percent} * {t} + {99 + percent}) div {100 + percent})")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, small: bool, shingle: int) -> DataFrame:
     """(id, s): packed sets of the documents in ``wanted`` (id)."""
 
     def pack(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([shingle_set(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["id", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())], ["id", "s"])
 
     texts = docs.join(wanted.select(F.col("id").alias("doc_id")).hint("broadcast" if small else "shuffle_hash"), "doc_id", "left_semi")
     return texts.select("doc_id", "text").mapInArrow(pack, "id long, s binary").dropDuplicates(["id"])
 
 
-def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
+def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, folder: str, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b of doc_ids) whose sets are linked."""
     pairs = written(spark, pairs, f"{folder}/candidates")
     wanted = written(spark, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), f"{folder}/wanted")
-    sets = written(spark, _sets(docs, wanted, bytes_of(spark, f"{folder}/wanted") <= BROADCAST_BYTES), f"{folder}/sets")
+    sets = written(spark, _sets(docs, wanted, bytes_of(spark, f"{folder}/wanted") <= BROADCAST_BYTES, shingle), f"{folder}/sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")).hint("merge"), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
 
     def linked(batches: Iterable) -> Iterator:
@@ -242,14 +239,14 @@ def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, folder: str
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 z = np.sort(np.concatenate([x, y]), kind="stable")
                 common = int((z[1:] == z[:-1]).sum())
-                keep.append(100 * common >= 85 * (len(x) + len(y) - common))
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
     return written(spark, both.select("a", "b", "sa", "sb").mapInArrow(linked, "a long, b long"), f"{folder}/links")
 
 
-def rest_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+def rest_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, b) between different components inside large groups, by blocks of sketches.
 
     members: (grp, id); labels: (id, component); reps: (id, n, sketch). Members of a group are cut into chunks of about
@@ -284,7 +281,7 @@ def rest_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFr
                 for k in range(FOLD):
                     far += np.bitwise_count(si[:, k][:, None] ^ sj[:, k][None, :])
                 t = ni[:, None] + nj[None, :]
-                ok = (ci[:, None] != cj[None, :]) & (far <= t - 2 * ((17 * t + 36) // 37)) & (100 * np.minimum(ni[:, None], nj[None, :]) >= 85 * np.maximum(ni[:, None], nj[None, :]))
+                ok = (ci[:, None] != cj[None, :]) & (far <= t - 2 * ((percent * t + 99 + percent) // (100 + percent))) & (100 * np.minimum(ni[:, None], nj[None, :]) >= percent * np.maximum(ni[:, None], nj[None, :]))
                 p, q = np.nonzero(ok)
                 lo, hi = np.minimum(i[p], j[q]), np.maximum(i[p], j[q])
                 yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
@@ -292,27 +289,29 @@ def rest_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFr
     return units.select("rows_a", "rows_b").mapInArrow(compare, "a long, b long").distinct()
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def jaccard_components(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document, for a similarity of ``percent`` (75 to 100) hundredths or more."""
+    if shingle < 1 or not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"shingle must be positive and percent between {LEAST_PERCENT} and 100")
     folder = shared_dir(spark)
     docs = docs.select("doc_id", "text")
-    meta = written(spark, classes(docs), f"{folder}/meta")
+    meta = written(spark, classes(docs, shingle, percent), f"{folder}/meta")
     named = meta.where("n > 0").groupBy("ka", "kb", "n").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("n_keys").alias("n_keys"))
     reps = written(spark, named, f"{folder}/classes")
     total = reps.agg(F.sum("n_keys")).head()[0] or 0
     n_buckets = max(1, -(-14 * total // BUCKET_BYTES))
-    packed = docs.select("text").mapInArrow(_packed_keys(n_buckets), "bucket long, keys binary, owners binary")
+    packed = docs.select("text").mapInArrow(_packed_keys(n_buckets, shingle, percent), "bucket long, keys binary, owners binary")
     groups = written(spark, packed.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_pair_bucket, "kind int, x long, y long"), f"{folder}/groups")
     node = reps.where("id IS NOT NULL").select("ka", F.struct("id", "n", "sketch").alias("v"))
     pairs = groups.where("kind = 0").select("x", "y").distinct()
     pairs = pairs.join(node.select(F.col("ka").alias("x"), F.col("v").alias("p")).hint("merge"), "x").join(node.select(F.col("ka").alias("y"), F.col("v").alias("q")).hint("merge"), "y")
-    pairs = pairs.where(_near_enough("p", "q")).select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
-    links = verified(spark, docs, pairs, f"{folder}/first")
+    pairs = pairs.where(_near_enough("p", "q", percent)).select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
+    links = verified(spark, docs, pairs, f"{folder}/first", shingle, percent)
     labels = connected_components(spark, links)
     members = groups.where("kind = 1").select(F.col("x").alias("grp"), F.col("y").alias("ka"))
     if not members.isEmpty():
         members = members.join(node.hint("merge"), "ka").select("grp", F.col("v.id").alias("id"))
-        more = verified(spark, docs, rest_pairs(members, labels, node.select("v.*")), f"{folder}/second")
+        more = verified(spark, docs, rest_pairs(members, labels, node.select("v.*"), percent), f"{folder}/second", shingle, percent)
         if not more.isEmpty():
             labels = connected_components(spark, links.union(more))
     found = reps.join(labels.hint("merge"), "id", "left").select("ka", "kb", "n", F.coalesce("component", "id").alias("component"))
@@ -320,9 +319,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def drop_near_copies(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document (the smallest doc_id) of each component. Repeated rows of that doc_id all stay."""
     folder = shared_dir(spark)
-    gone = written(spark, jaccard_components(spark, docs).where("doc_id <> component_id").select("doc_id").distinct(), f"{folder}/gone")
+    gone = written(spark, jaccard_components(spark, docs, shingle, percent).where("doc_id <> component_id").select("doc_id").distinct(), f"{folder}/gone")
     small = bytes_of(spark, f"{folder}/gone") <= BROADCAST_BYTES
     return docs.join(gone.hint("broadcast" if small else "shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)

@@ -33,7 +33,7 @@ def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parity_join.jaccard_components(spark, _table(spark, sf_dir, "documents"))
+    return parity_join.jaccard_components(spark, _table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
 def op5_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:

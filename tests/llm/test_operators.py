@@ -45,25 +45,44 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_jaccard_components(spark, docs, rows, empty):
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80), (1, 75), (3, 100)])
+def test_jaccard_components(spark, docs, rows, empty, width, percent):
     sets = {}
     for k, t, *_ in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets[k] = {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+        sets[k] = {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
     label = {k: k for k in sets}
     for _ in sets:
         for a in sets:
             for b in sets:
                 i = len(sets[a] & sets[b])
-                if sets[a] and 100 * i >= 85 * (len(sets[a]) + len(sets[b]) - i):
+                if sets[a] and 100 * i >= percent * (len(sets[a]) + len(sets[b]) - i):
                     label[a] = label[b] = min(label[a], label[b])
-    got = parity_join.jaccard_components(spark, docs).collect()
+    got = parity_join.jaccard_components(spark, docs, width, percent).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {k: (len(s), label[k]) for k, s in sets.items()}
-    assert parity_join.jaccard_components(spark, empty).count() == 0
-    assert {r.doc_id for r in parity_join.drop_near_copies(spark, docs).collect()} == {k for k in sets if label[k] == k}
+    assert parity_join.jaccard_components(spark, empty, width, percent).count() == 0
+    assert {r.doc_id for r in parity_join.drop_near_copies(spark, docs, width, percent).collect()} == {k for k in sets if label[k] == k}
 
 
-def test_large_groups_lose_no_link(spark):
+def test_thresholds_beyond_the_bands_are_refused(spark, docs):
+    for width, percent in ((0, 80), (5, 74), (5, 101)):
+        with pytest.raises(ValueError):
+            parity_join.jaccard_components(spark, docs, width, percent)
+
+
+@pytest.mark.parametrize("percent", [75, 80, 85, 93, 100])
+def test_sizes_of_linked_sets_share_a_band(percent):
+    firsts, blocks, slack = parity_join.bands(percent)
+    for small in [*range(1, 3000), *range(3000, 10**6, 9973)]:
+        large = 100 * small // percent  # the largest set that the smaller can link with
+        a, b = (int(np.searchsorted(firsts, n, side="right")) - 1 for n in (small, large))
+        assert b == a or b == a + 1 and small * 100 >= percent * firsts[b]
+        t = small + large
+        assert t - 2 * -(-percent * t // (100 + percent)) < blocks[b] - slack[b]
+
+
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
+def test_large_groups_lose_no_link(spark, width, percent):
     rng = random.Random(3)
     chain, w = [], [f"v{k}" for k in range(80)]
     for _ in range(60):  # neighbours are linked, distant ones are not
@@ -71,15 +90,15 @@ def test_large_groups_lose_no_link(spark):
         w[rng.randrange(80)] = f"n{rng.randrange(10**6)}"
     copies = [" ".join([f"c{k}" for k in range(100)] + [f"tail{j}"]) for j in range(60)]
     d = spark.createDataFrame(list(enumerate([*chain, *copies])), "doc_id long, text string")
-    sets = [parity_join.shingle_set(t) for t in [*chain, *copies]]
+    sets = [parity_join.shingle_set(t, width) for t in [*chain, *copies]]
     label = list(range(len(sets)))
     for _ in range(60):
         for a in range(len(sets)):
             for b in range(a):
                 i = len(np.intersect1d(sets[a], sets[b]))
-                if 100 * i >= 85 * (len(sets[a]) + len(sets[b]) - i):
+                if 100 * i >= percent * (len(sets[a]) + len(sets[b]) - i):
                     label[a] = label[b] = min(label[a], label[b])
-    assert {r.doc_id: r.component_id for r in parity_join.jaccard_components(spark, d).collect()} == dict(enumerate(label))
+    assert {r.doc_id: r.component_id for r in parity_join.jaccard_components(spark, d, width, percent).collect()} == dict(enumerate(label))
 
 
 def test_sketch_bound_holds():
