@@ -7,7 +7,7 @@ difference. Two linked sets of sizes a + b = t differ in at most ``t - 2 ceil(pe
 blocks, so linked sets agree on at least 1 + slack blocks, and on one that is not empty unless both have more than slack
 empty ones (only then are empty blocks used). Sketch blocks (XOR of the mixed positions of their odd bits) are joined by
 equality; a document also enters the next band if partners can lie there. Candidates are tested by the Hamming bound on a
-512-bit folded sketch, then exactly on the sets.
+512-bit folded sketch, then on sketches that grow with the set, then exactly on the sets.
 
 Equal sets are one class from the start. Block keys travel packed (14 bytes each) to buckets of bounded size. Up to 16
 classes with the same block key are paired with each other; larger groups are paired with their first class, and what
@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, forget, shared_dir, splitmix, written
+from .common import bytes_of, drop, forget, shared_dir, splitmix, written
 from .graph import connected_components
 
 GROWTH, FOLD = 1.35, 8  # FOLD: 64-bit words of the folded sketch
@@ -84,6 +84,19 @@ def folded(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def wide_sketch(s: np.ndarray) -> bytes:
+    """The parity sketch in two to four bits per element (64 at least), a power of two: it never saturates."""
+    bits = 64 << max(0, (len(s) - 1).bit_length() - 5)
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def hamming(x: bytes, y: bytes) -> int:
+    """Distance of two wide sketches, the longer one folded to the other's length: a lower bound of the sets' difference."""
+    x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def block_keys(s: np.ndarray, percent: int) -> np.ndarray:
     """Keys of the sketch blocks of a set, for its own band and, where partners can lie there, the next."""
     firsts, blocks, slack = bands(percent)
@@ -210,40 +223,53 @@ def _near_enough(a: str, b: str, percent: int):
     return F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND {far} <= {t} - 2 * (({percent} * {t} + {99 + percent}) div {100 + percent})")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, small: bool, shingle: int) -> DataFrame:
-    """(id, s): packed sets of the documents in ``wanted`` (id)."""
+def _described(docs: DataFrame, wanted: DataFrame, small: bool, shingle: int, pack, schema: str) -> DataFrame:
+    """(id, n, ``pack`` of the set) of the documents in ``wanted`` (id)."""
 
-    def pack(batches: Iterable) -> Iterator:
+    def describe(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())], ["id", "s"])
+            sets = [shingle_set(t.as_py(), shingle) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(pack, sets), pa.binary())], ["id", "n", "s"])
 
     texts = docs.join(wanted.select(F.col("id").alias("doc_id")).hint("broadcast" if small else "shuffle_hash"), "doc_id", "left_semi")
-    return texts.select("doc_id", "text").mapInArrow(pack, "id long, s binary").dropDuplicates(["id"])
+    return texts.select("doc_id", "text").mapInArrow(describe, schema).dropDuplicates(["id"])
 
 
-def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, folder: str, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b of doc_ids) whose sets are linked."""
-    pairs = written(spark, pairs, f"{folder}/candidates")
-    wanted = written(spark, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), f"{folder}/wanted")
-    sets = written(spark, _sets(docs, wanted, bytes_of(spark, f"{folder}/wanted") <= BROADCAST_BYTES, shingle), f"{folder}/sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")).hint("merge"), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
+def _passing(spark: SparkSession, docs: DataFrame, pairs: DataFrame, folder: str, shingle: int, pack, test) -> DataFrame:
+    """The pairs (a, b of doc_ids) for which ``test`` of both sizes and packed sets holds."""
+    wanted = written(spark, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), f"{folder}-ids")
+    sets = _described(docs, wanted, bytes_of(spark, f"{folder}-ids") <= BROADCAST_BYTES, shingle, pack, "id long, n long, s binary")
+    sets = written(spark, sets, f"{folder}-sets")
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}")).hint("merge")
 
-    def linked(batches: Iterable) -> Iterator:
+    def judge(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                z = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((z[1:] == z[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            mask = pa.array(keep, pa.bool_())
+            mask = pa.array([test(m, n, x.as_py(), y.as_py()) for m, n, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5))], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
-    return written(spark, both.select("a", "b", "sa", "sb").mapInArrow(linked, "a long, b long"), f"{folder}/links")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    out = written(spark, both.mapInArrow(judge, "a long, b long"), f"{folder}-passed")
+    drop(spark, f"{folder}-sets")
+    return out
+
+
+def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, folder: str, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b of doc_ids) whose sets are linked: the Hamming bound on wide sketches first, then the sets."""
+
+    def close(m: int, n: int, x: bytes, y: bytes) -> bool:
+        return hamming(x, y) <= m + n - 2 * -(-percent * (m + n) // (100 + percent))
+
+    def linked(m: int, n: int, x: bytes, y: bytes) -> bool:
+        z = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]), kind="stable")
+        common = int((z[1:] == z[:-1]).sum())
+        return 100 * common >= percent * (m + n - common)
+
+    pairs = _passing(spark, docs, written(spark, pairs, f"{folder}-candidates"), f"{folder}-wide", shingle, wide_sketch, close)
+    return _passing(spark, docs, pairs, f"{folder}-exact", shingle, np.ndarray.tobytes, linked)
 
 
 def rest_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:

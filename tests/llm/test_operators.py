@@ -107,6 +107,10 @@ def test_sketch_bound_holds():
         a = np.unique(rng.integers(0, 2**63, 60).astype(np.uint64))
         b = np.unique(np.concatenate([a[rng.integers(0, 8) :], rng.integers(0, 2**63, 3).astype(np.uint64)]))
         assert int(np.bitwise_count(parity_join.folded(a) ^ parity_join.folded(b)).sum()) <= len(np.setxor1d(a, b))
+        for x, y in ((a, b), (a, a[:20]), (b, a[:0]), (a, a[:1])):
+            assert parity_join.hamming(parity_join.wide_sketch(x), parity_join.wide_sketch(y)) <= len(np.setxor1d(x, y))
+    far = [np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64)) for _ in range(2)]
+    assert parity_join.hamming(*map(parity_join.wide_sketch, far)) > 3000
 
 
 def test_components_of_a_chain(spark):
