@@ -9,7 +9,9 @@ empty ones (only then are empty blocks used). Sketch blocks (XOR of the mixed po
 equality; a document also enters the next band if partners can lie there. Candidates are tested by the Hamming bound on a
 512-bit folded sketch, then on sketches that grow with the set, then exactly on the sets.
 
-Equal sets are one class from the start. Block keys travel packed (14 bytes each) to buckets of bounded size. Up to 16
+Equal sets are one class from the start; a task packs a set's keys once, however many copies it meets. Each text is cut
+into shingles once: block keys (packed, 14 bytes each) and descriptions travel in one shuffle to buckets whose number
+follows the bytes of text. Up to 16
 classes with the same block key are paired with each other; larger groups are paired with their first class, and what
 is then still in several components of one group is compared in blocks of sketches (``rest_pairs``), so hot shingles and
 large families of near copies cost no quadratic candidate table and lose no link.
@@ -37,6 +39,11 @@ LEAST_PERCENT = 75
 SMALL_GROUP, CHUNK, BUCKET_BYTES = 16, 256, 8 << 20
 #: A table of ids up to this size is broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 8 << 20
+#: Names of sets that a task remembers as packed before it forgets them: bounds memory, never results.
+PACKED_NAMES = 200_000
+#: Columns of the rows between the tasks of the candidate search; FOUND are those that are written.
+ROW = "kind int, bucket long, x long, y long, doc_id long, n long, sketch array<long>, keys binary, owners binary"
+FOUND = ["kind", "x", "y", "doc_id", "n", "sketch"]
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -115,43 +122,46 @@ def block_keys(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), ka, kb (the set's name), sketch, n_keys."""
-
-    def describe(batches: Iterable) -> Iterator:
-        import pyarrow as pa
-
-        forget()
-        for b in batches:
-            ns, a, c, sk, keys = [], [], [], [], []
-            for t in b.column(1):
-                s = shingle_set(t.as_py(), shingle)
-                x, y = set_key(s)
-                ns.append(len(s))
-                a.append(x)
-                c.append(y)
-                sk.append(folded(s).view(np.int64).tolist())
-                keys.append(len(block_keys(s, percent)) if len(s) else 0)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(sk, pa.list_(pa.int64())), pa.array(keys, pa.int64())], ["doc_id", "n", "ka", "kb", "sketch", "n_keys"])
+def _rows(kind: int, **columns):
+    """A batch of ROW with these columns and nulls elsewhere."""
+    import pyarrow as pa
 
-    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, ka long, kb long, sketch array<long>, n_keys long")
+    types = {"int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}
+    n = len(next(iter(columns.values())))
+    named = [c.split() for c in ROW.split(", ")]
+    columns["kind"] = pa.array(np.full(n, kind, np.int32))
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, types[t]) for c, t in named], [c for c, _ in named])
 
 
-def _packed_keys(n_buckets: int, shingle: int, percent: int):
-    """Task function: texts -> (bucket, keys, classes) rows, packed per batch."""
+def _described_and_packed(n_buckets: int, shingle: int, percent: int):
+    """Task function: (doc_id, text) -> in one pass a row of kind 2 for each document (n, name, sketch) and rows of kind 3
+    with block keys, packed per bucket. A set that this task has packed already is not packed again."""
 
-    def pack(batches: Iterable) -> Iterator:
+    def work(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
         forget()
+        packed: set = set()
         for b in batches:
-            texts = b.column(0)
-            for lo in range(0, len(texts), 2000):
-                keys, owners = [], []
-                for t in texts[lo : lo + 2000]:
-                    if len(s := shingle_set(t.as_py(), shingle)):
+            for lo in range(0, b.num_rows, 2000):
+                ids, texts = b.column(0)[lo : lo + 2000].cast(pa.int64()), b.column(1)[lo : lo + 2000]
+                ns, names, sketches, keys, owners = [], [], [], [], []
+                for t in texts:
+                    s = shingle_set(t.as_py(), shingle)
+                    ns.append(len(s))
+                    names.append(set_key(s))
+                    sketches.append(folded(s).view(np.int64))
+                    if len(s) and (name := (len(s), *names[-1])) not in packed:
+                        if len(packed) >= PACKED_NAMES:
+                            packed.clear()
+                        packed.add(name)
                         keys.append(k := block_keys(s, percent))
-                        owners.append(np.full(len(k), set_key(s)[0], np.int64))
+                        owners.append(np.full(len(k), name[1], np.int64))
+                names = np.array(names, np.int64).reshape(-1, 2)
+                sketch = pa.array(list(sketches), pa.list_(pa.int64()))
+                # Spread by the row's own content, so that copies do not meet in one bucket.
+                spread = splitmix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64) ^ names[:, 1].astype(np.uint64)) % np.uint64(n_buckets)
+                yield _rows(2, bucket=pa.array(spread.astype(np.int64)), x=pa.array(names[:, 0].copy()), y=pa.array(names[:, 1].copy()), doc_id=ids, n=pa.array(ns, pa.int64()), sketch=sketch)
                 if not keys:
                     continue
                 k, o = np.concatenate(keys), np.concatenate(owners)
@@ -161,14 +171,17 @@ def _packed_keys(n_buckets: int, shingle: int, percent: int):
                 cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
                 ends = [*cut[1:], len(k)]
                 six = k.view(np.uint8).reshape(-1, 8)[:, :6]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array([six[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary()), pa.array([o[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())], ["bucket", "keys", "owners"])
+                pack = lambda a: pa.array([a[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())
+                yield _rows(3, bucket=pa.array(bucket[cut]), keys=pack(six), owners=pack(o))
 
-    return pack
+    return work
 
 
 def _pair_bucket(batches: Iterable) -> Iterator:
-    """Rows of buckets, sorted by bucket -> pairs of classes (kind 0) and members of large groups (kind 1: group, class)."""
+    """Rows of buckets, sorted by bucket -> pairs of classes (kind 0) and members of large groups (kind 1: group, class).
+    Documents (kind 2) pass through."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     def solve(keys: list, owners: list):
         six = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 6)
@@ -201,11 +214,15 @@ def _pair_bucket(batches: Iterable) -> Iterator:
 
     def out(keys: list, owners: list):
         for kind, x, y in solve(keys, owners):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(np.ascontiguousarray(x)), pa.array(np.ascontiguousarray(y))], ["kind", "x", "y"])
+            yield _rows(kind, x=pa.array(np.ascontiguousarray(x)), y=pa.array(np.ascontiguousarray(y))).select(FOUND)
 
     held, keys, owners = None, [], []
     for b in batches:
-        for bucket, k, o in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+        packs = pc.equal(b.column("kind"), 3)
+        if (docs := b.filter(pc.invert(packs))).num_rows:
+            yield docs.select(FOUND)
+        b = b.filter(packs)
+        for bucket, k, o in zip(b.column("bucket").to_pylist(), b.column("keys"), b.column("owners")):
             if held is not None and bucket != held:
                 yield from out(keys, owners)
                 keys, owners = [], []
@@ -321,26 +338,31 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, shingle: int = 5, p
         raise ValueError(f"shingle must be positive and percent between {LEAST_PERCENT} and 100")
     folder = shared_dir(spark)
     docs = docs.select("doc_id", "text")
-    meta = written(spark, classes(docs, shingle, percent), f"{folder}/meta")
-    named = meta.where("n > 0").groupBy("ka", "kb", "n").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("n_keys").alias("n_keys"))
+    n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()
+    n_buckets = max(1, -(-(n_bytes + 64 * n_docs) // BUCKET_BYTES))
+    rows = docs.mapInArrow(_described_and_packed(n_buckets, shingle, percent), ROW).repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
+    groups = written(spark, rows.mapInArrow(_pair_bucket, "kind int, x long, y long, doc_id long, n long, sketch array<long>"), f"{folder}/groups")
+    meta = groups.where("kind = 2").select("doc_id", "n", F.col("x").alias("ka"), F.col("y").alias("kb"), "sketch")
+    named = meta.where("n > 0").groupBy("ka", "kb", "n").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"))
     reps = written(spark, named, f"{folder}/classes")
-    total = reps.agg(F.sum("n_keys")).head()[0] or 0
-    n_buckets = max(1, -(-14 * total // BUCKET_BYTES))
-    packed = docs.select("text").mapInArrow(_packed_keys(n_buckets, shingle, percent), "bucket long, keys binary, owners binary")
-    groups = written(spark, packed.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_pair_bucket, "kind int, x long, y long"), f"{folder}/groups")
     node = reps.where("id IS NOT NULL").select("ka", F.struct("id", "n", "sketch").alias("v"))
     pairs = groups.where("kind = 0").select("x", "y").distinct()
     pairs = pairs.join(node.select(F.col("ka").alias("x"), F.col("v").alias("p")).hint("merge"), "x").join(node.select(F.col("ka").alias("y"), F.col("v").alias("q")).hint("merge"), "y")
     pairs = pairs.where(_near_enough("p", "q", percent)).select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
     links = verified(spark, docs, pairs, f"{folder}/first", shingle, percent)
-    labels = connected_components(spark, links)
+    labels, further = connected_components(spark, links), None
     members = groups.where("kind = 1").select(F.col("x").alias("grp"), F.col("y").alias("ka"))
     if not members.isEmpty():
         members = members.join(node.hint("merge"), "ka").select("grp", F.col("v.id").alias("id"))
         more = verified(spark, docs, rest_pairs(members, labels, node.select("v.*"), percent), f"{folder}/second", shingle, percent)
-        if not more.isEmpty():
-            labels = connected_components(spark, links.union(more))
+        # Links between components: only the components themselves are joined anew.
+        for x in "ab":
+            more = more.join(labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")).hint("merge"), x, "left")
+        further = connected_components(spark, more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     found = reps.join(labels.hint("merge"), "id", "left").select("ka", "kb", "n", F.coalesce("component", "id").alias("component"))
+    if further is not None:
+        found = found.join(further.select(F.col("id").alias("component"), F.col("component").alias("whole")).hint("merge"), "component", "left")
+        found = found.select("ka", "kb", "n", F.coalesce("whole", "component").alias("component"))
     out = meta.join(found.hint("merge"), ["ka", "kb", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
