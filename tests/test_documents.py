@@ -106,6 +106,6 @@ def test_stream_of_chunks_gives_lines(spark, tmp_path):
 
 def test_debounce_batch(spark):
     ts = pd.Timestamp("2024-01-01")
-    rows = [("p", ts + pd.Timedelta(milliseconds=m), "change", c) for m, c in ((0, "1"), (500, "2"), (1000, "3"), (3000, "4"))]
+    rows = [("p", (ts + pd.Timedelta(milliseconds=m)).to_pydatetime(), "change", c) for m, c in ((0, "1"), (500, "2"), (1000, "3"), (3000, "4"))]
     got = C.debounced(spark.createDataFrame(rows, "path string, ts timestamp, op string, content string")).orderBy("due").collect()
     assert [(r.content, r.n) for r in got] == [("3", 3), ("4", 1)]
