@@ -29,6 +29,7 @@ HIT = "array<struct<item_id: long, n_item_tokens: long, n_covered: long, n_tiles
 _OTHER = re.compile(r"[^\w\x00-\x7f]")
 _TABLE = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 _BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -42,7 +43,8 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def window_hashes(ids: np.ndarray, s: int, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, Karp-Rabin hashes) of the windows of s tokens that are wholly free."""
+    """(starts, Karp-Rabin hashes) of the windows of s tokens that are wholly free. A hash is the sum of v[k] * B^(k + 1) over
+    the window's own tokens, in both forms, so windows of different sequences compare."""
     n = len(ids) - s + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -52,12 +54,13 @@ def window_hashes(ids: np.ndarray, s: int, free: np.ndarray) -> tuple[np.ndarray
     v = splitmix(ids.astype(np.uint64))
     with np.errstate(over="ignore"):
         if s <= 16 or len(starts) < 64:
-            for k in range(s):
-                h = h * np.uint64(_BASE) + v[starts + k]
+            for k in reversed(range(s)):
+                h = (h + v[starts + k]) * np.uint64(_BASE)
         else:
             power = np.cumprod(np.full(len(ids), _BASE, np.uint64))
+            back = np.cumprod(np.full(len(ids), _INVERSE, np.uint64)) * np.uint64(_BASE)  # B^-p takes the place out again
             before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(v * power)])
-            h = (before[starts + s] - before[starts]) * power[len(ids) - 1 - starts]  # the same power for every window
+            h = (before[starts + s] - before[starts]) * back[starts]
     return starts, h
 
 

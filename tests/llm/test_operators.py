@@ -241,6 +241,32 @@ def test_tiles_are_greedy():
     assert decontam.greedy_tiles(a, b, 2) == [(0, 5, 5), (5, 1, 3)]
 
 
+def brute_force_tiles(item, doc, least):
+    free_i, free_d, out = [True] * len(item), [True] * len(doc), []
+    for s in range(min(len(item), len(doc)), least - 1, -1):
+        for p in range(len(item) - s + 1):
+            for q in range(len(doc) - s + 1):
+                if all(free_i[p : p + s]) and all(free_d[q : q + s]) and item[p : p + s] == doc[q : q + s]:
+                    free_i[p : p + s] = free_d[q : q + s] = [False] * s
+                    out.append((p, q, s))
+    return out
+
+
+@pytest.mark.parametrize("run", [17, 19, 20, 30])
+def test_long_runs_are_one_tile(spark, run):
+    rng = random.Random(run)
+    item = list(range(30))
+    doc = [rng.randrange(30) for _ in range(300)]
+    doc[100 : 100 + run] = item[:run]
+    tiles = decontam.greedy_tiles(np.array(item), np.array(doc), 5)
+    assert tiles == brute_force_tiles(item, doc, 5) and tiles[0][2] >= run
+    text = lambda ids: " ".join(f"w{k}" for k in ids)
+    d = spark.createDataFrame([(1, text(doc))], "doc_id long, text string")
+    b = spark.createDataFrame([(10, text(item))], "item_id long, text string")
+    leaks = sum(t[2] for t in tiles) >= 0.6 * 30
+    assert decontam.drop_contaminated(spark, d, b).count() == (0 if leaks else 1)
+
+
 def test_preferences(spark):
     t = [(0, 0, "user", "q"), (0, 1, "assistant", "good"), (1, 0, "user", "q"), (1, 1, "assistant", "bad"), (1, 2, "user", None), (2, 0, "user", "same"), (3, 0, "user", "same"), (3, 0, "user", "same"), (4, 0, "user", "alone"), (None, 0, "user", "x"), (6, None, "user", "x")]
     turns = spark.createDataFrame(t, "conv_id long, turn long, role string, text string")
