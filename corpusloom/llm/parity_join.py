@@ -368,8 +368,21 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, shingle: int = 5, p
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document (the smallest doc_id) of each component. Repeated rows of that doc_id all stay."""
+    """``docs`` with exactly one row of each component: the smallest doc_id (nulls last), then the smallest row number.
+
+    Rows are numbered and written first and only named by their number, so repeated rows, rows without doc_id and different
+    texts under one doc_id are told apart. Rows without words are in no component and all stay.
+    """
     folder = shared_dir(spark)
-    gone = written(spark, jaccard_components(spark, docs, shingle, percent).where("doc_id <> component_id").select("doc_id").distinct(), f"{folder}/gone")
+    rows = written(spark, docs.withColumn("__row", F.monotonically_increasing_id()), f"{folder}/rows")
+    found = jaccard_components(spark, rows.select(F.col("__row").alias("doc_id"), "text"), shingle, percent)
+    later = written(spark, found.where("doc_id <> component_id").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("first")), f"{folder}/later")
+    # Each component is named by its smallest row number; where another of its rows survives, the two change places.
+    members = later.union(later.select(F.col("first").alias("__row"), "first").distinct())
+    ids = members.join(rows.select("__row", "doc_id").hint("merge"), "__row")
+    best = ids.groupBy("first").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("best"))
+    swaps = written(spark, best.where("best <> first"), f"{folder}/swaps")
+    gone = later.select("__row").join(swaps.select(F.col("best").alias("__row")).hint("merge"), "__row", "left_anti").union(swaps.select("first"))
+    gone = written(spark, gone, f"{folder}/gone")
     small = bytes_of(spark, f"{folder}/gone") <= BROADCAST_BYTES
-    return docs.join(gone.hint("broadcast" if small else "shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return rows.join(gone.hint("broadcast" if small else "shuffle_hash"), "__row", "left_anti").select(*docs.columns)

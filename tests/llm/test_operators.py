@@ -64,6 +64,20 @@ def test_jaccard_components(spark, docs, rows, empty, width, percent):
     assert {r.doc_id for r in parity_join.drop_near_copies(spark, docs, width, percent).collect()} == {k for k in sets if label[k] == k}
 
 
+def test_one_row_of_each_group_stays(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    twice, null, mixed, other, last = (words(rng, 150, 4000) for _ in range(5))
+    rows = [(7, other), (5, twice), (5, twice), (None, null), (None, null), (9, mixed), (2, mixed), (2, other), (None, last), (8, last), (4, ""), (4, "")]
+    d = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], SCHEMA).repartition(3)
+    key = lambda r: (str(r[0]), r[1])
+    want = sorted([(5, twice), (None, null), (2, mixed), (2, other), (8, last), (4, ""), (4, "")], key=key)
+    kept = corpus_pipeline.near_copies(spark, d, "")
+    assert kept.columns == d.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == want
+    assert sorted(((r.doc_id, r.text) for r in corpus_pipeline.repeated_passages(spark, kept, "").collect()), key=key) == want
+
+
 def test_thresholds_beyond_the_bands_are_refused(spark, docs):
     for width, percent in ((0, 80), (5, 74), (5, 101)):
         with pytest.raises(ValueError):
