@@ -24,8 +24,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 400 bytes or more that occur again; n_chars follows the text."""
-    out = suffix_dedup.remove_repeats(spark, docs)
+    """Documents without the passages of more than 50 words that occur again; n_chars follows the text."""
+    out = suffix_dedup.remove_repeats(spark, docs, suffix_dedup.WORDS.length, suffix_dedup.WORDS)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -1,12 +1,18 @@
 """Operator 6: exact repeated passages by common-prefix interval trees over enhanced suffix arrays.
 
-Every byte covered by a string of ``length`` bytes that also starts somewhere else (in any document, the same one
-included) is found and removed. Texts are UTF-8 bytes; matches never cross documents.
+A text is a row of units: its UTF-8 bytes (``BYTES``, the operator) or its words (``WORDS``, the pipeline). Below, lengths and
+positions are units. A word is a run of bytes other than \\x20 and \\x09-\\x0D, case kept; characters of scripts that put no
+space between words (U+0E00 to U+0EFF, U+1000 to U+109F, U+1780 to U+17FF, U+3000 to U+9FFF, U+20000 and above) are a word
+each. Words are compared as 64-bit hashes (xxh3), white space between them is not. A removed run of words reaches from its
+first byte to its last; white space around it stays.
 
-1. Anchors. In each window of ``length`` bytes the position with the smallest hash of its next ``ANCHOR`` bytes is an
+Every unit covered by a run of ``length`` units that also starts somewhere else (in any document, the same one
+included) is found and removed. Matches never cross documents.
+
+1. Anchors. In each window of ``length`` units the position with the smallest hash of its next ``anchor`` units is an
    anchor. Equal windows have their anchor at the same place, so all copies of a repeated window meet in the group of one
    anchor hash, and only suffixes that start at anchors with a repeated hash need sorting (a sparse suffix array).
-2. Contexts. Such an anchor takes its suffix (up to ``length`` bytes) and the bytes before it (up to ``length - ANCHOR``).
+2. Contexts. Such an anchor takes its suffix (up to ``length`` units) and those before it (up to ``length - anchor``).
    Equal contexts are counted once before any group is built, so exact copies and hot passages cost one entry.
 3. Suffix arrays. In each group suffixes are sorted, the array of common-prefix lengths is scanned with a stack, and each
    interval of the tree (a right-maximal repeat of depth r) is tested for left extension: its members are sorted by
@@ -22,6 +28,7 @@ decoded with U+FFFD dropped where a table of texts is wanted. Extra columns pass
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,19 +40,64 @@ LENGTH, ANCHOR, BLOCK = 400, 64, 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+class Units(NamedTuple):
+    """What repeats are counted in: least length and anchor (a power of two) in units, bytes a unit takes once encoded."""
+
+    length: int
+    anchor: int
+    width: int
+
+
+BYTES, WORDS = Units(LENGTH, ANCHOR, 1), Units(51, 8, 8)
+
+
 def _byte_hashes() -> np.ndarray:
     return splitmix(np.arange(256, dtype=np.uint64))
 
 
-def anchors(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the anchors of a text; ``anchor`` is a power of two."""
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words of a text in UTF-8."""
+    b = np.frombuffer(data, np.uint8)
+    inside = ~((b == 32) | ((b >= 9) & (b <= 13)))
+    edge = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not data.isascii():
+        second = np.append(b[1:], 0)
+        three = ((b >= 0xE3) & (b <= 0xE9)) | ((b == 0xE0) & (second >= 0xB8) & (second <= 0xBB)) | ((b == 0xE1) & (((second >= 0x80) & (second <= 0x81)) | (second == 0x82) | (second == 0x9E) | (second == 0x9F)))
+        four = (b >= 0xF1) | ((b == 0xF0) & (second >= 0xA0))
+        at = np.concatenate([np.flatnonzero(three), np.flatnonzero(four)])
+        after = np.concatenate([np.flatnonzero(three) + 3, np.flatnonzero(four) + 4])
+        if len(at):
+            cuts = np.concatenate([at, after])
+            starts = np.unique(np.concatenate([starts, cuts[(cuts < len(b)) & inside[np.minimum(cuts, len(b) - 1)]]]))
+            cuts = cuts[(cuts > 0) & inside[np.minimum(cuts, len(b)) - 1]]
+            ends = np.unique(np.concatenate([ends, cuts]))
+    return starts, ends
+
+
+def encoded(text: str | None, units: Units = BYTES) -> bytes:
+    """A text as its units, ``width`` bytes each."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    if units.width == 1:
+        return data
+    from xxhash import xxh3_64_intdigest
+
+    starts, ends = word_places(data)
+    return np.fromiter((xxh3_64_intdigest(data[s:e]) for s, e in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts)).tobytes()
+
+
+def anchors(data: bytes, units: Units = BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the anchors of an encoded text."""
+    length, anchor, _ = units
+    data = np.frombuffer(data, np.uint8 if units.width == 1 else np.uint64)
     if len(data) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    b, table = np.frombuffer(data, np.uint8), _byte_hashes()
+    b, table = data, _byte_hashes()
     width = length - anchor + 1  # hashes in a window
     places, values = [], []
     for at in range(0, len(b) - length + 1, BLOCK):
-        h = table[b[at : at + BLOCK + length - 1]]
+        h = b[at : at + BLOCK + length - 1]
+        h = table[h] if units.width == 1 else splitmix(h)
         with np.errstate(over="ignore"):
             power, n = _BASE, 1
             while n < anchor:
@@ -83,8 +135,9 @@ def _common(a: bytes, b: bytes) -> int:
     return lo
 
 
-def _neighbours(texts: list[bytes]) -> np.ndarray:
-    return np.array([_common(a, b) for a, b in zip(texts, texts[1:])], np.int64)
+def _neighbours(texts: list[bytes], width: int = 1) -> np.ndarray:
+    """Bytes of the whole units that neighbours have in common."""
+    return np.array([_common(a, b) for a, b in zip(texts, texts[1:])], np.int64) // width * width
 
 
 def prefix_intervals(lcp: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
@@ -99,9 +152,9 @@ def prefix_intervals(lcp: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
             stack.append((depth, first))
 
 
-def maximal_repeats(contexts: list[tuple[bytes, bytes, int]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """For each context (left, right, count) the maximal repeats of ``length`` and more through its anchor, each as
-    (bytes before, bytes after the anchor)."""
+def maximal_repeats(contexts: list[tuple[bytes, bytes, int]], length: int = LENGTH, width: int = 1) -> list[list[tuple[int, int]]]:
+    """For each context (left, right, count) the maximal repeats of ``length`` bytes and more through its anchor, each as
+    (bytes before, bytes after the anchor's start), in whole units of ``width`` bytes."""
     n = len(contexts)
     out: list[list[tuple[int, int]]] = [[] for _ in contexts]
     for k, (left, right, count) in enumerate(contexts):
@@ -110,13 +163,13 @@ def maximal_repeats(contexts: list[tuple[bytes, bytes, int]], length: int = LENG
     if n == 1:
         return out
     order = sorted(range(n), key=lambda k: contexts[k][1])  # the suffix array
-    lcp = _neighbours([contexts[k][1] for k in order])
+    lcp = _neighbours([contexts[k][1] for k in order], width)
     back = [c[0][::-1] for c in contexts]
     for depth, lo, hi in prefix_intervals(lcp, n):
         if depth + max(len(contexts[k][0]) for k in order[lo:hi]) < length:
             continue
         members = sorted(order[lo:hi], key=back.__getitem__)
-        ext = _neighbours([back[k] for k in members])
+        ext = _neighbours([back[k] for k in members], width)
         for at, k in enumerate(members):
             reach = max(ext[at - 1] if at else 0, ext[at] if at < len(ext) else 0)
             if reach + depth >= length:
@@ -128,13 +181,13 @@ def _row_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__sd_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))))
 
 
-def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, spans): sorted, disjoint byte spans [start, end) to remove, none touching the next, as a flat array start, end,
+def repeated_spans(spark: SparkSession, docs: DataFrame, units: Units = BYTES) -> DataFrame:
+    """(key, spans): sorted, disjoint spans of units [start, end) to remove, none touching the next, as a flat array start, end,
     ..., for the rows that have any.
 
     ``docs``: key, text (equal keys only for equal rows).
     """
-    folder = shared_dir(spark)
+    folder, width = shared_dir(spark), units.width
 
     def find(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -143,7 +196,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -
         for b in batches:
             keys, places, values = [], [], []
             for key, t in zip(b.column(0).to_pylist(), b.column(1)):
-                p, v = anchors((t.as_py() or "").encode("utf-8", "surrogatepass"), length)
+                p, v = anchors(encoded(t.as_py(), units), units)
                 keys.append(np.full(len(p), key, np.int64))
                 places.append(p)
                 values.append(v)
@@ -166,11 +219,11 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -
 
         for b in batches:
             for key, t, pos in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                data = (t.as_py() or "").encode("utf-8", "surrogatepass")
+                data = encoded(t.as_py(), units)
                 for p in pos.as_py():
-                    anchor = data[p : p + ANCHOR]
-                    h = int.from_bytes(anchor[:8], "little", signed=True)
-                    rows.append((key, p, h, data[max(0, p - length + ANCHOR) : p], data[p : p + length]))
+                    at = p * width
+                    h = int.from_bytes(data[at : at + 8], "little", signed=True)
+                    rows.append((key, p, h, data[max(0, p - units.length + units.anchor) * width : at], data[at : at + units.length * width]))
                     if len(rows) >= 8192:
                         yield flush()
                         rows.clear()
@@ -179,7 +232,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -
 
     # Groups are formed by the anchor's own bytes, so that equal hashes of different anchors cannot meet.
     ctx = texts.select("key", "text", "pos").mapInArrow(cut, "key long, pos long, h long, before binary, after binary")
-    ctx = ctx.withColumn("h", F.xxhash64(F.substring("after", 1, ANCHOR))).withColumn("c", F.xxhash64(F.lit(1), "before", F.lit(2), "after"))
+    ctx = ctx.withColumn("h", F.xxhash64(F.substring("after", 1, units.anchor * width))).withColumn("c", F.xxhash64(F.lit(1), "before", F.lit(2), "after"))
     occurrences = ctx.select("key", "pos", "h", "c")
     distinct = ctx.groupBy("h", "c", "before", "after").agg(F.count("*").alias("n"))
 
@@ -189,9 +242,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -
         held, group, out = None, [], []
 
         def close():
-            got = maximal_repeats([g[1:] for g in group], length)
+            got = maximal_repeats([g[1:] for g in group], units.length * width, width)
             # All repeats of an occurrence hold its anchor, so what they cover together is one span.
-            out.extend((held, g[0], max(a for a, _ in s), max(b for _, b in s)) for g, s in zip(group, got) if s)
+            out.extend((held, g[0], max(a for a, _ in s) // width, max(b for _, b in s) // width) for g, s in zip(group, got) if s)
 
         def batch():
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["h", "c", "l", "r"])
@@ -234,8 +287,12 @@ def merge_spans(starts: Column, ends: Column) -> Column:
     return F.pandas_udf(merge, "array<long>")(starts, ends)
 
 
-def kept_bytes(text: str | None, spans) -> bytes:
+def kept_bytes(text: str | None, spans, units: Units = BYTES) -> bytes:
+    """A text without its spans of units."""
     data, out, at = (text or "").encode("utf-8", "surrogatepass"), [], 0
+    if spans is not None and units.width > 1:
+        starts, ends = word_places(data)
+        spans = [x for s, e in zip(spans[::2], spans[1::2]) for x in (int(starts[s]), int(ends[e - 1]))]
     for s, e in zip(spans[::2], spans[1::2]) if spans is not None else ():
         out.append(data[at:s])
         at = e
@@ -255,7 +312,7 @@ def repeat_report(spark: SparkSession, docs: DataFrame, length: int = LENGTH) ->
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     keyed = _row_key(docs.select("doc_id", "text"))
     texts = keyed.select(F.col("__sd_key").alias("key"), "text")
-    spans = repeated_spans(spark, texts, length)
+    spans = repeated_spans(spark, texts, BYTES._replace(length=length))
     cut = texts.join(spans.hint("merge"), "key").dropDuplicates(["key"]).select("key", _kept_column("text", "spans").alias("kept"), (F.size("spans") / 2).cast("long").alias("n_spans"))
     cut = cut.select(F.col("key").alias("__sd_key"), F.octet_length("kept").alias("n_kept"), "n_spans", F.sha2("kept", 256).alias("sha"))
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -264,16 +321,16 @@ def repeat_report(spark: SparkSession, docs: DataFrame, length: int = LENGTH) ->
     return out.select("doc_id", "n_bytes", F.coalesce(F.col("n_bytes") - F.col("n_kept"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, units: Units = BYTES) -> DataFrame:
     """``docs`` without their repeated passages. The first holder's copy goes too, as the operator's contract says."""
-    keyed = _row_key(docs)
-    spans = repeated_spans(spark, keyed.select(F.col("__sd_key").alias("key"), "text"), length)
+    units, keyed = units._replace(length=length), _row_key(docs)
+    spans = repeated_spans(spark, keyed.select(F.col("__sd_key").alias("key"), "text"), units)
     joined = keyed.join(spans.select(F.col("key").alias("__sd_key"), F.col("spans").alias("__sd_spans")).hint("merge"), "__sd_key", "left")
 
     def kept(texts, all_spans):
         import pandas as pd
 
-        return pd.Series([t if s is None else kept_bytes(t, s).decode("utf-8", "ignore") for t, s in zip(texts, all_spans)], dtype=object)
+        return pd.Series([t if s is None else kept_bytes(t, s, units).decode("utf-8", "ignore") for t, s in zip(texts, all_spans)], dtype=object)
 
     text = F.pandas_udf(kept, "string")(F.col("text"), F.col("__sd_spans"))
     return joined.withColumn("text", text).select(*docs.columns)

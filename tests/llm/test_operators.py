@@ -152,6 +152,36 @@ def test_repeated_passages(spark, docs, rows, empty):
     assert set(suffix_dedup.remove_repeats(spark, docs.withColumn("key", docs.doc_id)).columns) == {*docs.columns, "key"}
 
 
+def test_passages_of_more_than_fifty_words(spark, rows):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    shared, short, scattered = (" ".join(words(rng, n, 4000).split()) for n in (55, 50, 60))
+    kana = "".join(chr(0x3042 + rng.randrange(80)) for _ in range(60))
+    a, b = (words(rng, 90, 10**6) for _ in "ab")
+    new = [f"{a}\n{shared} {b}", f"{b[:200]} x {shared}\t{a[:200]}", f"q {short} r", f"s {short} t", scattered + " u", "v\n" + scattered.replace(" ", "\n  "), f"abc{kana} d", f"é {kana}zz"]
+    d = spark.createDataFrame([*rows, *((100 + k, t, "en", "s", len(t)) for k, t in enumerate(new))], SCHEMA)
+    dense = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u9fff\U00020000-\U0010ffff]|[^\x20\x09-\x0d\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u9fff\U00020000-\U0010ffff]+")
+    cut = {r.doc_id: list(dense.finditer(r.text or "")) for r in d.collect()}
+    runs = collections.Counter(tuple(m[0] for m in w[i : i + 51]) for w in cut.values() for i in range(len(w) - 50))
+    want = {}
+    for r in d.collect():
+        w, text, gone = cut[r.doc_id], r.text, set()
+        for i in range(len(w) - 50):
+            if runs[tuple(m[0] for m in w[i : i + 51])] > 1:
+                gone.update(range(i, i + 51))
+        for i in sorted(gone, reverse=True):
+            if i + 1 not in gone:
+                end = w[i].end()
+            if i - 1 not in gone:
+                text = text[: w[i].start()] + text[end:]
+        want[r.doc_id] = text
+    assert want[100] == f"{a}\n {b}" and want[102] == new[2] and want[104] == " u" and want[106] == "abc d"
+    got = corpus_pipeline.repeated_passages(spark, d, "").collect()
+    assert {r.doc_id: r.text for r in got} == want
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
+
+
 def test_prefix_intervals_are_the_tree():
     assert sorted(suffix_dedup.prefix_intervals(np.array([3, 5, 0, 2]), 5)) == [(2, 3, 5), (3, 0, 3), (5, 1, 3)]
 
