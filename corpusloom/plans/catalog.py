@@ -140,6 +140,22 @@ def entity_clean(spark, sf_dir):
     return p.select("p_partkey", X.clean_entities(xml).alias("clean"))
 
 
+#: Every entity that documents may use without declaring it, by name.
+_ENTITY_NAMES = (
+    "nbsp copy reg trade deg plusmn micro middot laquo raquo sect para times divide frac12 frac14 frac34 sup1 sup2 sup3 cent pound yen euro "
+    "ndash mdash lsquo rsquo ldquo rdquo hellip bull dagger Dagger prime Prime larr uarr rarr darr harr"
+).split()
+
+
+@query("""
+SELECT p_partkey, p_name || array_to_string(list_transform([
+  160, 169, 174, 8482, 176, 177, 181, 183, 171, 187, 167, 182, 215, 247, 189, 188, 190, 185, 178, 179, 162, 163, 165, 8364,
+  8211, 8212, 8216, 8217, 8220, 8221, 8230, 8226, 8224, 8225, 8242, 8243, 8592, 8593, 8594, 8595, 8596], lambda x: chr(CAST(x AS INTEGER))), '|') AS clean FROM part""")
+def entity_names(spark, sf_dir):
+    every = "|".join(f"&{n};" for n in _ENTITY_NAMES)
+    return table(spark, sf_dir, "part").select("p_partkey", X.clean_entities(cat(F.col("p_name"), "&unknown;", every)).alias("clean"))
+
+
 @query("SELECT 'topics/o' || l_orderkey || '.dita' AS doc, 'o' || l_orderkey AS id, 'Order ' || l_orderkey AS title FROM lineitem GROUP BY l_orderkey")
 def topic_titles(spark, sf_dir):
     return D.title_map(X.shred(corpus.order_topics(spark, sf_dir)))

@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 NODES = "doc string, pre int, post int, parent int, depth int, sib int, ord array<int>, anc array<int>, type string, tag string, attrs map<string,string>, text string, line int, error string"
 
 #: Entities that every document may use without declaring them (a parameter of ``clean_entities``).
-ENTITIES = {"nbsp": " ", "copy": "©", "reg": "®", "trade": "™", "mdash": "—", "ndash": "–", "hellip": "…", "deg": "°", "times": "×", "eacute": "é", "laquo": "«", "raquo": "»", "middot": "·", "bull": "•", "euro": "€"}
+ENTITIES = {
+    "nbsp": "\u00a0", "copy": "©", "reg": "®", "trade": "™", "deg": "°", "plusmn": "±", "micro": "\u00b5", "middot": "·", "laquo": "«", "raquo": "»",
+    "sect": "§", "para": "¶", "times": "×", "divide": "÷", "frac12": "½", "frac14": "¼", "frac34": "¾", "sup1": "¹", "sup2": "²", "sup3": "³",
+    "cent": "¢", "pound": "£", "yen": "¥", "euro": "€", "ndash": "–", "mdash": "—", "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d",
+    "hellip": "…", "bull": "•", "dagger": "†", "Dagger": "‡", "prime": "′", "Prime": "″", "larr": "←", "uarr": "↑", "rarr": "→", "darr": "↓", "harr": "↔",
+}
 BUILT_IN = ("amp", "lt", "gt", "quot", "apos")
 
 

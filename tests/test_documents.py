@@ -45,6 +45,11 @@ def test_shred_and_errors(spark):
     assert one(spark, X.clean_entities(F.lit('<!DOCTYPE t [<!ENTITY a "$&x">]><t>&a;&nope;&amp;</t>'))) == "<t>$&x&amp;</t>"
 
 
+def test_known_entities_stay(spark):
+    assert len(X.ENTITIES) == 41
+    assert one(spark, X.clean_entities(F.lit("&ldquo;a&rdquo; &frac12;&nbsp;&Prime;&prime;&rarr;&nope;"))) == "“a” ½\u00a0″′→"
+
+
 def test_references(spark):
     d = docs(spark, ("t/a.dita", '<p><xref href="b.dita#t/e" scope="local"/>é<ph conref="#s"/><x href="http://z"/>'), ("t/b.dita", '<topic id="t"><p id="e"/>'))
     text = d.where("path = 't/a.dita'").head().content
