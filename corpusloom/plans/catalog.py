@@ -384,6 +384,17 @@ def ordinals(spark, sf_dir):
     return n.select("n", T.roman("n").alias("roman"), T.letters("n").alias("letters"))
 
 
+@query("""
+WITH n AS (SELECT DISTINCT l_orderkey % 3999 + 1 AS n FROM lineitem)
+SELECT n, repeat('M', CAST(n // 1000 AS INTEGER)) || ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][n // 100 % 10 + 1] || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][n // 10 % 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][n % 10 + 1] AS roman,
+       CASE WHEN n <= 26 THEN '' WHEN n <= 702 THEN chr(CAST(64 + (n - 1) // 26 AS INTEGER))
+            ELSE chr(CAST(65 + (n - 703) // 676 AS INTEGER)) || chr(CAST(65 + (n - 703) // 26 % 26 AS INTEGER)) END || chr(CAST(65 + (n - 1) % 26 AS INTEGER)) AS letters FROM n""")
+def ordinals_all(spark, sf_dir):
+    """Every order number folded to 1..3999, what ``roman`` is made for: all rows, thousands and three letters."""
+    n = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 3999 + 1).alias("n")).distinct()
+    return n.select("n", T.roman("n").alias("roman"), T.letters("n").alias("letters"))
+
+
 _CAT = """
 WITH a AS (SELECT p_brand || '-' || p_size AS tag, min(p_type) AS t FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1),
 b AS (SELECT p_brand || '-' || p_size AS tag, min(p_type) AS t FROM part WHERE p_partkey % 3 <> 1 GROUP BY 1),
@@ -469,3 +480,15 @@ FROM a FULL JOIN b ON a.path = b.path WHERE a.m IS DISTINCT FROM b.m""")
 def snapshot_changes(spark, sf_dir):
     snap = lambda k: table(spark, sf_dir, "events").where(f"event_id % {k} = 0").groupBy(F.col("user_id").alias("path")).agg(F.max("ts").alias("mtime"))
     return C.snapshot_changes(snap(2), snap(3))
+
+
+@query("""
+WITH cut AS (SELECT max(ts) - INTERVAL 1 DAY AS t FROM events),
+a AS (SELECT user_id AS path, max(ts) AS m FROM events, cut WHERE ts <= t GROUP BY 1), b AS (SELECT user_id AS path, max(ts) AS m FROM events GROUP BY 1)
+SELECT b.path AS path, CASE WHEN a.m IS NULL THEN 'added' ELSE 'touched' END AS change FROM b LEFT JOIN a ON a.path = b.path WHERE a.m IS DISTINCT FROM b.m""")
+def snapshot_changes_all(spark, sf_dir):
+    """All events up to a day before the last one, and all events."""
+    events = table(spark, sf_dir, "events")
+    cut = events.agg(F.max("ts").alias("last")).select(F.expr("last - INTERVAL 1 DAY").alias("t"))
+    snap = lambda e: e.groupBy(F.col("user_id").alias("path")).agg(F.max("ts").alias("mtime"))
+    return C.snapshot_changes(snap(events.join(F.broadcast(cut), F.col("ts") <= F.col("t"))), snap(events))
