@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Encoder
+from .bpe import Encoder, slices
 from .common import CACHES, open_fs, shared_dir, written
 
 INDEX = "part int, file string, doc_id long, seq long, offset long, length long, n_tokens long, before long"
@@ -94,7 +94,8 @@ def library_encoder(path: str) -> Encoder:
         model, table = Tokenizer.from_file(path).model, dict(enumerate(byte_symbols()))
         v = Vocabulary(path)
         _LOADED.clear()
-        _LOADED[path] = Encoder(lambda w: np.array([t.id for t in model.tokenize(w.decode("latin-1").translate(table))], "<u4").tobytes(), v.special, v.split)
+        word = lambda w: np.array([t.id for t in model.tokenize(w.decode("latin-1").translate(table))], "<u4").tobytes()
+        _LOADED[path] = Encoder(lambda words: list(map(word, words)), v.special, v.split)
     return _LOADED[path]
 
 
@@ -114,8 +115,9 @@ def write_records(spark: SparkSession, docs: DataFrame, vocabulary_path: str, fo
         offset = before = seq = 0
         for b in batches:
             rows, buf = [], []
-            for doc_id, text in zip(b.column(0), b.column(1)):
-                ids = enc.encode(text.as_py()) + u32(end_id)
+            encoded = (ids for part in slices(t.as_py() for t in b.column(1)) for ids in enc.encode_many(part))
+            for doc_id, ids in zip(b.column(0), encoded):
+                ids += u32(end_id)
                 key = doc_id.as_py()
                 payload = key_bytes(key) + resize(ids, 4, width)
                 buf.append(frame(payload))
@@ -132,6 +134,7 @@ def write_records(spark: SparkSession, docs: DataFrame, vocabulary_path: str, fo
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [c.split(" ")[0] for c in INDEX.split(", ")])
         if out is not None:
             out.close()
+        enc.forget()
 
     keyed = docs.select("doc_id", "text")
     ordered = (keyed.repartitionByRange(partitions, "doc_id", F.xxhash64("text")) if partitions else keyed.repartitionByRange("doc_id", F.xxhash64("text"))).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
