@@ -12,13 +12,15 @@ equality; a document also enters the next band if partners can lie there. Candid
 Equal sets are one class from the start; a task packs a set's keys once, however many copies it meets. Each text is cut
 into shingles once: block keys (packed, 14 bytes each) and descriptions travel in one shuffle to buckets whose number
 follows the bytes of text. Up to 16
-classes with the same block key are paired with each other; larger groups are paired with their first class, and what
-is then still in several components of one group is compared in blocks of sketches (``rest_pairs``), so hot shingles and
-large families of near copies cost no quadratic candidate table and lose no link.
+classes with the same block key are paired with each other; in a larger group every class is paired with the smallest one,
+its hub. Members that are not linked to their hub's component are then compared with the hub's whole group in units of
+bounded size (``rest_links``): sketches and sets are tested inside the task, and only links between components come out,
+so hot shingles and large families of near copies make no quadratic table and lose no link.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer than ``shingle`` words are one shingle; null, empty and wordless
-texts have no shingles and link with nothing. Repeated rows fall into one class. Rows without doc_id get classes too but
-never name a component.
+texts have no shingles and link with nothing. Repeated rows fall into one class. Classes are named by 64 bits of their set,
+not by doc_id: rows without doc_id link too but never name a component (component_id is null where a whole component has
+none), and different texts under one doc_id are different classes. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,14 +38,16 @@ from .graph import connected_components
 GROWTH, FOLD = 1.35, 8  # FOLD: 64-bit words of the folded sketch
 #: Linked sets lie in the same band or in neighbours only if sizes differ by less than GROWTH, so no percent below this one.
 LEAST_PERCENT = 75
-SMALL_GROUP, CHUNK, BUCKET_BYTES = 16, 256, 8 << 20
+SMALL_GROUP, BUCKET_BYTES = 16, 8 << 20
+#: Bytes of sets that a unit of ``rest_links`` holds, and that it is compared with; rows compared at once.
+HELD_BYTES, MET_BYTES, MET_ROWS = 1 << 20, 2 << 20, 64
 #: A table of ids up to this size is broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 8 << 20
 #: Names of sets that a task remembers as packed before it forgets them: bounds memory, never results.
 PACKED_NAMES = 200_000
 #: Columns of the rows between the tasks of the candidate search; FOUND are those that are written.
-ROW = "kind int, bucket long, x long, y long, doc_id long, n long, sketch array<long>, keys binary, owners binary"
-FOUND = ["kind", "x", "y", "doc_id", "n", "sketch"]
+ROW = "kind int, bucket long, x long, y long, doc_id long, n long, t long, sketch array<long>, keys binary, owners binary"
+FOUND = ["kind", "x", "y", "doc_id", "n", "t", "sketch"]
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -134,7 +138,7 @@ def _rows(kind: int, **columns):
 
 
 def _described_and_packed(n_buckets: int, shingle: int, percent: int):
-    """Task function: (doc_id, text) -> in one pass a row of kind 2 for each document (n, name, sketch) and rows of kind 3
+    """Task function: (doc_id, text, t) -> in one pass a row of kind 2 for each document (n, name, sketch) and rows of kind 3
     with block keys, packed per bucket. A set that this task has packed already is not packed again."""
 
     def work(batches: Iterable) -> Iterator:
@@ -161,7 +165,7 @@ def _described_and_packed(n_buckets: int, shingle: int, percent: int):
                 sketch = pa.array(list(sketches), pa.list_(pa.int64()))
                 # Spread by the row's own content, so that copies do not meet in one bucket.
                 spread = splitmix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64) ^ names[:, 1].astype(np.uint64)) % np.uint64(n_buckets)
-                yield _rows(2, bucket=pa.array(spread.astype(np.int64)), x=pa.array(names[:, 0].copy()), y=pa.array(names[:, 1].copy()), doc_id=ids, n=pa.array(ns, pa.int64()), sketch=sketch)
+                yield _rows(2, bucket=pa.array(spread.astype(np.int64)), x=pa.array(names[:, 0].copy()), y=pa.array(names[:, 1].copy()), doc_id=ids, n=pa.array(ns, pa.int64()), t=b.column(2)[lo : lo + 2000], sketch=sketch)
                 if not keys:
                     continue
                 k, o = np.concatenate(keys), np.concatenate(owners)
@@ -178,8 +182,8 @@ def _described_and_packed(n_buckets: int, shingle: int, percent: int):
 
 
 def _pair_bucket(batches: Iterable) -> Iterator:
-    """Rows of buckets, sorted by bucket -> pairs of classes (kind 0) and members of large groups (kind 1: group, class).
-    Documents (kind 2) pass through."""
+    """Rows of buckets, sorted by bucket -> pairs of classes of small groups (kind 0) and of hubs with the other members of
+    their large groups (kind 1). Documents (kind 2) pass through."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -194,23 +198,18 @@ def _pair_bucket(batches: Iterable) -> Iterator:
         k, o = k[new], o[new]
         starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         sizes = np.diff(np.append(starts, len(k)))
-        left, right, group, member = [], [], [], []
+        pairs: tuple[list, list] = [], []
         for g in range(2, SMALL_GROUP + 1):
             at = starts[sizes == g]
             if len(at):
                 i, j = np.triu_indices(g, 1)
-                left.append(o[(at[:, None] + i).ravel()])
-                right.append(o[(at[:, None] + j).ravel()])
+                pairs[0].append(np.stack([o[(at[:, None] + i).ravel()], o[(at[:, None] + j).ravel()]], 1))
         for at, g in zip(starts[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP]):
-            left.append(np.full(g - 1, o[at]))
-            right.append(o[at + 1 : at + g])
-            group.append(np.full(g, k[at].astype(np.int64)))
-            member.append(o[at : at + g])
-        if left:
-            p = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-            yield 0, p[:, 0], p[:, 1]
-        if group:
-            yield 1, np.concatenate(group), np.concatenate(member)
+            pairs[1].append(np.stack([np.full(g - 1, o[at]), o[at + 1 : at + g]], 1))  # classes ascend: the hub is the smallest
+        for kind in (0, 1):
+            if pairs[kind]:
+                p = np.unique(np.concatenate(pairs[kind]), axis=0)
+                yield kind, p[:, 0], p[:, 1]
 
     def out(keys: list, owners: list):
         for kind, x, y in solve(keys, owners):
@@ -240,25 +239,26 @@ def _near_enough(a: str, b: str, percent: int):
     return F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND {far} <= {t} - 2 * (({percent} * {t} + {99 + percent}) div {100 + percent})")
 
 
-def _described(docs: DataFrame, wanted: DataFrame, small: bool, shingle: int, pack, schema: str) -> DataFrame:
-    """(id, n, ``pack`` of the set) of the documents in ``wanted`` (id)."""
+def _described(spark: SparkSession, docs: DataFrame, wanted: DataFrame, folder: str, shingle: int, pack) -> DataFrame:
+    """(id, n, s: ``pack`` of the set) of the classes in ``wanted`` (id, t: the hash of one of its texts), written."""
 
     def describe(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(pack, sets), pa.binary())], ["id", "n", "s"])
+            sets = [shingle_set(t.as_py(), shingle) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s)[0] for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(pack, sets), pa.binary())], ["id", "n", "s"])
 
-    texts = docs.join(wanted.select(F.col("id").alias("doc_id")).hint("broadcast" if small else "shuffle_hash"), "doc_id", "left_semi")
-    return texts.select("doc_id", "text").mapInArrow(describe, schema).dropDuplicates(["id"])
+    hashes = written(spark, wanted.select("t").distinct(), f"{folder}-texts")
+    small = bytes_of(spark, f"{folder}-texts") <= BROADCAST_BYTES
+    texts = docs.join(hashes.hint("broadcast" if small else "shuffle_hash"), "t", "left_semi").select("text")
+    return written(spark, texts.mapInArrow(describe, "id long, n long, s binary").dropDuplicates(["id"]), f"{folder}-sets")
 
 
-def _passing(spark: SparkSession, docs: DataFrame, pairs: DataFrame, folder: str, shingle: int, pack, test) -> DataFrame:
-    """The pairs (a, b of doc_ids) for which ``test`` of both sizes and packed sets holds."""
-    wanted = written(spark, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), f"{folder}-ids")
-    sets = _described(docs, wanted, bytes_of(spark, f"{folder}-ids") <= BROADCAST_BYTES, shingle, pack, "id long, n long, s binary")
-    sets = written(spark, sets, f"{folder}-sets")
+def _passing(spark: SparkSession, docs: DataFrame, pairs: DataFrame, node: DataFrame, folder: str, shingle: int, pack, test) -> DataFrame:
+    """The pairs (a, b of classes) for which ``test`` of both sizes and packed sets holds."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = _described(spark, docs, ids.join(node.select("id", "t").hint("merge"), "id"), folder, shingle, pack)
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}")).hint("merge")
 
     def judge(batches: Iterable) -> Iterator:
@@ -274,62 +274,131 @@ def _passing(spark: SparkSession, docs: DataFrame, pairs: DataFrame, folder: str
     return out
 
 
-def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, folder: str, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b of doc_ids) whose sets are linked: the Hamming bound on wide sketches first, then the sets."""
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """The exact test of two sets."""
+    z = np.sort(np.concatenate([x, y]), kind="stable")
+    common = int((z[1:] == z[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, node: DataFrame, folder: str, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b of classes) whose sets are linked: the Hamming bound on wide sketches first, then the sets."""
 
     def close(m: int, n: int, x: bytes, y: bytes) -> bool:
         return hamming(x, y) <= m + n - 2 * -(-percent * (m + n) // (100 + percent))
 
     def linked(m: int, n: int, x: bytes, y: bytes) -> bool:
-        z = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]), kind="stable")
-        common = int((z[1:] == z[:-1]).sum())
-        return 100 * common >= percent * (m + n - common)
-
-    pairs = _passing(spark, docs, written(spark, pairs, f"{folder}-candidates"), f"{folder}-wide", shingle, wide_sketch, close)
-    return _passing(spark, docs, pairs, f"{folder}-exact", shingle, np.ndarray.tobytes, linked)
-
-
-def rest_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b) between different components inside large groups, by blocks of sketches.
-
-    members: (grp, id); labels: (id, component); reps: (id, n, sketch). Members of a group are cut into chunks of about
-    CHUNK; a component with many members gets chunks of its own, and no chunk is compared with one of its own component.
+        return _linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
+
+    pairs = _passing(spark, docs, written(spark, pairs, f"{folder}/candidates"), node, f"{folder}/wide", shingle, wide_sketch, close)
+    return _passing(spark, docs, pairs, node, f"{folder}/exact", shingle, np.ndarray.tobytes, linked)
+
+
+class _Unit:
+    """Sets of one chunk of open members; what they are compared with streams by. Remembers which components have met."""
+
+    def __init__(self, percent: int):
+        self.percent, self.sets, self.parent = percent, [], {}
+        self.own: list[int] = []
+
+    def add(self, component: int, data: bytes) -> None:
+        self.sets.append(np.frombuffer(data, np.uint64))
+        self.own.append(component)
+
+    def root(self, c: int) -> int:
+        while (up := self.parent.get(c, c)) != c:
+            self.parent[c] = c = self.parent.get(up, up)
+        return c
+
+    def close(self) -> None:
+        """All open members are there."""
+        self.n = np.array(list(map(len, self.sets)), np.int64)
+        self.sketch = np.array([folded(s) for s in self.sets], np.uint64).reshape(-1, FOLD)
+        self.roots = np.array(list(map(self.root, self.own)), np.int64)
+
+    def meet(self, components: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        """Pairs of components that are linked and that this unit has not joined before."""
+        n, percent = np.array(list(map(len, sets)), np.int64), self.percent
+        sketch = np.array([folded(s) for s in sets], np.uint64).reshape(-1, FOLD)
+        far = np.zeros((len(sets), len(self.sets)), np.int64)
+        for k in range(FOLD):
+            far += np.bitwise_count(sketch[:, k][:, None] ^ self.sketch[:, k][None, :])
+        t = n[:, None] + self.n[None, :]
+        near = (far <= t - 2 * ((percent * t + 99 + percent) // (100 + percent))) & (100 * np.minimum(n[:, None], self.n[None, :]) >= percent * np.maximum(n[:, None], self.n[None, :]))
+        for k in np.flatnonzero(near.any(axis=1)):
+            mine, left = self.root(components[k]), np.flatnonzero(near[k])
+            while len(left := left[self.roots[left] != mine]):
+                i, left = int(left[0]), left[1:]
+                if _linked(sets[k], self.sets[i], percent):
+                    other = int(self.roots[i])
+                    yield min(mine, other), max(mine, other)
+                    self.parent[other] = mine
+                    self.roots[self.roots == other] = mine
+
+
+def rest_links(spark: SparkSession, docs: DataFrame, stars: DataFrame, labels: DataFrame, node: DataFrame, folder: str, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b of components) between open members of hubs' groups and all members of the same group.
+
+    stars: (x: hub, y: member); labels: (id, component). A member is open if its component is not its hub's. The open ones
+    of a hub are dealt into chunks, all its members into others, and each pair of chunks is a unit of its own, wherever it
+    runs: a unit holds its open sets, the others stream by. Chunks follow the bytes of sets, so no task holds a group.
     """
-    m = members.join(labels.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_groups = m.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("grp")
-    m = m.join(open_groups.hint("merge"), "grp").join(reps.hint("merge"), "id")
-    per = m.groupBy("grp", "component").agg(F.count("*").alias("own"))
-    rest = per.groupBy("grp").agg(F.sum(F.when(F.col("own") < CHUNK // 2, F.col("own")).otherwise(0)).alias("mixed"))
-    m = m.join(per.hint("merge"), ["grp", "component"]).join(rest.hint("merge"), "grp")
-    pure = F.col("own") >= CHUNK // 2
-    m = m.withColumn("kin", F.when(pure, F.col("component"))).withColumn("sub", F.pmod(F.xxhash64("id"), F.ceil(F.when(pure, F.col("own")).otherwise(F.greatest("mixed", F.lit(1))) / CHUNK)))
-    chunks = m.groupBy("grp", "kin", "sub").agg(F.collect_list(F.struct("id", "component", "n", "sketch")).alias("rows"))
-    key = F.concat_ws("/", F.coalesce(F.col("kin").cast("string"), F.lit("")), F.col("sub").cast("string"))
-    chunks = chunks.withColumn("chunk", key)
-    a, b = (chunks.select("grp", F.col("kin").alias(f"kin_{x}"), F.col("chunk").alias(f"chunk_{x}"), F.col("rows").alias(f"rows_{x}")) for x in "ab")
-    units = a.join(b.hint("merge"), "grp").where("chunk_a <= chunk_b AND NOT coalesce(kin_a = kin_b, false)")
+    of = lambda c, name: labels.select(F.col("id").alias(c), F.col("component").alias(name)).hint("merge")
+    m = stars.join(of("x", "cx"), "x", "left").join(of("y", "cy"), "y", "left")
+    m = m.select(F.col("x").alias("hub"), F.col("y").alias("id"), F.coalesce("cx", "x").alias("chub"), F.coalesce("cy", "y").alias("component"))
+    m = written(spark, m.withColumn("open", F.col("component") != F.col("chub")).join(node.select("id", "n", "t").hint("merge"), "id"), f"{folder}/members")
+    size = lambda which: F.sum(F.when(which, 8 * F.col("n")).otherwise(0))
+    sums = m.groupBy("hub").agg(size(F.col("open")).alias("mine"), size(F.lit(True)).alias("all")).where("mine > 0")
+    sums = written(spark, sums.select("hub", F.ceil(F.col("mine") / HELD_BYTES).alias("rows"), F.ceil(F.col("all") / MET_BYTES).alias("cols")), f"{folder}/chunks")
+    few = "broadcast" if bytes_of(spark, f"{folder}/chunks") <= BROADCAST_BYTES else "merge"
+    m = written(spark, m.join(sums.hint(few), "hub"), f"{folder}/dealt")
+    sets = _described(spark, docs, m.select("id", "t"), f"{folder}/rest", shingle, np.ndarray.tobytes)
+    part = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
+    held = m.where("open").select("hub", "id", "component", F.lit(0).alias("side"), part("rows").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("j"))
+    met = m.select("hub", "id", "component", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"), part("cols").alias("j"))
+    rows = held.union(met).join(sets.select("id", "s").hint("merge"), "id").select("hub", "i", "j", "side", "component", "s")
 
     def compare(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        def unpack(rows):
-            f = rows.values
-            n = len(f)
-            return f.field("id").to_numpy(), f.field("component").to_numpy(), f.field("n").to_numpy(), f.field("sketch").flatten().to_numpy().reshape(n, FOLD).view(np.uint64)
+        key, unit, waiting, out = None, None, ([], []), []
 
-        for b in batches:
-            for x, y in zip(b.column(0), b.column(1)):
-                (i, ci, ni, si), (j, cj, nj, sj) = unpack(x), unpack(y)
-                far = np.zeros((len(i), len(j)), np.int64)
-                for k in range(FOLD):
-                    far += np.bitwise_count(si[:, k][:, None] ^ sj[:, k][None, :])
-                t = ni[:, None] + nj[None, :]
-                ok = (ci[:, None] != cj[None, :]) & (far <= t - 2 * ((percent * t + 99 + percent) // (100 + percent))) & (100 * np.minimum(ni[:, None], nj[None, :]) >= percent * np.maximum(ni[:, None], nj[None, :]))
-                p, q = np.nonzero(ok)
-                lo, hi = np.minimum(i[p], j[q]), np.maximum(i[p], j[q])
-                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
+        def send():
+            made = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+            out.clear()
+            return made
+
+        def meet():
+            out.extend(unit.meet(*waiting))
+            for w in waiting:
+                w.clear()
 
-    return units.select("rows_a", "rows_b").mapInArrow(compare, "a long, b long").distinct()
+        for b in batches:
+            for hub, i, j, side, component, s in zip(*(c.to_pylist() for c in b.columns[:5]), b.column(5)):
+                if (hub, i, j) != key:
+                    if waiting[0]:
+                        meet()
+                    key, unit = (hub, i, j), _Unit(percent)
+                if side == 0:
+                    unit.add(component, s.as_py())
+                    continue
+                if not waiting[0] and not hasattr(unit, "roots"):
+                    unit.close()
+                waiting[0].append(component)
+                waiting[1].append(np.frombuffer(s.as_py(), np.uint64))
+                if len(waiting[0]) >= MET_ROWS:
+                    meet()
+            if out:
+                yield send()
+        if waiting[0]:
+            meet()
+        if out:
+            yield send()
+
+    dealt = rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "side")
+    out = written(spark, dealt.mapInArrow(compare, "a long, b long").distinct(), f"{folder}/links")
+    drop(spark, f"{folder}/rest-sets")
+    return out
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -337,34 +406,34 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, shingle: int = 5, p
     if shingle < 1 or not LEAST_PERCENT <= percent <= 100:
         raise ValueError(f"shingle must be positive and percent between {LEAST_PERCENT} and 100")
     folder = shared_dir(spark)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
     n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()
     n_buckets = max(1, -(-(n_bytes + 64 * n_docs) // BUCKET_BYTES))
     rows = docs.mapInArrow(_described_and_packed(n_buckets, shingle, percent), ROW).repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
-    groups = written(spark, rows.mapInArrow(_pair_bucket, "kind int, x long, y long, doc_id long, n long, sketch array<long>"), f"{folder}/groups")
-    meta = groups.where("kind = 2").select("doc_id", "n", F.col("x").alias("ka"), F.col("y").alias("kb"), "sketch")
-    named = meta.where("n > 0").groupBy("ka", "kb", "n").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"))
-    reps = written(spark, named, f"{folder}/classes")
-    node = reps.where("id IS NOT NULL").select("ka", F.struct("id", "n", "sketch").alias("v"))
-    pairs = groups.where("kind = 0").select("x", "y").distinct()
-    pairs = pairs.join(node.select(F.col("ka").alias("x"), F.col("v").alias("p")).hint("merge"), "x").join(node.select(F.col("ka").alias("y"), F.col("v").alias("q")).hint("merge"), "y")
-    pairs = pairs.where(_near_enough("p", "q", percent)).select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
-    links = verified(spark, docs, pairs, f"{folder}/first", shingle, percent)
-    labels, further = connected_components(spark, links), None
-    members = groups.where("kind = 1").select(F.col("x").alias("grp"), F.col("y").alias("ka"))
-    if not members.isEmpty():
-        members = members.join(node.hint("merge"), "ka").select("grp", F.col("v.id").alias("id"))
-        more = verified(spark, docs, rest_pairs(members, labels, node.select("v.*"), percent), f"{folder}/second", shingle, percent)
+    groups = written(spark, rows.mapInArrow(_pair_bucket, "kind int, x long, y long, doc_id long, n long, t long, sketch array<long>"), f"{folder}/groups")
+    meta = groups.where("kind = 2").select("doc_id", F.col("x").alias("id"), "n", "t", "sketch")
+    named = meta.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("n", "t", "sketch"), "t").alias("v"))
+    node = written(spark, named.select("id", "least", "v.*"), f"{folder}/classes")
+    ends = node.select("id", F.struct("n", "sketch").alias("v"))
+    pairs = groups.where("kind < 2").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    pairs = pairs.join(ends.select(F.col("id").alias("a"), F.col("v").alias("p")).hint("merge"), "a").join(ends.select(F.col("id").alias("b"), F.col("v").alias("q")).hint("merge"), "b")
+    links = verified(spark, docs.select("text", "t"), pairs.where(_near_enough("p", "q", percent)).select("a", "b"), node, f"{folder}/first", shingle, percent)
+    labels = connected_components(spark, links)
+    stars = groups.where("kind = 1").select("x", "y").distinct()
+    if not stars.isEmpty():
+        more = rest_links(spark, docs.select("text", "t"), stars, labels, node, f"{folder}/second", shingle, percent)
         # Links between components: only the components themselves are joined anew.
-        for x in "ab":
-            more = more.join(labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")).hint("merge"), x, "left")
-        further = connected_components(spark, more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    found = reps.join(labels.hint("merge"), "id", "left").select("ka", "kb", "n", F.coalesce("component", "id").alias("component"))
-    if further is not None:
-        found = found.join(further.select(F.col("id").alias("component"), F.col("component").alias("whole")).hint("merge"), "component", "left")
-        found = found.select("ka", "kb", "n", F.coalesce("whole", "component").alias("component"))
-    out = meta.join(found.hint("merge"), ["ka", "kb", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+        further = connected_components(spark, more).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+        whole = labels.join(further.hint("merge"), "component", "full").select(F.coalesce("id", "component").alias("id"), F.coalesce("whole", "component").alias("component"))
+        labels = written(spark, whole, f"{folder}/labels")
+    # The smallest doc_id of a component names it; only classes with links are there.
+    least = node.select("id", "least").join(labels.hint("merge"), "id").groupBy("component").agg(F.min("least").alias("name"))
+    least = written(spark, least, f"{folder}/names")
+    few = "broadcast" if bytes_of(spark, f"{folder}/names") <= BROADCAST_BYTES else "merge"
+    linked = labels.join(least.hint(few), "component").select("id", F.struct("name").alias("v"))
+    names = node.select("id", "least").join(linked.hint("merge"), "id", "left").select("id", F.when(F.col("v").isNotNull(), F.col("v.name")).otherwise(F.col("least")).alias("name"))
+    out = meta.join(written(spark, names, f"{folder}/found").hint("merge"), "id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

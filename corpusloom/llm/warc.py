@@ -136,7 +136,9 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
         if held:
             held["file"].close()
 
-    dealt = index.select("file", "offset", "length", F.expr(f"offset div {MOST}").alias("range")).repartition("file", "range").sortWithinPartitions("file", "offset").drop("range")
+    # The number of tasks follows the bytes they will read, not the index's own few.
+    tasks = max(1, -(-(index.agg(F.sum("length")).head()[0] or 0) // MOST))
+    dealt = index.select("file", "offset", "length", F.expr(f"offset div {MOST}").alias("range")).repartition(tasks, "file", "range").sortWithinPartitions("file", "offset").drop("range")
     return dealt.mapInArrow(read, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
