@@ -32,6 +32,16 @@ def escape_attr(x) -> Column:
     return F.replace(escape_html(x), F.lit("'"), F.lit("&#39;"))
 
 
+def capitalised(x) -> Column:
+    """The first letter in upper case, the rest as it is."""
+    return F.concat(F.upper(F.substring(_c(x), 1, 1)), F.substring(_c(x), 2, 1 << 30))
+
+
+def json_in_page(x) -> Column:
+    """JSON text for a script element: no closing tag inside ends it."""
+    return F.regexp_replace(_c(x), "(?i)</script>", r"<\\/script>")
+
+
 def safe_attr(name: str, value) -> Column:
     """`` name="value"``, or nothing for null."""
     return F.coalesce(F.concat(F.lit(f' {name}="'), escape_attr(value), F.lit('"')), F.lit(""))
@@ -118,12 +128,11 @@ def roman(n) -> Column:
 
 
 def letters(n) -> Column:
-    """1 -> A, 26 -> Z, 27 -> AA (up to three letters)."""
-    n = _c(n).cast("int")
-    ch = lambda x: F.chr((F.lit(65) + x % 26).cast("long"))
-    one, two = n - 1, n - 27
-    three = n - 703
-    return F.when(n <= 26, ch(one)).when(n <= 702, F.concat(ch(F.floor(two / 26)), ch(two))).otherwise(F.concat(ch(F.floor(three / 676)), ch(F.floor(three / 26)), ch(three)))
+    """1 -> A, 26 -> Z, 27 -> AA, and so on without bound."""
+    n = _c(n).cast("long")
+    # Digits from the last one on; fourteen letters name every long.
+    step = lambda a, _: F.when(a["m"] > 0, F.struct(F.floor((a["m"] - 1) / 26).cast("long").alias("m"), F.concat(F.chr(F.lit(65) + (a["m"] - 1) % 26), a["s"]).alias("s"))).otherwise(a)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), F.struct(n.alias("m"), F.lit("").alias("s")), step)["s"]
 
 
 def line_of(text, offset) -> Column:

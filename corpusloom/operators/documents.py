@@ -1,4 +1,8 @@
-"""Operators inside one document: texts, titles, links, outlines, tables, HTML. All are joins and windows on nodes."""
+"""Operators inside documents: texts, titles, links, transclusion, outlines, tables, HTML. Joins and windows on nodes.
+
+Elements are known by their base type, so specialised tags count as what they specialise. ``path`` (base types of the
+ancestors) answers most questions about surroundings without a join; sides that were exploded are joined by sort and merge.
+"""
 
 from __future__ import annotations
 
@@ -6,141 +10,405 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import big, shared_dir, written
+
+#: Tags that are topics whatever their base type; base types that render to nothing; whose content is not shown;
+#: that deepen headings; that end the header state of a table, or begin it.
+TOPICS = ("topic", "concept", "task", "reference", "glossentry", "glossgroup", "troubleshooting")
+SILENT = tuple(
+    "topic/prolog topic/keywords topic/metadata topic/publisher topic/indexterm topic/indextermref topic/index-see topic/index-see-also topic/index-sort-as topic/index-base "
+    "topic/colspec topic/param topic/hazardsymbol topic/anchorkey topic/anchorref map/relcolspec map/topicmeta map/linktext map/navtitle map/shortdesc map/keywords map/keyword map/anchor map/navref".split()
+)
+LEAVES = ("topic/image", "topic/anchor", "topic/anchorid", "topic/abbreviated-form")
+CONTAINERS = ("topic/section", "topic/example", "topic/fig", "topic/related-links")
+HEADS, BODIES = ("topic/thead", "topic/sthead"), ("topic/tbody", "topic/strow")
+
+
+def _has(path, types: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(path, F.array(*map(F.lit, types)))
+
+
+def _is(types: tuple[str, ...]) -> Column:
+    return F.coalesce(F.col("base").isin(*types), F.lit(False))
+
 
-TOPICS = ("topic", "concept", "task", "reference", "glossentry", "troubleshooting", "dita")
-SILENT = ("prolog", "keywords", "metadata", "publisher", "indexterm", "colspec", "param")
+def is_topic() -> Column:
+    return _is(("topic/topic",)) | F.coalesce(F.col("tag").isin(*TOPICS), F.lit(False))
 
 
-def suppress(nodes: DataFrame, tags: tuple[str, ...] = SILENT) -> DataFrame:
+def suppress(nodes: DataFrame, types: tuple[str, ...] = SILENT) -> DataFrame:
     """nodes without the subtrees that render to nothing."""
-    cut = nodes.where(F.col("tag").isin(*tags)).select("doc", F.col("pre").alias("a"))
-    inside = nodes.select("doc", "pre", F.explode(F.concat("anc", F.array("pre"))).alias("a")).join(cut, ["doc", "a"]).select("doc", "pre").distinct()
-    return nodes.join(inside, ["doc", "pre"], "left_anti")
+    return nodes.where(~_is(types) & ~_has("path", types))
 
 
-def element_text(nodes: DataFrame) -> DataFrame:
-    """(doc, pre, own): the text below each element, in order; '' where there is none."""
-    t = nodes.where("type = 'text'").select("doc", F.explode("anc").alias("a"), "pre", "text")
-    joined = t.groupBy("doc", "a").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"]), "").alias("own"))
-    e = nodes.where("type = 'element'").select("doc", "pre")
-    return e.join(joined.withColumnRenamed("a", "pre"), ["doc", "pre"], "left").withColumn("own", F.coalesce("own", F.lit("")))
+def element_text(nodes: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
+    """(doc, pre, own): the text below each element (of these base types), in order; '' where there is none."""
+    wanted, ups = nodes.where("type = 'element'"), F.col("anc")
+    if types:
+        wanted = wanted.where(_is(types))
+        ups = F.transform(F.filter(F.arrays_zip(F.col("anc").alias("a"), F.col("path").alias("b")), lambda x: x["b"].isin(*types)), lambda x: x["a"])
+    parts = nodes.where("type = 'text'").select("doc", F.explode(ups).alias("a"), "pre", "text")
+    joined = parts.groupBy("doc", F.col("a").alias("pre")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"]), "").alias("own"))
+    return wanted.select("doc", "pre").join(big(joined), ["doc", "pre"], "left").withColumn("own", F.coalesce("own", F.lit("")))
 
 
 def titles(nodes: DataFrame) -> DataFrame:
-    """(doc, pre, id, title) of every element with a title child; the last title child counts."""
-    t = nodes.where("tag = 'title'").select("doc", "pre", "parent").join(element_text(nodes), ["doc", "pre"])
-    t = t.groupBy("doc", "parent").agg(F.max_by("own", "pre").alias("title")).withColumnRenamed("parent", "pre")
-    return nodes.where("type = 'element'").select("doc", "pre", F.col("attrs")["id"].alias("id")).join(t, ["doc", "pre"])
+    """(doc, pre, id, title) of every element with a title child; the first title child counts."""
+    t = nodes.where(_is(("topic/title",))).select("doc", "pre", "parent").join(big(element_text(nodes, ("topic/title",))), ["doc", "pre"])
+    t = t.groupBy("doc", F.col("parent").alias("pre")).agg(F.min_by("own", "pre").alias("title"))
+    return nodes.where("type = 'element'").select("doc", "pre", F.col("attrs")["id"].alias("id")).join(big(t), ["doc", "pre"])
 
 
 def title_map(nodes: DataFrame) -> DataFrame:
-    """(doc, id, title): of several elements with one id the last counts."""
+    """(doc, id, title): of several titled elements with one id the last counts."""
     return titles(nodes).where("id <> ''").groupBy("doc", "id").agg(F.max_by("title", "pre").alias("title"))
 
 
 def root_titles(nodes: DataFrame) -> DataFrame:
     """(doc, title) of root elements."""
-    return titles(nodes).join(nodes.where("depth = 0").select("doc", "pre"), ["doc", "pre"]).select("doc", "title")
+    return titles(nodes).join(big(nodes.where("depth = 0").select("doc", "pre")), ["doc", "pre"]).select("doc", "title")
 
 
-def xref_titles(nodes: DataFrame) -> DataFrame:
-    """(doc, pre, href, shown, kind): what each xref shows. Own text wins; then the title of the target: in the same
-    file by the last part of the fragment, in another by its first part, or its root title without one; else the href."""
-    x = nodes.where("tag = 'xref'").select("doc", "pre", F.col("attrs")["href"].alias("href"), F.col("attrs")["scope"].alias("scope")).join(element_text(nodes), ["doc", "pre"])
-    frag = T.fragment("href")
-    local = F.col("href").startswith("#")
-    x = x.withColumns({"target": F.when(local, F.col("doc")).when(~T.is_external("href", "scope"), T.resolve(T.dirname("doc"), "href")), "tid": F.when(local, F.substring_index(frag, "/", -1)).otherwise(F.split_part(frag, F.lit("/"), F.lit(1)))})
-    tm = title_map(nodes).select(F.col("doc").alias("target"), F.col("id").alias("tid"), F.col("title").alias("by_id"))
-    rt = root_titles(nodes).select(F.col("doc").alias("target"), F.col("title").alias("root_title"))
-    j = x.join(tm, ["target", "tid"], "left").join(rt, "target", "left")
-    found = F.when(F.coalesce("tid", F.lit("")) != "", F.col("by_id")).otherwise(F.when(~local, F.col("root_title")))
-    shown = F.when(~T.is_blank("own"), F.col("own")).otherwise(F.coalesce(F.when(found != "", found), "href", F.lit("")))
-    return j.select("doc", "pre", "href", shown.alias("shown"), F.when(F.coalesce(found, F.lit("")) != "", "title").otherwise("href").alias("kind"))
-
-
-def resolve_conrefs(nodes: DataFrame) -> DataFrame:
-    """(doc, pre, conref, target, target_pre): the element that each conref into another file takes its content from.
-
-    The element id is looked up in the whole file and its first holder counts; a conref without a path never resolves.
+def note_locales(nodes: DataFrame) -> DataFrame:
+    """(doc, locale): zh where the root's language begins so, else en."""
+    lang = F.coalesce(F.col("attrs")["xml:lang"], F.col("attrs")["http://www.w3.org/XML/1998/namespace lang"], F.lit(""))
+    return nodes.where("depth = 0 AND error IS NULL").select("doc", F.when(lang.startswith("zh"), "zh").otherwise("en").alias("locale"))
+
+
+def target_titles(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Titles that links show: (doc, tid, title) inside a file by the last element with the id; (target, tid, by_id) from other
+    files by the first one, which may have no title; (target, root_title)."""
+    named = titles(nodes)
+    local = title_map(nodes).select("doc", F.col("id").alias("tid"), F.col("title").alias("here"))
+    first = nodes.where("type = 'element' AND attrs['id'] <> ''").groupBy("doc", F.col("attrs")["id"].alias("tid")).agg(F.min("pre").alias("pre"))
+    other = first.join(big(named.select("doc", "pre", "title")), ["doc", "pre"]).select(F.col("doc").alias("target"), "tid", F.col("title").alias("by_id"))
+    return local, other, root_titles(nodes).select(F.col("doc").alias("target"), F.col("title").alias("root_title"))
+
+
+def with_link_titles(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """links (doc, href, ...) with ``found``: the title that a reference without content shows, null if there is none.
+
+    In the same file the last part of the fragment names the element, in another the first; without a fragment a .dita
+    or .xml file gives its root title.
     """
-    c = nodes.where(F.coalesce(F.col("attrs")["conref"], F.lit("")).contains("#")).select("doc", "pre", F.col("attrs")["conref"].alias("conref"))
-    c = c.withColumns({"target": T.resolve(T.dirname("doc"), "conref"), "tid": F.coalesce(T.element_id("conref"), T.topic_id("conref"))}).where("target IS NOT NULL")
-    ids = nodes.where("type = 'element' AND attrs['id'] <> ''").groupBy(F.col("doc").alias("target"), F.col("attrs")["id"].alias("tid")).agg(F.min("pre").alias("target_pre"))
-    return c.join(ids, ["target", "tid"], "left").select("doc", "pre", "conref", "target", "target_pre")
+    local, other, roots = target_titles(nodes)
+    href = F.col("href")
+    here, frag = href.startswith("#"), T.fragment("href")
+    x = links.withColumns({"target": F.when(~here & ~T.is_external("href", F.lit(None)), T.resolve(T.dirname("doc"), "href")), "tid": F.when(here, F.substring_index(frag, "/", -1)).otherwise(F.split_part(frag, F.lit("/"), F.lit(1)))})
+    x = x.join(big(local), ["doc", "tid"], "left").join(big(other), ["target", "tid"], "left").join(big(roots), "target", "left")
+    found = F.when(here, F.col("here")).when(href.contains("#"), F.col("by_id")).when(T.path_part("href").rlike(r"(?i)\.(dita|xml)$"), F.col("root_title"))
+    return x.withColumn("found", F.when(found != "", found)).drop("here", "by_id", "root_title", "target", "tid")
+
+
+def xref_titles(nodes: DataFrame) -> DataFrame:
+    """(doc, pre, href, shown, kind): what each xref shows: its own text, else the target's title, else the href."""
+    x = nodes.where(_is(("topic/xref",))).select("doc", "pre", F.col("attrs")["href"].alias("href")).join(big(element_text(nodes, ("topic/xref",))), ["doc", "pre"])
+    j = with_link_titles(x, nodes)
+    shown = F.when(~T.is_blank("own"), F.col("own")).otherwise(F.coalesce("found", "href", F.lit("")))
+    return j.select("doc", "pre", "href", shown.alias("shown"), F.when(F.col("found").isNotNull(), "title").otherwise("href").alias("kind"))
+
+
+# ---------------------------------------------------------------- transclusion
+
+
+def conref_targets(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """refs (doc, conref, ...) with target, target_pre, target_base, target_tag, target_attrs, target_ord, target_path of the element
+    that a conref into another file names. The element id is looked up in the whole file and its first holder counts; a
+    conref without a path never resolves."""
+    r = refs.withColumns({"target": T.resolve(T.dirname("doc"), "conref"), "tid": F.coalesce(T.element_id("conref"), T.topic_id("conref"))}).where("target IS NOT NULL AND tid <> ''")
+    el = nodes.where("type = 'element' AND attrs['id'] <> ''")
+    t = el.groupBy(F.col("doc").alias("target"), F.col("attrs")["id"].alias("tid")).agg(F.min_by(F.struct("pre", "base", "tag", "attrs", "ord", "path"), "pre").alias("t"))
+    names = ("pre", "base", "tag", "attrs", "ord", "path")
+    return r.join(big(t), ["target", "tid"]).select(*refs.columns, "target", *[F.col(f"t.{n}").alias(f"target_{n}") for n in names])
 
 
 def conref_text(nodes: DataFrame) -> DataFrame:
-    """resolve_conrefs and the text that is shown: the target's, or the literal one where nothing is found."""
+    """(doc, pre, conref, shown, resolved): the text of the element that a conref names, or the literal one."""
+    r = nodes.where("attrs['conref'] <> ''").select("doc", "pre", F.col("attrs")["conref"].alias("conref"))
+    found = conref_targets(r, nodes).select("doc", "pre", "target", "target_pre")
     own = element_text(nodes)
-    r = resolve_conrefs(nodes).join(own, ["doc", "pre"]).join(own.select(F.col("doc").alias("target"), F.col("pre").alias("target_pre"), F.col("own").alias("theirs")), ["target", "target_pre"], "left")
-    return r.select("doc", "pre", "conref", F.coalesce("theirs", "own").alias("shown"), F.col("theirs").isNotNull().alias("resolved"))
+    theirs = own.select(F.col("doc").alias("target"), F.col("pre").alias("target_pre"), F.col("own").alias("theirs"))
+    got = found.join(big(theirs), ["target", "target_pre"]).select("doc", "pre", "theirs")
+    out = r.join(big(own), ["doc", "pre"]).join(big(got), ["doc", "pre"], "left")
+    return out.select("doc", "pre", "conref", F.coalesce("theirs", "own").alias("shown"), F.col("theirs").isNotNull().alias("resolved"))
+
+
+VIEW = ("doc", "key", "path", "type", "tag", "base", "attrs", "text", "line", "col", "end_line", "end_col")
+
+
+def document_view(nodes: DataFrame) -> DataFrame:
+    """nodes by key (the sibling numbers from the root down) instead of pre: what rendering works on."""
+    return nodes.where("error IS NULL").withColumnRenamed("ord", "key").select(*VIEW)
+
+
+def _prefixes(key: str = "key") -> Column:
+    """The keys of all ancestors."""
+    return F.when(F.size(key) > 0, F.transform(F.sequence(F.lit(0), F.size(key) - 1), lambda n: F.slice(key, F.lit(1), n))).otherwise(F.array().cast("array<array<int>>"))
+
+
+def splice_conrefs(nodes: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """The view of documents (``docs``: doc; all without it) with conrefs replaced by what they name, however deeply nested.
+
+    A target of the same base type gives its children; of another type it takes the element's place, the referencing
+    element's attributes winning, without the target's id and conref. Conrefs inside spliced content are followed, seen
+    from the document that shows it; one that was resolved above it is left alone with its literal content, as is one
+    that names nothing. Rounds are written and end when nothing is left to follow.
+    """
+    spark = nodes.sparkSession
+    folder, view = shared_dir(spark), document_view(nodes)
+    if docs is not None:
+        view = view.join(big(docs.select("doc").distinct()), "doc", "left_semi")
+    open_refs = lambda v: v.where("type = 'element' AND attrs['conref'] <> ''")
+    last = open_refs(view).withColumn("chain", F.array().cast("array<string>"))
+    subtree = nodes.where("error IS NULL").select(F.col("doc").alias("target"), F.explode("anc").alias("target_pre"), "ord", F.col("path").alias("npath"), *[F.col(c).alias(f"n_{c}") for c in VIEW[3:]])
+    swaps, added, k = None, None, 0
+    while True:
+        refs = last.withColumn("conref", F.col("attrs")["conref"]).where(~F.array_contains("chain", F.col("conref")))
+        got = conref_targets(refs.select("doc", "key", "path", "base", "tag", "attrs", "chain", "conref", "line", "col", "end_line", "end_col"), nodes)
+        got = written(spark, got.withColumn("chain", F.concat("chain", F.array("conref"))), f"{folder}/found{k}")
+        if got.isEmpty():
+            break
+        same = F.coalesce(F.col("target_base") == F.col("base"), F.lit(False))
+        rest = F.map_filter("attrs", lambda name, _: name != "conref")
+        theirs = F.map_filter("target_attrs", lambda name, _: ~name.isin("conref", "id") & ~F.map_contains_key(rest, name))
+        swap = got.select("doc", "key", F.struct(F.when(same, F.col("tag")).otherwise(F.col("target_tag")).alias("tag"), F.when(same, F.col("base")).otherwise(F.col("target_base")).alias("base"), F.when(same, rest).otherwise(F.map_concat(rest, theirs)).alias("attrs")).alias("swap"))
+        base = F.when(same, F.col("base")).otherwise(F.col("target_base"))
+        depth = F.size("target_ord")
+        inner = got.select("doc", "key", "path", base.alias("b"), "chain", "target", "target_pre", depth.alias("d")).join(big(subtree), ["target", "target_pre"])
+        new = inner.select(
+            "doc", F.concat("key", F.slice("ord", F.col("d") + 1, F.size("ord"))).alias("key"), F.concat("path", F.array(F.coalesce("b", F.lit(""))), F.slice("npath", F.col("d") + 2, F.size("npath"))).alias("path"),
+            *[F.col(f"n_{c}").alias(c) for c in VIEW[3:]], "chain", F.lit(k).alias("round"),
+        )
+        new = written(spark, new, f"{folder}/spliced{k}")
+        swap = swap.withColumn("round", F.lit(k - 1))  # replaces an element that the round before brought
+        swaps, added = (swap, new) if swaps is None else (swaps.unionByName(swap), added.unionByName(new))
+        last, k = open_refs(new).select(*VIEW, "chain"), k + 1
+    if swaps is None:
+        return view
+    swaps = written(spark, swaps, f"{folder}/swaps")
+    all_nodes = view.withColumn("round", F.lit(-1)).unionByName(added.select(*VIEW, "round"))
+    # The literal content of a replaced element goes: nodes of the same round below it.
+    touched = all_nodes.join(big(swaps.select("doc", "round").distinct()), ["doc", "round"], "left_semi")
+    under = touched.select("doc", "round", F.col("key").alias("low"), F.explode(_prefixes()).alias("key")).join(big(swaps.select("doc", "round", "key")), ["doc", "round", "key"]).select("doc", "round", F.col("low").alias("key")).distinct()
+    out = all_nodes.join(big(under), ["doc", "round", "key"], "left_anti").join(big(swaps), ["doc", "round", "key"], "left")
+    pick = lambda c: F.when(F.col("swap").isNotNull(), F.col(f"swap.{c}")).otherwise(F.col(c)).alias(c)
+    return written(spark, out.select(*[pick(c) if c in ("tag", "base", "attrs") else F.col(c) for c in VIEW]), f"{folder}/view")
+
+
+# ---------------------------------------------------------------- outline
 
 
 def topic_outline(nodes: DataFrame) -> DataFrame:
-    """outline(doc, pre, parent_pre, depth, name, kind): topics, sections and examples, nested by containment."""
-    kept = nodes.where(F.col("tag").isin(*TOPICS, "section", "example")).select("doc", "pre", "anc", "tag", "line", F.col("attrs")["id"].alias("id"))
+    """outline(doc, pre, parent_pre, depth, name, detail, kind, line, end_line): topics, sections and examples, nested by containment."""
+    kind = F.when(is_topic(), "topic").when(_is(("topic/section", "topic/example")), "section")
+    kept = nodes.where("type = 'element'").withColumn("kind", kind).where("kind IS NOT NULL").select("doc", "pre", "anc", "tag", "base", "kind", "line", "end_line", F.col("attrs")["id"].alias("id"))
     ups = kept.select("doc", F.col("pre").alias("up"))
-    above = kept.select("doc", "pre", F.explode("anc").alias("up")).join(ups, ["doc", "up"]).groupBy("doc", "pre").agg(F.max("up").alias("parent_pre"), F.count("*").cast("int").alias("depth"))
+    above = kept.select("doc", "pre", F.explode("anc").alias("up")).join(big(ups), ["doc", "up"]).groupBy("doc", "pre").agg(F.max("up").alias("parent_pre"), F.count("*").cast("int").alias("depth"))
     name = titles(nodes).select("doc", "pre", T.js_trim("title").alias("title"))
-    kind = F.when(F.col("tag").isin(*TOPICS), "topic").otherwise(F.col("tag"))
-    o = kept.join(above, ["doc", "pre"], "left").join(name, ["doc", "pre"], "left")
-    shown = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.when((kind == "topic") & (F.col("id") != ""), F.col("id")), F.concat(F.lit("("), kind, F.lit(")")))
-    return o.select("doc", "pre", "parent_pre", F.coalesce("depth", F.lit(0)).alias("depth"), shown.alias("name"), kind.alias("kind"))
+    o = kept.join(big(above), ["doc", "pre"], "left").join(big(name), ["doc", "pre"], "left")
+    plain = F.when(F.col("kind") == "topic", "(topic)").when(F.col("base") == "topic/example", "(example)").otherwise("(section)")
+    shown = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.when((F.col("kind") == "topic") & (F.col("id") != ""), F.col("id")), plain)
+    return o.select("doc", "pre", "parent_pre", F.coalesce("depth", F.lit(0)).alias("depth"), shown.alias("name"), F.col("tag").alias("detail"), "kind", "line", "end_line")
+
+
+# ---------------------------------------------------------------- tables
 
 
 def cals_columns(nodes: DataFrame) -> DataFrame:
     """(doc, tgroup, colname, col, width): column numbers and their width as CSS."""
-    c = nodes.where("tag = 'colspec'").select("doc", F.col("parent").alias("tgroup"), "pre", "attrs")
+    c = nodes.where(_is(("topic/colspec",))).select("doc", F.col("parent").alias("tgroup"), "pre", "attrs")
     w = Window.partitionBy("doc", "tgroup")
     col = F.coalesce(F.col("attrs")["colnum"].try_cast("int"), F.row_number().over(w.orderBy("pre")))
     text = T.js_trim(F.col("attrs")["colwidth"])
     part = F.when(text == "*", F.lit(1.0)).otherwise(F.regexp_extract(text, r"^([0-9.]+)\*$", 1).try_cast("double"))
-    return c.withColumns({"col": col, "total": F.sum(part).over(w)}).select("doc", "tgroup", F.col("attrs")["colname"].alias("colname"), "col", T.cals_width(F.col("attrs")["colwidth"], "total").alias("width"))
+    return c.withColumns({"col": col, "total": F.sum(part).over(w)}).select("doc", "tgroup", "pre", F.col("attrs")["colname"].alias("colname"), "col", T.cals_width(F.col("attrs")["colwidth"], "total").alias("width"))
 
 
-def cals_cells(nodes: DataFrame) -> DataFrame:
-    """table_cells(doc, tgroup, row, cell, section, col, colspan, rowspan, text): entries with their spans."""
-    e = nodes.where("tag = 'entry'").select("doc", "pre", F.col("parent").alias("row_pre"), "anc", "attrs")
-    e = e.withColumn("tgroup", F.get("anc", F.size("anc") - 3))
-    sect = nodes.where(F.col("tag").isin("thead", "tbody")).select("doc", F.col("pre").alias("sect_pre"), F.col("tag").alias("section"))
-    e = e.withColumn("sect_pre", F.get("anc", F.size("anc") - 2)).join(sect, ["doc", "sect_pre"])
-    cols = cals_columns(nodes).select("doc", "tgroup", "colname", F.col("col").alias("at"))
-    for name, alias in (("namest", "c0"), ("nameend", "c1"), ("colname", "c2")):
-        e = e.join(cols.select("doc", "tgroup", F.col("colname").alias(f"__{alias}"), F.col("at").alias(alias)), (e["doc"] == cols["doc"]) & (e["tgroup"] == cols["tgroup"]) & (F.col("attrs")[name] == F.col(f"__{alias}")), "left").select(e["*"], alias)
-    k = F.row_number().over(Window.partitionBy("doc", "row_pre").orderBy("pre"))
-    e = e.withColumn("cell", k).join(element_text(nodes), ["doc", "pre"])
-    row = F.dense_rank().over(Window.partitionBy("doc", "tgroup").orderBy("row_pre"))
-    return e.select("doc", "tgroup", row.alias("row"), "cell", "section", F.coalesce("c0", "c2", "cell").alias("col"), F.coalesce(F.greatest(F.col("c1") - F.col("c0") + 1, F.lit(1)), F.lit(1)).alias("colspan"), (F.coalesce(F.col("attrs")["morerows"].try_cast("int"), F.lit(0)) + 1).alias("rowspan"), F.col("own").alias("text"))
+def in_header(path: str = "path") -> Column:
+    """Whether the nearest head or body around a cell is a head."""
+    marks = F.filter(path, lambda b: b.isin(*HEADS, *BODIES))
+    return F.coalesce(F.get(marks, F.size(marks) - 1).isin(*HEADS), F.lit(False))
 
 
-#: Opening and closing HTML of common elements; users add rows by passing their own table.
-TEMPLATES = {"topic": ("<article>", "</article>"), "title": ("<h{level} class=\"title\">", "</h{level}>"), "body": ("<div class=\"body\">", "</div>"), "section": ("<section>", "</section>"), "p": ("<p>", "</p>"), "ul": ("<ul>", "</ul>"), "ol": ("<ol>", "</ol>"), "li": ("<li>", "</li>"), "b": ("<b>", "</b>"), "i": ("<i>", "</i>"), "keyword": ("<span class=\"keyword\">", "</span>"), "ph": ("<span>", "</span>"), "xref": ("<span class=\"xref\">", "</span>")}
-CONTAINERS = ("section", "example", "fig", "related-links")
+def _spans(e: DataFrame, nodes: DataFrame) -> DataFrame:
+    """e (doc, tgroup, attrs, ...) with ``cols``: column numbers by name of the cell's tgroup."""
+    named = cals_columns(nodes).where("colname <> ''").groupBy("doc", "tgroup").agg(F.collect_list(F.struct("pre", "colname", "col")).alias("l"))
+    last = F.aggregate(F.sort_array("l"), F.create_map().cast("map<string,int>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["colname"]), F.create_map(x["colname"], x["col"])))
+    return e.join(big(named.select("doc", "tgroup", last.alias("cols"))), ["doc", "tgroup"], "left")
 
 
-def topic_html(nodes: DataFrame, shown: DataFrame | None = None, templates: dict[str, tuple[str, str]] = TEMPLATES, base_level: int = 1) -> DataFrame:
-    """(doc, html) by event assembly: opening, closing and text events of a document in the order of their positions.
+def cals_cells(nodes: DataFrame) -> DataFrame:
+    """table_cells(doc, tgroup, row, cell, section, header, col, colspan, rowspan, text): entries with their spans."""
+    e = nodes.where(_is(("topic/entry",))).select("doc", "pre", F.col("parent").alias("row_pre"), "anc", "path", "attrs")
+    n = F.size("anc")
+    e = e.select("*", F.get("anc", n - 3).alias("tgroup"), F.substring(F.get("path", n - 2), 7, 20).alias("section"), in_header().alias("header"))
+    e = _spans(e, nodes)
+    at = lambda name: F.try_element_at("cols", F.col("attrs")[name])
+    e = e.withColumn("cell", F.row_number().over(Window.partitionBy("doc", "row_pre").orderBy("pre"))).join(big(element_text(nodes, ("topic/entry",))), ["doc", "pre"])
+    row = F.dense_rank().over(Window.partitionBy("doc", "tgroup").orderBy("row_pre"))
+    return e.select("doc", "tgroup", row.alias("row"), "cell", "section", "header", F.coalesce(at("namest"), at("colname"), "cell").alias("col"), F.coalesce(F.greatest(at("nameend") - at("namest") + 1, F.lit(1)), F.lit(1)).alias("colspan"), (F.coalesce(F.col("attrs")["morerows"].try_cast("int"), F.lit(0)) + 1).alias("rowspan"), F.col("own").alias("text"))
 
-    ``shown``: (doc, pre, shown) replaces the content of elements (links and keys). Elements without a template are
-    transparent; heading levels follow the containers around a title.
+
+def simple_cells(nodes: DataFrame) -> DataFrame:
+    """The same columns for simple, choice and property tables; every cell spans one column and one row. tgroup is the table."""
+    e = nodes.where(_is(("topic/stentry",))).select("doc", "pre", F.col("parent").alias("row_pre"), F.get("anc", F.size("anc") - 2).alias("tgroup"), F.substring(F.element_at("path", -1), 7, 20).alias("section"), in_header().alias("header"))
+    e = e.withColumn("cell", F.row_number().over(Window.partitionBy("doc", "row_pre").orderBy("pre"))).join(big(element_text(nodes, ("topic/stentry",))), ["doc", "pre"])
+    row = F.dense_rank().over(Window.partitionBy("doc", "tgroup").orderBy("row_pre"))
+    return e.select("doc", "tgroup", row.alias("row"), "cell", "section", "header", F.col("cell").alias("col"), F.lit(1).alias("colspan"), F.lit(1).alias("rowspan"), F.col("own").alias("text"))
+
+
+# ---------------------------------------------------------------- HTML
+
+#: Base types that become an element with a class of their own name.
+BY_CLASS = {
+    "span": "keyword term uicontrol wintitle menucascade filepath userinput systemoutput apiname option parmname cmdname varname msgnum coderef synph kwd var oper sep delim fragment fragref synnoteref msgph tm desc alt glossref typeofhazard overline",
+    "div": "itemgroup dlentry synnote syntaxdiagram figgroup plentry glossgroup hazardstatement", "pre": "synblk screen msgblock lines", "p": "shortdesc howtoavoid consequence",
+    "dl": "parml glossentry", "dt": "pt", "dd": "pd glossdef", "code": "codeph", "dfn": "glossterm", "main": "body",
+}
+#: Base types that become a plain element.
+PLAIN = {
+    "p": "p", "ul": "ul", "ol": "ol", "li": "li", "sli": "li", "dl": "dl", "dt": "dt", "dd": "dd", "thead": "thead", "tbody": "tbody", "row": "tr", "sthead": "thead", "strow": "tr",
+    "b": "strong", "i": "em", "u": "u", "tt": "code", "sup": "sup", "sub": "sub", "line-through": "s", "q": "q", "lq": "blockquote", "cite": "cite",
+}
+#: Base types whose opening and closing differ from both rules.
+OTHER = {
+    "sl": ('<ul class="simple-list">', "</ul>"), "pre": ('<pre class="preformatted">', "</pre>"), "div": ('<div class="body-div">', "</div>"), "bodydiv": ('<div class="body-div">', "</div>"),
+    "sectiondiv": ('<div class="section-div">', "</div>"), "related-links": ('<aside class="related-links"><h2>Related links</h2>', "</aside>"), "object": ('<object class="dita-object">', "</object>"),
+}
+#: Labels of notes by locale.
+NOTE_LABELS = {
+    "en": {"note": "Note", "notice": "Notice", "warning": "Warning", "danger": "Danger", "important": "Important", "tip": "Tip", "restriction": "Restriction"},
+    "zh": {"note": "注", "notice": "注意", "warning": "警告", "danger": "危险", "important": "重要", "tip": "提示", "restriction": "限制"},
+}
+
+
+def html_templates() -> dict[str, tuple[str, str]]:
+    """Base type -> (opening, closing) of those that need nothing but their type. Users add rows of their own."""
+    out = {f"topic/{n}": (f'<{tag} class="{n}">', f"</{tag}>") for tag, names in BY_CLASS.items() for n in names.split()}
+    return out | {f"topic/{n}": (f"<{tag}>", f"</{tag}>") for n, tag in PLAIN.items()} | {f"topic/{n}": pair for n, pair in OTHER.items()}
+
+
+def note_label(kind: Column, locale: Column) -> Column:
+    """The label of a note type; an unknown type is its own label."""
+    table = F.create_map(*[F.lit(x) for lang, labels in NOTE_LABELS.items() for k, v in labels.items() for x in (f"{lang}/{k}", v)])
+    return F.coalesce(F.try_element_at(table, F.concat(locale, F.lit("/"), kind)), kind)
+
+
+_FIRST, _LAST = -1, (1 << 31) - 1
+
+
+def topic_html(
+    nodes: DataFrame, keys: DataFrame | None = None, templates: dict[str, tuple[str, str]] | None = None, levels: DataFrame | int = 1,
+    targets: DataFrame | None = None, positions: bool = False, view: DataFrame | None = None, image_uri=lambda href: href,
+) -> DataFrame:
+    """(doc, level, html) by event assembly: opening, closing and text events of a document in the order of their keys.
+
+    Conrefs are spliced in, key references show their key's value (``keys``: scope_dir, key, value) where an element has no
+    content, links without content show titles from ``targets`` (nodes; the same ones by default). ``levels`` is the level
+    of headings, or a table (doc, level) of the levels a document is needed at. Elements without a template are
+    transparent. ``positions`` adds tag and source range to each element's first tag. ``view`` replaces the nodes that are
+    drawn (from ``splice_conrefs``).
     """
-    n = suppress(nodes).where("error IS NULL")
-    opens, closes = (F.create_map(*[F.lit(x) for k, v in templates.items() for x in (k, v[i])]) for i in (0, 1))
-    boxes = n.where(F.col("tag").isin(*CONTAINERS)).select("doc", F.col("pre").alias("a"))
-    level = n.where("tag = 'title'").select("doc", "pre", F.explode("anc").alias("a")).join(boxes, ["doc", "a"]).groupBy("doc", "pre").agg(F.count("*").alias("more"))
-    e = n.where("type = 'element'").join(level, ["doc", "pre"], "left")
-    lv = F.least(F.lit(6), F.lit(base_level) + F.coalesce("more", F.lit(0))).cast("string")
-    draw = lambda table: F.replace(F.coalesce(F.element_at(table, F.col("tag")), F.lit("")), F.lit("{level}"), lv)
-    events = e.select("doc", F.explode(F.array(F.struct(F.col("pre").alias("pos"), draw(opens).alias("html")), F.struct(F.col("post").alias("pos"), draw(closes).alias("html")))).alias("x")).select("doc", "x.*")
-    texts = n.where("type = 'text'").select("doc", "pre", "anc", T.escape_html("text").alias("html"))
-    if shown is not None:
-        s = shown.select("doc", F.col("pre").alias("a"), "shown")
-        hidden = texts.select("doc", "pre", F.explode("anc").alias("a")).join(s.select("doc", "a"), ["doc", "a"]).select("doc", "pre").distinct()
-        texts = texts.join(hidden, ["doc", "pre"], "left_anti")
-        at = n.select("doc", F.col("pre").alias("a")).join(s, ["doc", "a"])
-        events = events.unionByName(at.select("doc", (F.col("a") + 0.5).alias("pos"), T.escape_html("shown").alias("html")))
-    events = events.unionByName(texts.select("doc", F.col("pre").cast("double").alias("pos"), "html"))
-    return events.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "html"))), lambda x: x["html"]), "").alias("html"))
+    templates = html_templates() if templates is None else templates
+    a = F.col("attrs")
+    v = view if view is not None else splice_conrefs(nodes)
+    v = suppress(v)
+    # Elements that show nothing of what they hold: drop what lies below them.
+    shut = v.where(_is(LEAVES) | _is(("topic/xref",)) & (F.coalesce(a["href"], F.lit("")) == "") | _is(("topic/boolean",)) & (F.coalesce(a["value"], F.lit("")) != "")).select("doc", F.col("key").alias("cut"))
+    inside = v.where(_has("path", (*LEAVES, "topic/xref", "topic/boolean"))).select("doc", "key", F.explode(_prefixes()).alias("cut")).join(big(shut), ["doc", "cut"]).select("doc", "key").distinct()
+    v = v.join(big(inside), ["doc", "key"], "left_anti")
+    full = F.concat("path", F.array(F.coalesce("base", F.lit(""))))
+    # The title of a figure comes last, as its caption.
+    moved = F.when(_has("path", ("topic/fig",)), F.transform("key", lambda x, i: F.when((F.get(full, i) == "topic/fig") & (F.get(full, i + 1) == "topic/title"), _LAST - 1).otherwise(x))).otherwise(F.col("key"))
+    v = v.withColumn("place", moved)
+    kids = v.where("size(key) > 0").select("doc", F.slice("key", F.lit(1), F.size("key") - 1).alias("key"), (F.col("type").eqNullSafe("element") | ~T.is_blank("text")).alias("real"))
+    kids = kids.groupBy("doc", "key").agg(F.max("real").alias("__real"), F.lit(True).alias("__any"))
+    e = v.where("type = 'element'").join(big(kids), ["doc", "key"], "left").withColumns({"__real": F.coalesce("__real", F.lit(False)), "__any": F.coalesce("__any", F.lit(False)), "scope_dir": T.dirname("doc"), "__keyref": F.when(a["keyref"] != "", a["keyref"])})
+    if keys is not None:
+        e = e.join(big(keys.select("scope_dir", F.col("key").alias("__keyref"), F.col("value").alias("__value"))), ["scope_dir", "__keyref"], "left")
+    else:
+        e = e.withColumn("__value", F.lit(None).cast("string"))
+    e = e.withColumn("__value", F.when(F.col("__value") != "", F.col("__value")))
+    by_key = ~F.col("__real") & F.col("__value").isNotNull()
+    # Titles of links without content.
+    links = e.where(_is(("topic/xref",)) & ~F.col("__any") & ~by_key & (a["href"] != "")).select("doc", "key", a["href"].alias("href"))
+    found = with_link_titles(links, targets if targets is not None else nodes).select("doc", "key", F.coalesce("found", "href").alias("__link"))
+    e = e.join(big(found), ["doc", "key"], "left")
+    # Column numbers of table groups, by the key of the group.
+    specs = (view if view is not None else nodes.where("error IS NULL").withColumnRenamed("ord", "key")).where(_is(("topic/colspec",)))
+    specs = specs.select("doc", F.slice("key", F.lit(1), F.size("key") - 1).alias("group"), "key", "attrs")
+    w = Window.partitionBy("doc", "group")
+    width = T.js_trim(a["colwidth"])
+    part = F.when(width == "*", F.lit(1.0)).otherwise(F.regexp_extract(width, r"^([0-9.]+)\*$", 1).try_cast("double"))
+    specs = specs.withColumns({"n": F.coalesce(a["colnum"].try_cast("int"), F.row_number().over(w.orderBy("key"))), "css": T.cals_width(a["colwidth"], F.sum(part).over(w))})
+    draw_col = F.when(F.col("css") != "", F.concat(F.lit('<col style="width: '), T.escape_attr("css"), F.lit('">'))).otherwise("<col>")
+    groups = specs.groupBy("doc", "group").agg(F.sort_array(F.collect_list(F.struct("key", F.col("attrs")["colname"].alias("name"), "n", draw_col.alias("html")))).alias("specs"))
+    numbers = F.aggregate("specs", F.create_map().cast("map<string,int>"), lambda m, x: F.when(x["name"] != "", F.map_concat(F.map_filter(m, lambda k, _: k != x["name"]), F.create_map(x["name"], x["n"]))).otherwise(m))
+    groups = groups.select("doc", "group", numbers.alias("__cols"), F.concat(F.lit("<colgroup>"), F.array_join(F.transform("specs", lambda x: x["html"]), ""), F.lit("</colgroup>")).alias("__colgroup"))
+    at = F.array_position("path", "topic/tgroup").cast("int")
+    own_group = F.when(_is(("topic/tgroup",)), F.col("key")).when(_is(("topic/entry",)) & (at > 0), F.slice("key", F.lit(1), at - 1))
+    e = e.withColumn("group", own_group).join(big(groups), ["doc", "group"], "left")
+    e = e.join(big(note_locales(nodes)), "doc", "left")
+    e = e.join(big(levels.select("doc", "level").distinct()), "doc") if isinstance(levels, DataFrame) else e.withColumn("level", F.lit(levels))
+
+    esc, attr = T.escape_attr, lambda name: T.safe_attr(name, a[name])
+    base = F.col("base")
+    of = lambda n: base == f"topic/{n}"
+    heading = F.least(F.lit(6), F.greatest(F.lit(1), F.col("level") + F.size(F.filter("path", lambda b: b.isin(*CONTAINERS))))).cast("string")
+    caption = of("title") & (F.get("path", F.size("path") - 1) == "topic/fig")
+    href, cell = F.coalesce(a["href"], F.lit("")), F.when(in_header(), "th").otherwise("td")
+    number = lambda name: F.try_element_at("__cols", a[name])
+    colspan = F.coalesce(F.when(a["colspan"] != "", a["colspan"]), F.when((a["namest"] != "") & (a["nameend"] != ""), (number("nameend") - number("namest") + 1).cast("string")))
+    rowspan = F.coalesce(F.when(a["rowspan"] != "", a["rowspan"]), (F.regexp_extract(a["morerows"], r"^\s*([+-]?\d+)", 1).try_cast("int") + 1).cast("string"))
+    kind = F.coalesce(F.when(a["type"] != "", a["type"]), F.lit("note"))
+    lang = F.regexp_replace(F.coalesce(a["outputclass"], F.lit("")), "^language-", "")
+    local = F.when(href.contains("/"), F.concat(F.lit("#"), F.substring_index(href, "/", -1))).otherwise(href)
+    link = F.coalesce(F.when(href != "", href), F.when(a["keyref"] != "", a["keyref"]), F.lit(""))
+    unresolved = of("ph") & (F.coalesce(a["keyref"], F.lit("")) != "") & ~F.col("__real") & ~by_key & F.lit(keys is not None)
+    uri = F.when(href != "", image_uri(href)).otherwise("")
+    special = [  # (base type, opening, closing)
+        (of("topic"), F.concat(F.lit("<article"), attr("id"), F.lit(' class="topic">')), "</article>"),
+        (caption, F.lit("<figcaption>"), "</figcaption>"),
+        (of("title"), F.concat(F.lit("<h"), heading, F.lit(">")), F.concat(F.lit("</h"), heading, F.lit(">"))),
+        (of("section"), F.concat(F.lit("<section"), attr("id"), F.lit(">")), "</section>"),
+        (of("example"), F.concat(F.lit("<section"), attr("id"), F.lit(' class="example">')), "</section>"),
+        (of("fig"), F.concat(F.lit("<figure"), attr("id"), F.lit(">")), "</figure>"),
+        (of("note"), F.concat(F.lit('<div class="note note--'), esc(kind), F.lit('"><span class="note__label">'), esc(note_label(kind, F.coalesce("locale", F.lit("en")))), F.lit(":</span> ")), "</div>"),
+        (of("table"), F.concat(F.lit("<table"), attr("id"), F.lit(' class="cals-table">')), "</table>"),
+        (of("simpletable"), F.concat(F.lit("<table"), attr("id"), F.lit(' class="simple-table">')), "</table>"),
+        (of("tgroup"), F.coalesce("__colgroup", F.lit("")), ""),
+        (of("entry"), F.concat(F.lit("<"), cell, T.safe_attr("colspan", colspan), T.safe_attr("rowspan", rowspan), F.lit(">")), F.concat(F.lit("</"), cell, F.lit(">"))),
+        (of("stentry"), F.concat(F.lit("<"), cell, F.lit(">")), F.concat(F.lit("</"), cell, F.lit(">"))),
+        (of("image"), F.concat(F.lit('<img src="'), esc(uri), F.lit('"'), T.safe_attr("alt", F.coalesce(a["alt"], F.lit(""))), attr("width"), attr("height"), F.when(a["placement"] == "break", ' class="image-break"').otherwise(""), F.lit(' loading="lazy" data-dita-src="'), esc(href), F.lit('">')), ""),
+        (of("codeblock"), F.concat(F.lit('<pre class="codeblock '), esc(F.coalesce(a["outputclass"], F.lit(""))), F.lit('"><code>')), F.concat(F.lit("</code>"), F.when(lang != "", F.concat(F.lit('<div class="codeblock-lang">'), esc(lang), F.lit("</div>"))).otherwise(""), F.lit("</pre>"))),
+        (of("xref") & (href == ""), F.lit(""), ""),
+        (of("xref") & href.startswith("#"), F.concat(F.lit('<a href="'), esc(local), F.lit('" class="xref">')), "</a>"),
+        (of("xref"), F.lit('<span class="xref-external">→ '), "</span>"),
+        (of("link") & (link != ""), F.concat(F.lit('<a href="'), esc(link), F.lit('" class="link">')), "</a>"),
+        (unresolved, F.concat(F.lit('<span class="ph unresolved-keyref" title="Unresolved key: '), esc(a["keyref"]), F.lit('">[' ), esc(a["keyref"]), F.lit("]")), "</span>"),
+        (of("ph"), F.lit('<span class="ph">'), "</span>"),
+        (of("fn"), F.concat(F.lit('<sup class="fn'), F.when(a["id"] != "", F.concat(F.lit(" fn-call-"), esc(a["id"]))).otherwise(""), F.lit('">')), "</sup>"),
+        (of("boolean"), F.concat(F.lit('<span class="boolean" data-value="'), esc(F.coalesce(a["value"], F.lit(""))), F.lit('">'), esc(F.coalesce(a["value"], F.lit("")))), "</span>"),
+        (of("abbreviated-form") & (F.coalesce(a["keyref"], F.lit("")) != ""), F.concat(F.lit('<abbr class="abbreviated-form" title="'), esc(a["keyref"]), F.lit('">'), esc(F.coalesce("__value", a["keyref"]))), "</abbr>"),
+        (of("abbreviated-form"), F.lit('<abbr class="abbreviated-form">'), "</abbr>"),
+        (of("anchor") & (a["id"] != ""), F.concat(F.lit("<a"), attr("id"), F.lit("></a>")), ""),
+        (of("anchorid") & (a["id"] != ""), F.concat(F.lit("<span"), attr("id"), F.lit("></span>")), ""),
+    ]
+    opens, closes = (F.create_map(*[F.lit(x) for k, pair in templates.items() for x in (k, pair[i])]) for i in (0, 1))
+    opening, closing = F.coalesce(F.try_element_at(opens, base), F.lit("")), F.coalesce(F.try_element_at(closes, base), F.lit(""))
+    for when, begin, finish in reversed(special):
+        opening, closing = F.when(when, begin).otherwise(opening), F.when(when, finish).otherwise(closing)
+    if positions:
+        where = F.concat(F.lit('<$1 title="'), "tag", *[x for name, c in (("data-line", "line"), ("data-end-line", "end_line"), ("data-start-col", "col"), ("data-end-col", "end_col")) for x in (F.lit(f'" {name}="'), F.col(c).cast("string"))], F.lit('"'))
+        opening = F.when(of("tgroup") | of("link") | of("linktext"), opening).otherwise(F.regexp_replace(opening, F.lit("^<([a-zA-Z][a-zA-Z0-9]*)"), where))
+    shows = F.when(by_key & ~_is(LEAVES), T.escape_html("__value")).when(F.col("__link").isNotNull(), esc("__link"))
+    three = F.array(F.struct(F.concat("place", F.array(F.lit(_FIRST))).alias("pos"), opening.alias("html")), F.struct(F.concat("place", F.array(F.lit(0), F.lit(_FIRST))).alias("pos"), F.coalesce(shows, F.lit("")).alias("html")), F.struct(F.concat("place", F.array(F.lit(_LAST))).alias("pos"), closing.alias("html")))
+    events = e.select("doc", "level", F.explode(F.filter(three, lambda x: x["html"] != "")).alias("x")).select("doc", "level", "x.*")
+    replaced = e.where(by_key | unresolved).select("doc", F.col("key").alias("up"))
+    texts = v.where("type = 'text'").withColumn("up", F.slice("key", F.lit(1), F.size("key") - 1)).join(big(replaced), ["doc", "up"], "left_anti")
+    texts = texts.join(big(levels.select("doc", "level").distinct()), "doc") if isinstance(levels, DataFrame) else texts.withColumn("level", F.lit(levels))
+    events = events.unionByName(texts.select("doc", "level", F.col("place").alias("pos"), T.escape_html("text").alias("html")))
+    return events.groupBy("doc", "level").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "html"))), lambda x: x["html"]), "").alias("html"))
 
 
 def standalone_html(title, body, css: str = "") -> Column:
@@ -149,17 +417,73 @@ def standalone_html(title, body, css: str = "") -> Column:
     return F.concat(F.lit('<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>'), T.escape_html(title), F.lit(f"</title><style>{css}</style></head><body>"), b, F.lit("</body></html>"))
 
 
+def write_pages(pages: DataFrame, folder: str) -> None:
+    """Sink: pages (root_map, file, html), a partition of text files for each map; a page is one line of JSON with its file."""
+    pages.select("root_map", F.to_json(F.struct("file", "html")).alias("value")).write.partitionBy("root_map").mode("overwrite").text(folder)
+
+
+def heading_level(depth) -> Column:
+    return F.least(F.lit(6), (F.col(depth) if isinstance(depth, str) else depth) + 1)
+
+
+def book_heading(name, depth, role) -> Column:
+    """A heading of a book with its role as a badge."""
+    level = heading_level(depth).cast("string")
+    badge = F.coalesce(F.concat(F.lit('<span class="map-tree-badge">'), T.escape_attr(role), F.lit("</span> ")), F.lit(""))
+    return F.concat(F.lit("<h"), level, F.lit(' class="book-heading">'), badge, T.escape_attr(name), F.lit("</h"), level, F.lit(">"))
+
+
+def book_parts(entries: DataFrame, html: DataFrame) -> DataFrame:
+    """(root_map, pos, html): what each entry adds to its book. entries: from ``first_occurrences``; html: (doc, level, html).
+
+    A reference to a map and an entry without a file give a heading, a file's first occurrence its page at the level
+    of its depth, later ones a note, a file that cannot be read an error block.
+    """
+    e = entries.withColumn("level", heading_level("depth"))
+    j = e.join(big(html.select(F.col("doc").alias("file"), "level", F.col("html").alias("__page"))), ["file", "level"], "left")
+    level, name = F.col("level").cast("string"), "display_name"
+    head = F.concat(F.lit('<div class="book-entry book-entry--placeholder">\n  <h'), level, F.lit(' class="book-section-heading">'), T.escape_attr(name), F.lit("</h"), level, F.lit(">\n</div>"))
+    error = F.concat(F.lit('<div class="book-entry book-entry--error">\n  <h'), level, F.lit(' class="book-entry-title">'), T.escape_html(name), F.lit("</h"), level, F.lit('>\n  <p class="book-error">'), T.escape_html(F.concat(F.lit("File not found: "), "file")), F.lit("</p>\n</div>"))
+    skip = F.concat(F.lit('<p class="book-skip">(Skipped: '), T.escape_html("href"), F.lit(" already included above)</p>"))
+    page = F.concat(F.lit('<div class="book-entry">'), "__page", F.lit("</div>"))
+    part = F.when(F.coalesce(F.col("href"), F.lit("")) == "", head).when(F.lower(T.path_part("href")).endswith(".ditamap"), head).when(F.col("repeat"), skip).when(F.col("__page").isNull(), error).otherwise(page)
+    return j.select("root_map", "pos", part.alias("html"))
+
+
 def book_html(entries: DataFrame, html: DataFrame) -> DataFrame:
-    """(root_map, html): the pages of a book in order, each file once. entries: root_map, order_key, href, src_map."""
-    e = entries.where("href IS NOT NULL").withColumn("doc", T.resolve(T.dirname("src_map"), "href"))
-    w = Window.partitionBy("root_map", "doc").orderBy("order_key")
-    e = e.withColumn("__k", F.row_number().over(w)).where("__k = 1").join(html, "doc")
-    return e.groupBy("root_map").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("order_key", "html"))), lambda x: x["html"]), "\n").alias("html"))
-
-
-def elements_at(points: DataFrame, nodes: DataFrame) -> DataFrame:
-    """points(doc, line) with the innermost element that contains the line: fewest lines, then document order."""
-    ends = nodes.select("doc", F.explode("anc").alias("pre"), "line").groupBy("doc", "pre").agg(F.max("line").alias("end_line"))
-    e = nodes.where("type = 'element'").select("doc", "pre", "tag", F.col("line").alias("start_line")).join(ends, ["doc", "pre"], "left").withColumn("end_line", F.coalesce("end_line", "start_line"))
-    j = points.join(e, "doc").where("line BETWEEN start_line AND end_line")
-    return j.groupBy(*points.columns).agg(F.min_by(F.struct("tag", "pre"), F.struct(F.col("end_line") - F.col("start_line"), -F.col("pre"))).alias("e")).select(*points.columns, "e.tag", "e.pre")
+    """(root_map, html): whole books, their parts in order."""
+    parts = book_parts(entries, html).groupBy("root_map").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "html"))), lambda x: x["html"]), "\n").alias("html"))
+    return parts.select("root_map", F.concat(F.lit('<div class="ditamap-book">'), "html", F.lit("</div>")).alias("html"))
+
+
+# ---------------------------------------------------------------- positions
+
+
+def elements_at(points: DataFrame, nodes: DataFrame, block: int = 64) -> DataFrame:
+    """points(doc, line, col, ...) with tag, pre and exact: the smallest element whose range holds the point (lines weigh 100,000
+    columns; of equal ones the first), else the one that starts on the nearest line, the first of them.
+
+    Elements are dealt to the blocks of lines that they touch, but those that span several blocks only to blocks that
+    hold a point; so a point meets the elements around it, not all of its document.
+    """
+    p = points.withColumn("__id", F.monotonically_increasing_id())
+    spark = nodes.sparkSession
+    p = written(spark, p.withColumn("block", F.expr(f"line div {block}")))
+    e = nodes.where("type = 'element'").select("doc", "pre", "tag", F.col("line").alias("sl"), F.col("col").alias("sc"), F.col("end_line").alias("el"), F.col("end_col").alias("ec"))
+    dealt = e.withColumn("block", F.explode(F.sequence(F.expr(f"sl div {block}"), F.expr(f"el div {block}"))))
+    asked = p.select("doc", "block").distinct()
+    dealt = dealt.join(big(asked), ["doc", "block"], "left_semi")
+    j = p.join(big(dealt), ["doc", "block"]).where("(line > sl OR line = sl AND col >= sc) AND (line < el OR line = el AND col <= ec)")
+    best = j.groupBy("__id").agg(F.min_by(F.struct("tag", "pre"), F.struct(((F.col("el") - F.col("sl")).cast("long") * 100_000 + F.col("ec") - F.col("sc")).alias("s"), "pre")).alias("hit"))
+    rest = p.join(big(best.select("__id")), "__id", "left_anti").select("__id", "doc", "line")
+    # The nearest start line: the last start at or before the point and the first one after it, by windows over both kinds.
+    starts = e.groupBy("doc", "sl").agg(F.min_by(F.struct("tag", "pre"), "pre").alias("at"))
+    both = starts.select("doc", F.col("sl").alias("l"), F.struct("sl", "at").alias("s"), F.lit(None).cast("long").alias("__id")).unionByName(rest.select("doc", F.col("line").alias("l"), F.lit(None).cast("struct<sl:int,at:struct<tag:string,pre:int>>").alias("s"), "__id"))
+    w = Window.partitionBy("doc").orderBy("l", F.col("__id").isNotNull())
+    both = both.withColumns({"a": F.last("s", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "b": F.first("s", True).over(w.rowsBetween(0, Window.unboundedFollowing))}).where("__id IS NOT NULL")
+    da, db = F.col("l") - F.col("a.sl"), F.col("b.sl") - F.col("l")
+    # Of two equally near lines the element that comes first in the document counts.
+    near = F.when(F.col("b").isNull() | (da < db), F.col("a.at")).when(F.col("a").isNull() | (db < da), F.col("b.at")).when(F.col("a.at.pre") < F.col("b.at.pre"), F.col("a.at")).otherwise(F.col("b.at"))
+    out = p.join(big(best), "__id", "left").join(big(both.select("__id", near.alias("near"))), "__id", "left")
+    hit = F.coalesce("hit", "near")
+    return out.select(*points.columns, hit["tag"].alias("tag"), hit["pre"].alias("pre"), F.col("hit").isNotNull().alias("exact")).where("pre IS NOT NULL")

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import big
+from .maps import key_values
 
 
 def visible_maps(dirs: DataFrame, maps: DataFrame, nearest_only: bool = False) -> DataFrame:
     """(scope_dir, map_path, distance): maps in a folder and its ancestors. dirs: scope_dir; maps: path."""
     parts = F.filter(F.split("scope_dir", "/"), lambda x: x != "")
-    up = dirs.select("scope_dir").distinct().select("scope_dir", F.posexplode(F.transform(F.sequence(F.size(parts), F.lit(0)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("distance", "dir"))
+    up = dirs.select("scope_dir").distinct().select("scope_dir", F.posexplode(F.transform(F.sequence(F.size(parts), F.lit(0)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("distance", "dir"))
     m = maps.select(F.col("path").alias("map_path"), T.dirname("path").alias("dir"))
-    out = up.join(m, "dir").select("scope_dir", "map_path", "distance")
+    out = up.join(big(m), "dir").select("scope_dir", "map_path", "distance")
     if nearest_only:
         out = out.withColumn("__r", F.rank().over(Window.partitionBy("scope_dir").orderBy("distance"))).where("__r = 1").drop("__r")
     return out
@@ -25,32 +27,29 @@ def owning_map(dirs: DataFrame, maps: DataFrame) -> DataFrame:
     return near.groupBy("scope_dir").agg(F.min("map_path").alias("map_path"), F.array_sort(F.collect_list("map_path")).alias("candidates"))
 
 
-def key_definitions(entries: DataFrame, nodes: DataFrame, split_keys: bool = False) -> DataFrame:
+def key_definitions(expanded: DataFrame, nodes: DataFrame, split_keys: bool = False) -> DataFrame:
     """(root_map, key, value, order_key) of expanded maps.
 
-    entries: expanded nodes (root_map, src_map, pre, order_key, tag, attrs). The value is the first filled of keyword,
-    linktext, navtitle, shortdesc in the topicmeta, each directly or under keywords; else the key itself.
+    The value is the first filled of keyword, linktext, navtitle, shortdesc in the element's own topicmeta, each directly and
+    then in its keywords; else the key itself. Only keydefs and topicrefs define keys.
     """
-    defs = entries.where(F.col("tag").isin("keydef", "topicref") & (F.coalesce(F.col("attrs")["keys"], F.lit("")) != ""))
-    texts = nodes.where("type = 'text'").select(F.col("doc").alias("src_map"), F.explode("anc").alias("a"), "pre", "text").groupBy("src_map", "a").agg(F.sort_array(F.collect_list(F.struct("pre", "text"))).alias("ts"))
-    texts = texts.select("src_map", F.col("a").alias("pre"), F.array_join("ts.text", "").alias("own"))
-    rank = F.when(F.col("tag") == "keyword", 1).when(F.col("tag") == "linktext", 2).when(F.col("tag") == "navtitle", 3).when(F.col("tag") == "shortdesc", 4)
-    meta = nodes.where(F.col("tag").isin("keyword", "linktext", "navtitle", "shortdesc")).select(F.col("doc").alias("src_map"), "pre", F.explode("anc").alias("owner"), rank.alias("rank"))
-    named = meta.join(texts, ["src_map", "pre"]).where(~T.is_blank("own")).groupBy("src_map", "owner").agg(F.min_by(F.col("own"), F.struct("rank", "pre")).alias("value"))
+    defs = expanded.where(F.col("base").isin("map/keydef", "map/topicref") & (F.coalesce(F.col("attrs")["keys"], F.lit("")) != ""))
     key = F.explode(F.split(T.js_trim(F.col("attrs")["keys"]), r"\s+")) if split_keys else F.col("attrs")["keys"]
-    d = defs.withColumn("key", key).join(named.withColumnRenamed("owner", "pre"), ["src_map", "pre"], "left")
-    return d.select("root_map", "key", F.coalesce(T.js_trim("value"), "key").alias("value"), "order_key")
+    d = defs.withColumn("key", key).join(big(key_values(nodes).withColumnRenamed("doc", "src_map")), ["src_map", "pre"], "left")
+    return d.select("root_map", "key", F.coalesce("value", "key").alias("value"), "order_key")
 
 
 def key_space(visible: DataFrame, definitions: DataFrame) -> DataFrame:
     """keys(scope_dir, key, value, map_path, distance): the nearest map wins, then its name, then document order."""
-    j = visible.join(definitions.withColumnRenamed("root_map", "map_path"), "map_path")
+    j = visible.join(big(definitions.withColumnRenamed("root_map", "map_path")), "map_path")
     best = j.groupBy("scope_dir", "key").agg(F.min_by(F.struct("value", "map_path", "distance"), F.struct("distance", "map_path", "order_key")).alias("b"))
     return best.select("scope_dir", "key", "b.*")
 
 
 def resolve_keyrefs(uses: DataFrame, keys: DataFrame) -> DataFrame:
-    """uses(scope_dir, key, tag, own) with the text that is shown: own content, else the key's value, else a placeholder."""
-    j = uses.join(keys.select("scope_dir", "key", F.col("value").alias("__v")), ["scope_dir", "key"], "left")
-    shown = F.when(~T.is_blank("own"), F.col("own")).when(F.col("__v").isNotNull(), F.col("__v")).when(F.col("tag") == "ph", F.concat(F.lit("["), F.col("key"), F.lit("]"))).otherwise(F.coalesce("own", F.lit("")))
+    """uses(scope_dir, key, tag, own) with the text that is shown: own content, else the key's value, else for a ph a
+    placeholder and for an abbreviated form the key's name."""
+    j = uses.join(big(keys.select("scope_dir", "key", F.col("value").alias("__v"))), ["scope_dir", "key"], "left")
+    bare = F.when(F.col("tag") == "ph", F.concat(F.lit("["), F.col("key"), F.lit("]"))).when(F.col("tag") == "abbreviated-form", F.col("key")).otherwise(F.coalesce("own", F.lit("")))
+    shown = F.when(~T.is_blank("own"), F.col("own")).when(F.col("__v").isNotNull(), F.col("__v")).otherwise(bare)
     return j.withColumn("shown", shown).withColumn("resolved", F.col("__v").isNotNull()).drop("__v")

@@ -1,85 +1,216 @@
-"""References and identifiers in raw document text (malformed XML is tolerated), and reports on broken ones."""
+"""References and identifiers in raw document text (malformed XML is tolerated), where they lead, and reports on broken ones.
+
+Offsets are code points. Texts are scanned in Arrow batches, once per operator and in time linear in their length.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Callable, Iterable, Iterator
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import big, written
+
+#: Attributes that refer to something; what counts as a tag and as an attribute of it, as an id, as a list of keys
+#: and as a link to a map.
+REF_ATTRS = ("href", "conref", "conkeyref", "keyref")
+TAG = r"""<([A-Za-z][\w.-]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>"""
+ATTRIBUTE = r'([\w:.-]+)\s*=\s*"([^"]*)"'
+ID, KEYS, MAP_LINK = r'\bid\s*=\s*"([^"]+)"', r'\bkeys\s*=\s*"([^"]*)"', r'href\s*=\s*"([^"]+\.[Dd][Ii][Tt][Aa][Mm][Aa][Pp])"'
+
 
-#: Attributes that refer to something.
-REF_ATTRS = "href|conref|conkeyref|keyref"
-TAG = r'<([A-Za-z_][\w:.-]*)((?:\s+[\w:.-]+\s*=\s*(?:"[^"]*"|\x27[^\x27]*\x27))*)\s*/?>'
+def _scan(docs: DataFrame, find: Callable[[str], Iterator[tuple]], schema: str) -> DataFrame:
+    """(doc, columns of ``schema``): what ``find`` yields for each content. docs: path, content."""
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        kinds = {"string": pa.string(), "int": pa.int32()}
+        fields = [x.split(" ") for x in schema.split(", ")]
+        for b in batches:
+            rows = [(path, *r) for path, text in zip(b.column(0).to_pylist(), b.column(1)) if (t := text.as_py()) for r in find(t)]
+            cols = list(zip(*rows)) or [()] * (len(fields) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.string(), *(kinds[k] for _, k in fields)])], ["doc", *(n for n, _ in fields)])
+
+    return docs.select("path", "content").mapInArrow(run, f"doc string, {schema}")
 
 
 def collect_refs(docs: DataFrame) -> DataFrame:
-    """refs(doc, tag, attr, value, value_start, value_end, scope, format): every reference attribute, in text order.
+    """refs(doc, tag, attr, value, value_start, value_end, scope, format): every reference attribute in double quotes, in text
+    order. Other attributes of the tag may be bare or in single quotes."""
+    tag, attribute = re.compile(TAG, re.ASCII), re.compile(ATTRIBUTE)
 
-    Offsets are code points. A tag's offset is the length of everything before it: the text split at tags gives the gaps.
-    """
-    d = docs.select(F.col("path").alias("doc"), "content").where(F.col("content").isNotNull())
-    tags = F.regexp_extract_all("content", F.lit(TAG), F.lit(0))
-    gaps = F.transform(F.split("content", TAG), lambda g: F.length(g))
-    found = d.select("doc", tags.alias("tags"), gaps.alias("gaps"))
-    run = F.aggregate(
-        F.arrays_zip("tags", "gaps"), F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<t:string,o:int>>").alias("out")),
-        lambda a, x: F.struct((a["at"] + x["gaps"] + F.coalesce(F.length(x["tags"]), F.lit(0))).alias("at"), F.when(x["tags"].rlike(rf"\s({REF_ATTRS})\s*=\s*\""), F.concat(a["out"], F.array(F.struct(x["tags"].alias("t"), (a["at"] + x["gaps"]).alias("o"))))).otherwise(a["out"]).alias("out")),
-    )["out"]
-    one = found.select("doc", F.explode(run).alias("x")).select("doc", "x.t", "x.o")
-    hit = one.select("doc", "t", "o", F.explode(F.regexp_extract_all("t", F.lit(rf'\s((?:{REF_ATTRS})\s*=\s*"[^"]*")'), F.lit(1))).alias("a"))
-    value = F.regexp_extract("a", r'"([^"]*)"', 1)
-    start = F.col("o") + F.instr(F.col("t"), F.col("a")) - 1 + F.instr(F.col("a"), F.lit('"'))
-    attr = lambda n: F.when(F.col("t").rlike(rf'\s{n}\s*=\s*"'), F.regexp_extract("t", rf'\s{n}\s*=\s*"([^"]*)"', 1))
-    return hit.select(
-        "doc", F.regexp_extract("t", r"^<([\w:.-]+)", 1).alias("tag"), F.regexp_extract("a", r"^(\w+)", 1).alias("attr"), value.alias("value"),
-        start.alias("value_start"), (start + F.length(value)).alias("value_end"), attr("scope").alias("scope"), attr("format").alias("format"),
-    )
+    def find(text: str) -> Iterator[tuple]:
+        for m in tag.finditer(text):
+            segment = m[2]
+            if not segment or "ref" not in segment:
+                continue
+            found = list(attribute.finditer(segment))
+            named = {a[1]: a[2] for a in found}  # of several scopes or formats the last counts
+            for a in found:
+                if a[1] in REF_ATTRS:
+                    yield m[1], a[1], a[2], m.start(2) + a.start(2), m.start(2) + a.end(2), named.get("scope"), named.get("format")
+
+    return _scan(docs, find, "tag string, attr string, value string, value_start int, value_end int, scope string, format string")
+
+
+def id_positions(docs: DataFrame) -> DataFrame:
+    """(doc, id, off): every non-empty id attribute with the offset where it begins; duplicates stay."""
+    pattern = re.compile(ID, re.ASCII)
+    return _scan(docs, lambda text: ((m[1], m.start()) for m in pattern.finditer(text)), "id string, off int")
 
 
 def collect_ids(docs: DataFrame) -> DataFrame:
     """(doc, id) of every non-empty id attribute; duplicates stay."""
-    return docs.select(F.col("path").alias("doc"), F.explode(F.regexp_extract_all("content", F.lit(r'\bid="([^"]+)"'), F.lit(1))).alias("id"))
+    return id_positions(docs).select("doc", "id")
 
 
-def id_positions(docs: DataFrame) -> DataFrame:
-    """(doc, id, off): the first place of each id, as the order of its tag in the document."""
-    ids = docs.select(F.col("path").alias("doc"), F.posexplode(F.regexp_extract_all("content", F.lit(r'\bid="([^"]+)"'), F.lit(1))).alias("off", "id"))
-    return ids
+def key_positions(maps: DataFrame) -> DataFrame:
+    """(doc, key, off): the first keys attribute that names each key; an attribute may name several."""
+    pattern = re.compile(KEYS, re.ASCII)
+    found = _scan(maps, lambda text: ((k, m.start()) for m in pattern.finditer(text) for k in m[1].split()), "key string, off int")
+    return found.groupBy("doc", "key").agg(F.min("off").alias("off"))
+
+
+def refs_at(points: DataFrame, refs: DataFrame, block: int = 256) -> DataFrame:
+    """points(doc, off, ...) with the reference whose value holds the offset (ends included; of several the first).
+
+    References are dealt to the blocks of text that their value touches, so points meet only references nearby.
+    """
+    r = refs.select("doc", "tag", "attr", "value", "value_start", "value_end", "scope", F.explode(F.sequence(F.expr(f"value_start div {block}"), F.expr(f"value_end div {block}"))).alias("__block"))
+    j = points.withColumn("__block", F.expr(f"off div {block}")).join(big(r), ["doc", "__block"]).where("off BETWEEN value_start AND value_end")
+    best = j.groupBy(*points.columns).agg(F.min_by(F.struct("tag", "attr", "value", "value_start", "value_end", "scope"), "value_start").alias("r"))
+    return best.select(*points.columns, "r.*")
 
 
 def with_targets(refs: DataFrame) -> DataFrame:
-    """refs and target (corpus path; the document itself for an empty path), topic and elem of the fragment."""
+    """Local href and conref references and target (corpus path; the document itself for an empty path), topic and elem of
+    the fragment; an empty element part is none."""
     local = refs.where(F.col("attr").isin("href", "conref") & ~T.is_external("value", "scope"))
-    return local.withColumns({"target": F.coalesce(T.resolve(T.dirname("doc"), "value"), F.col("doc")), "topic": T.topic_id("value"), "elem": T.element_id("value")})
+    elem = T.element_id("value")
+    return local.withColumns({"target": F.coalesce(T.resolve(T.dirname("doc"), "value"), F.col("doc")), "topic": F.when(T.fragment("value") != "", T.topic_id("value")), "elem": F.when(elem != "", elem)})
 
 
 def missing_files(refs: DataFrame, paths: DataFrame) -> DataFrame:
     """Local references whose file is not in ``paths`` (path)."""
-    t = with_targets(refs)
-    return t.join(paths.select(F.col("path").alias("target")).distinct(), "target", "left_anti")
+    return with_targets(refs).join(big(paths.select(F.col("path").alias("target")).distinct()), "target", "left_anti")
+
+
+def target_offsets(refs: DataFrame, docs: DataFrame) -> DataFrame:
+    """References to an existing file that name a topic, with target_off: where the topic's id begins in the target, or the
+    element's after it; null where either is missing."""
+    t = with_targets(refs).where("topic IS NOT NULL").join(big(docs.select(F.col("path").alias("target")).distinct()), "target", "left_semi")
+    ids = id_positions(docs).select(F.col("doc").alias("target"), "id", "off").distinct()
+    first = ids.groupBy("target", F.col("id").alias("topic")).agg(F.min("off").alias("topic_off"))
+    t = t.join(big(first), ["target", "topic"], "left")
+    # The places of an id in one file, in order: bounded by the file.
+    places = ids.groupBy("target", F.col("id").alias("elem")).agg(F.sort_array(F.collect_list("off")).alias("offs"))
+    t = t.join(big(places), ["target", "elem"], "left")
+    after = F.get(F.filter("offs", lambda o: o >= F.col("topic_off")), 0)
+    return t.withColumn("target_off", F.when(F.col("elem").isNull(), F.col("topic_off")).otherwise(after)).drop("topic_off", "offs")
 
 
 def missing_ids(refs: DataFrame, docs: DataFrame) -> DataFrame:
     """References to an existing .dita or .xml file whose topic id, or element id after it, does not occur there."""
-    t = with_targets(refs).where(F.col("topic").isNotNull() & (F.col("topic") != "") & F.col("target").rlike(r"(?i)\.(dita|xml)$"))
-    t = t.join(docs.select(F.col("path").alias("target")), "target", "left_semi")
-    ids = id_positions(docs).select(F.col("doc").alias("target"), "id", "off")
-    first = ids.groupBy("target", F.col("id").alias("topic")).agg(F.min("off").alias("topic_off"))
-    last = ids.groupBy("target", F.col("id").alias("elem")).agg(F.max("off").alias("elem_off"))
-    j = t.join(first, ["target", "topic"], "left").join(last, ["target", "elem"], "left")
-    return j.where(F.col("topic_off").isNull() | (F.col("elem").isNotNull() & (F.col("elem_off").isNull() | (F.col("elem_off") < F.col("topic_off"))))).drop("topic_off", "elem_off")
+    return target_offsets(refs.where(F.coalesce(F.nullif(T.path_part("value"), F.lit("")), F.col("doc")).rlike(r"(?i)\.(dita|xml)$")), docs).where("target_off IS NULL").drop("target_off")
 
 
 def undefined_keys(refs: DataFrame, keys: DataFrame) -> DataFrame:
     """Key references (the part before a slash) that no key space of the document's folder defines. keys: scope_dir, key."""
     k = refs.where(F.col("attr").isin("keyref", "conkeyref")).withColumns({"key": F.split_part("value", F.lit("/"), F.lit(1)), "scope_dir": T.dirname("doc")})
-    return k.where("key <> ''").join(keys.select("scope_dir", "key").distinct(), ["scope_dir", "key"], "left_anti")
+    return k.where("key <> ''").join(big(keys.select("scope_dir", "key").distinct()), ["scope_dir", "key"], "left_anti")
 
 
 def diagnostics(docs: DataFrame, keys: DataFrame, extra_paths: DataFrame | None = None) -> DataFrame:
-    """diagnostics(doc, value_start, value_end, severity, code, value) of all documents."""
-    refs = collect_refs(docs)
+    """diagnostics(doc, value_start, value_end, severity, code, value) of all documents. References are collected once."""
+    refs = written(docs.sparkSession, collect_refs(docs).where("value <> ''"))
     paths = docs.select("path")
     paths = paths.unionByName(extra_paths.select("path")) if extra_paths is not None else paths
     row = lambda df, severity, code: df.select("doc", "value_start", "value_end", F.lit(severity).alias("severity"), F.lit(code).alias("code"), "value")
     return row(undefined_keys(refs, keys), "warning", "undefined-key").unionByName(row(missing_files(refs, paths), "error", "missing-file")).unionByName(row(missing_ids(refs, docs), "warning", "missing-id"))
+
+
+# ---------------------------------------------------------------- where references lead
+
+
+def map_links(maps: DataFrame) -> DataFrame:
+    """(doc, k, target): the local .ditamap hrefs of each map, in text order, malformed maps included."""
+    pattern = re.compile(MAP_LINK)
+    found = _scan(maps, lambda text: ((k, m[1]) for k, m in enumerate(pattern.finditer(text))), "k int, value string")
+    return found.where(~T.is_external("value", F.lit(None))).select("doc", "k", T.resolve(T.dirname("doc"), "value").alias("target"))
+
+
+def key_search_order(visible: DataFrame, maps: DataFrame, most: int | None = 50) -> DataFrame:
+    """(scope_dir, map_path, rank): maps in the order in which a folder searches them for a key: those it sees, nearest first,
+    then breadth-first those that they link to; the first ``most`` of them (all for None).
+
+    visible: from ``keys.visible_maps``; maps: path, content. Rounds are written and end when no new map is found.
+    """
+    spark = maps.sparkSession
+    links = written(spark, map_links(maps).join(big(maps.select(F.col("path").alias("target"))), "target"))
+    at = F.row_number().over(Window.partitionBy("scope_dir").orderBy("distance", "map_path"))
+    last = written(spark, visible.select("scope_dir", "map_path", F.lit(0).alias("hop"), F.array(at).alias("way")))
+    known = last
+    while not last.isEmpty():
+        new = last.join(big(links.select(F.col("doc").alias("map_path"), "k", "target")), "map_path")
+        new = new.groupBy("scope_dir", F.col("target").alias("map_path")).agg((F.min("hop") + 1).alias("hop"), F.min(F.concat("way", F.array("k"))).alias("way"))
+        last = written(spark, new.join(big(known.select("scope_dir", "map_path")), ["scope_dir", "map_path"], "left_anti"))
+        known = known.unionByName(last)
+    ranked = known.withColumn("rank", F.row_number().over(Window.partitionBy("scope_dir").orderBy("hop", "way")))
+    return (ranked.where(F.col("rank") <= most) if most else ranked).select("scope_dir", "map_path", "rank")
+
+
+def key_locations(order: DataFrame, maps: DataFrame) -> DataFrame:
+    """(scope_dir, key, map_path, off): where a folder finds each key defined. order: from ``key_search_order``."""
+    j = order.join(big(key_positions(maps).withColumnRenamed("doc", "map_path")), "map_path")
+    best = j.groupBy("scope_dir", "key").agg(F.min_by(F.struct("map_path", "off"), "rank").alias("b"))
+    return best.select("scope_dir", "key", "b.*")
+
+
+def definitions(refs: DataFrame, docs: DataFrame, locations: DataFrame) -> DataFrame:
+    """refs with target and the 0-based target_line and target_col that each leads to; references that lead nowhere are left out.
+
+    Key references lead to their key's definition; others to the id that their fragment names, or to the top of the
+    file without a fragment or where it names nothing. docs (path, content) holds topics and maps.
+    """
+    cols = ("doc", "tag", "attr", "value", "value_start", "value_end")
+    k = refs.where(F.col("attr").isin("keyref", "conkeyref")).withColumns({"key": F.split_part("value", F.lit("/"), F.lit(1)), "scope_dir": T.dirname("doc")})
+    k = k.join(big(locations), ["scope_dir", "key"]).select(*cols, F.col("map_path").alias("target"), "off")
+    there = big(docs.select(F.col("path").alias("target")).distinct())
+    f = with_targets(refs).where("value <> ''")
+    plain = f.where("topic IS NULL").join(there, "target", "left_semi").select(*cols, "target", F.lit(0).alias("off"))
+    inside = target_offsets(refs, docs).select(*cols, "target", F.coalesce("target_off", F.lit(0)).alias("off"))
+    all_refs = k.unionByName(plain).unionByName(inside)
+    # Lines and columns are taken once for each place, so a text is joined once however many references lead there.
+    places = all_refs.select("target", "off").distinct().groupBy("target").agg(F.collect_list("off").alias("offs"))
+    at = places.join(big(docs.select(F.col("path").alias("target"), "content")), "target").select("target", "content", F.explode("offs").alias("off"))
+    at = at.select("target", "off", T.line_of("content", "off").alias("target_line"), T.column_of("content", "off").alias("target_col"))
+    return all_refs.join(big(at), ["target", "off"]).drop("off")
+
+
+# ---------------------------------------------------------------- attribute catalogue
+
+#: Attributes that every element may carry, and those of single elements.
+UNIVERSAL_ATTRS = "id conref conkeyref keyref outputclass props audience platform product rev importance translate xml:lang".split()
+_REFERENCE = "href keys keyref navtitle format scope processing-role toc type collection-type"
+TAG_ATTRS = {tag: names.split() for tag, names in {
+    "xref": "href format scope type", "link": "href format scope type", "image": "href height width placement align scale", "note": "type othertype",
+    "topicref": _REFERENCE, "keydef": "keys href format scope processing-role", "mapref": "href format processing-role", "chapter": _REFERENCE, "part": _REFERENCE, "appendix": _REFERENCE,
+    "preface": _REFERENCE, "glossaryref": _REFERENCE, "topichead": "navtitle collection-type", "table": "frame colsep rowsep pgwide", "tgroup": "cols", "colspec": "colname colwidth colnum",
+    "entry": "colname namest nameend morerows valign align", "codeblock": "outputclass scale", "ph": "keyref", "keyword": "keyref", "term": "keyref", "lq": "href reftitle", "fig": "frame expanse", "section": "spectitle",
+}.items()}
+
+
+def attributes_of(tag):
+    """The attributes known for a tag: its own first, then the universal ones, each once."""
+    table = F.create_map(*[x for t, names in TAG_ATTRS.items() for x in (F.lit(t), F.array(*map(F.lit, names)))])
+    return F.array_union(F.coalesce(F.try_element_at(table, F.col(tag) if isinstance(tag, str) else tag), F.array().cast("array<string>")), F.array(*map(F.lit, UNIVERSAL_ATTRS)))
+
+
+def unknown_attributes(nodes: DataFrame) -> DataFrame:
+    """(tag, attr, n): attributes in use that the catalogue does not know for their tag."""
+    used = nodes.where("type = 'element'").select("tag", F.explode(F.map_keys("attrs")).alias("attr")).groupBy("tag", "attr").agg(F.count("*").alias("n"))
+    return used.where(~F.array_contains(attributes_of("tag"), F.col("attr")))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable, Iterator
+from itertools import islice
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shred import bucket_of, derive_base_type
+from ..sources.store import big, written
 
 
 def _before_first(html: Column, mark: str, insert) -> Column:
@@ -23,11 +28,68 @@ def inject_assets(html, depth, css: str = "site.css", script: str = "site.js", m
 
 
 def toc_items(pages: DataFrame) -> DataFrame:
-    """(page, pos, id, title): sections with an id and an h2 or h3 section title; pages with fewer than two have none."""
-    pat = r'<section[^>]*\bid="([^"]+)"[^>]*>\s*<h[23][^>]*class="[^"]*sectiontitle[^"]*"[^>]*>([^<]*)</h[23]>'
-    p = pages.select("page", F.posexplode(F.arrays_zip(F.regexp_extract_all("html", F.lit(pat), F.lit(1)).alias("id"), F.regexp_extract_all("html", F.lit(pat), F.lit(2)).alias("title"))).alias("pos", "x"))
-    p = p.select("page", "pos", "x.id", "x.title").withColumn("__n", F.count("*").over(Window.partitionBy("page")))
-    return p.where("__n >= 2").drop("__n")
+    """(page, pos, id, title): sections with an id and an h2 or h3 section title, after the first h1 with an id if there is any
+    section; pages with fewer than two items have none. Pages need not be well-formed; titles may hold markup."""
+    name, kind = next((f.name, f.dataType.simpleString()) for f in pages.schema.fields if f.name == "page")
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            rows = [(page, pos, *item) for page, html in zip(b.column(0), b.column(1)) for pos, item in enumerate(_page_items(html.as_py() or ""))]
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in cols[0]], b.column(0).type), *(pa.array(c, k) for c, k in zip(cols[1:], (pa.int32(), pa.string(), pa.string())))], ["page", "pos", "id", "title"])
+
+    return pages.select(name, "html").mapInArrow(run, f"page {kind}, pos int, id string, title string")
+
+
+def _page_items(html: str) -> list[tuple[str, str]]:
+    """(id, title) of one page."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.sections: list[list] = []  # [id, title or None] of open sections, '' without an id
+            self.done: list[list] = []
+            self.top: list | None = None
+            self.into: list | None = None
+            self.until = ""
+
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            if tag == "section":
+                self.sections.append([a.get("id") or "", None])
+                if self.sections[-1][0]:
+                    self.done.append(self.sections[-1])
+            elif tag in ("h2", "h3") and "sectiontitle" in (a.get("class") or "").split():
+                # A section's title may lie in a section inside it, so every open one without a title takes this one.
+                waiting = [s for s in self.sections if s[0] and s[1] is None]
+                if waiting:
+                    self.into, self.until = [], tag
+                    for s in waiting:
+                        s[1] = self.into
+            elif tag == "h1" and a.get("id") and self.top is None:
+                self.into, self.until = [], tag
+                self.top = [a["id"], self.into]
+
+        def handle_endtag(self, tag):
+            if tag == "section" and self.sections:
+                self.sections.pop()
+            elif self.into is not None and tag == self.until:
+                self.into = None
+
+        def handle_data(self, data):
+            if self.into is not None:
+                self.into.append(data)
+
+    reader = Reader()
+    reader.feed(html)
+    reader.close()
+    items = [(i, "".join(t)) for i, t in reader.done if t is not None]
+    if items and reader.top:
+        items.insert(0, (reader.top[0], "".join(reader.top[1])))
+    return items if len(items) > 1 else []
 
 
 def code_languages(pages: DataFrame) -> DataFrame:
@@ -37,22 +99,70 @@ def code_languages(pages: DataFrame) -> DataFrame:
     return pages.select(cls.alias("cls")).groupBy(F.when(lang != "", lang).otherwise("code").alias("lang")).agg(F.count("*").alias("n"))
 
 
+def source_languages(nodes: DataFrame) -> DataFrame:
+    """(lang, n): languages of code blocks in documents, by their outputclass."""
+    lang = F.regexp_replace(F.coalesce(F.col("attrs")["outputclass"], F.lit("")), "^language-", "")
+    return nodes.where("base = 'topic/codeblock'").groupBy(F.when(lang != "", lang).otherwise("code").alias("lang")).agg(F.count("*").alias("n"))
+
+
+def pattern_error(term: str, regex: bool = True) -> str | None:
+    """What is wrong with a user's pattern; null if nothing is."""
+    import re
+
+    try:
+        re.compile(term if regex else re.escape(term))
+    except re.error as e:
+        return str(e)
+    return None
+
+
 def search(docs: DataFrame, term: str, regex: bool = False, case_sensitive: bool = False, most: int = 1000) -> DataFrame:
     """(doc, n, total, start, end): the first ``most`` matches in each text, numbered. Offsets are code points.
 
-    An empty or invalid pattern matches nothing; so do empty matches.
+    An empty or invalid pattern matches nothing (``pattern_error`` says why); empty matches are passed over. Letters of all
+    scripts compare without case unless ``case_sensitive``.
     """
-    if regex:
-        try:
-            docs.sparkSession._jvm.java.util.regex.Pattern.compile(term)
-        except Exception:
-            term = ""
-    pattern = ("" if case_sensitive else "(?i)") + (term if regex else "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E")
-    d = docs.where(F.col("content").isNotNull() & F.lit(bool(term))).select("doc", "content").where(F.col("content").rlike(pattern))
-    hits, gaps = F.regexp_extract_all("content", F.lit(pattern), F.lit(0)), F.split("content", pattern)
-    d = d.select("doc", F.slice(F.filter(F.arrays_zip(hits.alias("h"), F.transform(gaps, lambda g: F.length(g)).alias("g")), lambda x: F.coalesce(F.length(x["h"]), F.lit(0)) > 0), 1, most).alias("m"))
-    walk = F.aggregate("m", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out")), lambda a, x: F.struct((a["at"] + x["g"] + F.length(x["h"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("s"), (a["at"] + x["g"] + F.length(x["h"])).alias("e")))).alias("out")))["out"]
-    return d.select("doc", F.size("m").alias("total"), F.posexplode(walk).alias("k", "x")).select("doc", (F.col("k") + 1).alias("n"), "total", F.col("x.s").alias("start"), F.col("x.e").alias("end"))
+    import re
+
+    usable = bool(term) and pattern_error(term, regex) is None
+    pattern = re.compile((term if regex else re.escape(term)) if usable else "(?!)", 0 if case_sensitive else re.IGNORECASE)
+    kind = docs.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            at, starts, ends, numbers, totals = [], [], [], [], []
+            for row, text in enumerate(b.column(1)):
+                found = list(islice(((m.start(), m.end()) for m in pattern.finditer(text.as_py() or "") if m.end() > m.start()), most))
+                at += [row] * len(found)
+                numbers += range(1, len(found) + 1)
+                totals += [len(found)] * len(found)
+                starts += (s for s, _ in found)
+                ends += (e for _, e in found)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(x, pa.int32()) for x in (numbers, totals, starts, ends))], ["doc", "n", "total", "start", "end"])
+
+    return docs.where(F.lit(usable)).select("doc", "content").mapInArrow(run, f"doc {kind}, n int, total int, start int, end int")
+
+
+# ---------------------------------------------------------------- images
+
+#: Media types of images by extension.
+IMAGE_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "webp": "image/webp"}
+
+
+def data_uris(refs: DataFrame, assets: DataFrame) -> DataFrame:
+    """refs (doc, href, ...) with ``uri``: the image that a href names as a data URI, '' where there is no such file. assets: path,
+    content (binary)."""
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in IMAGE_TYPES.items() for x in kv]), ext), F.lit("application/octet-stream"))
+    uri = F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.regexp_replace(F.base64("content"), r"\s", ""))
+    drawn = assets.select(F.col("path").alias("__target"), uri.alias("uri"))
+    j = refs.withColumn("__target", T.resolve(T.dirname("doc"), "href")).join(big(drawn), "__target", "left")
+    return j.withColumn("uri", F.coalesce("uri", F.lit(""))).drop("__target")
+
+
+# ---------------------------------------------------------------- lookups and catalogues
 
 
 def layered_lookup(candidates: DataFrame) -> DataFrame:
@@ -64,7 +174,7 @@ def catalogue_diff(code: DataFrame, found: DataFrame) -> DataFrame:
     """(tag, status, code_type, found_type) of two tag catalogues (tag, base_type): matched, conflict, only-new, only-code."""
     a, b = code.select("tag", F.col("base_type").alias("code_type")), found.select("tag", F.col("base_type").alias("found_type"))
     status = F.when(F.col("code_type").isNull(), "only-new").when(F.col("found_type").isNull(), "only-code").when(F.col("code_type") == F.col("found_type"), "matched").otherwise("conflict")
-    return a.join(b, "tag", "full_outer").withColumn("status", status)
+    return a.join(big(b), "tag", "full_outer").withColumn("status", status)
 
 
 def declared_conflicts(declared: DataFrame) -> DataFrame:
@@ -72,13 +182,105 @@ def declared_conflicts(declared: DataFrame) -> DataFrame:
     return declared.groupBy("tag", "bucket").agg(F.count_distinct("base_type").alias("n_types"), F.max_by("base_type", "ord").alias("base_type"))
 
 
+def schema_files(files: DataFrame) -> DataFrame:
+    """The schema files of a folder listing (path, ...): .mod, .ent and .dtd below base, technicalContent or bookmap, without
+    foreign namespaces."""
+    parts = F.split("path", "/")
+    return files.where(F.col("path").rlike(r"\.(mod|ent|dtd)$") & F.exists(parts, lambda p: p.isin("base", "technicalContent", "bookmap")) & ~F.exists(parts, lambda p: p.isin("mathml", "svg")))
+
+
 def scan_classes(files: DataFrame) -> DataFrame:
-    """(path, line, tag, class_value) declared by ATTLISTs in schema files (path, content), parameter entities resolved."""
-    c = F.col("content")
-    ent = lambda g: F.regexp_extract_all(c, F.lit(r'<!ENTITY\s+%\s+([\w.-]+)\s+"([^"]*)"\s*>'), F.lit(g))
-    body = F.aggregate(F.arrays_zip(ent(1).alias("n"), ent(2).alias("v")), c, lambda acc, e: F.replace(acc, F.concat(F.lit("%"), e["n"], F.lit(";")), e["v"]))
-    pat = r'<!ATTLIST\s+(\([^)]*\)|[\w.-]+)[^>]*?\sclass\s+CDATA\s+"([^"]*)"'
-    b = files.select("path", body.alias("body"))
-    x = b.select("path", "body", F.explode(F.arrays_zip(F.regexp_extract_all("body", F.lit(pat), F.lit(0)).alias("m"), F.regexp_extract_all("body", F.lit(pat), F.lit(1)).alias("names"), F.regexp_extract_all("body", F.lit(pat), F.lit(2)).alias("value"))).alias("x"))
-    line = T.line_of("body", F.instr("body", F.col("x.m")) - 1)
-    return x.select("path", line.alias("line"), F.explode(F.split(F.regexp_replace("x.names", r"[()\s]", ""), r"\|")).alias("tag"), F.col("x.value").alias("class_value")).where("tag <> ''")
+    """(path, line, ord, tag, class_value) declared by ATTLISTs in schema files (path, content), parameter entities resolved. Lines
+    are 1-based; of several definitions of an entity the last counts; an unknown one stays as it is."""
+    import re
+
+    entity = re.compile(r'<!ENTITY\s+%\s+([A-Za-z0-9_.\-]+)\s+"((?:[^"\\]|\\.)*)"\s*>')
+    attlist, cls, use = re.compile(r"<!ATTLIST\s+(\([^)]*\)|[^\s>]+)([^>]*)>"), re.compile(r'\bclass\s+CDATA\s+"([^"]*)"'), re.compile(r"%([A-Za-z0-9_.\-]+);")
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            rows = []
+            for path, text in zip(b.column(0).to_pylist(), b.column(1)):
+                text = text.as_py() or ""
+                known = {m[1]: m[2] for m in entity.finditer(text)}
+                line, at, k = 1, 0, 0
+                for m in attlist.finditer(text):
+                    line, at = line + text.count("\n", at, m.start()), m.start()
+                    if c := cls.search(m[2]):
+                        value = use.sub(lambda x: known.get(x[1], x[0]), c[1])
+                        for tag in filter(None, (t.strip() for t in m[1].strip("()").split("|"))):
+                            rows.append((path, line, k, tag, value))
+                            k += 1
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, kinds)], ["path", "line", "ord", "tag", "class_value"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, line int, ord int, tag string, class_value string")
+
+
+def schema_catalogue(declared: DataFrame) -> DataFrame:
+    """(tag, bucket, base_type, n_types, path, line) from ``scan_classes``: the base type of each tag on the topic and on the map
+    side. Declarations that stand for no base type and other sides are left out; the last of several counts."""
+    d = declared.withColumn("base_type", derive_base_type("class_value")).where("base_type IS NOT NULL").withColumn("bucket", bucket_of("base_type")).where("bucket <> 'other'")
+    last = F.max_by(F.struct("base_type", "path", "line"), F.struct("path", "line", "ord"))
+    return d.groupBy("tag", "bucket").agg(last.alias("b"), F.count_distinct("base_type").alias("n_types")).select("tag", "bucket", "b.base_type", "n_types", "b.path", "b.line")
+
+
+def known_types(*tables: DataFrame) -> DataFrame:
+    """(base_type): the base types in use in several catalogues, each once."""
+    out = tables[0].select("base_type")
+    for t in tables[1:]:
+        out = out.unionByName(t.select("base_type"))
+    return out.distinct()
+
+
+def missing_renderers(found: DataFrame, known: DataFrame, rendered: DataFrame) -> DataFrame:
+    """(base_type, tag): base types of ``found`` (tag, base_type) that neither ``known`` nor ``rendered`` (base_type) holds, with
+    their first tag."""
+    new = found.join(big(known.select("base_type").distinct()), "base_type", "left_anti").join(big(rendered.select("base_type").distinct()), "base_type", "left_anti")
+    return new.groupBy("base_type").agg(F.min("tag").alias("tag"))
+
+
+def schema_audit(files: DataFrame, code: DataFrame, rendered: DataFrame) -> DataFrame:
+    """The audit of schema files (path, content) against a catalogue (tag, bucket, base_type): one row per side and finding:
+    side, finding (matched, conflict, only-new, only-code, duplicate, missing-renderer), n, sample (the first tag)."""
+    found = written(files.sparkSession, schema_catalogue(scan_classes(files)))
+    known, parts = written(files.sparkSession, known_types(code)), []
+    for side in ("topic", "map"):
+        mine = found.where(F.col("bucket") == side)
+        diff = catalogue_diff(code.where(F.col("bucket") == side), mine).select("tag", F.col("status").alias("finding"))
+        new = catalogue_diff(code.where(F.col("bucket") == side), mine).where("status = 'only-new'").select("tag", F.col("found_type").alias("base_type"))
+        rows = diff.unionByName(mine.where("n_types > 1").select("tag", F.lit("duplicate").alias("finding"))).unionByName(missing_renderers(new, known, rendered).select("tag", F.lit("missing-renderer").alias("finding")))
+        parts.append(rows.groupBy("finding").agg(F.count("*").alias("n"), F.min("tag").alias("sample")).select(F.lit(side).alias("side"), "finding", "n", "sample"))
+    return parts[0].unionByName(parts[1])
+
+
+def write_catalogue(catalogue: DataFrame, folder: str) -> None:
+    """Sink: the catalogue as JSON lines, sorted by tag."""
+    catalogue.orderBy("bucket", "tag").write.mode("overwrite").json(folder)
+
+
+def diff_report(diff: DataFrame, side: str) -> DataFrame:
+    """(section, ord, line): the lines of a markdown report of a catalogue diff, by finding and tag."""
+    told = F.concat(F.lit("- `"), "tag", F.lit("`: "), F.concat_ws(" vs ", "code_type", "found_type"))
+    head = diff.groupBy("status").agg(F.count("*").alias("n")).select(F.col("status").alias("section"), F.lit("").alias("ord"), F.concat(F.lit(f"## {side}: "), "status", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("line"))
+    return head.unionByName(diff.select(F.col("status").alias("section"), F.col("tag").alias("ord"), told.alias("line"))).orderBy("section", "ord")
+
+
+def style_candidates(docs: DataFrame, styles: DataFrame, configured: DataFrame | None = None) -> DataFrame:
+    """candidates(scope, name, layer, path) for ``layered_lookup``: style files (path) of every folder from a document's own up to the
+    root, nearest first, and of the folders that are configured for it (scope, dir), which come last; each folder once."""
+    parts = F.filter(F.split("scope", "/"), lambda x: x != "")
+    up = docs.select(T.dirname("path").alias("scope")).distinct()
+    up = up.select("scope", F.posexplode(F.transform(F.sequence(F.size(parts), F.lit(0)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("layer", "dir"))
+    if configured is not None:
+        up = up.unionByName(configured.select("scope", F.lit(1 << 20).alias("layer"), "dir"))
+    up = up.groupBy("scope", "dir").agg(F.min("layer").alias("layer"))
+    files = styles.select("path", T.dirname("path").alias("dir"), T.basename("path").alias("name"))
+    return up.join(big(files), "dir").select("scope", "name", "layer", "path")
+
+
+def default_style(found: DataFrame, preferred: str = "custom.css") -> DataFrame:
+    """(scope, path): the style that a scope uses unless it chooses: the preferred name, else the first."""
+    return found.groupBy("scope").agg(F.min_by("path", F.struct(F.col("name") != preferred, "layer", "name")).alias("path"))

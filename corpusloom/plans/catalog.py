@@ -6,40 +6,24 @@ take them apart with the operators, and must agree with SQL on the base tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import documents as D
 from ..operators import keys as K
+from ..operators import map_html as H
 from ..operators import maps as M
 from ..operators import refs as R
 from ..operators import site as S
 from ..sources import shred as X
+from ..sources.store import big, written
 from ..streaming import changes as C
 from . import corpus
 from .corpus import cat, table
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 FLAGSHIP = "diagnostics_by_code"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def _pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("content"), "page_id", "html")
 
@@ -128,7 +112,7 @@ UNION ALL SELECT 'prolog', count(DISTINCT l_orderkey) FROM lineitem UNION ALL SE
 UNION ALL SELECT 'body', count(DISTINCT l_orderkey) FROM lineitem UNION ALL SELECT 'p', count(*) FROM lineitem
 UNION ALL SELECT 'xref', count(*) FROM lineitem UNION ALL SELECT 'keyword', count(*) FROM lineitem""")
 def element_counts(spark, sf_dir):
-    return X.shred(corpus.order_topics(spark, sf_dir)).where("type = 'element'").groupBy("tag").agg(F.count("*").alias("n"))
+    return X.stored_nodes(spark, corpus.order_topics(spark, sf_dir)).where("type = 'element'").groupBy("tag").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -158,19 +142,19 @@ def entity_names(spark, sf_dir):
 
 @query("SELECT 'topics/o' || l_orderkey || '.dita' AS doc, 'o' || l_orderkey AS id, 'Order ' || l_orderkey AS title FROM lineitem GROUP BY l_orderkey")
 def topic_titles(spark, sf_dir):
-    return D.title_map(X.shred(corpus.order_topics(spark, sf_dir)))
+    return D.title_map(X.stored_nodes(spark, corpus.order_topics(spark, sf_dir)))
 
 
 @query("""
 SELECT 'parts/p' || p_partkey || '.dita' AS doc, 0 AS depth, p_name AS name, 'topic' AS kind FROM part WHERE p_size % 2 = 0""")
 def topic_outline(spark, sf_dir):
-    return D.topic_outline(X.shred(corpus.part_topics(spark, sf_dir))).select("doc", "depth", "name", "kind")
+    return D.topic_outline(X.stored_nodes(spark, corpus.part_topics(spark, sf_dir))).select("doc", "depth", "name", "kind")
 
 
 @query("""
 SELECT 'topics/o' || l_orderkey || '.dita' AS doc, 'Order ' || l_orderkey AS own FROM lineitem GROUP BY l_orderkey""")
 def suppressed_text(spark, sf_dir):
-    nodes = D.suppress(X.shred(corpus.order_topics(spark, sf_dir)))
+    nodes = D.suppress(X.stored_nodes(spark, corpus.order_topics(spark, sf_dir)))
     text = D.element_text(nodes)
     root = nodes.where("depth = 0").select("doc", "pre").join(text, ["doc", "pre"])
     return root.select("doc", T.js_trim("own").alias("own"))
@@ -181,18 +165,17 @@ SELECT 'topics/o' || l_orderkey || '.dita' AS doc, '../parts/p' || l_partkey ||
        CASE WHEN p_size % 4 = 0 THEN p_name ELSE '../parts/p' || l_partkey || '.dita#p' || l_partkey END AS shown, count(*) AS n
 FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY ALL""")
 def xref_titles(spark, sf_dir):
-    nodes = X.shred(corpus.order_topics(spark, sf_dir).unionByName(corpus.part_topics(spark, sf_dir)))
+    nodes = X.stored_nodes(spark, corpus.order_topics(spark, sf_dir).unionByName(corpus.part_topics(spark, sf_dir)))
     return D.xref_titles(nodes).groupBy("doc", "href", "shown").agg(F.count("*").alias("n"))
 
 
 @query("""
-SELECT 'topics/o' || l_orderkey || '.dita' AS doc, md5('<article><h1 class="title">Order ' || l_orderkey || '</h1><div class="body">' || chr(10) ||
-  string_agg('<p><span class="xref">' || x || '</span><span class="keyword"></span></p>', '' ORDER BY l_linenumber, l_partkey, l_suppkey) || chr(10) || '</div></article>') AS hash
+SELECT 'topics/o' || l_orderkey || '.dita' AS doc, md5('<article id="o' || l_orderkey || '" class="topic"><h1>Order ' || l_orderkey || '</h1><main class="body">' || chr(10) ||
+  string_agg('<p><span class="xref-external">→ ' || x || '</span><span class="keyword"></span></p>', '' ORDER BY l_linenumber, l_partkey, l_suppkey) || chr(10) || '</main></article>') AS hash
 FROM (SELECT *, CASE WHEN p_size % 4 = 0 THEN p_name ELSE '../parts/p' || l_partkey || '.dita#p' || l_partkey END AS x FROM lineitem LEFT JOIN part ON p_partkey = l_partkey) GROUP BY l_orderkey""")
 def topic_html(spark, sf_dir):
-    topics = X.shred(corpus.order_topics(spark, sf_dir))
-    both = topics.unionByName(X.shred(corpus.part_topics(spark, sf_dir)))
-    return D.topic_html(topics, D.xref_titles(both).where("doc LIKE 'topics/%'")).select("doc", F.md5("html").alias("hash"))
+    both = X.stored_nodes(spark, corpus.order_topics(spark, sf_dir).unionByName(corpus.part_topics(spark, sf_dir)))
+    return D.topic_html(both.where("doc LIKE 'topics/%'"), targets=both).select("doc", F.md5("html").alias("hash"))
 
 
 @query("""
@@ -201,7 +184,7 @@ def conref_text(spark, sf_dir):
     c = F.col
     parts = table(spark, sf_dir, "part").where("p_size % 2 = 0")
     users = parts.select(cat("copy/p", c("p_partkey"), ".dita").alias("path"), cat('<topic id="c"><title>C</title><body><p conref="../parts/p', c("p_partkey"), ".dita#p", c("p_partkey"), '">literal</p></body></topic>').alias("content"))
-    return D.conref_text(X.shred(users.unionByName(corpus.part_topics(spark, sf_dir)))).select("doc", "shown", "resolved")
+    return D.conref_text(X.stored_nodes(spark, users.unionByName(corpus.part_topics(spark, sf_dir)))).select("doc", "shown", "resolved")
 
 
 @query("""
@@ -210,7 +193,7 @@ SELECT 'tables/t' || l_orderkey || '.dita' AS doc, CAST(k AS BIGINT) AS "row", c
   SELECT 1 AS cell, 1 AS col, CASE WHEN l_linenumber % 2 = 0 THEN 2 ELSE 1 END AS colspan, 1 AS rowspan, CAST(l_partkey AS VARCHAR) AS txt
   UNION ALL SELECT 2, 3, 1, l_linenumber % 3 + 1, CAST(l_suppkey AS VARCHAR)) ON true""")
 def cals_cells(spark, sf_dir):
-    cells = D.cals_cells(X.shred(corpus.table_topics(spark, sf_dir)))
+    cells = D.cals_cells(X.stored_nodes(spark, corpus.table_topics(spark, sf_dir)))
     return cells.select("doc", F.col("row").cast("long").alias("row"), "cell", "col", "colspan", "rowspan", "text")
 
 
@@ -218,27 +201,33 @@ def cals_cells(spark, sf_dir):
 SELECT 'tables/t' || l_orderkey || '.dita' AS doc, col, width FROM (SELECT DISTINCT l_orderkey FROM lineitem)
 CROSS JOIN (VALUES (1, '33.33%'), (2, '66.67%'), (3, '120px')) AS w(col, width)""")
 def cals_widths(spark, sf_dir):
-    return D.cals_columns(X.shred(corpus.table_topics(spark, sf_dir))).select("doc", "col", "width")
+    return D.cals_columns(X.stored_nodes(spark, corpus.table_topics(spark, sf_dir))).select("doc", "col", "width")
 
 
 @query("""
-SELECT 'topics/o' || l_orderkey || '.dita' AS doc, 1 AS line, CASE WHEN count(*) = 1 THEN 'keyword' ELSE 'keyword' END AS tag FROM lineitem GROUP BY l_orderkey""")
+SELECT 'topics/o' || o || '.dita' AS doc, line, col, tag, exact FROM (SELECT DISTINCT l_orderkey AS o FROM lineitem)
+CROSS JOIN (VALUES (0, 0, 'topic', true), (0, 1, 'topic', true), (1, 1, 'p', true), (1, 5, 'xref', true), (2, 1, 'body', true), (2, 9, 'topic', true), (3, 0, 'p', false)) AS v(line, col, tag, exact)""")
 def position_element(spark, sf_dir):
+    """Seven places in every topic: ends of ranges, columns that tell siblings from parents, and one after the end."""
     topics = corpus.order_topics(spark, sf_dir)
-    nodes = X.shred(topics)
-    return D.elements_at(topics.select(F.col("path").alias("doc"), F.lit(1).alias("line")), nodes).select("doc", "line", "tag")
+    places = F.explode(F.array(*[F.struct(F.lit(line).alias("line"), F.lit(col).alias("col")) for line, col in ((0, 0), (0, 1), (1, 1), (1, 5), (2, 1), (2, 9), (3, 0))]))
+    points = topics.select(F.col("path").alias("doc"), places.alias("x")).select("doc", "x.*")
+    return D.elements_at(points, X.stored_nodes(spark, topics)).select("doc", "line", "col", "tag", "exact")
 
 
 # ------------------------------------------------------------------ references
 
 
+def _topics_dir(spark):
+    return spark.createDataFrame([("topics",)], "scope_dir string")
+
+
 def _keys(spark, sf_dir):
     """The key spaces of the topics folder: nearer maps first, then those at the root (which expand to maps/)."""
     maps = corpus.key_maps(spark, sf_dir)
-    nodes = X.shred(maps)
+    nodes = X.stored_nodes(spark, maps)
     definitions = K.key_definitions(M.expand_maps(nodes), nodes)
-    visible = K.visible_maps(spark.createDataFrame([("topics",)], "scope_dir string"), maps)
-    return K.key_space(visible, definitions)
+    return written(spark, K.key_space(K.visible_maps(_topics_dir(spark), maps), definitions))
 
 
 _MISSING_FILE = "SELECT count(*) AS n FROM lineitem LEFT JOIN part ON p_partkey = l_partkey WHERE p_size IS NULL OR p_size % 2 <> 0"
@@ -286,7 +275,7 @@ def key_space_nearest(spark, sf_dir):
 SELECT 's' || l_suppkey AS key, CASE WHEN s_suppkey % 5 = 0 THEN 'near ' || s_name WHEN s_suppkey % 3 <> 0 THEN s_name ELSE '' END AS shown, count(*) AS n
 FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL""")
 def keyref_text(spark, sf_dir):
-    nodes = X.shred(corpus.order_topics(spark, sf_dir))
+    nodes = X.stored_nodes(spark, corpus.order_topics(spark, sf_dir))
     uses = nodes.where("tag = 'keyword'").join(D.element_text(nodes), ["doc", "pre"]).select(T.dirname("doc").alias("scope_dir"), F.col("attrs")["keyref"].alias("key"), "tag", "own")
     return K.resolve_keyrefs(uses, _keys(spark, sf_dir)).groupBy("key", "shown").agg(F.count("*").alias("n"))
 
@@ -305,7 +294,8 @@ def owning_map(spark, sf_dir):
 
 def _entries(spark, sf_dir):
     maps = corpus.book_maps(spark, sf_dir)
-    return M.map_entries(M.expand_maps(X.shred(maps), maps.where("path LIKE 'maps/r%'")))
+    nodes = X.stored_nodes(spark, maps)
+    return M.map_entries(M.expand_maps(nodes, maps.where("path LIKE 'maps/r%'")), nodes)
 
 
 _BOOK = """
@@ -353,15 +343,20 @@ def rel_pairs(spark, sf_dir):
     side = lambda k: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(c("c_custkey") % 2 == k, c("c_custkey")))), lambda x: F.concat(F.lit('<topicref href="c'), x.cast("string"), F.lit('"/>'))), "")
     rows = cu.groupBy("c_nationkey", F.expr("c_custkey div 10").alias("g")).agg(cat("<relrow><relcell>", side(0), "</relcell><relcell>", side(1), "</relcell></relrow>").alias("x"))
     maps = rows.groupBy("c_nationkey").agg(corpus.joined(c("x"), ["g"]).alias("x")).select(cat("rel/n", c("c_nationkey"), ".ditamap").alias("path"), cat("<map><reltable>", c("x"), "</reltable></map>").alias("content"))
-    return M.reltable_pairs(X.shred(maps)).select("doc", "href_a", "href_b")
+    return M.reltable_pairs(X.stored_nodes(spark, maps)).select("doc", "href_a", "href_b")
 
 
 @query(_BOOK + """
-SELECT root_map, md5(string_agg('<article><h1 class="title">' || name || '</h1></article>', chr(10) ORDER BY pos)) AS hash FROM p WHERE tag = 'topicref' GROUP BY root_map""")
+SELECT root_map, md5('<div class="ditamap-book">' || string_agg(CASE
+    WHEN depth = 0 THEN '<div class="book-entry book-entry--placeholder">' || chr(10) || '  <h1 class="book-section-heading">' || name || '</h1>' || chr(10) || '</div>'
+    WHEN c % 7 = 0 THEN '<div class="book-entry book-entry--error">' || chr(10) || '  <h2 class="book-entry-title">' || name || '</h2>' || chr(10) || '  <p class="book-error">File not found: maps/c' || c || '.dita</p>' || chr(10) || '</div>'
+    ELSE '<div class="book-entry"><article class="topic"><h2>' || name || '</h2></article></div>' END, chr(10) ORDER BY pos) || '</div>') AS hash FROM p GROUP BY root_map""")
 def book_html(spark, sf_dir):
     c = F.col
-    topics = table(spark, sf_dir, "customer").select(cat("maps/c", c("c_custkey"), ".dita").alias("path"), cat("<topic><title>", c("c_name"), "</title></topic>").alias("content"))
-    return D.book_html(_entries(spark, sf_dir), D.topic_html(X.shred(topics))).select("root_map", F.md5("html").alias("hash"))
+    topics = table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0").select(cat("maps/c", c("c_custkey"), ".dita").alias("path"), cat("<topic><title>", c("c_name"), "</title></topic>").alias("content"))
+    entries = written(spark, M.first_occurrences(_entries(spark, sf_dir)))
+    levels = entries.where("file IS NOT NULL").select(F.col("file").alias("doc"), D.heading_level("depth").alias("level")).distinct()
+    return D.book_html(entries, D.topic_html(X.stored_nodes(spark, topics), levels=levels)).select("root_map", F.md5("html").alias("hash"))
 
 
 # ------------------------------------------------------------------ functions and audits
@@ -426,10 +421,13 @@ def declared_conflicts(spark, sf_dir):
 
 
 @query("""
-SELECT 'dtd/' || p_partkey || '.mod' AS path, 1 AS line, unnest(['a' || p_partkey, 'b']) AS tag, '- topic/ph ' || p_brand || '/x ' AS class_value FROM part""")
+SELECT 'dtd/' || p_partkey || '.mod' AS path, line, unnest(['a' || p_partkey, 'b']) AS tag, '- topic/ph ' || p_brand || '/x %gone;' AS class_value
+FROM part CROSS JOIN (VALUES (2), (4)) AS v(line)""")
 def schema_scan(spark, sf_dir):
+    """Every declaration comes twice: the second one has a line of its own."""
     c = F.col
-    f = table(spark, sf_dir, "part").select(cat("dtd/", c("p_partkey"), ".mod").alias("path"), cat('<!ENTITY % dom "', c("p_brand"), '">\n<!ATTLIST (a', c("p_partkey"), ' | b) id ID #IMPLIED class CDATA "- topic/ph %dom;/x ">').alias("content"))
+    one = cat("<!ATTLIST (a", c("p_partkey"), ' | b) id ID #IMPLIED\n class CDATA "- topic/ph %dom;/x %gone;">')
+    f = table(spark, sf_dir, "part").select(cat("dtd/", c("p_partkey"), ".mod").alias("path"), cat('<!ENTITY % dom "', c("p_brand"), '">\n', one, "\n", one).alias("content"))
     return S.scan_classes(f).select("path", "line", "tag", "class_value")
 
 
@@ -492,3 +490,6 @@ def snapshot_changes_all(spark, sf_dir):
     cut = events.agg(F.max("ts").alias("last")).select(F.expr("last - INTERVAL 1 DAY").alias("t"))
     snap = lambda e: e.groupBy(F.col("user_id").alias("path")).agg(F.max("ts").alias("mtime"))
     return C.snapshot_changes(snap(events.join(F.broadcast(cut), F.col("ts") <= F.col("t"))), snap(events))
+
+
+from . import catalog_maps, catalog_topics  # noqa: E402, F401  # they register more

@@ -2,22 +2,97 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NODES = "doc string, pre int, post int, parent int, depth int, sib int, ord array<int>, anc array<int>, type string, tag string, attrs map<string,string>, text string, line int, error string"
+from .store import written
+
+#: One row per node. ``ord``: sibling numbers from the root down, so sorting by it is document order; ``anc``: the ancestors'
+#: ``pre``; ``path``: the ancestors' base types ('' where one has none); lines and columns are 0-based code points, ends
+#: lie after the closing tag; texts carry the line on which they begin.
+NODES = (
+    "doc string, pre int, post int, parent int, depth int, sib int, ord array<int>, anc array<int>, path array<string>, type string, tag string, base string, "
+    "attrs map<string,string>, text string, line int, col int, end_line int, end_col int, error string"
+)
 
 #: Entities that every document may use without declaring them (a parameter of ``clean_entities``).
 ENTITIES = {
-    "nbsp": "\u00a0", "copy": "©", "reg": "®", "trade": "™", "deg": "°", "plusmn": "±", "micro": "\u00b5", "middot": "·", "laquo": "«", "raquo": "»",
+    "nbsp": " ", "copy": "©", "reg": "®", "trade": "™", "deg": "°", "plusmn": "±", "micro": "µ", "middot": "·", "laquo": "«", "raquo": "»",
     "sect": "§", "para": "¶", "times": "×", "divide": "÷", "frac12": "½", "frac14": "¼", "frac34": "¾", "sup1": "¹", "sup2": "²", "sup3": "³",
-    "cent": "¢", "pound": "£", "yen": "¥", "euro": "€", "ndash": "–", "mdash": "—", "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d",
+    "cent": "¢", "pound": "£", "yen": "¥", "euro": "€", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
     "hellip": "…", "bull": "•", "dagger": "†", "Dagger": "‡", "prime": "′", "Prime": "″", "larr": "←", "uarr": "↑", "rarr": "→", "darr": "↓", "harr": "↔",
 }
 BUILT_IN = ("amp", "lt", "gt", "quot", "apos")
 
+#: Elements of topics whose base type is topic/ and their own name.
+TOPIC_NAMES = """
+abbreviated-form alt anchor anchorid anchorkey anchorref apiname b body bodydiv boolean cite cmdname codeblock codeph coderef colspec
+consequence data data-about dd delim desc div dl dlentry draft-comment dt entry example fig figgroup filepath fn foreign fragment fragref
+glossdef glossentry glossgroup glossref glossterm hazardstatement hazardsymbol howtoavoid i image index-base index-see index-see-also
+index-sort-as indexterm indextermref itemgroup keyword keywords kwd li line-through lines link linktext lq menucascade metadata msgblock
+msgnum msgph note object ol oper option overline p param parml parmname pd ph plentry pre prolog pt publisher q related-links
+required-cleanup row screen section sectiondiv sep shortdesc simpletable sl sli state stentry sthead strow sub sup synblk synnote
+synnoteref synph syntaxdiagram systemoutput table tbody term tgroup thead title tm topic tt typeofhazard u uicontrol ul userinput var
+varname wintitle xref
+"""
+#: Specialised elements of topics by base type.
+TOPIC_SPECIAL = {
+    "topic/topic": "task concept reference troubleshooting",
+    "topic/body": "taskbody conbody refbody troublebody glossBody",
+    "topic/bodydiv": "conbodydiv refbodydiv troubleSolution",
+    "topic/section": "prereq context steps-informal result tasktroubleshooting postreq refsyn cause condition remedy glossAlt prelreqs closereqs",
+    "topic/title": "glossAbbreviation glossAcronym glossShortForm glossSynonym booktitle",
+    "topic/p": "responsibleParty glossSurfaceForm supequip supplies spares",
+    "topic/ph": "cmd equation-inline equation-number coords repsep booklibrary booktitlealt completed day mainbooktitle month revisionid started summary year",
+    "topic/keyword": "shape markupname shortcut numcharref parameterentity textentity xmlatt xmlelement xmlnsname xmlpi",
+    "topic/keywords": "exportanchors",
+    "topic/metadata": "change-historylist",
+    "topic/publisher": "publisherinformation",
+    "topic/note": "glossScopeNote glossUsage",
+    "topic/image": "glossSymbol",
+    "topic/fig": "equation-figure imagemap",
+    "topic/figgroup": "area groupchoice groupcomp groupseq",
+    "topic/div": "equation-block",
+    "topic/foreign": "mathml svg-container",
+    "topic/xref": "glossAlternateFor mathmlref svgref",
+    "topic/itemgroup": "info tutorialinfo stepxmp stepresult steptroubleshooting",
+    "topic/ol": "steps substeps safety",
+    "topic/ul": "steps-unordered choices reqconds reqpers supeqli supplyli sparesli messagepanel",
+    "topic/li": "step stepsection substep choice noconds reqcond reqcontp personnel perscat perskill esttime supequi supply spare nosafety safecond",
+    "topic/simpletable": "choicetable properties",
+    "topic/sthead": "chhead prophead",
+    "topic/strow": "chrow property",
+    "topic/stentry": "choptionhd chdeschd choption chdesc proptypehd propvaluehd propdeschd proptype propvalue propdesc",
+    "topic/data": (
+        "glossPartOfSpeech glossProperty glossStatus nosupeq nosupply nospares dvrResourcePrefix dvrResourceSuffix dvrKeyscopePrefix dvrKeyscopeSuffix sort-as change-item "
+        "change-person change-organization change-revisionid change-request-reference change-request-system change-request-id change-started change-completed change-summary "
+        "approved bookchangehistory bookevent bookeventtype bookid booknumber bookowner bookpartno bookrestriction bookrights copyrfirst copyrlast edited edition isbn "
+        "maintainer organization person printlocation published publishtype reviewed tested volume"
+    ),
+}
+#: Elements of maps by base type.
+MAP_TYPES = {
+    "map/map": "map bookmap",
+    "map/map-title": "title booktitle mainbooktitle booktitlealt subtitle",
+    "map/topicmeta": "topicmeta bookmeta ditavalmeta",
+    "map/navtitle": "navtitle", "map/linktext": "linktext", "map/shortdesc": "shortdesc", "map/keywords": "keywords", "map/keyword": "keyword",
+    "map/topicref": "topicref chapter appendix part preface notices draftintro glossaryref dedication colophon bookabstract amendments ditavalref anchorref topicset topicsetref glossref appendices booklist",
+    "map/topichead": "topichead", "map/topicgroup": "topicgroup", "map/keydef": "keydef", "map/mapref": "mapref",
+    "map/bookmap-structural": "frontmatter backmatter booklists toc figurelist tablelist indexlist glossarylist abbrevlist bibliolist trademarklist",
+    "map/reltable": "reltable", "map/relheader": "relheader", "map/relrow": "relrow", "map/relcell": "relcell", "map/relcolspec": "relcolspec",
+    "map/anchor": "anchor", "map/navref": "navref",
+}
+
+
+def tag_types() -> dict[str, dict[str, str]]:
+    """side (topic or map) -> tag -> base type. A copy: users add their own tags and pass it on."""
+    spread = lambda table: {tag: base for base, tags in table.items() for tag in tags.split()}
+    return {"topic": {n: f"topic/{n}" for n in TOPIC_NAMES.split()} | spread(TOPIC_SPECIAL), "map": spread(MAP_TYPES)}
+
 
 def docs_from_dir(spark: SparkSession, root: str) -> DataFrame:
     """docs(path, root_dir, content, mtime) of the XML documents below a folder."""
@@ -50,90 +125,133 @@ def clean_entities(content, known: dict[str, str] = ENTITIES) -> Column:
     return F.regexp_replace(body, rf"&(?!(?:{'|'.join(BUILT_IN)});|#)[\w.-]+;", "")
 
 
-def shred_document(xml: str | None) -> list[tuple]:
-    """Nodes of one document in pre-order, or one row with an error. Starts and ends share one counter."""
+_TAG_END = re.compile(rb"""(?:"[^"]*"|'[^']*'|[^>"'])*>""")
+_TYPED = re.compile("^(topic|map)/")
+
+
+def shred_document(xml: str | None, types: dict[str, dict[str, str]]) -> list[list]:
+    """Nodes of one document in pre-order (columns of NODES after doc), or one row with an error. Starts and ends share one
+    counter. A document is a map if its root element is one, by name or by class."""
     from xml.parsers import expat
 
-    rows, open_, tick, buffer, error = [], [], 0, [], None
-    parser = expat.ParserCreate()
-    parser.buffer_text = True
+    data = (xml or "").encode("utf-8", "surrogatepass")
+    breaks = [-1, *(m.start() for m in re.finditer(b"\n", data))]
+    rows: list[list] = []
+    open_: list[list] = []
+    kids: list[int] = []
+    tick, buffer, error, begun, table = 0, [], None, 0, types["topic"]
+    parser = expat.ParserCreate("utf-8")
+    PRE, POST, ORD, ANC, PATH, BASE, END_LINE, END_COL = 0, 1, 5, 6, 7, 10, 15, 16
 
-    def flush():
-        nonlocal tick
-        if buffer:
-            if open_:
-                rows.append(node("text", None, None, "".join(buffer), line[0]))
-                rows[-1][1] = tick = tick + 1
-            buffer.clear()
+    last = [0, 0, 0]  # line, byte and column of the last place: places only go forward, so each byte is counted once
+
+    def place(at: int) -> tuple[int, int]:
+        k = bisect_right(breaks, at - 1) - 1
+        begin, col = (last[1], last[2]) if k == last[0] else (breaks[k] + 1, 0)
+        last[:] = k, at, col + len(data[begin:at].decode("utf-8", "replace"))
+        return k, last[2]
 
-    def node(kind, tag, attrs, text, at):
+    def node(kind, tag, base, attrs, text, at):
         nonlocal tick
         tick += 1
-        top = open_[-1] if open_ else None
-        sib = top[14] if top else 0
+        top, sib = (open_[-1], kids[-1]) if open_ else (None, 0)
         if top:
-            top[14] += 1
-        return [tick, None, top[0] if top else None, len(open_), sib, [*top[5], sib] if top else [], [*top[6], top[0]] if top else [], kind, tag, attrs, text, at, None, None, 0]
+            kids[-1] += 1
+        line, col = place(at)
+        order, anc, path = ([*top[ORD], sib], [*top[ANC], top[PRE]], [*top[PATH], top[BASE] or ""]) if top else ([], [], [])
+        rows.append([tick, None, top[PRE] if top else None, len(open_), sib, order, anc, path, kind, tag, base, attrs, text, line, col, None, None, None])
+        return rows[-1]
 
-    line = [0]
+    def flush():
+        nonlocal tick
+        if buffer:
+            if open_:
+                node("text", None, None, None, "".join(buffer), begun)[POST] = tick = tick + 1
+            buffer.clear()
 
     def start(tag, attrs):
+        nonlocal table
         flush()
-        rows.append(node("element", tag, list(attrs.items()), None, parser.CurrentLineNumber - 1))
-        open_.append(rows[-1])
+        cls = next((t for t in attrs.get("class", "").split() if _TYPED.match(t)), None)
+        if not rows:
+            table = types["map"] if tag in ("map", "bookmap") or (cls or "").startswith("map/") else types["topic"]
+        at = parser.CurrentByteIndex
+        open_.append(node("element", tag, table.get(tag, cls), list(attrs.items()), None, at))
+        kids.append(0)
+        closed = _TAG_END.match(data, at).end()
+        if data[closed - 2 : closed] == b"/>":
+            open_[-1][END_LINE], open_[-1][END_COL] = place(closed)
 
     def end(tag):
         nonlocal tick
         flush()
         tick += 1
-        open_.pop()[1] = tick
+        done = open_.pop()
+        kids.pop()
+        done[POST] = tick
+        if done[END_LINE] is None:
+            done[END_LINE], done[END_COL] = place(_TAG_END.match(data, parser.CurrentByteIndex).end())
 
     def chars(s):
+        nonlocal begun
         if not buffer:
-            line[0] = parser.CurrentLineNumber - 1
+            begun = parser.CurrentByteIndex
         buffer.append(s)
 
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, chars
     try:
-        parser.Parse(xml or "", True)
+        parser.Parse(data, True)
     except expat.ExpatError as e:
         error = f"{expat.ErrorString(e.code)} at {e.lineno}:{e.offset}"
     if error is None and not rows:
         error = "no root element"
-    return [(None,) * 11 + (error,)] if error else [tuple(r[:12]) + (None,) for r in rows]
+    return [[None] * 17 + [error]] if error else rows
+
 
+def shred(docs: DataFrame, types: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """NODES of docs(path, content); a document that is not well-formed gives one row with its error.
 
-def shred(docs: DataFrame) -> DataFrame:
-    """NODES of docs(path, content); a document that is not well-formed gives one row with its error."""
+    ``base`` is the tag's base type in ``types`` (``tag_types()``), else the first class token of the form topic/x or map/x.
+    """
+    types = types or tag_types()
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        kinds = [pa.string(), *[pa.int32()] * 5, pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.string()]
+        ints, words = pa.list_(pa.int32()), pa.list_(pa.string())
+        kinds = [pa.string(), *[pa.int32()] * 5, ints, ints, words, *[pa.string()] * 3, pa.map_(pa.string(), pa.string()), pa.string(), *[pa.int32()] * 4, pa.string()]
         names = [x.strip().split(" ")[0] for x in NODES.replace("map<string,string>", "map").split(",")]
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
         for b in batches:
-            rows: list[tuple] = []
+            rows: list[list] = []
             for path, xml in zip(b.column(0).to_pylist(), b.column(1)):
-                for r in shred_document(xml.as_py()):
-                    rows.append((path, *(r if len(r) == 13 else (*r[:11], None, r[11]))))
+                rows += ([path, *r] for r in shred_document(xml.as_py(), types))
                 if len(rows) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                    yield batch(rows)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                yield batch(rows)
 
     return docs.select("path", "content").mapInArrow(run, NODES)
 
 
-#: Base types of common tags; more come as a parameter table (tag, base_type) or from class attributes.
-TAGS = {"topic": "topic/topic", "concept": "topic/topic", "task": "topic/topic", "reference": "topic/topic", "title": "topic/title", "body": "topic/body", "section": "topic/section", "example": "topic/example", "p": "topic/p", "ph": "topic/ph", "xref": "topic/xref", "keyword": "topic/keyword", "note": "topic/note", "ul": "topic/ul", "ol": "topic/ol", "li": "topic/li", "table": "topic/table", "tgroup": "topic/tgroup", "row": "topic/row", "entry": "topic/entry", "prolog": "topic/prolog", "map": "map/map", "bookmap": "map/map", "topicref": "map/topicref", "keydef": "map/topicref", "mapref": "map/topicref", "topichead": "map/topicref", "topicgroup": "map/topicref", "chapter": "map/topicref", "part": "map/topicref", "appendix": "map/topicref", "topicmeta": "map/topicmeta", "reltable": "map/reltable"}
+def stored_nodes(spark: SparkSession, docs: DataFrame, types: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """NODES written to the shared folder: documents are parsed once, and every use reads only the columns it needs."""
+    return written(spark, shred(docs, types))
 
 
 def class_tokens(cls) -> Column:
     return F.filter(F.split(F.trim(F.coalesce(F.col(cls) if isinstance(cls, str) else cls, F.lit(""))), r"\s+"), lambda x: x != "")
 
 
-def base_type(tag="tag", attrs="attrs", known: dict[str, str] = TAGS) -> Column:
-    """The tag's base type, else the first class token of the form topic/x or map/x."""
-    table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    return F.coalesce(F.element_at(table, F.col(tag)), F.get(F.filter(class_tokens(F.col(attrs)["class"]), lambda t: t.rlike("^(topic|map)/")), 0))
+def derive_base_type(class_value) -> Column:
+    """The base type that a declared class value stands for: its first pair, if another follows and it looks like one."""
+    pairs = F.filter(class_tokens(class_value), lambda t: ~t.isin("-", "+"))
+    first = F.get(pairs, 0)
+    return F.when((F.size(pairs) > 1) & first.rlike("^[a-z][a-z0-9]*/[a-z]"), first)
+
+
+def bucket_of(base) -> Column:
+    """topic, map or other."""
+    b = F.col(base) if isinstance(base, str) else base
+    return F.when(b.startswith("topic/"), "topic").when(b.startswith("map/"), "map").otherwise("other")

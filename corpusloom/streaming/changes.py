@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import big
 
 
 def debounced(changes: DataFrame, gap: str = "700 milliseconds", watermark: str = "10 seconds") -> DataFrame:
@@ -23,6 +24,57 @@ def validated(changes: DataFrame, validate: Callable[[DataFrame], None], checkpo
     return now.unionByName(late).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: validate(df)).start()
 
 
+def republished(changes: DataFrame, publish: Callable[[DataFrame], None], checkpoint: str, gap: str = "300 milliseconds"):
+    """A streaming query: when a burst of changes of a document has ended, ``publish`` gets (path, content, ...) to draw it anew."""
+    return debounced(changes.where("op IN ('change', 'save')"), gap).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: publish(df)).start()
+
+
+def open_documents(changes: DataFrame) -> DataFrame:
+    """Batch: (path, open, content): the last state of each document; a close drops what was pending and found for it."""
+    last = changes.groupBy("path").agg(F.max_by(F.struct("op", "content"), F.struct("ts", F.col("op") == "close")).alias("x"))
+    is_open = F.col("x.op") != "close"
+    return last.select("path", is_open.alias("open"), F.when(is_open, F.col("x.content")).alias("content"))
+
+
+def stream_closed(changes: DataFrame) -> DataFrame:
+    """Stream: (path, content, closed) per document: the content to check after each batch of changes, or a tombstone when it was
+    closed; a close also forgets the state, so nothing that was pending comes out later."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key: tuple, frames: Iterator, state) -> Iterator:
+        import pandas as pd
+
+        rows = sorted(((r.ts, r.op == "close", r.content) for f in frames for r in f.itertuples()), key=lambda r: r[:2])
+        _, closed, content = rows[-1]
+        if closed:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((content,))
+        yield pd.DataFrame({"path": [key[0]], "content": [None if closed else content], "closed": [closed]})
+
+    return changes.groupBy("path").applyInPandasWithState(step, "path string, content string, closed boolean", "content string", "append", GroupStateTimeout.NoTimeout)
+
+
+def affected_scopes(changed: DataFrame, reach: DataFrame) -> DataFrame:
+    """(scope_dir): folders whose key space must be made anew: those that search a changed map. changed: path; reach: scope_dir,
+    map_path (all maps that a folder's keys come from, for example ``refs.key_search_order``)."""
+    return reach.join(big(changed.select(F.col("path").alias("map_path")).distinct()), "map_path", "left_semi").select("scope_dir").distinct()
+
+
+def affected_roots(changed: DataFrame, expanded: DataFrame) -> DataFrame:
+    """(root_map): maps to draw anew: those that changed or that show an element of a map that did. expanded: ``maps.expand_maps``."""
+    saved = changed.where(F.lower("path").endswith(".ditamap")).select("path").distinct()
+    held = expanded.select("root_map", "src_map").distinct().join(big(saved.select(F.col("path").alias("src_map"))), "src_map", "left_semi").select("root_map")
+    return held.unionByName(saved.select(F.col("path").alias("root_map"))).distinct()
+
+
+def refreshed_maps(changes: DataFrame, refresh: Callable[[DataFrame], None], checkpoint: str):
+    """A streaming query: saved maps (path) of each batch reach ``refresh``, which draws the roots of ``affected_roots``."""
+    saved = changes.where((F.col("op") == "save") & F.lower("path").endswith(".ditamap")).select("path", "ts")
+    return saved.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: refresh(df.select("path").distinct())).start()
+
+
 def log_lines(chunks: DataFrame) -> DataFrame:
     """Batch: lines (run, line_no, line, level) of chunks (run, seq, chunk); a last line without its end counts.
 
@@ -32,9 +84,9 @@ def log_lines(chunks: DataFrame) -> DataFrame:
     pieces = chunks.select("run", "seq", F.posexplode(F.split("chunk", "\n")).alias("k", "piece"))
     total = chunks.select("run", "seq", (F.size(F.split("chunk", "\n")) - 1).alias("ends"))
     base = total.withColumn("before", F.coalesce(F.sum("ends").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    lines = pieces.join(base.select("run", "seq", "before"), ["run", "seq"]).groupBy("run", (F.col("before") + F.col("k")).alias("line_no")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "k", "piece"))), lambda x: x["piece"]), "").alias("line"))
+    lines = pieces.join(big(base.select("run", "seq", "before")), ["run", "seq"]).groupBy("run", (F.col("before") + F.col("k")).alias("line_no")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "k", "piece"))), lambda x: x["piece"]), "").alias("line"))
     last = base.groupBy("run").agg(F.sum("ends").alias("last"))
-    return lines.join(last, "run").where("line <> '' OR line_no < last").select("run", F.col("line_no").cast("long").alias("line_no"), "line", T.log_level("line").alias("level"))
+    return lines.join(big(last), "run").where("line <> '' OR line_no < last").select("run", F.col("line_no").cast("long").alias("line_no"), "line", T.log_level("line").alias("level"))
 
 
 def stream_log_lines(chunks: DataFrame) -> DataFrame:
