@@ -7,7 +7,8 @@ table). Flat arrays of the automaton go to one file, shipped with ``addFile`` an
 outside the lexicon is merged exactly by rank, so results never depend on which words the lexicon holds.
 
 Nulls and empty texts give no ids and decode to ''. Texts are never cut. Repeated rows give repeated results. The
-special token's own string in a text becomes its id, as in the library.
+special token's own string in a text becomes its id, as in the library. Extra columns pass through; columns that are
+called like a result (``ids``, ``decoded``, ``__bpe``) are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHES, forget, shared_dir, written
+from .common import CACHES, forget, shared_dir, small_batches, written
 
 #: Fixed value: the pattern that splits text into words before merging, as the vocabulary's pre-tokenizer defines it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -34,7 +35,7 @@ _WORDS = regex.compile(PATTERN)
 _SPACES = re.compile(r"\s\s")
 _SINGLE_SPACE = re.compile(r"\S \S")
 #: Distinct words that a counting task holds before it hands them on: bounds memory, never results.
-COUNTED_WORDS = 300_000
+COUNTED_WORDS = 120_000
 #: What an encoder remembers: so many pieces of at most so many characters, about 32 MB. Bounds memory, never results.
 CACHE_ENTRIES, CACHE_PIECE = 150_000, 32
 #: Characters that are cut, looked up and merged together; tokens decoded together; words merged together.
@@ -269,8 +270,8 @@ class Lexicon:
 class Encoder:
     """Texts -> ids as little-endian 32-bit integers. ``many`` gives the ids of a list of words."""
 
-    def __init__(self, many: Callable[[list[bytes]], list[bytes]], special: dict[str, int], split):
-        self.many, self.special, self.split = many, special, split
+    def __init__(self, many: Callable[[list[bytes]], list[bytes]], special: dict[str, int], split, entries: int | None = None):
+        self.many, self.special, self.split, self.entries = many, special, split, entries or CACHE_ENTRIES
         self.heads: dict[str, bytes] = {}  # pieces before the first space of a line
         self.inner: dict[str, bytes] = {}  # pieces after a space
         self.words: dict[str, bytes] = {}
@@ -306,7 +307,7 @@ class Encoder:
             for line in cut:
                 heads.add(line[0])
                 inner.update(line[1:])
-        if len(self.heads) + len(self.inner) + len(self.words) > CACHE_ENTRIES:
+        if len(self.heads) + len(self.inner) + len(self.words) > self.entries:
             self.forget()
         heads.difference_update(self.heads)
         inner.difference_update(self.inner)
@@ -420,6 +421,7 @@ def build_lexicon(spark: SparkSession, docs: DataFrame, vocabulary_path: str, te
     import tempfile
     import uuid
 
+    small_batches(spark)
     counts = written(spark, word_counts(docs, text_col), f"{shared_dir(spark)}/words").where(F.length("word") <= max_word)
     least, room = 1, lexicon_size
     for n, words in counts.groupBy("n").count().orderBy(F.desc("n")).limit(lexicon_size).toLocalIterator():  # one row per distinct count

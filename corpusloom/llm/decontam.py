@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, splitmix
+from .common import forget, small_batches, splitmix
 
 MIN_TILE, COVERAGE = 5, 0.6
 BLOCK_BYTES = 16 << 20
@@ -142,6 +142,7 @@ def tile_text(model: dict, text: str | None, least: int, coverage: float) -> lis
 
 def hits_column(spark: SparkSession, benchmark: DataFrame, text: Column, least: int = MIN_TILE, coverage: float = COVERAGE) -> Column:
     """Array of HIT: the benchmark items that each text covers. One broadcast per block of the benchmark."""
+    small_batches(spark)
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     n_blocks = -(-total // BLOCK_BYTES) or 1

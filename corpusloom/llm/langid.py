@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import forget, small_batches
+
 ORDERS = (2, 3)
 MATRIX_BYTES, MOST_BUCKET_BITS, ALPHA = 32 << 20, 16, 0.1
 #: Code points handled at once; blocks overlap so that no n-gram is lost.
@@ -71,6 +73,7 @@ def train(spark: SparkSession, labelled: DataFrame) -> tuple[list[str], np.ndarr
     def count(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
+        forget()
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -100,6 +103,7 @@ def predict_column(spark: SparkSession, model: tuple[list[str], np.ndarray, int]
     def predict(texts):
         import pandas as pd
 
+        forget()
         m, out = held.value, []
         for t in texts:
             if not langs or not has_letter(t):
@@ -124,6 +128,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, margin; learned from the rows that are not held out."""
+    small_batches(spark)
     model = train(spark, docs.where(~held_out()).select("lang", "text"))
     out = docs.select("doc_id", held_out().alias("held_out"), predict_column(spark, model, F.col("text")).alias("p"))
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.margin")

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, drop, forget, shared_dir, splitmix, written
+from .common import bytes_of, drop, forget, fresh, shared_dir, small_batches, splitmix, written
 from .graph import connected_components
 
 GROWTH, FOLD = 1.35, 8  # FOLD: 64-bit words of the folded sketch
@@ -300,6 +300,7 @@ class _Unit:
     def __init__(self, percent: int):
         self.percent, self.sets, self.parent = percent, [], {}
         self.own: list[int] = []
+        self.roots = None
 
     def add(self, component: int, data: bytes) -> None:
         self.sets.append(np.frombuffer(data, np.uint64))
@@ -336,68 +337,152 @@ class _Unit:
                     self.roots[self.roots == other] = mine
 
 
-def rest_links(spark: SparkSession, docs: DataFrame, stars: DataFrame, labels: DataFrame, node: DataFrame, folder: str, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b of components) between open members of hubs' groups and all members of the same group.
+class _Sketches:
+    """Wide sketches of one chunk of open members, by length; what they are compared with streams by."""
 
-    stars: (x: hub, y: member); labels: (id, component). A member is open if its component is not its hub's. The open ones
-    of a hub are dealt into chunks, all its members into others, and each pair of chunks is a unit of its own, wherever it
-    runs: a unit holds its open sets, the others stream by. Chunks follow the bytes of sets, so no task holds a group.
+    def __init__(self, percent: int):
+        self.percent, self.rows, self.parts = percent, [], None
+
+    def add(self, key: int, component: int, n: int, sketch: bytes) -> None:
+        self.rows.append((key, component, n, np.frombuffer(sketch, np.uint64)))
+
+    def near(self, component: int, n: int, sketch: bytes) -> bool:
+        """Whether any of another component may be linked; those that may are remembered in ``hits``."""
+        if self.parts is None:
+            by: dict[int, list] = {}
+            for k, r in enumerate(self.rows):
+                by.setdefault(len(r[3]), []).append(k)
+            self.parts = [(np.array(at), np.stack([self.rows[k][3] for k in at]), np.array([self.rows[k][2] for k in at]), np.array([self.rows[k][1] for k in at])) for at in by.values()]
+            self.hits = np.zeros(len(self.rows), bool)
+            self.least = [(int(p[2].min()), int(p[2].max())) for p in self.parts]
+        y, found = np.frombuffer(sketch, np.uint64), False
+        for (at, x, sizes, own), (lo, hi) in zip(self.parts, self.least):
+            if 100 * n < self.percent * lo or 100 * hi < self.percent * n:
+                continue
+            fit = np.flatnonzero((100 * np.minimum(sizes, n) >= self.percent * np.maximum(sizes, n)) & (own != component))
+            if not len(fit):
+                continue
+            w, t = min(len(y), x.shape[1]), sizes[fit] + n
+            far = np.bitwise_count(np.bitwise_xor.reduce(x[fit].reshape(len(fit), -1, w), axis=1) ^ np.bitwise_xor.reduce(y.reshape(-1, w), axis=0)).sum(axis=1, dtype=np.int64)
+            ok = far <= t - 2 * ((self.percent * t + 99 + self.percent) // (100 + self.percent))
+            if ok.any():
+                self.hits[at[fit[ok]]] = found = True
+        return found
+
+
+def _units(spark: SparkSession, m: DataFrame, packed: DataFrame, weight, folder: str) -> DataFrame:
+    """(hub, i, j, side, id, component, n, s) of members (hub, id, component, n, open), dealt and sorted by units.
+
+    The open members of a hub are dealt into chunks, all its members into others, and each pair of chunks is a unit of its
+    own, wherever it runs: it holds its open ones (side 0), the others (side 1) stream by. Chunks follow ``weight``, the
+    bytes of a packed set, so no task holds a group.
     """
-    of = lambda c, name: labels.select(F.col("id").alias(c), F.col("component").alias(name)).hint("merge")
-    m = stars.join(of("x", "cx"), "x", "left").join(of("y", "cy"), "y", "left")
-    m = m.select(F.col("x").alias("hub"), F.col("y").alias("id"), F.coalesce("cx", "x").alias("chub"), F.coalesce("cy", "y").alias("component"))
-    m = written(spark, m.withColumn("open", F.col("component") != F.col("chub")).join(node.select("id", "n", "t").hint("merge"), "id"), f"{folder}/members")
-    size = lambda which: F.sum(F.when(which, 8 * F.col("n")).otherwise(0))
+    size = lambda which: F.sum(F.when(which, weight).otherwise(0))
     sums = m.groupBy("hub").agg(size(F.col("open")).alias("mine"), size(F.lit(True)).alias("all")).where("mine > 0")
     sums = written(spark, sums.select("hub", F.ceil(F.col("mine") / HELD_BYTES).alias("rows"), F.ceil(F.col("all") / MET_BYTES).alias("cols")), f"{folder}/chunks")
     few = "broadcast" if bytes_of(spark, f"{folder}/chunks") <= BROADCAST_BYTES else "merge"
-    m = written(spark, m.join(sums.hint(few), "hub"), f"{folder}/dealt")
-    sets = _described(spark, docs, m.select("id", "t"), f"{folder}/rest", shingle, np.ndarray.tobytes)
+    m = m.join(sums.hint(few), "hub")
     part = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
-    held = m.where("open").select("hub", "id", "component", F.lit(0).alias("side"), part("rows").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("j"))
-    met = m.select("hub", "id", "component", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"), part("cols").alias("j"))
-    rows = held.union(met).join(sets.select("id", "s").hint("merge"), "id").select("hub", "i", "j", "side", "component", "s")
+    zero = F.lit(0).cast("long")
+    held = m.where("open").select("hub", "id", "component", F.lit(0).alias("side"), part("rows").alias("i"), F.explode(F.sequence(zero, F.col("cols") - 1)).alias("j"))
+    met = m.select("hub", "id", "component", F.lit(1).alias("side"), F.explode(F.sequence(zero, F.col("rows") - 1)).alias("i"), part("cols").alias("j"))
+    rows = held.union(met).join(packed.hint("merge"), "id").select("hub", "i", "j", "side", "id", "component", "n", "s")
+    return rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "side")
 
-    def compare(batches: Iterable) -> Iterator:
-        import pyarrow as pa
 
-        key, unit, waiting, out = None, None, ([], []), []
+def _chosen(batches: Iterable, percent: int) -> Iterator:
+    """Rows of units with wide sketches -> (hub, id) of the members that have a candidate in another component."""
+    import pyarrow as pa
 
-        def send():
-            made = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-            out.clear()
-            return made
+    key, unit, out = None, None, []
 
-        def meet():
-            out.extend(unit.meet(*waiting))
-            for w in waiting:
-                w.clear()
+    def close():
+        if unit is not None and unit.parts is not None:
+            out.extend((key[0], unit.rows[k][0]) for k in np.flatnonzero(unit.hits))
 
-        for b in batches:
-            for hub, i, j, side, component, s in zip(*(c.to_pylist() for c in b.columns[:5]), b.column(5)):
-                if (hub, i, j) != key:
-                    if waiting[0]:
-                        meet()
-                    key, unit = (hub, i, j), _Unit(percent)
-                if side == 0:
-                    unit.add(component, s.as_py())
-                    continue
-                if not waiting[0] and not hasattr(unit, "roots"):
-                    unit.close()
-                waiting[0].append(component)
-                waiting[1].append(np.frombuffer(s.as_py(), np.uint64))
-                if len(waiting[0]) >= MET_ROWS:
+    def send():
+        made = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["hub", "id"])
+        out.clear()
+        return made
+
+    for b in batches:
+        for hub, i, j, side, name, component, n, s in zip(*(c.to_pylist() for c in b.columns[:7]), b.column(7)):
+            if (hub, i, j) != key:
+                close()
+                key, unit = (hub, i, j), _Sketches(percent)
+            if side == 0:
+                unit.add(name, component, n, s.as_py())
+            elif unit.rows and unit.near(component, n, s.as_py()):
+                out.append((hub, name))
+        if out:
+            yield send()
+    close()
+    if out:
+        yield send()
+
+
+def _compared(batches: Iterable, percent: int) -> Iterator:
+    """Rows of units with sets -> links (a, b) between components."""
+    import pyarrow as pa
+
+    key, unit, waiting, out = None, None, ([], []), []
+
+    def send():
+        made = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        out.clear()
+        return made
+
+    def meet():
+        out.extend(unit.meet(*waiting))
+        for w in waiting:
+            w.clear()
+
+    for b in batches:
+        for hub, i, j, side, component, s in zip(*(b.column(c).to_pylist() for c in (0, 1, 2, 3, 5)), b.column(7)):
+            if (hub, i, j) != key:
+                if waiting[0]:
                     meet()
-            if out:
-                yield send()
-        if waiting[0]:
-            meet()
+                key, unit = (hub, i, j), _Unit(percent)
+            if side == 0:
+                unit.add(component, s.as_py())
+                continue
+            if not unit.sets:
+                continue
+            if unit.roots is None:
+                unit.close()
+            waiting[0].append(component)
+            waiting[1].append(np.frombuffer(s.as_py(), np.uint64))
+            if len(waiting[0]) >= MET_ROWS:
+                meet()
         if out:
             yield send()
+    if waiting[0]:
+        meet()
+    if out:
+        yield send()
+
 
-    dealt = rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "side")
-    out = written(spark, dealt.mapInArrow(compare, "a long, b long").distinct(), f"{folder}/links")
-    drop(spark, f"{folder}/rest-sets")
+def rest_links(spark: SparkSession, docs: DataFrame, stars: DataFrame, labels: DataFrame, node: DataFrame, folder: str, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b of components) between open members of hubs' groups and all members of the same group.
+
+    stars: (x: hub, y: member); labels: (id, component). A member is open if its component is not its hub's. Wide sketches
+    tell first which members can have a link to another component at all, so sets are only sent for those.
+    """
+    of = lambda c, name: labels.select(F.col("id").alias(c), F.col("component").alias(name)).hint("merge")
+    m = stars.join(of("x", "cx"), "x", "left").join(of("y", "cy"), "y", "left")
+    m = m.select(F.col("x").alias("hub"), F.col("y").alias("id"), F.coalesce("cx", "x").alias("chub"), F.coalesce("cy", "y").alias("component")).withColumn("open", F.col("component") != F.col("chub"))
+    some = written(spark, m.where("open").select("hub").distinct(), f"{folder}/hubs")
+    few = "broadcast" if bytes_of(spark, f"{folder}/hubs") <= BROADCAST_BYTES else "merge"
+    m = written(spark, m.join(some.hint(few), "hub", "left_semi").join(node.select("id", "n", "t").hint("merge"), "id").drop("chub"), f"{folder}/members")
+    sketches = _described(spark, docs, m.select("id", "t"), f"{folder}/wide", shingle, wide_sketch)
+    units = _units(spark, m.select("hub", "id", "component", "open", F.col("n").alias("size")), sketches, F.col("size") / 2 + 24, f"{folder}/sketched")
+    chosen = written(spark, units.mapInArrow(lambda batches: _chosen(batches, percent), "hub long, id long").distinct(), f"{folder}/chosen")
+    m = written(spark, m.join(chosen.hint("merge"), ["hub", "id"], "left_semi"), f"{folder}/kept")
+    sets = _described(spark, docs, m.select("id", "t"), f"{folder}/whole", shingle, np.ndarray.tobytes)
+    units = _units(spark, m.select("hub", "id", "component", "open", F.col("n").alias("size")), sets, 8 * F.col("size"), f"{folder}/compared")
+    out = written(spark, units.mapInArrow(lambda batches: _compared(batches, percent), "a long, b long").distinct(), f"{folder}/links")
+    drop(spark, f"{folder}/wide-sets")
+    drop(spark, f"{folder}/whole-sets")
     return out
 
 
@@ -405,6 +490,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, shingle: int = 5, p
     """doc_id, n_shingles, component_id of every document, for a similarity of ``percent`` (75 to 100) hundredths or more."""
     if shingle < 1 or not LEAST_PERCENT <= percent <= 100:
         raise ValueError(f"shingle must be positive and percent between {LEAST_PERCENT} and 100")
+    small_batches(spark)
     folder = shared_dir(spark)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
     n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()
@@ -442,16 +528,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, shingle: int = 5, per
     Rows are numbered and written first and only named by their number, so repeated rows, rows without doc_id and different
     texts under one doc_id are told apart. Rows without words are in no component and all stay.
     """
-    folder = shared_dir(spark)
-    rows = written(spark, docs.withColumn("__row", F.monotonically_increasing_id()), f"{folder}/rows")
-    found = jaccard_components(spark, rows.select(F.col("__row").alias("doc_id"), "text"), shingle, percent)
-    later = written(spark, found.where("doc_id <> component_id").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("first")), f"{folder}/later")
+    folder, row = shared_dir(spark), fresh(docs, "__row")
+    rows = written(spark, docs.withColumn(row, F.monotonically_increasing_id()), f"{folder}/rows")
+    found = jaccard_components(spark, rows.select(F.col(row).alias("doc_id"), "text"), shingle, percent)
+    later = written(spark, found.where("doc_id <> component_id").select(F.col("doc_id").alias(row), F.col("component_id").alias("first")), f"{folder}/later")
     # Each component is named by its smallest row number; where another of its rows survives, the two change places.
-    members = later.union(later.select(F.col("first").alias("__row"), "first").distinct())
-    ids = members.join(rows.select("__row", "doc_id").hint("merge"), "__row")
-    best = ids.groupBy("first").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("best"))
+    members = later.union(later.select(F.col("first").alias(row), "first").distinct())
+    ids = members.join(rows.select(row, "doc_id").hint("merge"), row)
+    best = ids.groupBy("first").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col(row).alias("n")))["n"].alias("best"))
     swaps = written(spark, best.where("best <> first"), f"{folder}/swaps")
-    gone = later.select("__row").join(swaps.select(F.col("best").alias("__row")).hint("merge"), "__row", "left_anti").union(swaps.select("first"))
+    gone = later.select(row).join(swaps.select(F.col("best").alias(row)).hint("merge"), row, "left_anti").union(swaps.select("first"))
     gone = written(spark, gone, f"{folder}/gone")
     small = bytes_of(spark, f"{folder}/gone") <= BROADCAST_BYTES
-    return rows.join(gone.hint("broadcast" if small else "shuffle_hash"), "__row", "left_anti").select(*docs.columns)
+    return rows.join(gone.hint("broadcast" if small else "shuffle_hash"), row, "left_anti").drop(row)

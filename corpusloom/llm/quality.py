@@ -8,7 +8,8 @@ than ``min_rows`` documents takes its language's thresholds, then the corpus's.
 beyond ``median + max(reach * (q75 - median), slack)``; short mean word length fails below the mirrored lower fence.
 
 Null texts count as empty (no words, base_failed). Null languages and sources form groups of their own. Empty tables
-give empty results. Repeated rows are judged alike. Extra columns pass through ``filter_documents`` untouched.
+give empty results. Repeated rows are judged alike. Extra columns pass through ``filter_documents`` untouched, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import forget, shared_dir, splitmix, written
+from .common import forget, shared_dir, small_batches, splitmix, written
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 #: White space and symbols of the base rules.
@@ -135,6 +136,7 @@ def _with_groups(docs: DataFrame) -> DataFrame:
 
 def quality_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed and kept for every document."""
+    small_batches(spark)
     folder = shared_dir(spark)
     stats = written(spark, _with_groups(docs.select("doc_id", "lang", "source", "text")).select("doc_id", "__lang", "__source", stats_column("text").alias("__stats")), f"{folder}/stats")
     limits = written(spark, thresholds(stats), f"{folder}/thresholds")
@@ -147,7 +149,10 @@ def filter_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Counts are taken once for the sketches and once in the filter: reading twice is cheaper than shuffling the texts.
     """
+    small_batches(spark)
     folder = shared_dir(spark)
-    counted = _with_groups(docs).withColumn("__stats", stats_column("text"))
+    # The row travels as one column, so none of its names can meet those used here.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "lang", "source", "text")
+    counted = _with_groups(rows).withColumn("__stats", stats_column("text")).drop("lang", "source", "text")
     limits = written(spark, thresholds(counted.select("__lang", "__source", "__stats")), f"{folder}/thresholds")
-    return judged(spark, counted, limits, limits.count()).where("__kept").select(*docs.columns)
+    return judged(spark, counted, limits, limits.count()).where("__kept").select("__row.*")

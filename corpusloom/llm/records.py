@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, slices
-from .common import CACHES, open_fs, shared_dir, written
+from .common import CACHES, open_fs, shared_dir, small_batches, written
 
 INDEX = "part int, file string, doc_id long, seq long, offset long, length long, n_tokens long, before long"
 _NO_ID = -(1 << 63)
@@ -79,6 +79,8 @@ def resize(ids: bytes, old: int, new: int) -> bytes:
     return ids if old == new else np.frombuffer(ids, f"<u{old}").astype(f"<u{new}").tobytes()
 
 
+#: Pieces remembered by an encoder: the library's model takes words one by one, so more are kept (about 70 MB).
+REMEMBERED = 350_000
 _LOADED: dict = {}
 CACHES.append(_LOADED)
 
@@ -95,13 +97,14 @@ def library_encoder(path: str) -> Encoder:
         v = Vocabulary(path)
         _LOADED.clear()
         word = lambda w: np.array([t.id for t in model.tokenize(w.decode("latin-1").translate(table))], "<u4").tobytes()
-        _LOADED[path] = Encoder(lambda words: list(map(word, words)), v.special, v.split)
+        _LOADED[path] = Encoder(lambda words: list(map(word, words)), v.special, v.split, REMEMBERED)
     return _LOADED[path]
 
 
 def write_records(spark: SparkSession, docs: DataFrame, vocabulary_path: str, folder: str, end_id: int = 0, partitions: int | None = None) -> DataFrame:
     """Encode ``docs`` (doc_id, text), write record files into ``folder``, return the index of the files that count."""
 
+    small_batches(spark)
     width = id_width(vocabulary_path)
 
     def write(batches: Iterable) -> Iterator:
@@ -185,7 +188,9 @@ def read_records(index: DataFrame, folder: str, gap: int = 1 << 16, most: int =
             handles["file"].close()
 
     dealt = index.select("file", "offset", "length", "start", "n_tokens", F.expr(f"offset div {most}").alias("range"))
-    dealt = dealt.repartition("file", "range").sortWithinPartitions("file", "offset").drop("range")
+    # The number of tasks follows the bytes they will read, not the index's own few.
+    tasks = max(1, -(-(index.agg(F.sum("length")).head()[0] or 0) // most))
+    dealt = dealt.repartition(tasks, "file", "range").sortWithinPartitions("file", "offset").drop("range")
     return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 

@@ -8,7 +8,8 @@ equally likely, and sizes differ by one at most (the law ``rows``).
 
 The second permutation is dealt over buckets of the row's random number, so no task ever holds a whole shard. Null
 texts have size 1 and checksum 0. Repeated rows and equal or null ids are separate rows. Only counts (logical partitions
-x shards, both bounded) come to the driver. Columns of the input pass through; names that start with ``__hs_`` are taken.
+x shards, both bounded) come to the driver. Columns of the input pass through, but for shard, slot, __hs_shard
+and __hs_slot, whose names are taken.
 """
 
 from __future__ import annotations
@@ -51,8 +52,9 @@ def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> np.n
 
 
 def uniform_shards(spark: SparkSession, df: DataFrame, n_shards: int = 16, seed: int = 42) -> DataFrame:
-    """``df`` and columns shard (0..n_shards-1) and slot (gapless from 0 in each shard)."""
-    at = df.withColumn("__hs_row", F.monotonically_increasing_id()).withColumn("__hs_task", F.spark_partition_id())
+    """``df`` and columns shard (0..n_shards-1) and slot (gapless from 0 in each shard); columns of these names are replaced."""
+    # The row travels as one column, so none of its names can meet those used here.
+    at = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__hs_in_row"), F.monotonically_increasing_id().alias("__hs_row"), F.spark_partition_id().alias("__hs_task"))
     rows = written(spark, at, f"{shared_dir(spark)}/numbered")
     rows = rows.withColumn("__hs_part", F.pmod("__hs_task", F.lit(LOGICAL)))
     got = {r[0]: r[1] for r in rows.groupBy("__hs_part").count().collect()}  # at most LOGICAL rows
@@ -72,7 +74,9 @@ def uniform_shards(spark: SparkSession, df: DataFrame, n_shards: int = 16, seed:
     sent = ranked.join(F.broadcast(ends), "__hs_part").withColumn("shard", F.size(F.filter("__hs_ends", lambda e: e <= rank)))
     sent = sent.drop("__hs_ends").withColumn("__hs_kb", cut("__hs_b"))
     out = ranked_in_buckets(sent, "shard", "__hs_kb", "__hs_b", "slot")
-    return out.select(*df.columns, "shard", "slot")
+    kept = out.select("__hs_in_row.*", F.col("shard").alias("__hs_shard"), F.col("slot").alias("__hs_slot"))
+    names = [c for c in df.columns if c.lower() not in ("shard", "slot", "__hs_shard", "__hs_slot")]
+    return kept.select(*(F.col(f"`{c}`") for c in names), F.col("__hs_shard").alias("shard"), F.col("__hs_slot").alias("slot"))
 
 
 def ranked_in_buckets(df: DataFrame, group: str, bucket: str, key: str, out: str) -> DataFrame:

@@ -3,7 +3,7 @@
 A text is a row of units: its UTF-8 bytes (``BYTES``, the operator) or its words (``WORDS``, the pipeline). Below, lengths and
 positions are units. A word is a run of bytes other than \\x20 and \\x09-\\x0D, case kept; characters of scripts that put no
 space between words (U+0E00 to U+0EFF, U+1000 to U+109F, U+1780 to U+17FF, U+3000 to U+9FFF, U+20000 and above) are a word
-each. Words are compared as 64-bit hashes (xxh3), white space between them is not. A removed run of words reaches from its
+each. Words are compared as 32-bit hashes (xxh3; runs of 51 of them), white space between them is not. A removed run of words reaches from its
 first byte to its last; white space around it stays.
 
 Every unit covered by a run of ``length`` units that also starts somewhere else (in any document, the same one
@@ -14,6 +14,10 @@ included) is found and removed. Matches never cross documents.
    anchor hash, and only suffixes that start at anchors with a repeated hash need sorting (a sparse suffix array).
 2. Contexts. Such an anchor takes its suffix (up to ``length`` units) and those before it (up to ``length - anchor``).
    Equal contexts are counted once before any group is built, so exact copies and hot passages cost one entry.
+   Contexts of a crowded anchor are not one group: a repeat of ``length`` units with r units from the anchor on has
+   ``length - r`` before it, so for each of SPLITS ranges of r contexts are grouped by the units that they must share
+   (all but ``(length - anchor) / SPLITS`` of them), and what their groups find is united. A line that very many different
+   texts hold then falls apart into small groups; only contexts that share nearly a whole repeat still meet in one task.
 3. Suffix arrays. In each group suffixes are sorted, the array of common-prefix lengths is scanned with a stack, and each
    interval of the tree (a right-maximal repeat of depth r) is tested for left extension: its members are sorted by
    what precedes them, and each is extended as far as it agrees with another member. If the extension and r
@@ -22,7 +26,8 @@ included) is found and removed. Matches never cross documents.
 
 Null texts count as empty; texts shorter than ``length`` keep everything. Repeated rows are copies of each other. doc_id
 may be null or occur twice: rows are told apart by (doc_id, text). Removal may split a character; kept bytes are then
-decoded with U+FFFD dropped where a table of texts is wanted. Extra columns pass through ``remove_repeats``.
+decoded with U+FFFD dropped where a table of texts is wanted. Extra columns pass through ``remove_repeats``, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -34,9 +39,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, shared_dir, splitmix, written
+from .common import drop, forget, shared_dir, small_batches, splitmix, written
 
 LENGTH, ANCHOR, BLOCK = 400, 64, 1 << 16
+#: Anchors that occur more often are crowded; the number of groups that contexts of such an anchor are split into.
+CROWDED, SPLITS = 2000, 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,7 +55,7 @@ class Units(NamedTuple):
     width: int
 
 
-BYTES, WORDS = Units(LENGTH, ANCHOR, 1), Units(51, 8, 8)
+BYTES, WORDS = Units(LENGTH, ANCHOR, 1), Units(51, 8, 4)
 
 
 def _byte_hashes() -> np.ndarray:
@@ -83,13 +90,13 @@ def encoded(text: str | None, units: Units = BYTES) -> bytes:
     from xxhash import xxh3_64_intdigest
 
     starts, ends = word_places(data)
-    return np.fromiter((xxh3_64_intdigest(data[s:e]) for s, e in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts)).tobytes()
+    return np.fromiter((xxh3_64_intdigest(data[s:e]) for s, e in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts)).astype(np.uint32).tobytes()
 
 
 def anchors(data: bytes, units: Units = BYTES) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the anchors of an encoded text."""
     length, anchor, _ = units
-    data = np.frombuffer(data, np.uint8 if units.width == 1 else np.uint64)
+    data = np.frombuffer(data, np.uint8 if units.width == 1 else np.uint32)
     if len(data) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     b, table = data, _byte_hashes()
@@ -97,7 +104,7 @@ def anchors(data: bytes, units: Units = BYTES) -> tuple[np.ndarray, np.ndarray]:
     places, values = [], []
     for at in range(0, len(b) - length + 1, BLOCK):
         h = b[at : at + BLOCK + length - 1]
-        h = table[h] if units.width == 1 else splitmix(h)
+        h = table[h] if units.width == 1 else splitmix(h.astype(np.uint64))
         with np.errstate(over="ignore"):
             power, n = _BASE, 1
             while n < anchor:
@@ -187,6 +194,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, units: Units = BYTES) -
 
     ``docs``: key, text (equal keys only for equal rows).
     """
+    small_batches(spark)
     folder, width = shared_dir(spark), units.width
 
     def find(batches: Iterable) -> Iterator:
@@ -204,8 +212,11 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, units: Units = BYTES) -
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, places, values)], ["key", "pos", "h"])
 
     found = written(spark, docs.mapInArrow(find, "key long, pos long, h long"), f"{folder}/anchors")
-    again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    wanted = found.join(again.hint("merge"), "h", "left_semi").groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias("pos"))  # bounded by a text
+    # Written first: so both sides of the join are dealt by it alone, and Spark can split a hash with very many anchors.
+    again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > CROWDED).alias("crowded"))
+    again = written(spark, again, f"{folder}/again")
+    wanted = found.join(again.hint("merge"), "h").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("pos", "crowded"))).alias("at"))  # bounded by a text
+    wanted = wanted.select("key", F.col("at.pos").alias("pos"), F.col("at.crowded").alias("crowded"))
     texts = written(spark, docs.join(wanted.hint("merge"), "key"), f"{folder}/texts")
 
     def cut(batches: Iterable) -> Iterator:
@@ -214,16 +225,15 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, units: Units = BYTES) -
         rows: list = []
 
         def flush():
-            cols = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
-            return pa.RecordBatch.from_arrays(cols, ["key", "pos", "h", "before", "after"])
+            cols = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()))]
+            return pa.RecordBatch.from_arrays(cols, ["key", "pos", "crowded", "before", "after"])
 
         for b in batches:
-            for key, t, pos in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            for key, t, pos, crowded in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3)):
                 data = encoded(t.as_py(), units)
-                for p in pos.as_py():
+                for p, full in zip(pos.as_py(), crowded.as_py()):
                     at = p * width
-                    h = int.from_bytes(data[at : at + 8], "little", signed=True)
-                    rows.append((key, p, h, data[max(0, p - units.length + units.anchor) * width : at], data[at : at + units.length * width]))
+                    rows.append((key, p, full, data[max(0, p - units.length + units.anchor) * width : at], data[at : at + units.length * width]))
                     if len(rows) >= 8192:
                         yield flush()
                         rows.clear()
@@ -231,10 +241,20 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, units: Units = BYTES) -
             yield flush()
 
     # Groups are formed by the anchor's own bytes, so that equal hashes of different anchors cannot meet.
-    ctx = texts.select("key", "text", "pos").mapInArrow(cut, "key long, pos long, h long, before binary, after binary")
+    ctx = texts.select("key", "text", "pos", "crowded").mapInArrow(cut, "key long, pos long, crowded boolean, before binary, after binary")
     ctx = ctx.withColumn("h", F.xxhash64(F.substring("after", 1, units.anchor * width))).withColumn("c", F.xxhash64(F.lit(1), "before", F.lit(2), "after"))
     occurrences = ctx.select("key", "pos", "h", "c")
-    distinct = ctx.groupBy("h", "c", "before", "after").agg(F.count("*").alias("n"))
+    distinct = ctx.groupBy("h", "c", "crowded", "before", "after").agg(F.count("*").alias("n"))
+    # Groups: the anchor, or for a crowded one the units that a repeat with r units from the anchor on must share.
+    step = -(-(units.length + 1 - units.anchor) // SPLITS)
+    parts = []
+    for r in range(units.anchor, units.length + 1, step):
+        left = max(0, units.length + 1 - r - step) * width
+        enough = (F.octet_length("before") >= left) & (F.octet_length("after") >= r * width)
+        shared = F.xxhash64("h", F.lit(r), F.substring("before", -left, left) if left else F.lit(b""), F.substring("after", 1, r * width))
+        parts.append(F.when(enough, shared))
+    group = F.when(F.col("crowded"), F.filter(F.array(*parts), lambda g: g.isNotNull())).otherwise(F.array("h"))
+    distinct = distinct.withColumn("g", F.explode(group))
 
     def solve(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -244,31 +264,35 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, units: Units = BYTES) -
         def close():
             got = maximal_repeats([g[1:] for g in group], units.length * width, width)
             # All repeats of an occurrence hold its anchor, so what they cover together is one span.
-            out.extend((held, g[0], max(a for a, _ in s) // width, max(b for _, b in s) // width) for g, s in zip(group, got) if s)
+            out.extend((*g[0], max(a for a, _ in s) // width, max(b for _, b in s) // width) for g, s in zip(group, got) if s)
 
         def batch():
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["h", "c", "l", "r"])
 
         for b in batches:
-            for h, c, left, right, n in zip(*(x.to_pylist() for x in b.columns)):
-                if h != held and group:
+            for g, h, c, left, right, n in zip(*(x.to_pylist() for x in b.columns)):
+                if g != held and group:
                     close()
                     group.clear()
                     if len(out) >= 4096:
                         yield batch()
                         out.clear()
-                held = h
-                group.append((c, left, right, n))
+                held = g
+                group.append(((h, c), left, right, n))
         if group:
             close()
         if out:
             yield batch()
 
-    sorted_groups = distinct.repartition("h").sortWithinPartitions("h", "c").select("h", "c", "before", "after", "n")
-    repeats = written(spark, sorted_groups.mapInArrow(solve, "h long, c long, l long, r long"), f"{folder}/repeats")
+    sorted_groups = distinct.repartition("g").sortWithinPartitions("g", "c").select("g", "h", "c", "before", "after", "n")
+    solved = sorted_groups.mapInArrow(solve, "h long, c long, l long, r long").groupBy("h", "c").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    repeats = written(spark, solved, f"{folder}/repeats")
     spans = occurrences.join(repeats.hint("merge"), ["h", "c"]).select("key", (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("r")).alias("e"))
     merged = spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("xs"))  # bounded by a text
-    return written(spark, merged.select("key", merge_spans(F.col("xs.s"), F.col("xs.e")).alias("spans")), f"{folder}/spans")
+    out = written(spark, merged.select("key", merge_spans(F.col("xs.s"), F.col("xs.e")).alias("spans")), f"{folder}/spans")
+    for name in ("anchors", "again", "texts", "repeats"):
+        drop(spark, f"{folder}/{name}")
+    return out
 
 
 def merge_spans(starts: Column, ends: Column) -> Column:
@@ -309,21 +333,32 @@ def _kept_column(text: str, spans: str) -> Column:
 
 
 def repeat_report(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_passage_words of every document.
+
+    The first columns follow ``length`` bytes. n_passage_words counts the words in runs of more than fifty words that occur
+    again anywhere: such a run need not reach ``length`` bytes, so it may lie in a document that loses none.
+    """
     keyed = _row_key(docs.select("doc_id", "text"))
     texts = keyed.select(F.col("__sd_key").alias("key"), "text")
+    covered = F.expr("aggregate(transform(sequence(0, size(spans) div 2 - 1), i -> spans[2 * i + 1] - spans[2 * i]), 0L, (a, x) -> a + x)")
     spans = repeated_spans(spark, texts, BYTES._replace(length=length))
+    passages = repeated_spans(spark, texts, WORDS).select(F.col("key").alias("__sd_key"), covered.alias("n_passage_words"))
     cut = texts.join(spans.hint("merge"), "key").dropDuplicates(["key"]).select("key", _kept_column("text", "spans").alias("kept"), (F.size("spans") / 2).cast("long").alias("n_spans"))
     cut = cut.select(F.col("key").alias("__sd_key"), F.octet_length("kept").alias("n_kept"), "n_spans", F.sha2("kept", 256).alias("sha"))
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     narrow = keyed.select("doc_id", "__sd_key", F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("whole"))
-    out = narrow.join(cut.hint("merge"), "__sd_key", "left")
-    return out.select("doc_id", "n_bytes", F.coalesce(F.col("n_bytes") - F.col("n_kept"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
+    out = narrow.join(cut.hint("merge"), "__sd_key", "left").join(passages.hint("merge"), "__sd_key", "left")
+    return out.select(
+        "doc_id", "n_bytes", F.coalesce(F.col("n_bytes") - F.col("n_kept"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce("sha", "whole").alias("kept_sha256"), F.coalesce("n_passage_words", F.lit(0)).cast("long").alias("n_passage_words"),
+    )
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, units: Units = BYTES) -> DataFrame:
     """``docs`` without their repeated passages. The first holder's copy goes too, as the operator's contract says."""
-    units, keyed = units._replace(length=length), _row_key(docs)
+    units = units._replace(length=length)
+    # The row travels as one column, so none of its names can meet those used here.
+    keyed = _row_key(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("__row"), "doc_id", "text"))
     spans = repeated_spans(spark, keyed.select(F.col("__sd_key").alias("key"), "text"), units)
     joined = keyed.join(spans.select(F.col("key").alias("__sd_key"), F.col("spans").alias("__sd_spans")).hint("merge"), "__sd_key", "left")
 
@@ -333,4 +368,4 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, u
         return pd.Series([t if s is None else kept_bytes(t, s, units).decode("utf-8", "ignore") for t, s in zip(texts, all_spans)], dtype=object)
 
     text = F.pandas_udf(kept, "string")(F.col("text"), F.col("__sd_spans"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    return joined.select(*(text.alias("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns))

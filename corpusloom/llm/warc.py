@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import open_fs, shared_dir, written
+from .common import open_fs, shared_dir, small_batches, written
 
 INDEX = "file string, offset long, length long, url string, digest string, record_type string, page_id long, refers_to long"
 GAP, MOST = 1 << 16, 8 << 20
@@ -87,6 +87,7 @@ def write_archives(spark: SparkSession, typed: DataFrame, folder: str, level: in
         if out is not None:
             out.close()
 
+    small_batches(spark)
     return written(spark, typed.mapInArrow(write, INDEX), f"{folder}-index")
 
 

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, decontam, langid, parity_join, preference, quality, records, sharding, suffix_dedup, warc
 from corpusloom.llm.graph import connected_components
@@ -115,6 +116,15 @@ def test_large_groups_lose_no_link(spark, width, percent):
     assert {r.doc_id: r.component_id for r in parity_join.jaccard_components(spark, d, width, percent).collect()} == dict(enumerate(label))
 
 
+def test_rows_without_id_still_link(spark):
+    base = [f"w{k}" for k in range(100)]
+    new = [f"x{k}" for k in range(60)]
+    rows = [(5, " ".join(base[:-6] + new[:6])), (None, " ".join(base)), (3, " ".join(new[:6] + base[6:])), (None, "alone in the world today"), (9, "A B c d"), (4, "a b C D"), (4, " ".join(base[:40] + new))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("x")).withColumn("t", F.lit(1)).repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in parity_join.jaccard_components(spark, d, 4, 85).collect()), key=str)
+    assert got == sorted([(5, 97, 3), (None, 97, 3), (3, 97, 3), (None, 2, None), (9, 1, 4), (4, 1, 4), (4, 97, 4)], key=str)
+
+
 def test_sketch_bound_holds():
     rng = np.random.default_rng(0)
     for _ in range(200):
@@ -133,7 +143,9 @@ def test_components_of_a_chain(spark):
     assert got == {k: 0 for k in range(51)} | {100: 100, 200: 100}
 
 
-def test_repeated_passages(spark, docs, rows, empty):
+@pytest.mark.parametrize("crowded", [2000, 1])
+def test_repeated_passages(spark, docs, rows, empty, monkeypatch, crowded):
+    monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)  # 1: every group is split
     data = {k: (t or "").encode() for k, t, *_ in rows}
     seen = collections.Counter(d[i : i + 400] for d in data.values() for i in range(len(d) - 399))
     got = {r.doc_id: r for r in suffix_dedup.repeat_report(spark, docs).collect()}
@@ -148,6 +160,12 @@ def test_repeated_passages(spark, docs, rows, empty):
         kept = bytes(np.frombuffer(d, np.uint8)[~gone])
         spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
         assert (got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == (len(d), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+    dense = re.compile("[\u3000-\u9fff\U00020000-\U0010ffff]|[^\x20\x09-\x0d\u3000-\u9fff\U00020000-\U0010ffff]+")
+    cut = {k: dense.findall(t or "") for k, t, *_ in rows}
+    runs = collections.Counter(tuple(w[i : i + 51]) for w in cut.values() for i in range(len(w) - 50))
+    for k, w in cut.items():
+        gone = {j for i in range(len(w) - 50) if runs[tuple(w[i : i + 51])] > 1 for j in range(i, i + 51)}
+        assert got[k].n_passage_words == len(gone)
     assert suffix_dedup.repeat_report(spark, empty).count() == 0
     assert set(suffix_dedup.remove_repeats(spark, docs.withColumn("key", docs.doc_id)).columns) == {*docs.columns, "key"}
 
@@ -209,14 +227,33 @@ def test_transducer(tmp_path):
     table = {b"tap": [1], b"taps": [2, 3], b"top": [4], b"tops": [5], b"s": [6], bytes([0, 255]): [7]}
     bpe.write_lexicon(bpe.compile_lexicon(table), str(tmp_path / "x"))
     lex = bpe.Lexicon(str(tmp_path / "x"))
-    assert {w: np.frombuffer(lex.lookup(w), "<u4").tolist() for w in table} == table
-    assert [lex.lookup(w) for w in (b"", b"ta", b"tapsx", b"z")] == [None] * 4
+    assert [np.frombuffer(x, "<u4").tolist() for x in lex.lookup_many([*table])] == [*table.values()]
+    assert lex.lookup_many([b"", b"ta", b"top", b"tapsx", b"z"]) == [None, None, np.array([4], "<u4").tobytes(), None, None]
     assert len(lex.final) < 8  # suffixes are shared
     v = bpe.Vocabulary(vocabulary())
     long = "".join(random.Random(1).choice("abcde") for _ in range(500)).encode()
     from tokenizers import Tokenizer
 
-    assert v.merge(long) == Tokenizer.from_file(vocabulary()).encode(long.decode(), add_special_tokens=False).ids
+    want = Tokenizer.from_file(vocabulary()).encode(long.decode(), add_special_tokens=False).ids
+    assert v.merge(long) == want
+    rng = random.Random(2)
+    many = [b"", long, *(bytes(rng.choice(b"aeinst \xc3\xa9") for _ in range(rng.randrange(1, 70))) for _ in range(300))]
+    assert [np.frombuffer(x, "<u4").tolist() for x in v.merge_many(many)] == [v.merge(w) for w in many]
+
+
+def test_encoder_in_small_blocks(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tok, v, rng = Tokenizer.from_file(vocabulary()), bpe.Vocabulary(vocabulary()), random.Random(6)
+    alphabet = ["a", "bc", "don't", "é", "日", "9", " ", " ", " ", "\n", "\t", "  ", ".", "!?", "'s", "<|endoftext|>", "\u2003", "x" * 40, "_"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(80))) for _ in range(400)] + [None, "", " ", "\n"]
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 16)  # segments and blocks of a few characters, memos that forget all the time
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 20)
+    monkeypatch.setattr(bpe, "BLOCK_TOKENS", 7)
+    ids = bpe.Encoder(v.merge_many, v.special, v.split).encode_many(texts)
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == want
+    assert bpe.Decoder(v).decode_many(ids) == [tok.decode(i, skip_special_tokens=False) for i in want]
 
 
 def test_broken_records_are_noticed():
