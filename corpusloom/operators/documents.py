@@ -450,10 +450,26 @@ def book_parts(entries: DataFrame, html: DataFrame) -> DataFrame:
     return j.select("root_map", "pos", part.alias("html"))
 
 
-def book_html(entries: DataFrame, html: DataFrame) -> DataFrame:
-    """(root_map, html): whole books, their parts in order."""
-    parts = book_parts(entries, html).groupBy("root_map").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "html"))), lambda x: x["html"]), "\n").alias("html"))
-    return parts.select("root_map", F.concat(F.lit('<div class="ditamap-book">'), "html", F.lit("</div>")).alias("html"))
+def export_parts(entries: DataFrame, html: DataFrame) -> DataFrame:
+    """(root_map, pos, html): what each entry adds to an exported book. entries: from ``first_occurrences``, with role.
+
+    Unlike the preview, repeats and entries that only define keys are left out, roles head their pages, and a file that
+    cannot be read leaves a heading.
+    """
+    e = entries.withColumn("level", heading_level("depth"))
+    j = e.join(big(html.select(F.col("doc").alias("file"), "level", F.col("html").alias("__page"))), ["file", "level"], "left")
+    head = book_heading("display_name", "depth", "role")
+    page = F.concat(F.lit('<div class="book-entry">'), "__page", F.lit("</div>"))
+    is_page = (F.coalesce(F.col("href"), F.lit("")) != "") & ~F.lower(T.path_part(F.coalesce("href", F.lit("")))).endswith(".ditamap")
+    shown = F.when(F.col("__page").isNull(), head).when(F.col("role").isNotNull(), F.concat(head, F.lit("\n"), page)).otherwise(page)
+    part = F.when(is_page, F.when(~F.col("repeat"), shown)).when(F.coalesce(F.col("keys"), F.lit("")) == "", head)
+    return j.select("root_map", "pos", part.alias("html")).where("html IS NOT NULL")
+
+
+def book_html(entries: DataFrame, html: DataFrame, parts=book_parts) -> DataFrame:
+    """(root_map, html): whole books, their parts (``book_parts`` or ``export_parts``) in order."""
+    drawn = parts(entries, html).groupBy("root_map").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "html"))), lambda x: x["html"]), "\n").alias("html"))
+    return drawn.select("root_map", F.concat(F.lit('<div class="ditamap-book">'), "html", F.lit("</div>")).alias("html"))
 
 
 # ---------------------------------------------------------------- positions

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import documents as D
 from ..operators import keys as K
 from ..operators import map_html as H
 from ..operators import maps as M
@@ -88,6 +89,22 @@ def guide_explorer(spark, sf_dir):
     return rows.select("root_map", pos.cast("long").alias("pos"), "label", "description", "icon", "opens", F.col("parent_key").isNotNull().alias("nested"))
 
 
+@query(_GUIDE + """, h AS (
+  SELECT *, '<h' || (depth + 1) || ' class="book-heading">' || coalesce('<span class="map-tree-badge">' || role || '</span> ', '') || name || '</h' || (depth + 1) || '>' AS head,
+    '<div class="book-entry"><article class="topic"><h' || (depth + 1) || '>T' || k || '</h' || (depth + 1) || '></article></div>' AS page,
+    k % 2 = 0 AND href = 't/c' || k || '.dita' AS there FROM r WHERE kind <> 'structural'),
+p AS (SELECT *, CASE WHEN href IS NOT NULL THEN CASE WHEN NOT there THEN head WHEN role IS NOT NULL THEN head || chr(10) || page ELSE page END WHEN keys IS NULL THEN head END AS part FROM h)
+SELECT map AS root_map, md5('<div class="ditamap-book">' || string_agg(part, chr(10) ORDER BY k, s) || '</div>') AS hash FROM p GROUP BY map""")
+def guide_export(spark, sf_dir):
+    """Exported books: headings with roles, pages at the level of their entry, no entries that only define keys."""
+    c = F.col
+    nodes, expanded = _guides(spark, sf_dir)
+    topics = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(cat("guides/t/c", c("c_custkey"), ".dita").alias("path"), cat("<topic><title>T", c("c_custkey"), "</title></topic>").alias("content"))
+    entries = written(spark, M.first_occurrences(M.number_divisions(M.map_entries(expanded, nodes))))
+    levels = entries.where("file IS NOT NULL").select(c("file").alias("doc"), D.heading_level("depth").alias("level")).distinct()
+    return D.book_html(entries, D.topic_html(X.stored_nodes(spark, topics), levels=levels), D.export_parts).select("root_map", F.md5("html").alias("hash"))
+
+
 @query("""
 SELECT DISTINCT 'guides/g' || (c_custkey // 100) || '.ditamap' AS doc, 'Guide ' || (c_custkey // 100) AS title, 'Alt ' || (c_custkey // 100) AS subtitles FROM customer""")
 def guide_titles(spark, sf_dir):
