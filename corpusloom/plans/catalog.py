@@ -198,8 +198,8 @@ def cals_cells(spark, sf_dir):
 
 
 @query("""
-SELECT 'tables/t' || l_orderkey || '.dita' AS doc, col, width FROM (SELECT DISTINCT l_orderkey FROM lineitem)
-CROSS JOIN (VALUES (1, '33.33%'), (2, '66.67%'), (3, '120px')) AS w(col, width)""")
+SELECT 'tables/t' || k || '.dita' AS doc, col, width FROM (SELECT DISTINCT l_orderkey AS k, l_orderkey % 3 + 1 AS a FROM lineitem)
+CROSS JOIN LATERAL (VALUES (1, printf('%.2f%%', 100.0 * a / (a + 2))), (2, printf('%.2f%%', 200.0 / (a + 2))), (3, '120px')) AS w(col, width)""")
 def cals_widths(spark, sf_dir):
     return D.cals_columns(X.stored_nodes(spark, corpus.table_topics(spark, sf_dir))).select("doc", "col", "width")
 

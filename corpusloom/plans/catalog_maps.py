@@ -140,6 +140,17 @@ def map_rings(spark, sf_dir):
     return e.groupBy("root_map").agg(F.count("*").alias("entries"), F.max("depth").alias("deepest"))
 
 
+@query("""
+WITH b AS (SELECT c_custkey // 8 AS b, min(c_custkey) AS first, count(*) AS n FROM customer GROUP BY 1)
+SELECT 'ring/m' || first || '.ditamap' AS root_map, unnest(['t' || first || '.dita', 'm' || CASE WHEN n = 1 THEN first ELSE first + 1 END || '.ditamap']) AS href FROM b""")
+def ring_repeats(spark, sf_dir):
+    """What the rings show a second time: the first map's topic and its reference."""
+    maps = corpus.ring_maps(spark, sf_dir)
+    nodes = X.stored_nodes(spark, maps)
+    e = M.first_occurrences(M.map_entries(M.expand_maps(nodes, maps.where("root")), nodes))
+    return e.where("repeat").select("root_map", "href")
+
+
 @query("""
 SELECT 'all/g' || (c_custkey // 100) || '.ditamap' AS root_map, '../guides/t/c' || c_custkey || '.dita' AS href, 1 AS n FROM customer WHERE c_custkey % 6 = 2""")
 def rebased_hrefs(spark, sf_dir):

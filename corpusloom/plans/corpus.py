@@ -64,7 +64,7 @@ def table_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = F.when(c("l_linenumber") % 2 == 0, F.lit(' namest="a" nameend="b"')).otherwise(F.lit(' colname="a"'))
     row = cat("<row><entry", span, ">", c("l_partkey"), '</entry><entry colname="c" morerows="', (c("l_linenumber") % 3), '">', c("l_suppkey"), "</entry></row>")
     rows = li.groupBy("l_orderkey").agg(joined(row, ["l_linenumber", "l_partkey", "l_suppkey"]).alias("x"))
-    head = '<table><tgroup cols="3"><colspec colname="a" colwidth="1*"/><colspec colname="b" colwidth="2*"/><colspec colname="c" colwidth="120"/><tbody>'
+    head = cat('<table><tgroup cols="3"><colspec colname="a" colwidth="', c("l_orderkey") % 3 + 1, '*"/><colspec colname="b" colwidth="2*"/><colspec colname="c" colwidth="120"/><tbody>')
     return rows.select(cat("tables/t", c("l_orderkey"), ".dita").alias("path"), cat('<topic id="t', c("l_orderkey"), '"><title>T</title><body>', head, c("x"), "</tbody></tgroup></table></body></topic>").alias("content"))
 
 
