@@ -88,8 +88,11 @@ def train(spark: SparkSession, labelled: DataFrame) -> tuple[list[str], np.ndarr
     counts = np.zeros((len(langs), 1 << bits))
     if langs:
         summed = labelled.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-        got = summed.toPandas()  # at most the matrix
-        counts[got["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
+        # Blocks of buckets as arrays, partition by partition: the driver never holds the counts as rows.
+        blocks = summed.groupBy("lang", F.expr("bucket div 4096")).agg(F.collect_list(F.struct("bucket", "n")).alias("x"))
+        at = {x: k for k, x in enumerate(langs)}
+        for r in blocks.select("lang", F.col("x.bucket").alias("bucket"), F.col("x.n").alias("n")).coalesce(8).toLocalIterator():
+            counts[at[r.lang], r.bucket] = r.n
     logp = np.log(counts + ALPHA) - np.log(counts.sum(axis=1, keepdims=True) + ALPHA * (1 << bits))
     prior = np.log(np.array([share[x] for x in langs], float) / max(1, sum(share.values())))
     return langs, np.ascontiguousarray(np.hstack([logp, prior[:, None]]).astype(np.float32)), bits

@@ -32,6 +32,7 @@ their names.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -62,6 +63,10 @@ def _byte_hashes() -> np.ndarray:
     return splitmix(np.arange(256, dtype=np.uint64))
 
 
+#: Where a character of a script without spaces may begin.
+_DENSE = re.compile(rb"[\xe3-\xe9\xf1-\xff]|\xe0[\xb8-\xbb]|\xe1[\x80-\x82\x9e\x9f]|\xf0[\xa0-\xff]")
+
+
 def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends) of the words of a text in UTF-8."""
     b = np.frombuffer(data, np.uint8)
@@ -89,8 +94,11 @@ def encoded(text: str | None, units: Units = BYTES) -> bytes:
         return data
     from xxhash import xxh3_64_intdigest
 
-    starts, ends = word_places(data)
-    return np.fromiter((xxh3_64_intdigest(data[s:e]) for s, e in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts)).astype(np.uint32).tobytes()
+    if _DENSE.search(data):
+        words = [data[s:e] for s, e in zip(*(x.tolist() for x in word_places(data)))]
+    else:
+        words = data.split()  # on bytes: at the same white space
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)).astype(np.uint32).tobytes()
 
 
 def anchors(data: bytes, units: Units = BYTES) -> tuple[np.ndarray, np.ndarray]:
@@ -219,6 +227,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, units: Units = BYTES) -
     wanted = wanted.select("key", F.col("at.pos").alias("pos"), F.col("at.crowded").alias("crowded"))
     texts = written(spark, docs.join(wanted.hint("merge"), "key"), f"{folder}/texts")
 
+    for name in ("anchors", "again"):
+        drop(spark, f"{folder}/{name}")
+
     def cut(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
@@ -290,7 +301,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, units: Units = BYTES) -
     spans = occurrences.join(repeats.hint("merge"), ["h", "c"]).select("key", (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("r")).alias("e"))
     merged = spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("xs"))  # bounded by a text
     out = written(spark, merged.select("key", merge_spans(F.col("xs.s"), F.col("xs.e")).alias("spans")), f"{folder}/spans")
-    for name in ("anchors", "again", "texts", "repeats"):
+    for name in ("texts", "repeats"):
         drop(spark, f"{folder}/{name}")
     return out
 
