@@ -10,7 +10,8 @@ sixteen times as long, until it fits or is one chunk: the result does not depend
 nothing to stitch and are encoded where they lie. Decoding concatenates the bytes of the ids.
 
 Words are encoded one by one by the ranks of the vocabulary, distinct ones once per task. Null and empty texts give no
-ids and decode to no bytes. Repeated rows give repeated results. Extra columns pass through (``ids`` is replaced). The
+ids and decode to no bytes. Repeated rows give repeated results. Extra columns pass through (``ids`` and ``decoded``
+are replaced). The
 strings of special tokens are ordinary text.
 """
 
@@ -18,10 +19,12 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,30 +59,47 @@ class WordEncoder:
         # The library's own idea of letters, digits and spaces: its Unicode tables may be older or newer than Python's.
         every, single = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])), {bytes([i]): i for i in range(256)}
         of = lambda cls: bytes(tiktoken.Encoding("class", pat_str=cls, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)).decode()
-        sets = {name: _classes(of(rf"\{name}")) for name in ("p{L}", "p{N}", "s")}
-        sets["S"] = "^" + sets["s"]
-        # Every class of the pattern, inside brackets or not, is written out as ranges.
-        inside = lambda m: re.sub(r"\\(p\{[LN]\}|s)", lambda x: sets[x[1]], m[0])
-        pattern = re.sub(r"\[[^\]]*\]", inside, pattern)
-        self.words = re.compile(re.sub(r"\\(p\{[LN]\}|[sS])", lambda x: f"[{sets[x[1]]}]", pattern))
+        members = {name: of(rf"\{name}") for name in ("p{L}", "p{N}", "s")}
+
+        def spelled(most: int) -> re.Pattern:
+            """The pattern with every class, inside brackets or not, written out as ranges of characters below ``most``."""
+            sets = {name: _classes("".join(x for x in m if ord(x) < most)) for name, m in members.items()}
+            sets["S"] = "^" + sets["s"]
+            inside = lambda m: re.sub(r"\\(p\{[LN]\}|s)", lambda x: sets[x[1]], m[0])
+            return re.compile(re.sub(r"\\(p\{[LN]\}|[sS])", lambda x: f"[{sets[x[1]]}]", re.sub(r"\[[^\]]*\]", inside, pattern)))
+
+        # Three spellings of one pattern, all exact: for ASCII texts, for texts without a character that Python's tables class
+        # otherwise, and for all texts.
+        odd = set().union(*(set(m) ^ set(regex.findall(rf"\{name}", every)) for name, m in members.items()))
+        self.ascii, self.common, self.exact = spelled(128), regex.compile(pattern), spelled(0x110000)
+        self.odd = re.compile(f"[{_classes(''.join(odd))}]") if odd else None
         self.known: dict[str, bytes] = {}
 
+    def words(self, text: str) -> re.Pattern:
+        """The fastest spelling of the pattern that is exact for this text."""
+        return self.ascii if text.isascii() else self.exact if self.odd and self.odd.search(text) else self.common
+
     def boundaries(self, text: str, last: bool) -> list[int]:
         """Where words begin, as far as that can be trusted."""
-        out = [m.start() for m in self.words.finditer(text)]
+        out = [m.start() for m in self.words(text).finditer(text)]
         return out if last else [x for x in out if x + AHEAD <= len(text)]
 
     def encode(self, text: str, upto: int | None = None) -> bytes:
         """Ids (little-endian, four bytes each) of the words before ``upto``, a boundary; the text behind it decides where they end."""
-        known, words = self.known, self.words.findall(text)
+        known, words = self.known, self.words(text).findall(text)
         over = len(text) - upto if upto is not None else 0
         while over > 0:
             over -= len(words.pop())
-        single = lambda w: np.array(self.model._encode_single_piece(w), "<u4").tobytes()
-        known.update((w, single(w)) for w in set(words).difference(known) if len(w) <= REMEMBERED_CHARS)
-        out = b"".join(known.get(w) or single(w) for w in words)
+        single = lambda w: array("I", self.model._encode_single_piece(w)).tobytes()
+        new = set(words).difference(known)
+        known.update((w, single(w)) for w in new)
+        out = b"".join(map(known.__getitem__, words))
         if len(known) > REMEMBERED:
             known.clear()
+        else:
+            for w in new:
+                if len(w) > REMEMBERED_CHARS:
+                    del known[w]
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -101,13 +121,14 @@ def _ids_array(ids: list[bytes]):
 
 
 def encode_column(path: str, pattern: str, text) -> Column:
-    """Ids of whole texts."""
+    """Struct (ids, decoded): the ids of whole texts and the bytes that they stand for."""
 
-    def run(texts: pd.Series) -> pd.Series:
+    def run(texts: pd.Series) -> pd.DataFrame:
         enc = encoder(path, pattern)
-        return pd.Series([np.frombuffer(enc.encode(t), "<u4").astype(np.int32) if t else np.zeros(0, np.int32) for t in texts])
+        ids = [np.frombuffer(enc.encode(t), "<i4") if t else np.zeros(0, np.int32) for t in texts]
+        return pd.DataFrame({"ids": ids, "decoded": list(map(enc.decode, ids))})
 
-    return F.pandas_udf(run, "array<int>")(text)
+    return F.pandas_udf(run, "ids array<int>, decoded binary")(text)
 
 
 def decode_column(path: str, pattern: str, ids) -> Column:
@@ -225,11 +246,12 @@ def encode_long(spark: SparkSession, texts: DataFrame, path: str, pattern: str,
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``docs`` with ``ids`` (array of int), the ids of its column ``text``."""
+    """``docs`` with ``ids`` (array of int), the ids of its column ``text``, and ``decoded`` (binary), the bytes of these ids."""
     small_batches(spark)
-    docs = docs.drop("ids")
+    docs = docs.drop("ids", "decoded")
     long_ = F.coalesce(F.length("text") > chunk + overlap, F.lit(False))
-    short = docs.where(~long_).withColumn("ids", encode_column(path, pattern, F.col("text")))
+    both = fresh(docs, "coded")
+    short = docs.where(~long_).withColumn(both, encode_column(path, pattern, F.col("text"))).withColumns({"ids": F.col(both)["ids"], "decoded": F.col(both)["decoded"]}).drop(both)
     row = fresh(docs, "row")
     # Rows are numbered once and written: a repeated task must give a text the same number.
     kept = written(spark, docs.where(long_).withColumn(row, F.monotonically_increasing_id()), folder := shared_dir(spark))
@@ -237,11 +259,11 @@ def encode_documents(spark: SparkSession, docs: DataFrame, path: str, pattern: s
         drop(spark, folder)
         return short
     ids = encode_long(spark, kept.select(F.col(row).alias("row"), "text"), path, pattern, chunk, overlap).select(F.col("row").alias(row), "ids")
-    return short.unionByName(kept.hint("merge").join(ids, row).drop(row))
+    whole = kept.hint("merge").join(ids, row).drop(row)
+    return short.unionByName(whole.withColumn("decoded", decode_column(path, pattern, F.col("ids"))))
 
 
 def roundtrip(spark: SparkSession, docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     coded = encode_documents(spark, docs.select("doc_id", "text"), path, pattern, chunk, overlap)
-    back = coded.select("doc_id", "ids", decode_column(path, pattern, F.col("ids")).alias("decoded"))
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
