@@ -85,16 +85,40 @@ def decode_href(href) -> Column:
     return F.when(d.isNull() | d.contains("�"), h).otherwise(d)
 
 
+#: What comes before the first folder of a path: scheme and host, or slashes; nothing for a relative path.
+_ROOT = r"^([A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?/?|/+)"
+
+
+def root_of(path) -> Column:
+    """Scheme and host (``hdfs://nn/``, ``file:/``) or the slash of an absolute path; '' for a relative one."""
+    return F.regexp_replace(F.regexp_extract(_c(path), _ROOT, 1), "^/+$", "/")
+
+
 def normalise(path) -> Column:
-    """``.`` and ``..`` resolved; a leading ``..`` beyond the root is kept."""
-    parts = F.filter(F.split(_c(path), "/"), lambda x: ~x.isin("", "."))
-    step = lambda a, x: F.when((x == "..") & (F.size(a) > 0) & (F.get(a, F.size(a) - 1) != ".."), F.slice(a, 1, F.size(a) - 1)).otherwise(F.concat(a, F.array(x)))
-    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    """``.`` and ``..`` resolved; what a path is rooted in stays, and a relative path keeps a leading ``..`` beyond its root."""
+    root = root_of(path)
+    parts = F.filter(F.split(F.regexp_replace(_c(path), _ROOT, ""), "/"), lambda x: ~x.isin("", "."))
+    step = lambda a, x: F.when((x == "..") & (F.size(a) > 0) & (F.get(a, F.size(a) - 1) != ".."), F.slice(a, 1, F.size(a) - 1)).when((x == "..") & (root != ""), a).otherwise(F.concat(a, F.array(x)))
+    return F.concat(root, F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
 
 
 def dirname(path) -> Column:
     p = _c(path)
-    return F.when(p.contains("/"), F.regexp_replace(p, "/[^/]*$", "")).otherwise("")
+    return F.when(p.rlike("^/[^/]*$"), "/").when(p.contains("/"), F.regexp_replace(p, "/[^/]*$", "")).otherwise("")
+
+
+def ancestors(directory) -> Column:
+    """A folder and the folders above it, nearest first, as ``dirname`` names them."""
+    d = _c(directory)
+    root, parts = root_of(d), F.filter(F.split(F.regexp_replace(d, _ROOT, ""), "/"), lambda x: x != "")
+    top = F.when(root == "/", root).otherwise(F.regexp_replace(root, "/+$", ""))
+    return F.transform(F.sequence(F.size(parts), F.lit(0)), lambda k: F.when(k == 0, top).otherwise(F.concat(root, F.array_join(F.slice(parts, F.lit(1), k), "/"))))
+
+
+def under(directory, path) -> Column:
+    """A relative path seen from a folder; the empty folder is the root of relative paths."""
+    d = _c(directory)
+    return F.concat(d, F.when((d == "") | d.endswith("/"), "").otherwise("/"), _c(path))
 
 
 def basename(path) -> Column:
@@ -109,7 +133,7 @@ def stem(path) -> Column:
 def resolve(directory, href) -> Column:
     """Corpus path of a local href seen from a directory; null for a path-less one."""
     p = decode_href(path_part(href))
-    return F.when(p != "", normalise(F.concat(_c(directory), F.lit("/"), p)))
+    return F.when(p != "", normalise(under(directory, p)))
 
 
 def relative(path, directory) -> Column:
@@ -135,6 +159,15 @@ def letters(n) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(14)), F.struct(n.alias("m"), F.lit("").alias("s")), step)["s"]
 
 
+def lower_bound(numbers, x) -> Column:
+    """How many of a sorted array's numbers are smaller than ``x``, by binary search."""
+    a, x = _c(numbers), _c(x)
+    half = lambda s: F.shiftright(s["lo"] + s["hi"], 1)
+    step = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(F.get(a, half(s)) < x, F.struct((half(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), half(s).alias("hi")))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(a) + 1)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(a).alias("hi")), step)["lo"]
+
+
 def line_of(text, offset) -> Column:
     """0-based line of a 0-based offset in code points."""
     p = F.substring(_c(text), F.lit(1), _c(offset))

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.store import big, shared_dir, written
+from ..sources.store import big, dealt, met, shared_dir, written
+from .site import data_uris
 
 #: Tags that are topics whatever their base type; base types that render to nothing; whose content is not shown;
 #: that deepen headings; that end the header state of a table, or begin it.
@@ -19,7 +20,7 @@ SILENT = tuple(
     "topic/prolog topic/keywords topic/metadata topic/publisher topic/indexterm topic/indextermref topic/index-see topic/index-see-also topic/index-sort-as topic/index-base "
     "topic/colspec topic/param topic/hazardsymbol topic/anchorkey topic/anchorref map/relcolspec map/topicmeta map/linktext map/navtitle map/shortdesc map/keywords map/keyword map/anchor map/navref".split()
 )
-LEAVES = ("topic/image", "topic/anchor", "topic/anchorid", "topic/abbreviated-form")
+LEAVES = ("topic/image", "topic/anchor", "topic/anchorid")
 CONTAINERS = ("topic/section", "topic/example", "topic/fig", "topic/related-links")
 HEADS, BODIES = ("topic/thead", "topic/sthead"), ("topic/tbody", "topic/strow")
 
@@ -41,15 +42,30 @@ def suppress(nodes: DataFrame, types: tuple[str, ...] = SILENT) -> DataFrame:
     return nodes.where(~_is(types) & ~_has("path", types))
 
 
+def text_slices(rows: DataFrame) -> DataFrame:
+    """(doc, pre, own) of rows (doc, e: struct pre, post; t: struct pre, text): for each e the texts of the document from pre to post, in
+    order; '' without any.
+
+    One group per document: its texts are sorted once, and an element takes the slice between two places that binary search
+    finds, so each text is copied only into what is wanted around it.
+    """
+    one = rows.groupBy("doc").agg(F.collect_list("e").alias("es"), F.sort_array(F.collect_list("t")).alias("ts"))
+    one = one.select("doc", "es", F.transform("ts", lambda t: t["pre"]).alias("at"), F.transform("ts", lambda t: t["text"]).alias("texts"))
+    first, after = (lambda e, k=k: T.lower_bound("at", e[k]) for k in ("pre", "post"))
+    own = F.transform("es", lambda e: F.struct(e["pre"].alias("pre"), F.array_join(F.slice("texts", first(e) + 1, after(e) - first(e)), "").alias("own")))
+    return one.select("doc", F.inline(own)).select("doc", "pre", "own")
+
+
+def text_rows(wanted, text) -> tuple[Column, Column]:
+    """Columns e and t of ``text_slices`` from nodes: elements that are wanted, and texts."""
+    is_text = F.col("type") == "text"
+    return F.when((F.col("type") == "element") & wanted, F.struct("pre", "post")).alias("e"), F.when(is_text & text, F.struct("pre", "text")).alias("t")
+
+
 def element_text(nodes: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
     """(doc, pre, own): the text below each element (of these base types), in order; '' where there is none."""
-    wanted, ups = nodes.where("type = 'element'"), F.col("anc")
-    if types:
-        wanted = wanted.where(_is(types))
-        ups = F.transform(F.filter(F.arrays_zip(F.col("anc").alias("a"), F.col("path").alias("b")), lambda x: x["b"].isin(*types)), lambda x: x["a"])
-    parts = nodes.where("type = 'text'").select("doc", F.explode(ups).alias("a"), "pre", "text")
-    joined = parts.groupBy("doc", F.col("a").alias("pre")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"]), "").alias("own"))
-    return wanted.select("doc", "pre").join(big(joined), ["doc", "pre"], "left").withColumn("own", F.coalesce("own", F.lit("")))
+    wanted, text = (_is(types), _has("path", types)) if types else (F.lit(True), F.lit(True))
+    return text_slices(nodes.select("doc", *text_rows(wanted, text)).where("e IS NOT NULL OR t IS NOT NULL"))
 
 
 def titles(nodes: DataFrame) -> DataFrame:
@@ -94,16 +110,23 @@ def with_link_titles(links: DataFrame, nodes: DataFrame) -> DataFrame:
     local, other, roots = target_titles(nodes)
     href = F.col("href")
     here, frag = href.startswith("#"), T.fragment("href")
-    x = links.withColumns({"target": F.when(~here & ~T.is_external("href", F.lit(None)), T.resolve(T.dirname("doc"), "href")), "tid": F.when(here, F.substring_index(frag, "/", -1)).otherwise(F.split_part(frag, F.lit("/"), F.lit(1)))})
-    x = x.join(big(local), ["doc", "tid"], "left").join(big(other), ["target", "tid"], "left").join(big(roots), "target", "left")
-    found = F.when(here, F.col("here")).when(href.contains("#"), F.col("by_id")).when(T.path_part("href").rlike(r"(?i)\.(dita|xml)$"), F.col("root_title"))
-    return x.withColumn("found", F.when(found != "", found)).drop("here", "by_id", "root_title", "target", "tid")
+    file = F.when(~here & ~T.is_external("href", F.lit(None)), T.resolve(T.dirname("doc"), "href"))
+    kind = F.when(here, "here").when(file.isNull(), "none").when(href.contains("#"), "id").when(T.path_part("href").rlike(r"(?i)\.(dita|xml)$"), "root").otherwise("none")
+    x = links.withColumns({"__kind": F.coalesce(kind, F.lit("none")), "target": file, "tid": F.when(here, F.substring_index(frag, "/", -1)).otherwise(F.split_part(frag, F.lit("/"), F.lit(1)))})
+    # Each kind of link meets only the titles that it can have, so no join sees a null key.
+    parts = [x.where("__kind = 'none'").withColumn("found", F.lit(None).cast("string"))]
+    for name, side, on, title in (("here", local, ["doc", "tid"], "here"), ("id", other, ["target", "tid"], "by_id"), ("root", roots, ["target"], "root_title")):
+        parts.append(x.where(F.col("__kind") == name).join(big(side), on, "left").withColumn("found", F.when(F.col(title) != "", F.col(title))).drop(title))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.drop("__kind", "target", "tid")
 
 
 def xref_titles(nodes: DataFrame) -> DataFrame:
     """(doc, pre, href, shown, kind): what each xref shows: its own text, else the target's title, else the href."""
     x = nodes.where(_is(("topic/xref",))).select("doc", "pre", F.col("attrs")["href"].alias("href")).join(big(element_text(nodes, ("topic/xref",))), ["doc", "pre"])
-    j = with_link_titles(x, nodes)
+    j = with_link_titles(written(nodes.sparkSession, x), nodes)
     shown = F.when(~T.is_blank("own"), F.col("own")).otherwise(F.coalesce("found", "href", F.lit("")))
     return j.select("doc", "pre", "href", shown.alias("shown"), F.when(F.col("found").isNotNull(), "title").otherwise("href").alias("kind"))
 
@@ -115,10 +138,10 @@ def conref_targets(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """refs (doc, conref, ...) with target, target_pre, target_base, target_tag, target_attrs, target_ord, target_path of the element
     that a conref into another file names. The element id is looked up in the whole file and its first holder counts; a
     conref without a path never resolves."""
+    names = ("pre", "base", "tag", "attrs", "ord", "path", "line", "col", "end_line", "end_col")
     r = refs.withColumns({"target": T.resolve(T.dirname("doc"), "conref"), "tid": F.coalesce(T.element_id("conref"), T.topic_id("conref"))}).where("target IS NOT NULL AND tid <> ''")
     el = nodes.where("type = 'element' AND attrs['id'] <> ''")
-    t = el.groupBy(F.col("doc").alias("target"), F.col("attrs")["id"].alias("tid")).agg(F.min_by(F.struct("pre", "base", "tag", "attrs", "ord", "path"), "pre").alias("t"))
-    names = ("pre", "base", "tag", "attrs", "ord", "path")
+    t = el.groupBy(F.col("doc").alias("target"), F.col("attrs")["id"].alias("tid")).agg(F.min_by(F.struct(*names), "pre").alias("t"))
     return r.join(big(t), ["target", "tid"]).select(*refs.columns, "target", *[F.col(f"t.{n}").alias(f"target_{n}") for n in names])
 
 
@@ -133,7 +156,8 @@ def conref_text(nodes: DataFrame) -> DataFrame:
     return out.select("doc", "pre", "conref", F.coalesce("theirs", "own").alias("shown"), F.col("theirs").isNotNull().alias("resolved"))
 
 
-VIEW = ("doc", "key", "path", "type", "tag", "base", "attrs", "text", "line", "col", "end_line", "end_col")
+PLACES = ("line", "col", "end_line", "end_col")
+VIEW = ("doc", "key", "path", "type", "tag", "base", "attrs", "text", *PLACES)
 
 
 def document_view(nodes: DataFrame) -> DataFrame:
@@ -149,8 +173,8 @@ def _prefixes(key: str = "key") -> Column:
 def splice_conrefs(nodes: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """The view of documents (``docs``: doc; all without it) with conrefs replaced by what they name, however deeply nested.
 
-    A target of the same base type gives its children; of another type it takes the element's place, the referencing
-    element's attributes winning, without the target's id and conref. Conrefs inside spliced content are followed, seen
+    A target of the same base type gives its children; of another type it takes the element's place, with its own source
+    range, the referencing element's attributes winning, without the target's id and conref. Conrefs inside spliced content are followed, seen
     from the document that shows it; one that was resolved above it is left alone with its literal content, as is one
     that names nothing. Rounds are written and end when nothing is left to follow.
     """
@@ -171,7 +195,7 @@ def splice_conrefs(nodes: DataFrame, docs: DataFrame | None = None) -> DataFrame
         same = F.coalesce(F.col("target_base") == F.col("base"), F.lit(False))
         rest = F.map_filter("attrs", lambda name, _: name != "conref")
         theirs = F.map_filter("target_attrs", lambda name, _: ~name.isin("conref", "id") & ~F.map_contains_key(rest, name))
-        swap = got.select("doc", "key", F.struct(F.when(same, F.col("tag")).otherwise(F.col("target_tag")).alias("tag"), F.when(same, F.col("base")).otherwise(F.col("target_base")).alias("base"), F.when(same, rest).otherwise(F.map_concat(rest, theirs)).alias("attrs")).alias("swap"))
+        swap = got.select("doc", "key", F.struct(F.when(same, F.col("tag")).otherwise(F.col("target_tag")).alias("tag"), F.when(same, F.col("base")).otherwise(F.col("target_base")).alias("base"), F.when(same, rest).otherwise(F.map_concat(rest, theirs)).alias("attrs"), *[F.when(same, F.col(n)).otherwise(F.col(f"target_{n}")).alias(n) for n in PLACES]).alias("swap"))
         base = F.when(same, F.col("base")).otherwise(F.col("target_base"))
         depth = F.size("target_ord")
         inner = got.select("doc", "key", "path", base.alias("b"), "chain", "target", "target_pre", depth.alias("d")).join(big(subtree), ["target", "target_pre"])
@@ -179,20 +203,20 @@ def splice_conrefs(nodes: DataFrame, docs: DataFrame | None = None) -> DataFrame
             "doc", F.concat("key", F.slice("ord", F.col("d") + 1, F.size("ord"))).alias("key"), F.concat("path", F.array(F.coalesce("b", F.lit(""))), F.slice("npath", F.col("d") + 2, F.size("npath"))).alias("path"),
             *[F.col(f"n_{c}").alias(c) for c in VIEW[3:]], "chain", F.lit(k).alias("round"),
         )
-        new = written(spark, new, f"{folder}/spliced{k}")
+        new = dealt(spark, new)
         swap = swap.withColumn("round", F.lit(k - 1))  # replaces an element that the round before brought
         swaps, added = (swap, new) if swaps is None else (swaps.unionByName(swap), added.unionByName(new))
         last, k = open_refs(new).select(*VIEW, "chain"), k + 1
     if swaps is None:
         return view
-    swaps = written(spark, swaps, f"{folder}/swaps")
+    swaps = dealt(spark, swaps)
     all_nodes = view.withColumn("round", F.lit(-1)).unionByName(added.select(*VIEW, "round"))
     # The literal content of a replaced element goes: nodes of the same round below it.
     touched = all_nodes.join(big(swaps.select("doc", "round").distinct()), ["doc", "round"], "left_semi")
     under = touched.select("doc", "round", F.col("key").alias("low"), F.explode(_prefixes()).alias("key")).join(big(swaps.select("doc", "round", "key")), ["doc", "round", "key"]).select("doc", "round", F.col("low").alias("key")).distinct()
     out = all_nodes.join(big(under), ["doc", "round", "key"], "left_anti").join(big(swaps), ["doc", "round", "key"], "left")
     pick = lambda c: F.when(F.col("swap").isNotNull(), F.col(f"swap.{c}")).otherwise(F.col(c)).alias(c)
-    return written(spark, out.select(*[pick(c) if c in ("tag", "base", "attrs") else F.col(c) for c in VIEW]), f"{folder}/view")
+    return dealt(spark, out.select(*[pick(c) if c in ("tag", "base", "attrs", *PLACES) else F.col(c) for c in VIEW]))
 
 
 # ---------------------------------------------------------------- outline
@@ -299,7 +323,7 @@ _FIRST, _LAST = -1, (1 << 31) - 1
 
 def topic_html(
     nodes: DataFrame, keys: DataFrame | None = None, templates: dict[str, tuple[str, str]] | None = None, levels: DataFrame | int = 1,
-    targets: DataFrame | None = None, positions: bool = False, view: DataFrame | None = None, image_uri=lambda href: href,
+    targets: DataFrame | None = None, positions: bool = False, view: DataFrame | None = None, image_uri=lambda href: href, images: DataFrame | None = None,
 ) -> DataFrame:
     """(doc, level, html) by event assembly: opening, closing and text events of a document in the order of their keys.
 
@@ -307,33 +331,45 @@ def topic_html(
     content, links without content show titles from ``targets`` (nodes; the same ones by default). ``levels`` is the level
     of headings, or a table (doc, level) of the levels a document is needed at. Elements without a template are
     transparent. ``positions`` adds tag and source range to each element's first tag. ``view`` replaces the nodes that are
-    drawn (from ``splice_conrefs``).
+    drawn (from ``splice_conrefs``). ``image_uri`` rewrites the hrefs of images; with ``images`` (path, content) they are put
+    into the page as data URIs, '' where there is no such file.
     """
     templates = html_templates() if templates is None else templates
     a = F.col("attrs")
     v = view if view is not None else splice_conrefs(nodes)
     v = suppress(v)
+    kids = v.where("size(key) > 0").select("doc", F.slice("key", F.lit(1), F.size("key") - 1).alias("key"), (F.col("type").eqNullSafe("element") | ~T.is_blank("text")).alias("real"))
+    kids = kids.groupBy("doc", "key").agg(F.max("real").alias("__real"), F.lit(True).alias("__any"))
     # Elements that show nothing of what they hold: drop what lies below them.
-    shut = v.where(_is(LEAVES) | _is(("topic/xref",)) & (F.coalesce(a["href"], F.lit("")) == "") | _is(("topic/boolean",)) & (F.coalesce(a["value"], F.lit("")) != "")).select("doc", F.col("key").alias("cut"))
-    inside = v.where(_has("path", (*LEAVES, "topic/xref", "topic/boolean"))).select("doc", "key", F.explode(_prefixes()).alias("cut")).join(big(shut), ["doc", "cut"]).select("doc", "key").distinct()
-    v = v.join(big(inside), ["doc", "key"], "left_anti")
+    short_form = F.lit(keys is not None) & _is(("topic/abbreviated-form",)) & (F.coalesce(a["keyref"], F.lit("")) != "")
+    shut = v.where(_is(LEAVES) | short_form | _is(("topic/xref",)) & (F.coalesce(a["href"], F.lit("")) == "") | _is(("topic/boolean",)) & (F.coalesce(a["value"], F.lit("")) != "")).select("doc", F.col("key").alias("cut"))
+    # Of several titles of a figure only the first shows.
+    fig_titles = v.where(_is(("topic/title",)) & (F.element_at("path", -1) == "topic/fig")).select("doc", F.col("key").alias("cut"))
+    w = Window.partitionBy("doc", F.slice("cut", F.lit(1), F.size("cut") - 1)).orderBy("cut")
+    spare = fig_titles.withColumn("__k", F.row_number().over(w)).where("__k > 1").drop("__k")
+    inside = v.where(_has("path", (*LEAVES, "topic/xref", "topic/boolean", "topic/abbreviated-form", "topic/fig"))).select("doc", "key", F.explode(_prefixes()).alias("cut")).join(big(shut.unionByName(spare)), ["doc", "cut"]).select("doc", "key")
+    v = v.join(big(inside.unionByName(spare.select("doc", F.col("cut").alias("key")))), ["doc", "key"], "left_anti")
     full = F.concat("path", F.array(F.coalesce("base", F.lit(""))))
     # The title of a figure comes last, as its caption.
     moved = F.when(_has("path", ("topic/fig",)), F.transform("key", lambda x, i: F.when((F.get(full, i) == "topic/fig") & (F.get(full, i + 1) == "topic/title"), _LAST - 1).otherwise(x))).otherwise(F.col("key"))
     v = v.withColumn("place", moved)
-    kids = v.where("size(key) > 0").select("doc", F.slice("key", F.lit(1), F.size("key") - 1).alias("key"), (F.col("type").eqNullSafe("element") | ~T.is_blank("text")).alias("real"))
-    kids = kids.groupBy("doc", "key").agg(F.max("real").alias("__real"), F.lit(True).alias("__any"))
     e = v.where("type = 'element'").join(big(kids), ["doc", "key"], "left").withColumns({"__real": F.coalesce("__real", F.lit(False)), "__any": F.coalesce("__any", F.lit(False)), "scope_dir": T.dirname("doc"), "__keyref": F.when(a["keyref"] != "", a["keyref"])})
     if keys is not None:
-        e = e.join(big(keys.select("scope_dir", F.col("key").alias("__keyref"), F.col("value").alias("__value"))), ["scope_dir", "__keyref"], "left")
+        # Only elements that name a key meet the keys; their values come back by document.
+        values = met(nodes.sparkSession, keys.select("scope_dir", F.col("key").alias("__keyref"), F.col("value").alias("__value")))
+        named = e.where("__keyref IS NOT NULL").select("doc", "key", "scope_dir", "__keyref").join(values, ["scope_dir", "__keyref"]).select("doc", "key", "__value")
+        e = e.join(big(named), ["doc", "key"], "left")
     else:
         e = e.withColumn("__value", F.lit(None).cast("string"))
     e = e.withColumn("__value", F.when(F.col("__value") != "", F.col("__value")))
     by_key = ~F.col("__real") & F.col("__value").isNotNull()
     # Titles of links without content.
     links = e.where(_is(("topic/xref",)) & ~F.col("__any") & ~by_key & (a["href"] != "")).select("doc", "key", a["href"].alias("href"))
-    found = with_link_titles(links, targets if targets is not None else nodes).select("doc", "key", F.coalesce("found", "href").alias("__link"))
+    found = with_link_titles(written(nodes.sparkSession, links), targets if targets is not None else nodes).select("doc", "key", F.coalesce("found", "href").alias("__link"))
     e = e.join(big(found), ["doc", "key"], "left")
+    if images is not None:
+        shown = e.where(_is(("topic/image",)) & (a["href"] != "")).select("doc", "key", a["href"].alias("href"))
+        e = e.join(big(data_uris(shown, images).select("doc", "key", F.col("uri").alias("__uri"))), ["doc", "key"], "left")
     # Column numbers of table groups, by the key of the group.
     specs = (view if view is not None else nodes.where("error IS NULL").withColumnRenamed("ord", "key")).where(_is(("topic/colspec",)))
     specs = specs.select("doc", F.slice("key", F.lit(1), F.size("key") - 1).alias("group"), "key", "attrs")
@@ -363,9 +399,9 @@ def topic_html(
     kind = F.coalesce(F.when(a["type"] != "", a["type"]), F.lit("note"))
     lang = F.regexp_replace(F.coalesce(a["outputclass"], F.lit("")), "^language-", "")
     local = F.when(href.contains("/"), F.concat(F.lit("#"), F.substring_index(href, "/", -1))).otherwise(href)
-    link = F.coalesce(F.when(href != "", href), F.when(a["keyref"] != "", a["keyref"]), F.lit(""))
+    link = F.coalesce(F.when(href != "", href), F.when((a["keyref"] != "") & ~by_key, a["keyref"]), F.lit(""))
     unresolved = of("ph") & (F.coalesce(a["keyref"], F.lit("")) != "") & ~F.col("__real") & ~by_key & F.lit(keys is not None)
-    uri = F.when(href != "", image_uri(href)).otherwise("")
+    uri = F.when(href != "", image_uri(href)).otherwise("") if images is None else F.coalesce("__uri", F.lit(""))
     special = [  # (base type, opening, closing)
         (of("topic"), F.concat(F.lit("<article"), attr("id"), F.lit(' class="topic">')), "</article>"),
         (caption, F.lit("<figcaption>"), "</figcaption>"),
@@ -389,7 +425,7 @@ def topic_html(
         (of("ph"), F.lit('<span class="ph">'), "</span>"),
         (of("fn"), F.concat(F.lit('<sup class="fn'), F.when(a["id"] != "", F.concat(F.lit(" fn-call-"), esc(a["id"]))).otherwise(""), F.lit('">')), "</sup>"),
         (of("boolean"), F.concat(F.lit('<span class="boolean" data-value="'), esc(F.coalesce(a["value"], F.lit(""))), F.lit('">'), esc(F.coalesce(a["value"], F.lit("")))), "</span>"),
-        (of("abbreviated-form") & (F.coalesce(a["keyref"], F.lit("")) != ""), F.concat(F.lit('<abbr class="abbreviated-form" title="'), esc(a["keyref"]), F.lit('">'), esc(F.coalesce("__value", a["keyref"]))), "</abbr>"),
+        (short_form & ~by_key, F.concat(F.lit('<abbr class="abbreviated-form" title="'), esc(a["keyref"]), F.lit('">'), esc(F.coalesce("__value", a["keyref"]))), "</abbr>"),
         (of("abbreviated-form"), F.lit('<abbr class="abbreviated-form">'), "</abbr>"),
         (of("anchor") & (a["id"] != ""), F.concat(F.lit("<a"), attr("id"), F.lit("></a>")), ""),
         (of("anchorid") & (a["id"] != ""), F.concat(F.lit("<span"), attr("id"), F.lit("></span>")), ""),
@@ -400,8 +436,8 @@ def topic_html(
         opening, closing = F.when(when, begin).otherwise(opening), F.when(when, finish).otherwise(closing)
     if positions:
         where = F.concat(F.lit('<$1 title="'), "tag", *[x for name, c in (("data-line", "line"), ("data-end-line", "end_line"), ("data-start-col", "col"), ("data-end-col", "end_col")) for x in (F.lit(f'" {name}="'), F.col(c).cast("string"))], F.lit('"'))
-        opening = F.when(of("tgroup") | of("link") | of("linktext"), opening).otherwise(F.regexp_replace(opening, F.lit("^<([a-zA-Z][a-zA-Z0-9]*)"), where))
-    shows = F.when(by_key & ~_is(LEAVES), T.escape_html("__value")).when(F.col("__link").isNotNull(), esc("__link"))
+        opening = F.when(of("tgroup") | of("link") | of("linktext") | F.coalesce(caption, F.lit(False)), opening).otherwise(F.regexp_replace(opening, F.lit("^<([a-zA-Z][a-zA-Z0-9]*)"), where))
+    shows = F.when(by_key & ~_is(LEAVES) & ~F.coalesce(of("xref") & (href == ""), F.lit(False)), T.escape_html("__value")).when(F.col("__link").isNotNull(), esc("__link"))
     three = F.array(F.struct(F.concat("place", F.array(F.lit(_FIRST))).alias("pos"), opening.alias("html")), F.struct(F.concat("place", F.array(F.lit(0), F.lit(_FIRST))).alias("pos"), F.coalesce(shows, F.lit("")).alias("html")), F.struct(F.concat("place", F.array(F.lit(_LAST))).alias("pos"), closing.alias("html")))
     events = e.select("doc", "level", F.explode(F.filter(three, lambda x: x["html"] != "")).alias("x")).select("doc", "level", "x.*")
     replaced = e.where(by_key | unresolved).select("doc", F.col("key").alias("up"))
@@ -418,7 +454,8 @@ def standalone_html(title, body, css: str = "") -> Column:
 
 
 def write_pages(pages: DataFrame, folder: str) -> None:
-    """Sink: pages (root_map, file, html), a partition of text files for each map; a page is one line of JSON with its file."""
+    """Sink: pages (root_map, file, html) as an archive: a partition of text files for each map, a page is one line of JSON with its
+    file. ``sources.pages`` writes a file for each page."""
     pages.select("root_map", F.to_json(F.struct("file", "html")).alias("value")).write.partitionBy("root_map").mode("overwrite").text(folder)
 
 
@@ -433,6 +470,13 @@ def book_heading(name, depth, role) -> Column:
     return F.concat(F.lit("<h"), level, F.lit(' class="book-heading">'), badge, T.escape_attr(name), F.lit("</h"), level, F.lit(">"))
 
 
+def _with_pages(e: DataFrame, html: DataFrame) -> DataFrame:
+    """Entries with the page of their file at their level; those without a file have none and join nothing."""
+    pages = html.select(F.col("doc").alias("file"), "level", F.col("html").alias("__page"))
+    with_file = e.where("file IS NOT NULL").join(big(pages), ["file", "level"], "left")
+    return with_file.unionByName(e.where("file IS NULL").withColumn("__page", F.lit(None).cast("string")))
+
+
 def book_parts(entries: DataFrame, html: DataFrame) -> DataFrame:
     """(root_map, pos, html): what each entry adds to its book. entries: from ``first_occurrences``; html: (doc, level, html).
 
@@ -440,7 +484,7 @@ def book_parts(entries: DataFrame, html: DataFrame) -> DataFrame:
     of its depth, later ones a note, a file that cannot be read an error block.
     """
     e = entries.withColumn("level", heading_level("depth"))
-    j = e.join(big(html.select(F.col("doc").alias("file"), "level", F.col("html").alias("__page"))), ["file", "level"], "left")
+    j = _with_pages(e, html)
     level, name = F.col("level").cast("string"), "display_name"
     head = F.concat(F.lit('<div class="book-entry book-entry--placeholder">\n  <h'), level, F.lit(' class="book-section-heading">'), T.escape_attr(name), F.lit("</h"), level, F.lit(">\n</div>"))
     error = F.concat(F.lit('<div class="book-entry book-entry--error">\n  <h'), level, F.lit(' class="book-entry-title">'), T.escape_html(name), F.lit("</h"), level, F.lit('>\n  <p class="book-error">'), T.escape_html(F.concat(F.lit("File not found: "), "file")), F.lit("</p>\n</div>"))
@@ -457,7 +501,7 @@ def export_parts(entries: DataFrame, html: DataFrame) -> DataFrame:
     cannot be read leaves a heading.
     """
     e = entries.withColumn("level", heading_level("depth"))
-    j = e.join(big(html.select(F.col("doc").alias("file"), "level", F.col("html").alias("__page"))), ["file", "level"], "left")
+    j = _with_pages(e, html)
     head = book_heading("display_name", "depth", "role")
     page = F.concat(F.lit('<div class="book-entry">'), "__page", F.lit("</div>"))
     is_page = (F.coalesce(F.col("href"), F.lit("")) != "") & ~F.lower(T.path_part(F.coalesce("href", F.lit("")))).endswith(".ditamap")

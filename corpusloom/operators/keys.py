@@ -12,8 +12,7 @@ from .maps import key_values
 
 def visible_maps(dirs: DataFrame, maps: DataFrame, nearest_only: bool = False) -> DataFrame:
     """(scope_dir, map_path, distance): maps in a folder and its ancestors. dirs: scope_dir; maps: path."""
-    parts = F.filter(F.split("scope_dir", "/"), lambda x: x != "")
-    up = dirs.select("scope_dir").distinct().select("scope_dir", F.posexplode(F.transform(F.sequence(F.size(parts), F.lit(0)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("distance", "dir"))
+    up = dirs.select("scope_dir").distinct().select("scope_dir", F.posexplode(T.ancestors("scope_dir")).alias("distance", "dir"))
     m = maps.select(F.col("path").alias("map_path"), T.dirname("path").alias("dir"))
     out = up.join(big(m), "dir").select("scope_dir", "map_path", "distance")
     if nearest_only:

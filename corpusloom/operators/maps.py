@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.store import big, shared_dir, written
+from ..sources.store import Layers, big, shared_dir, written
+from .documents import text_rows, text_slices
+from .scan import neighbours, ranked, restarting_counts
 
 #: Base types that give an entry, that may refer to another map, and that the explorer shows.
 ENTRY_TYPES = ("map/topicref", "map/keydef", "map/mapref", "map/topichead")
@@ -60,9 +62,9 @@ def map_refs(nodes: DataFrame) -> DataFrame:
 
 
 def expand_maps(nodes: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """Expanded element nodes: root_map, src_map, pre, order_key, path, tag, base, attrs.
+    """Expanded element nodes: root_map, src_map, pre, order_key, path, tag, base, attrs, raw_href.
 
-    A referenced map's elements are appended below the reference, after its own children; sorting by order_key is document
+    Local hrefs of inlined maps are rebased to the root map's folder; ``raw_href`` is what the file says. A referenced map's elements are appended below the reference, after its own children; sorting by order_key is document
     order. Below one outermost reference each map is expanded at its first occurrence only, and own children of a reference
     know what their reference has expanded. Unreadable maps add nothing. Only references between maps are followed round
     by round (each written, until none is left, however deep); all other nodes are joined once at the end.
@@ -78,18 +80,22 @@ def expand_maps(nodes: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     )
     last = written(spark, inst, f"{folder}/0")
     inner = e.select(F.col("src_map").alias("at"), F.col("target").alias("to"), F.col("ord").alias("o"), F.col("path").alias("p"), F.col("base").alias("b"), F.col("n_own").alias("n"))
-    known, k = last, 0
+    known, k = Layers(spark), 0
+    known.add(last)
     while not last.isEmpty():
         k += 1
         key = F.concat("via", F.array(F.col("n_own") + F.get("o", 0)), F.slice("o", F.lit(2), F.size("o")))
         path = F.concat("path", F.array("base"), F.slice("p", F.lit(2), F.size("p")))
         new = last.join(big(inner), F.col("target") == F.col("at")).where(~F.array_contains("chain", F.col("to")))
         new = new.select("root_map", key.alias("via"), path.alias("path"), F.col("b").alias("base"), F.col("to").alias("target"), F.col("n").alias("n_own"), F.concat("chain", F.array("to")).alias("chain"), "branch", F.col("via").alias("holder"))
-        # An occurrence after a known one of the same map in the same branch is never the first: it need not be followed.
-        first = known.groupBy("root_map", "branch", "target").agg(F.min("via").alias("__first"))
-        new = new.join(big(first), ["root_map", "branch", "target"], "left").where("__first IS NULL OR via < __first").drop("__first")
-        last = written(spark, new, f"{folder}/{k}")
-        known = known.unionByName(last)
+        # An occurrence after a known one of the same map in the same branch is never the first: it need not be followed. Only the
+        # new occurrences of a round are joined with the known ones, which are never grouped again.
+        on = ["root_map", "branch", "target"]
+        old = known.all().select(*[F.col(c).alias(f"__{c}") for c in (*on, "via")])
+        met_before = [F.col(c) == F.col(f"__{c}") for c in on]
+        last = written(spark, new.join(big(old), [*met_before, F.col("__via") <= F.col("via")], "left_anti"), f"{folder}/{k}")
+        known.add(last)
+    known = known.all()
     # The first occurrence in each branch counts; what lies in a map that is not expanded goes with it.
     w = Window.partitionBy("root_map", "branch", "target")
     kept = known.withColumn("__first", F.min("via").over(w) == F.col("via"))
@@ -103,7 +109,17 @@ def expand_maps(nodes: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     key = F.concat("via", F.array(F.col("n_own") + F.get("ord", 0)), F.slice("ord", F.lit(2), F.size("ord")))
     path = F.concat("ipath", F.array("ibase"), F.slice("path", F.lit(2), F.size("path")))
     inst = kept.select("root_map", "via", F.col("path").alias("ipath"), F.col("base").alias("ibase"), F.col("target").alias("src_map"), "n_own")
-    return own.unionByName(inst.join(big(el), "src_map").select("root_map", "src_map", "pre", key.alias("order_key"), path.alias("path"), "tag", "base", "attrs"))
+    out = own.unionByName(inst.join(big(el), "src_map").select("root_map", "src_map", "pre", key.alias("order_key"), path.alias("path"), "tag", "base", "attrs"))
+    a = F.col("attrs")
+    seen = rebased(a["href"], a["scope"], T.dirname("src_map"), T.dirname("root_map"))
+    moved = F.map_concat(F.map_filter(a, lambda k, _: k != "href"), F.create_map(F.lit("href"), seen))
+    return out.select(*[c for c in out.columns if c != "attrs"], F.when(seen != a["href"], moved).otherwise(a).alias("attrs"), a["href"].alias("raw_href"))
+
+
+def own_elements(nodes: DataFrame) -> DataFrame:
+    """Elements of each map in the form of ``expand_maps``, without what its references would bring."""
+    el = nodes.where("type = 'element' AND depth > 0")
+    return el.select(F.col("doc").alias("root_map"), F.col("doc").alias("src_map"), "pre", F.col("ord").alias("order_key"), "path", "tag", "base", "attrs", F.col("attrs")["href"].alias("raw_href"))
 
 
 # ---------------------------------------------------------------- names
@@ -112,24 +128,20 @@ def expand_maps(nodes: DataFrame, roots: DataFrame | None = None) -> DataFrame:
 def keyed_text(nodes: DataFrame, keys: DataFrame | None = None, types: tuple[str, ...] | None = None) -> DataFrame:
     """(doc, pre, own): text below each element (of these base types), in order, '' without any. With ``keys`` (key, value) an
     element with a keyref and no text of its own shows its key's value, the innermost such element first."""
-    wanted = nodes.where("type = 'element'")
-    wanted = wanted.where(F.col("base").isin(*types)) if types else wanted
-    ups = F.arrays_zip(F.col("anc").alias("a"), F.col("path").alias("b"))
-    ups = F.filter(ups, lambda x: x["b"].isin(*types)) if types else ups
-    parts = nodes.where("type = 'text'").select("doc", F.explode(F.transform(ups, lambda x: x["a"])).alias("a"), "pre", "text")
-    if keys is not None:
-        spans = nodes.where("type = 'text'").where(~T.is_blank("text")).select("doc", F.explode("anc").alias("pre")).distinct()
-        empty = nodes.where("type = 'element' AND attrs['keyref'] <> ''").join(big(spans), ["doc", "pre"], "left_anti")
-        empty = empty.select("doc", "pre", "anc", "path", "base", F.col("attrs")["keyref"].alias("key")).join(big(keys.select("key", F.col("value").alias("__v"))), "key").where("__v <> ''")
-        outer = empty.select("doc", F.explode("anc").alias("pre")).distinct()
-        empty = empty.join(big(outer), ["doc", "pre"], "left_anti")
-        blank = nodes.where("type = 'text'").select("doc", "pre", F.explode("anc").alias("a")).join(big(empty.select("doc", F.col("pre").alias("a"))), ["doc", "a"]).select("doc", "pre").distinct()
-        parts = parts.join(big(blank), ["doc", "pre"], "left_anti")
-        own = F.concat(F.arrays_zip(F.col("anc").alias("a"), F.col("path").alias("b")), F.array(F.struct(F.col("pre").alias("a"), F.col("base").alias("b"))))
-        own = F.filter(own, lambda x: x["b"].isin(*types)) if types else own
-        parts = parts.unionByName(empty.select("doc", F.explode(F.transform(own, lambda x: x["a"])).alias("a"), "pre", F.col("__v").alias("text")))
-    joined = parts.groupBy("doc", F.col("a").alias("pre")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"]), "").alias("own"))
-    return wanted.select("doc", "pre").join(big(joined), ["doc", "pre"], "left").withColumn("own", F.coalesce("own", F.lit("")))
+    asked = F.coalesce(F.col("base").isin(*types), F.lit(False)) if types else F.lit(True)
+    if keys is None:
+        return text_slices(nodes.select("doc", *text_rows(asked, F.lit(True))).where("e IS NOT NULL OR t IS NOT NULL"))
+    keyed = F.coalesce(F.col("attrs")["keyref"] != "", F.lit(False))
+    own = text_slices(nodes.select("doc", *text_rows(keyed, F.lit(True))).where("e IS NOT NULL OR t IS NOT NULL")).where(T.is_blank("own"))
+    refs = nodes.where("type = 'element'").where(keyed).select("doc", "pre", "post", F.col("attrs")["keyref"].alias("key"))
+    empty = refs.join(big(own.select("doc", "pre")), ["doc", "pre"]).join(big(keys.select("key", F.col("value").alias("__v"))), "key").where("__v <> ''")
+    in_doc = Window.partitionBy("doc").orderBy("pre")
+    # Of empty elements inside each other the innermost one shows its key; the blank texts in it go.
+    empty = empty.withColumn("__next", F.lead("pre").over(in_doc)).where("__next IS NULL OR __next > post").select("doc", "pre", F.col("post").alias("__end"), "__v")
+    marked = nodes.join(big(empty), ["doc", "pre"], "left").select("doc", "pre", "post", "type", "base", "text", "__v", F.max("__end").over(in_doc.rowsBetween(Window.unboundedPreceding, -1)).alias("__until"))
+    shown = (F.col("type") == "text") & ~F.coalesce(F.col("__until") > F.col("pre"), F.lit(False))
+    t = F.when(F.col("__v").isNotNull(), F.struct("pre", F.col("__v").alias("text"))).when(shown, F.struct("pre", "text")).alias("t")
+    return text_slices(marked.select("doc", text_rows(asked, F.lit(True))[0], t).where("e IS NOT NULL OR t IS NOT NULL"))
 
 
 META_TYPES = ("map/navtitle", "map/linktext", "map/shortdesc", "map/keyword")
@@ -201,8 +213,8 @@ def map_entries(expanded: DataFrame, nodes: DataFrame, keys: DataFrame | None =
     href, keys, display_name, src_map, attrs. Relationship tables give none; groups and containers are transparent."""
     e = expanded.where(F.col("base").isin(*ENTRY_TYPES) & ~F.array_contains("path", "map/reltable"))
     e = _named(e, display_names(nodes, keys))
-    pos = F.row_number().over(Window.partitionBy("root_map").orderBy("order_key"))
-    return e.select("root_map", "order_key", pos.alias("pos"), _count("path", ENTRY_TYPES).alias("depth"), "tag", "base", F.col("attrs")["href"].alias("href"), F.col("attrs")["keys"].alias("keys"), shown_name().alias("display_name"), "src_map", "attrs")
+    e = ranked(e, "root_map", "order_key")
+    return e.select("root_map", "order_key", "pos", _count("path", ENTRY_TYPES).alias("depth"), "tag", "base", F.col("attrs")["href"].alias("href"), F.col("attrs")["keys"].alias("keys"), shown_name().alias("display_name"), "src_map", "attrs")
 
 
 def plain_role(tag: Column, ordinal: Column) -> Column:
@@ -221,30 +233,25 @@ def number_divisions(entries: DataFrame, role: Callable[[Column, Column], Column
     Chapters, parts and appendixes are counted per tag and depth; every division, numbered or not, restarts the counters
     below its depth. ``role`` draws the text from the tag and the ordinal.
     """
-    w = Window.partitionBy("root_map").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    deepest = entries.where(F.col("tag").isin(*NUMBERED)).agg(F.max("depth")).head()[0] or 0  # one number; a window function for each depth
-    resets = F.array(*[F.max(F.when(F.col("tag").isin(*ROLES) & (F.col("depth") < k), F.col("pos"))).over(w) for k in range(deepest + 1)])
-    e = entries.withColumn("__reset", F.get(resets, F.col("depth")))
-    n = F.row_number().over(Window.partitionBy("root_map", "tag", "depth", "__reset").orderBy("pos"))
-    e = e.withColumn("n", F.when(F.col("tag").isin(*NUMBERED), n)).drop("__reset")
+    tag = F.col("tag")
+    e = restarting_counts(entries, "root_map", "pos", "depth", "tag", F.coalesce(tag.isin(*ROLES), F.lit(False)), F.coalesce(tag.isin(*NUMBERED), F.lit(False)))
     ordinal = F.when(F.col("tag") == "chapter", F.col("n").cast("string")).when(F.col("tag") == "part", T.roman("n")).when(F.col("tag") == "appendix", T.letters("n"))
     return e.withColumn("ordinal", ordinal).withColumn("role", role(F.col("tag"), F.col("ordinal")))
 
 
 def first_occurrences(entries: DataFrame) -> DataFrame:
     """entries with ``file`` (corpus path of the href) and ``repeat``: whether that file occurred before in the same book."""
-    e = entries.withColumn("file", T.resolve(T.dirname("src_map"), "href"))
+    e = entries.withColumn("file", T.resolve(T.dirname("root_map"), "href"))
     w = Window.partitionBy("root_map", "file").orderBy("order_key")
     return e.withColumn("repeat", F.col("file").isNotNull() & (F.row_number().over(w) > 1))
 
 
-def rebased_href(src_map="src_map", root_map="root_map", attrs: str = "attrs") -> Column:
-    """An inlined element's href as seen from the root map's folder; the path stays as it is encoded, the fragment too."""
-    href = F.col(attrs)["href"]
-    path, away = T.path_part(href), T.dirname(src_map) != T.dirname(root_map)
-    moved = F.concat(T.relative(T.normalise(F.concat(T.dirname(src_map), F.lit("/"), path)), T.dirname(root_map)), F.when(href.contains("#"), F.concat(F.lit("#"), T.fragment(href))).otherwise(""))
-    local = ~T.is_external(href, F.col(attrs)["scope"]) & ~href.startswith("#") & (path != "")
-    return F.when(away & local, moved).otherwise(href)
+def rebased(href, scope, from_dir, to_dir) -> Column:
+    """A local href of a file in one folder as seen from another; the path stays as it is encoded, the fragment too."""
+    path = T.path_part(href)
+    moved = F.concat(T.relative(T.normalise(T.under(from_dir, path)), to_dir), F.when(href.contains("#"), F.concat(F.lit("#"), T.fragment(href))).otherwise(""))
+    local = ~T.is_external(href, scope) & ~href.startswith("#") & (path != "")
+    return F.when((from_dir != to_dir) & local, moved).otherwise(href)
 
 
 # ---------------------------------------------------------------- outlines, explorer, titles
@@ -259,7 +266,8 @@ def map_outline(nodes: DataFrame, role: Callable[[Column, Column], Column] = pla
     o = o.join(big(outline_names(nodes)), ["doc", "pre"], "left")
     kind = F.when(F.col("base") == "map/keydef", "keydef").when(F.col("base") == "map/topichead", "head").when(F.col("base") == "map/bookmap-structural", "structural").otherwise("ref")
     shown = F.filter(F.arrays_zip(F.col("anc").alias("a"), F.col("path").alias("b")), lambda x: x["b"].isin(*SHOWN_TYPES))
-    o = o.select(F.col("doc").alias("root_map"), "pre", F.row_number().over(Window.partitionBy("doc").orderBy("pre")).alias("pos"), "tag", "base", kind.alias("kind"), "attrs", "meta_name", _count("path", ENTRY_TYPES).alias("depth"), F.get(shown, F.size(shown) - 1)["a"].alias("parent_pre"), "line", "end_line")
+    o = o.select(F.col("doc").alias("root_map"), "pre", "tag", "base", kind.alias("kind"), "attrs", "meta_name", _count("path", ENTRY_TYPES).alias("depth"), F.get(shown, F.size(shown) - 1)["a"].alias("parent_pre"), "line", "end_line")
+    o = ranked(o, "root_map", "pre")
     # Only references count as divisions here; other kinds keep the numbers of their neighbours.
     o = number_divisions(o.withColumn("__tag", F.col("tag")).withColumn("tag", F.when(F.col("kind") == "ref", F.col("tag")).otherwise("")), role).withColumn("tag", F.col("__tag"))
     name = F.when(F.col("kind") == "keydef", F.coalesce(F.when(F.col("attrs")["keys"] != "", F.col("attrs")["keys"]), F.lit("(keydef)"))).when(F.col("kind") == "structural", F.col("tag")).otherwise(outline_name())
@@ -287,7 +295,7 @@ def tree_roles(expanded: DataFrame, role: Callable[[Column, Column], Column] = p
     """(root_map, order_key, role) of divisions, numbered over the whole tree by the explorer's levels."""
     transparent = F.coalesce(F.col("base").isin("map/topicgroup", "map/bookmap-structural"), F.lit(False))
     depth = explorer_depth() - F.when(transparent, 1).otherwise(0)
-    e = expanded.select("root_map", "order_key", F.row_number().over(Window.partitionBy("root_map").orderBy("order_key")).alias("pos"), F.greatest(depth, F.lit(0)).alias("depth"), "tag")
+    e = ranked(expanded.select("root_map", "order_key", F.greatest(depth, F.lit(0)).alias("depth"), "tag"), "root_map", "order_key")
     return number_divisions(e, role).where("role IS NOT NULL").select("root_map", "order_key", "role")
 
 
@@ -301,9 +309,10 @@ def explorer_rows(expanded: DataFrame, nodes: DataFrame, paths: DataFrame, keys:
     about = F.coalesce("role", F.when(F.col("base") == "map/keydef", a["keys"]).otherwise(a["href"]))
     icon = F.when(F.col("base") == "map/keydef", "key").when(box | (F.col("base") == "map/topichead"), "folder").when(F.col("role").isNotNull(), "book").otherwise("file")
     local = (a["href"] != "") & ~a["href"].rlike("(?i)^[a-z][a-z0-9+.-]*:") & ~F.coalesce(a["scope"] == "external", F.lit(False))
-    v = v.withColumn("target", F.when(local, T.resolve(T.dirname("src_map"), a["href"])))
+    v = v.withColumn("target", F.when(local, T.resolve(T.dirname("root_map"), a["href"])))
     there = big(paths.select(F.col("path").alias("target"), F.col("path").alias("opens")).distinct())
-    return v.join(there, "target", "left").select("root_map", "order_key", "parent_key", label.alias("label"), F.when(about != "", about).alias("description"), icon.alias("icon"), "opens")
+    opened = v.where("target IS NOT NULL").select("root_map", "order_key", "target").join(there, "target").select("root_map", "order_key", "opens")
+    return v.join(big(opened), ["root_map", "order_key"], "left").select("root_map", "order_key", "parent_key", label.alias("label"), F.when(about != "", about).alias("description"), icon.alias("icon"), "opens")
 
 
 def map_titles(nodes: DataFrame, keys: DataFrame | None = None) -> DataFrame:
@@ -326,14 +335,14 @@ def map_titles(nodes: DataFrame, keys: DataFrame | None = None) -> DataFrame:
 
 
 def nav_manifest(entries: DataFrame) -> DataFrame:
-    """(root_map, pos, file, title): pages of entries whose href ends in .dita, in order."""
+    """(root_map, pos, file, title): pages of entries whose href ends in .dita, in order. The manifest of a published map takes its
+    own entries (``own_elements``), not those of maps that it refers to."""
     return entries.where(F.lower("href").endswith(".dita")).select("root_map", "pos", F.concat(T.stem("href"), F.lit(".html")).alias("file"), F.col("display_name").alias("title"))
 
 
 def prev_next(manifest: DataFrame) -> DataFrame:
     """manifest with the files before and after each page."""
-    w = Window.partitionBy("root_map").orderBy("pos")
-    return manifest.withColumns({"prev": F.lag("file").over(w), "next": F.lead("file").over(w)})
+    return neighbours(manifest, "root_map", "pos", "file")
 
 
 def reltable_cells(nodes: DataFrame, keys: DataFrame | None = None) -> DataFrame:

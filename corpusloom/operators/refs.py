@@ -8,18 +8,18 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.store import big, written
+from ..sources.store import Layers, big, written
 
 #: Attributes that refer to something; what counts as a tag and as an attribute of it, as an id, as a list of keys
 #: and as a link to a map.
 REF_ATTRS = ("href", "conref", "conkeyref", "keyref")
 TAG = r"""<([A-Za-z][\w.-]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>"""
 ATTRIBUTE = r'([\w:.-]+)\s*=\s*"([^"]*)"'
-ID, KEYS, MAP_LINK = r'\bid\s*=\s*"([^"]+)"', r'\bkeys\s*=\s*"([^"]*)"', r'href\s*=\s*"([^"]+\.[Dd][Ii][Tt][Aa][Mm][Aa][Pp])"'
+ID, KEYS, MAP_LINK = r'\bid\s*=\s*"([^"]+)"', r'\bkeys\s*=\s*"([^"]*)"', r'href\s*=\s*"([^"]+\.ditamap)"'
 
 
 def _scan(docs: DataFrame, find: Callable[[str], Iterator[tuple]], schema: str) -> DataFrame:
@@ -81,9 +81,11 @@ def refs_at(points: DataFrame, refs: DataFrame, block: int = 256) -> DataFrame:
     References are dealt to the blocks of text that their value touches, so points meet only references nearby.
     """
     r = refs.select("doc", "tag", "attr", "value", "value_start", "value_end", "scope", F.explode(F.sequence(F.expr(f"value_start div {block}"), F.expr(f"value_end div {block}"))).alias("__block"))
-    j = points.withColumn("__block", F.expr(f"off div {block}")).join(big(r), ["doc", "__block"]).where("off BETWEEN value_start AND value_end")
-    best = j.groupBy(*points.columns).agg(F.min_by(F.struct("tag", "attr", "value", "value_start", "value_end", "scope"), "value_start").alias("r"))
-    return best.select(*points.columns, "r.*")
+    # Points are numbered once and written: equal ones stay apart.
+    p = written(refs.sparkSession, points.withColumn("__id", F.monotonically_increasing_id()))
+    j = p.withColumn("__block", F.expr(f"off div {block}")).join(big(r), ["doc", "__block"]).where("off BETWEEN value_start AND value_end")
+    best = j.groupBy("__id").agg(F.min_by(F.struct("tag", "attr", "value", "value_start", "value_end", "scope"), "value_start").alias("r"))
+    return p.join(big(best), "__id").select(*points.columns, "r.*")
 
 
 def with_targets(refs: DataFrame) -> DataFrame:
@@ -103,14 +105,14 @@ def target_offsets(refs: DataFrame, docs: DataFrame) -> DataFrame:
     """References to an existing file that name a topic, with target_off: where the topic's id begins in the target, or the
     element's after it; null where either is missing."""
     t = with_targets(refs).where("topic IS NOT NULL").join(big(docs.select(F.col("path").alias("target")).distinct()), "target", "left_semi")
-    ids = id_positions(docs).select(F.col("doc").alias("target"), "id", "off").distinct()
-    first = ids.groupBy("target", F.col("id").alias("topic")).agg(F.min("off").alias("topic_off"))
-    t = t.join(big(first), ["target", "topic"], "left")
-    # The places of an id in one file, in order: bounded by the file.
-    places = ids.groupBy("target", F.col("id").alias("elem")).agg(F.sort_array(F.collect_list("off")).alias("offs"))
-    t = t.join(big(places), ["target", "elem"], "left")
-    after = F.get(F.filter("offs", lambda o: o >= F.col("topic_off")), 0)
-    return t.withColumn("target_off", F.when(F.col("elem").isNull(), F.col("topic_off")).otherwise(after)).drop("topic_off", "offs")
+    # The places of an id in one file, in order: bounded by the file. Documents are scanned once for them.
+    ids = id_positions(docs).groupBy(F.col("doc").alias("target"), "id").agg(F.array_sort(F.collect_set("off")).alias("offs"))
+    ids = written(docs.sparkSession, ids)
+    t = t.join(big(ids.select("target", F.col("id").alias("topic"), F.get("offs", F.lit(0)).alias("topic_off"))), ["target", "topic"], "left")
+    # Only references that name an element meet the places of elements.
+    named = t.where("elem IS NOT NULL").join(big(ids.withColumnRenamed("id", "elem")), ["target", "elem"], "left")
+    named = named.withColumn("target_off", F.get("offs", T.lower_bound("offs", "topic_off"))).drop("offs")
+    return named.unionByName(t.where("elem IS NULL").withColumn("target_off", F.col("topic_off"))).drop("topic_off")
 
 
 def missing_ids(refs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -138,7 +140,7 @@ def diagnostics(docs: DataFrame, keys: DataFrame, extra_paths: DataFrame | None
 
 def map_links(maps: DataFrame) -> DataFrame:
     """(doc, k, target): the local .ditamap hrefs of each map, in text order, malformed maps included."""
-    pattern = re.compile(MAP_LINK)
+    pattern = re.compile(MAP_LINK, re.IGNORECASE)
     found = _scan(maps, lambda text: ((k, m[1]) for k, m in enumerate(pattern.finditer(text))), "k int, value string")
     return found.where(~T.is_external("value", F.lit(None))).select("doc", "k", T.resolve(T.dirname("doc"), "value").alias("target"))
 
@@ -153,13 +155,14 @@ def key_search_order(visible: DataFrame, maps: DataFrame, most: int | None = 50)
     links = written(spark, map_links(maps).join(big(maps.select(F.col("path").alias("target"))), "target"))
     at = F.row_number().over(Window.partitionBy("scope_dir").orderBy("distance", "map_path"))
     last = written(spark, visible.select("scope_dir", "map_path", F.lit(0).alias("hop"), F.array(at).alias("way")))
-    known = last
+    known = Layers(spark)
+    known.add(last)
     while not last.isEmpty():
         new = last.join(big(links.select(F.col("doc").alias("map_path"), "k", "target")), "map_path")
         new = new.groupBy("scope_dir", F.col("target").alias("map_path")).agg((F.min("hop") + 1).alias("hop"), F.min(F.concat("way", F.array("k"))).alias("way"))
-        last = written(spark, new.join(big(known.select("scope_dir", "map_path")), ["scope_dir", "map_path"], "left_anti"))
-        known = known.unionByName(last)
-    ranked = known.withColumn("rank", F.row_number().over(Window.partitionBy("scope_dir").orderBy("hop", "way")))
+        last = written(spark, new.join(big(known.all().select("scope_dir", "map_path")), ["scope_dir", "map_path"], "left_anti"))
+        known.add(last)
+    ranked = known.all().withColumn("rank", F.row_number().over(Window.partitionBy("scope_dir").orderBy("hop", "way")))
     return (ranked.where(F.col("rank") <= most) if most else ranked).select("scope_dir", "map_path", "rank")
 
 
@@ -186,11 +189,31 @@ def definitions(refs: DataFrame, docs: DataFrame, locations: DataFrame) -> DataF
     all_refs = k.unionByName(plain).unionByName(inside)
     # Lines and columns are taken once for each place, so a text is joined once however many references lead there.
     places = all_refs.select("target", "off").distinct().groupBy("target").agg(F.collect_list("off").alias("offs"))
-    at = places.join(big(docs.select(F.col("path").alias("target"), "content")), "target").select("target", "content", F.explode("offs").alias("off"))
-    at = at.select("target", "off", T.line_of("content", "off").alias("target_line"), T.column_of("content", "off").alias("target_col"))
+    held = places.join(big(line_index(docs.join(big(places.select(F.col("target").alias("path"))), "path", "left_semi")).withColumnRenamed("doc", "target")), "target")
+    at = held.select("target", F.inline(F.transform("offs", lambda o: F.struct(o.alias("off"), *places_of("breaks", o)))))
     return all_refs.join(big(at), ["target", "off"]).drop("off")
 
 
+def line_index(docs: DataFrame) -> DataFrame:
+    """(doc, breaks): the offsets of a text's line ends, sorted: one pass over each text, however many places are asked for."""
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            breaks = [[m.start() for m in re.finditer("\n", t.as_py() or "")] for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(breaks, pa.list_(pa.int32()))], ["doc", "breaks"])
+
+    return docs.select("path", "content").mapInArrow(run, "doc string, breaks array<int>")
+
+
+def places_of(breaks: str, off) -> tuple[Column, Column]:
+    """0-based target_line and target_col of an offset, by binary search in the line ends of its text."""
+    line = T.lower_bound(breaks, off)
+    start = F.coalesce(F.get(F.col(breaks), line - 1) + 1, F.lit(0))
+    return line.alias("target_line"), (off - start).alias("target_col")
+
+
 # ---------------------------------------------------------------- attribute catalogue
 
 #: Attributes that every element may carry, and those of single elements.

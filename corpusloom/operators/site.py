@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -145,6 +145,92 @@ def search(docs: DataFrame, term: str, regex: bool = False, case_sensitive: bool
     return docs.where(F.lit(usable)).select("doc", "content").mapInArrow(run, f"doc {kind}, n int, total int, start int, end int")
 
 
+#: Elements whose text is not shown, and ids of the parts of a page that are its tools.
+UNSHOWN_TAGS, TOOL_IDS = ("script", "style", "mark"), ("__toolbar", "__search_bar")
+#: Elements that hold nothing, and those whose start ends an open paragraph.
+VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+
+
+def _text_nodes(html: str, tools: tuple[str, ...]) -> list[tuple[int, str, str]]:
+    """(number, tag of the parent, text) of the text nodes of a page's body that a reader sees; tag soup is taken as it comes: an end
+    tag closes what is open up to its start, one without a start is passed over."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open: list[tuple[str, bool]] = []  # (tag, whether it or one around it is a tool)
+            self.buffer: list[str] = []
+            self.out: list[tuple[int, str, str]] = []
+            self.number = 0
+
+        def flush(self):
+            text, self.buffer = "".join(self.buffer), []
+            if not text:
+                return
+            tag, tool = self.open[-1] if self.open else ("body", False)
+            if not tool and tag not in UNSHOWN_TAGS and not any(t == "head" for t, _ in self.open) and text.strip():
+                self.out.append((self.number, tag, text))
+            self.number += 1
+
+        def handle_starttag(self, tag, attrs):
+            self.flush()
+            if tag in ENDS_PARAGRAPH and self.open and self.open[-1][0] == "p":
+                self.open.pop()
+            if tag == "body":
+                self.open = [x for x in self.open if x[0] != "head"]
+            if tag not in VOID_TAGS:
+                self.open.append((tag, bool(self.open and self.open[-1][1]) or dict(attrs).get("id") in tools))
+
+        def handle_startendtag(self, tag, attrs):
+            self.handle_starttag(tag, attrs)
+
+        def handle_endtag(self, tag):
+            self.flush()
+            at = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == tag), None)
+            if at is not None:
+                del self.open[at:]
+
+        def handle_data(self, data):
+            self.buffer.append(data)
+
+        def handle_comment(self, data):
+            self.flush()
+
+    reader = Reader()
+    reader.feed(html)
+    reader.close()
+    reader.flush()
+    return reader.out
+
+
+def page_text_nodes(pages: DataFrame, tools: tuple[str, ...] = TOOL_IDS) -> DataFrame:
+    """(doc, node, tag, text): the text nodes of pages (doc, html) that a reader sees, numbered in the order of the page. Blank ones
+    are left out, and what is in the head, in scripts and styles, or in a page's tools (elements with one of these ids)."""
+    kind = pages.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            found = [(row, *x) for row, html in enumerate(b.column(1)) for x in _text_nodes(html.as_py() or "", tools)]
+            cols = list(zip(*found)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["doc", "node", "tag", "text"])
+
+    return pages.select("doc", "html").mapInArrow(run, f"doc {kind}, node int, tag string, text string")
+
+
+def search_pages(pages: DataFrame, term: str, regex: bool = False, case_sensitive: bool = False, most: int = 1000) -> DataFrame:
+    """(doc, node, start, end, n, total): matches in the shown text of pages (doc, html): the first ``most`` of each text node, numbered
+    through the page, of ``total`` on it. Offsets are code points inside the node; a match does not cross nodes."""
+    nodes = page_text_nodes(pages)
+    hits = search(nodes.select(F.struct("doc", "node").alias("doc"), F.col("text").alias("content")), term, regex, case_sensitive, most)
+    hits = hits.select("doc.doc", "doc.node", "start", "end")
+    w = Window.partitionBy("doc")
+    return hits.withColumns({"n": F.row_number().over(w.orderBy("node", "start")), "total": F.count("*").over(w).cast("int")})
+
+
 # ---------------------------------------------------------------- images
 
 #: Media types of images by extension.
@@ -271,9 +357,8 @@ def diff_report(diff: DataFrame, side: str) -> DataFrame:
 def style_candidates(docs: DataFrame, styles: DataFrame, configured: DataFrame | None = None) -> DataFrame:
     """candidates(scope, name, layer, path) for ``layered_lookup``: style files (path) of every folder from a document's own up to the
     root, nearest first, and of the folders that are configured for it (scope, dir), which come last; each folder once."""
-    parts = F.filter(F.split("scope", "/"), lambda x: x != "")
     up = docs.select(T.dirname("path").alias("scope")).distinct()
-    up = up.select("scope", F.posexplode(F.transform(F.sequence(F.size(parts), F.lit(0)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("layer", "dir"))
+    up = up.select("scope", F.posexplode(T.ancestors("scope")).alias("layer", "dir"))
     if configured is not None:
         up = up.unionByName(configured.select("scope", F.lit(1 << 20).alias("layer"), "dir"))
     up = up.groupBy("scope", "dir").agg(F.min("layer").alias("layer"))

@@ -492,4 +492,4 @@ def snapshot_changes_all(spark, sf_dir):
     return C.snapshot_changes(snap(events.join(F.broadcast(cut), F.col("ts") <= F.col("t"))), snap(events))
 
 
-from . import catalog_maps, catalog_topics  # noqa: E402, F401  # they register more
+from . import catalog_maps, catalog_more, catalog_topics  # noqa: E402, F401  # they register more

@@ -120,9 +120,9 @@ def guide_related(spark, sf_dir):
 
 
 @query("""
-SELECT 'maps/n' || c_nationkey || '.ditamap' AS root_map, md5('<div class="ditamap-container">' || chr(10) || '      ' || chr(10) || '      <ul class="map-tree">' || string_agg(
-  '<li class="map-tree-item map-tree-item--nav" data-keys="" data-href="c' || c_custkey || '.dita">' || chr(10) || '      <a href="#" class="map-tree-link" data-href="c' || c_custkey || '.dita"><span class="map-tree-icon map-tree-icon--file">' || chr(128196) ||
-  '</span><span class="map-tree-label">' || c_name || '</span></a>' || chr(10) || '      ' || chr(10) || '    </li>', '' ORDER BY c_custkey) || '</ul>' || chr(10) || '    </div>') AS hash FROM customer GROUP BY c_nationkey""")
+SELECT 'maps/n' || c_nationkey || '.ditamap' AS root_map, md5('<div class="ditamap-container"><ul class="map-tree">' || string_agg(
+  '<li class="map-tree-item map-tree-item--nav" data-keys="" data-href="c' || c_custkey || '.dita"><a href="#" class="map-tree-link" data-href="c' || c_custkey || '.dita"><span class="map-tree-icon map-tree-icon--file">' || chr(128196) ||
+  '</span><span class="map-tree-label">' || c_name || '</span></a></li>', '' ORDER BY c_custkey) || '</ul></div>') AS hash FROM customer GROUP BY c_nationkey""")
 def map_tree_html(spark, sf_dir):
     maps = corpus.book_maps(spark, sf_dir).where("path LIKE 'maps/n%'")
     nodes = X.stored_nodes(spark, maps)
@@ -160,7 +160,7 @@ def rebased_hrefs(spark, sf_dir):
     hubs = guides.select(F.concat(F.lit("all/"), name).alias("path"), F.concat(F.lit('<map><topicref href="../guides/'), name, F.lit('" format="ditamap"/></map>')).alias("content"))
     expanded = M.expand_maps(X.stored_nodes(spark, guides.unionByName(hubs)), hubs)
     seen = expanded.where("tag = 'chapter' AND attrs['navtitle'] IS NOT NULL")
-    return seen.groupBy("root_map", M.rebased_href().alias("href")).agg(F.count("*").cast("int").alias("n"))
+    return seen.groupBy("root_map", F.col("attrs")["href"].alias("href")).agg(F.count("*").cast("int").alias("n"))
 
 
 @query("""

@@ -9,7 +9,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import written
+from ..functions import text as T
+from .store import big, dealt
 
 #: One row per node. ``ord``: sibling numbers from the root down, so sorting by it is document order; ``anc``: the ancestors'
 #: ``pre``; ``path``: the ancestors' base types ('' where one has none); lines and columns are 0-based code points, ends
@@ -95,9 +96,27 @@ def tag_types() -> dict[str, dict[str, str]]:
 
 
 def docs_from_dir(spark: SparkSession, root: str) -> DataFrame:
-    """docs(path, root_dir, content, mtime) of the XML documents below a folder."""
+    """docs(path, root_dir, content, mtime) of the XML documents below a folder of any file system. Paths are relative to the folder,
+    so that references, folders and key spaces look alike wherever it lies; ``root_dir`` is its full name."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("path").rlike(r"(?i)\.(dita|ditamap|xml)$"))
-    return files.select("path", F.lit(root).alias("root_dir"), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("mtime"))
+    return files.select(relative_path("path", full).alias("path"), F.lit(full).alias("root_dir"), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("mtime"))
+
+
+def relative_path(path, root: str) -> Column:
+    """A file's path relative to the root folder; slashes after the scheme do not count, and what lies elsewhere stays as it is."""
+    bare = lambda c: F.regexp_replace(c, "^([A-Za-z][A-Za-z0-9+.\\-]*):/+", "$1:/")
+    p, r = bare(F.col(path) if isinstance(path, str) else path), F.concat(bare(F.lit(root.rstrip("/"))), F.lit("/"))
+    return F.when(p.startswith(r), F.substring(p, F.length(r) + 1, F.length(p))).otherwise(path)
+
+
+def referenceable_files(paths: DataFrame, dirs: DataFrame, max_depth: int = 3, most: int = 200) -> DataFrame:
+    """(dir, rel): for each folder (dirs: dir) the documents (paths: path, relative to the root) that it may refer to."""
+    up = paths.select("path", F.explode(T.ancestors(T.dirname("path"))).alias("dir"))
+    rel = F.when(F.col("dir") == "", F.col("path")).otherwise(F.substring("path", F.length("dir") + 2, F.length("path")))
+    inside = up.join(big(dirs.select("dir").distinct()), "dir", "left_semi").select("dir", rel.alias("rel"))
+    return list_files(inside, max_depth, most)
 
 
 def list_files(files: DataFrame, max_depth: int = 3, most: int = 200) -> DataFrame:
@@ -110,32 +129,102 @@ def list_files(files: DataFrame, max_depth: int = 3, most: int = 200) -> DataFra
     return ok.withColumn("__k", F.row_number().over(Window.partitionBy("dir").orderBy("rel"))).where(F.col("__k") <= most).drop("__k")
 
 
+#: How a document declares an entity, and what counts as a reference to one.
+DECLARED = r'<!ENTITY\s+(\S+)\s+"((?:[^"\\]|\\.)*)">'
+REFERENCE = r"&([a-zA-Z_][a-zA-Z0-9_.-]*);"
+
+
 def clean_entities(content, known: dict[str, str] = ENTITIES) -> Column:
     """A document without its DOCTYPE, with declared and known entities replaced and unknown ones deleted.
 
-    Declared ones come first, in order of declaration, and replacement is literal.
+    Declared ones come first, in order of declaration, and replacement is literal. What does not look like a reference to
+    an entity (``REFERENCE``) and is not declared stays.
     """
     c = F.col(content) if isinstance(content, str) else content
-    names = F.regexp_extract_all(c, F.lit(r'<!ENTITY\s+([\w.-]+)\s+"([^"]*)"\s*>'), F.lit(1))
-    values = F.regexp_extract_all(c, F.lit(r'<!ENTITY\s+([\w.-]+)\s+"([^"]*)"\s*>'), F.lit(2))
-    body = F.regexp_replace(c, r"(?s)<!DOCTYPE[^\[>]*(\[.*?\]\s*)?>", "")
+    names, values = (F.regexp_extract_all(c, F.lit(DECLARED), F.lit(k)) for k in (1, 2))
+    at = F.instr(c, "<!DOCTYPE")
+    rest = F.substring(c, at, F.length(c))
+    bracket, close = F.instr(rest, "["), F.instr(rest, ">")
+    ends = F.locate("]>", F.substring(rest, bracket, F.length(rest)))
+    cut = F.when((bracket > 0) & ((close == 0) | (bracket < close)) & (ends > 0), bracket + ends).otherwise(close)
+    body = F.when((at > 0) & (cut > 0), F.concat(F.substring(c, F.lit(1), at - 1), F.substring(rest, cut + 1, F.length(rest)))).otherwise(c)
     body = F.aggregate(F.arrays_zip(names.alias("n"), values.alias("v")), body, lambda acc, e: F.replace(acc, F.concat(F.lit("&"), e["n"], F.lit(";")), e["v"]))
     for n, v in known.items():
         body = F.replace(body, F.lit(f"&{n};"), F.lit(v))
-    return F.regexp_replace(body, rf"&(?!(?:{'|'.join(BUILT_IN)});|#)[\w.-]+;", "")
+    return F.regexp_replace(body, rf"&(?!(?:{'|'.join(BUILT_IN)});)[a-zA-Z_][a-zA-Z0-9_.-]*;", "")
+
+
+class Shifted:
+    """A text with replacements, and where each of its characters stands in the source."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.at, self.source, self.moves = [0], [0], [True]  # from ``at`` on, places move along from ``source`` or stand still
+
+    def origin(self, at: int) -> int:
+        k = bisect_right(self.at, at) - 1
+        return self.source[k] + (at - self.at[k] if self.moves[k] else 0)
+
+    def replace(self, found: Iterable[tuple[int, int, str]]) -> None:
+        """Put new text in the place of (start, end, new), in order."""
+        out, at, source, moves, n, done = [], [], [], [], 0, 0
+
+        def mark(place: int, origin: int, moving: bool) -> None:
+            if at and at[-1] == place:
+                at.pop(), source.pop(), moves.pop()
+            at.append(place), source.append(origin), moves.append(moving)
+
+        def keep(a: int, b: int) -> None:
+            nonlocal n
+            k = bisect_right(self.at, a) - 1
+            mark(n, self.origin(a), self.moves[k])
+            for k in range(k + 1, bisect_right(self.at, b)):
+                mark(n + self.at[k] - a, self.source[k], self.moves[k])
+            out.append(self.text[a:b])
+            n += b - a
+
+        for a, b, new in found:
+            keep(done, a)
+            if new:
+                mark(n, self.origin(a), False)
+                out.append(new)
+                n += len(new)
+            done = b
+        keep(done, len(self.text))
+        self.text, self.at, self.source, self.moves = "".join(out), at, source, moves
+
+
+def clean_source(xml: str, known: dict[str, str] = ENTITIES) -> Shifted:
+    """As ``clean_entities``, for one document, with the places of its characters in the source."""
+    s = Shifted(xml)
+    declared = re.findall(DECLARED, xml)
+    at = xml.find("<!DOCTYPE")
+    if at >= 0:
+        bracket, close = xml.find("[", at), xml.find(">", at)
+        ends = xml.find("]>", bracket) if bracket >= 0 and (close < 0 or bracket < close) else -1
+        if ends >= 0 or close >= 0:
+            s.replace([(at, ends + 2 if ends >= 0 else close + 1, "")])
+    for name, value in declared:
+        s.replace((m.start(), m.end(), value) for m in re.finditer(re.escape(f"&{name};"), s.text))
+    if "&" in s.text:
+        s.replace((m.start(), m.end(), known.get(m[1], "")) for m in re.finditer(REFERENCE, s.text) if m[1] not in BUILT_IN)
+    return s
 
 
 _TAG_END = re.compile(rb"""(?:"[^"]*"|'[^']*'|[^>"'])*>""")
 _TYPED = re.compile("^(topic|map)/")
 
 
-def shred_document(xml: str | None, types: dict[str, dict[str, str]]) -> list[list]:
+def shred_document(xml: str | None, types: dict[str, dict[str, str]], clean: bool = True) -> list[list]:
     """Nodes of one document in pre-order (columns of NODES after doc), or one row with an error. Starts and ends share one
-    counter. A document is a map if its root element is one, by name or by class."""
+    counter. A document is a map if its root element is one, by name or by class. Entities are cleaned first unless
+    ``clean`` is off; places are those of the source."""
     from xml.parsers import expat
 
-    data = (xml or "").encode("utf-8", "surrogatepass")
-    breaks = [-1, *(m.start() for m in re.finditer(b"\n", data))]
+    xml = xml or ""
+    shifted = clean_source(xml) if clean and ("&" in xml or "<!DOCTYPE" in xml) else None
+    data = (shifted.text if shifted else xml).encode("utf-8", "surrogatepass")
+    breaks = [-1, *(m.start() for m in re.finditer("\n", xml))]
     rows: list[list] = []
     open_: list[list] = []
     kids: list[int] = []
@@ -143,13 +232,13 @@ def shred_document(xml: str | None, types: dict[str, dict[str, str]]) -> list[li
     parser = expat.ParserCreate("utf-8")
     PRE, POST, ORD, ANC, PATH, BASE, END_LINE, END_COL = 0, 1, 5, 6, 7, 10, 15, 16
 
-    last = [0, 0, 0]  # line, byte and column of the last place: places only go forward, so each byte is counted once
+    last = [0, 0]  # byte and character of the last place: places only go forward, so each byte is counted once
 
     def place(at: int) -> tuple[int, int]:
-        k = bisect_right(breaks, at - 1) - 1
-        begin, col = (last[1], last[2]) if k == last[0] else (breaks[k] + 1, 0)
-        last[:] = k, at, col + len(data[begin:at].decode("utf-8", "replace"))
-        return k, last[2]
+        last[:] = at, last[1] + len(data[last[0] : at].decode("utf-8", "replace"))
+        source = shifted.origin(last[1]) if shifted else last[1]
+        k = bisect_right(breaks, source - 1) - 1
+        return k, source - breaks[k] - 1
 
     def node(kind, tag, base, attrs, text, at):
         nonlocal tick
@@ -208,8 +297,9 @@ def shred_document(xml: str | None, types: dict[str, dict[str, str]]) -> list[li
     return [[None] * 17 + [error]] if error else rows
 
 
-def shred(docs: DataFrame, types: dict[str, dict[str, str]] | None = None) -> DataFrame:
-    """NODES of docs(path, content); a document that is not well-formed gives one row with its error.
+def shred(docs: DataFrame, types: dict[str, dict[str, str]] | None = None, clean: bool = True) -> DataFrame:
+    """NODES of docs(path, content); a document that is not well-formed gives one row with its error. Entities are cleaned before
+    parsing (``clean_entities``); ranges refer to the source as it is.
 
     ``base`` is the tag's base type in ``types`` (``tag_types()``), else the first class token of the form topic/x or map/x.
     """
@@ -225,7 +315,7 @@ def shred(docs: DataFrame, types: dict[str, dict[str, str]] | None = None) -> Da
         for b in batches:
             rows: list[list] = []
             for path, xml in zip(b.column(0).to_pylist(), b.column(1)):
-                rows += ([path, *r] for r in shred_document(xml.as_py(), types))
+                rows += ([path, *r] for r in shred_document(xml.as_py(), types, clean))
                 if len(rows) >= 20_000:
                     yield batch(rows)
                     rows = []
@@ -236,8 +326,9 @@ def shred(docs: DataFrame, types: dict[str, dict[str, str]] | None = None) -> Da
 
 
 def stored_nodes(spark: SparkSession, docs: DataFrame, types: dict[str, dict[str, str]] | None = None) -> DataFrame:
-    """NODES written to the shared folder: documents are parsed once, and every use reads only the columns it needs."""
-    return written(spark, shred(docs, types))
+    """NODES stored in the shared folder, dealt by document: documents are parsed once, every use reads only the columns it needs,
+    and what stays inside documents is not shuffled again."""
+    return dealt(spark, shred(docs, types))
 
 
 def class_tokens(cls) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.store import big
+from .lifecycle import watched
 
 
 def debounced(changes: DataFrame, gap: str = "700 milliseconds", watermark: str = "10 seconds") -> DataFrame:
@@ -17,16 +18,16 @@ def debounced(changes: DataFrame, gap: str = "700 milliseconds", watermark: str
     return c.groupBy("path", F.session_window("ts", gap).alias("w")).agg(F.max_by("content", F.struct("ts", "content")).alias("content"), F.count("*").alias("n")).select("path", F.col("w.start").alias("first_ts"), F.col("w.end").alias("due"), "content", "n")
 
 
-def validated(changes: DataFrame, validate: Callable[[DataFrame], None], checkpoint: str, gap: str = "700 milliseconds"):
-    """A streaming query: opens and saves reach ``validate`` at once, changes when their burst has ended."""
-    now = changes.where("op IN ('open', 'save')").select("path", F.col("ts").alias("first_ts"), F.col("ts").alias("due"), "content", F.lit(1).cast("long").alias("n"))
-    late = debounced(changes.where("op = 'change'"), gap)
-    return now.unionByName(late).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: validate(df)).start()
+def validated(changes: DataFrame, validate: Callable[[DataFrame], None], checkpoint: str, gap_ms: int = 700, watermark: str = "10 seconds"):
+    """A streaming query: signals of documents (``lifecycle.SIGNALS``) reach ``validate``: opens and saves at once, changes when nothing
+    followed them in time, closes as tombstones; what a close finds waiting never comes."""
+    return watched(changes, validate, checkpoint, gap_ms, watermark)
 
 
-def republished(changes: DataFrame, publish: Callable[[DataFrame], None], checkpoint: str, gap: str = "300 milliseconds"):
+def republished(changes: DataFrame, publish: Callable[[DataFrame], None], checkpoint: str, gap: str = "300 milliseconds", available_now: bool = False):
     """A streaming query: when a burst of changes of a document has ended, ``publish`` gets (path, content, ...) to draw it anew."""
-    return debounced(changes.where("op IN ('change', 'save')"), gap).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: publish(df)).start()
+    w = debounced(changes.where("op IN ('change', 'save')"), gap).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: publish(df))
+    return (w.trigger(availableNow=True) if available_now else w).start()
 
 
 def open_documents(changes: DataFrame) -> DataFrame:
