@@ -69,5 +69,5 @@ def format_preferences(turns: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def neighbour_pairs(turns: DataFrame) -> DataFrame:
     """Pairs of a table that states none: conversations 2k (chosen) and 2k+1 (rejected)."""
-    ids = turns.where("conv_id IS NOT NULL").select(F.expr("CAST(floor(conv_id / 2) AS BIGINT)").alias("pair_id")).distinct()
+    ids = turns.where("conv_id IS NOT NULL").select(F.shiftright("conv_id", 1).alias("pair_id")).distinct()
     return ids.select("pair_id", (F.col("pair_id") * 2).alias("chosen_id"), (F.col("pair_id") * 2 + 1).alias("rejected_id"))

@@ -86,7 +86,7 @@ _OP3 = """
 WITH one AS (
   SELECT conv_id, turn, min({'role': role, 'text': text}) AS t FROM conversations
   WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
-sides AS (SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, turn, t, conv_id % 2 <> 0 AS rejected FROM one),
+sides AS (SELECT conv_id >> 1 AS pair_id, turn, t, conv_id % 2 <> 0 AS rejected FROM one),
 by_turn AS (
   SELECT pair_id, turn, max(CASE WHEN NOT rejected THEN t END) AS c, max(CASE WHEN rejected THEN t END) AS r,
          bool_or(NOT rejected) AS in_c, bool_or(rejected) AS in_r FROM sides GROUP BY pair_id, turn),

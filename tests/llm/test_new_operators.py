@@ -168,3 +168,11 @@ def test_shares_are_exact_for_large_counts():
 
     for count, total, terms in ((9 * 10**14, 10**15, 7), (0, 0, 0), (5, 5, 1), (10**12 + 3, 3 * 10**12 + 1, 10**6)):
         assert divergence.shares(np.array([count]), total, terms)[0] == 1 + 10**9 * (count + 1) // max(1, total + terms)
+
+
+def test_conversations_with_large_ids_are_paired_exactly(spark):
+    from corpusloom.llm import preference
+
+    big = 9007199254740995
+    turns = spark.createDataFrame([(i, 0, "user", "x") for i in (big, big - 1, -3, -4, 0, None)], "conv_id long, turn long, role string, text string")
+    assert {tuple(r) for r in preference.neighbour_pairs(turns).collect()} == {(big >> 1, big - 1, big), (-2, -4, -3), (0, 0, 1)}
