@@ -113,7 +113,8 @@ def expand_maps(nodes: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     a = F.col("attrs")
     seen = rebased(a["href"], a["scope"], T.dirname("src_map"), T.dirname("root_map"))
     moved = F.map_concat(F.map_filter(a, lambda k, _: k != "href"), F.create_map(F.lit("href"), seen))
-    return out.select(*[c for c in out.columns if c != "attrs"], F.when(seen != a["href"], moved).otherwise(a).alias("attrs"), a["href"].alias("raw_href"))
+    out = out.select(*[c for c in out.columns if c != "attrs"], F.when(seen != a["href"], moved).otherwise(a).alias("attrs"), a["href"].alias("raw_href"))
+    return written(spark, out, f"{folder}/expanded")  # most users read it several times
 
 
 def own_elements(nodes: DataFrame) -> DataFrame:

@@ -111,7 +111,7 @@ def target_offsets(refs: DataFrame, docs: DataFrame) -> DataFrame:
     t = t.join(big(ids.select("target", F.col("id").alias("topic"), F.get("offs", F.lit(0)).alias("topic_off"))), ["target", "topic"], "left")
     # Only references that name an element meet the places of elements.
     named = t.where("elem IS NOT NULL").join(big(ids.withColumnRenamed("id", "elem")), ["target", "elem"], "left")
-    named = named.withColumn("target_off", F.get("offs", T.lower_bound("offs", "topic_off"))).drop("offs")
+    named = named.withColumn("target_off", F.when(F.col("topic_off").isNotNull(), F.get("offs", T.lower_bound("offs", "topic_off")))).drop("offs")
     return named.unionByName(t.where("elem IS NULL").withColumn("target_off", F.col("topic_off"))).drop("topic_off")
 
 

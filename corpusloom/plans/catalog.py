@@ -156,7 +156,7 @@ SELECT 'topics/o' || l_orderkey || '.dita' AS doc, 'Order ' || l_orderkey AS own
 def suppressed_text(spark, sf_dir):
     nodes = D.suppress(X.stored_nodes(spark, corpus.order_topics(spark, sf_dir)))
     text = D.element_text(nodes)
-    root = nodes.where("depth = 0").select("doc", "pre").join(text, ["doc", "pre"])
+    root = nodes.where("depth = 0").select("doc", "pre").join(big(text), ["doc", "pre"])
     return root.select("doc", T.js_trim("own").alias("own"))
 
 
@@ -276,7 +276,7 @@ SELECT 's' || l_suppkey AS key, CASE WHEN s_suppkey % 5 = 0 THEN 'near ' || s_na
 FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL""")
 def keyref_text(spark, sf_dir):
     nodes = X.stored_nodes(spark, corpus.order_topics(spark, sf_dir))
-    uses = nodes.where("tag = 'keyword'").join(D.element_text(nodes), ["doc", "pre"]).select(T.dirname("doc").alias("scope_dir"), F.col("attrs")["keyref"].alias("key"), "tag", "own")
+    uses = nodes.where("tag = 'keyword'").join(big(D.element_text(nodes, ("topic/keyword",))), ["doc", "pre"]).select(T.dirname("doc").alias("scope_dir"), F.col("attrs")["keyref"].alias("key"), "tag", "own")
     return K.resolve_keyrefs(uses, _keys(spark, sf_dir)).groupBy("key", "shown").agg(F.count("*").alias("n"))
 
 
@@ -370,15 +370,6 @@ def path_functions(spark, sf_dir):
     return p.select("p_partkey", "resolved", T.stem("resolved").alias("stem"), T.relative("resolved", F.lit("x/y/z")).alias("rel"))
 
 
-@query("""
-WITH n AS (SELECT DISTINCT l_suppkey + 1 AS n FROM lineitem WHERE l_suppkey < 700)
-SELECT n, ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC'][n // 100 + 1] || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][n // 10 % 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][n % 10 + 1] AS roman,
-       CASE WHEN n <= 26 THEN chr(CAST(64 + n AS INTEGER)) ELSE chr(CAST(64 + (n - 1) // 26 AS INTEGER)) || chr(CAST(65 + (n - 1) % 26 AS INTEGER)) END AS letters FROM n""")
-def ordinals(spark, sf_dir):
-    n = table(spark, sf_dir, "lineitem").where("l_suppkey < 700").select((F.col("l_suppkey") + 1).alias("n")).distinct()
-    return n.select("n", T.roman("n").alias("roman"), T.letters("n").alias("letters"))
-
-
 @query("""
 WITH n AS (SELECT DISTINCT l_orderkey % 3999 + 1 AS n FROM lineitem)
 SELECT n, repeat('M', CAST(n // 1000 AS INTEGER)) || ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][n // 100 % 10 + 1] || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][n // 10 % 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][n % 10 + 1] AS roman,
@@ -471,15 +462,6 @@ def debounced_changes(spark, sf_dir):
     return C.debounced(e, "10 minutes").select("path", "content", "n")
 
 
-@query("""
-WITH a AS (SELECT user_id AS path, max(ts) AS m FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT user_id AS path, max(ts) AS m FROM events WHERE event_id % 3 = 0 GROUP BY 1)
-SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.m IS NULL THEN 'added' WHEN b.m IS NULL THEN 'removed' ELSE 'touched' END AS change
-FROM a FULL JOIN b ON a.path = b.path WHERE a.m IS DISTINCT FROM b.m""")
-def snapshot_changes(spark, sf_dir):
-    snap = lambda k: table(spark, sf_dir, "events").where(f"event_id % {k} = 0").groupBy(F.col("user_id").alias("path")).agg(F.max("ts").alias("mtime"))
-    return C.snapshot_changes(snap(2), snap(3))
-
-
 @query("""
 WITH cut AS (SELECT max(ts) - INTERVAL 1 DAY AS t FROM events),
 a AS (SELECT user_id AS path, max(ts) AS m FROM events, cut WHERE ts <= t GROUP BY 1), b AS (SELECT user_id AS path, max(ts) AS m FROM events GROUP BY 1)
