@@ -176,3 +176,36 @@ def test_conversations_with_large_ids_are_paired_exactly(spark):
     big = 9007199254740995
     turns = spark.createDataFrame([(i, 0, "user", "x") for i in (big, big - 1, -3, -4, 0, None)], "conv_id long, turn long, role string, text string")
     assert {tuple(r) for r in preference.neighbour_pairs(turns).collect()} == {(big >> 1, big - 1, big), (-2, -4, -3), (0, 0, 1)}
+
+
+def test_ngrams_do_not_depend_on_blocks(monkeypatch):
+    import numpy as np
+
+    from corpusloom.llm import langid
+
+    text = "Ein längerer Text, den mehrere Blöcke teilen. " * 8
+    whole = np.sort(np.concatenate(list(langid.ngram_buckets(text, 12))))
+    monkeypatch.setattr(langid, "BLOCK", 50)
+    assert np.array_equal(np.sort(np.concatenate(list(langid.ngram_buckets(text, 12)))), whole)
+
+
+def test_passages_across_the_blocks_of_a_long_text_go(spark):
+    from corpusloom.llm import suffix_dedup
+
+    rng, at = random.Random(9), suffix_dedup.BLOCK
+    own = lambda n, k: [f"{k}{rng.randrange(10**9)}" for _ in range(n)]
+    passage = own(80, "p")
+    head, tail, other = own(at - 30, "h"), own(5000, "t"), own(60, "o")
+    docs = spark.createDataFrame([(1, " ".join(head + passage + tail)), (2, " ".join(other + passage))], "doc_id long, text string")
+    out = {r.doc_id: r.text.split() for r in suffix_dedup.remove_repeats(spark, docs, suffix_dedup.WORDS.length, suffix_dedup.WORDS).collect()}
+    assert out == {1: head + tail, 2: other}
+
+
+def test_equal_page_ids_keep_their_own_payloads(spark):
+    from corpusloom.llm import warc
+
+    a, b = "a" * 1200, "b" * 1200
+    pages = spark.createDataFrame([(1, "u", a), (1, "u", b), (2, "v", a)], "page_id long, url string, html string")
+    got = {(r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.warc_roundtrip(spark, pages).collect()}
+    sha = lambda x: hashlib.sha1(x.encode()).hexdigest()
+    assert got == {(1, sha(a), "revisit", 2), (1, sha(b), "response", None), (2, sha(a), "response", None)}
