@@ -30,6 +30,7 @@ class LogReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.folder, self.suffix = options["path"], options.get("suffix", ".log")
         self.piece = int(options.get("chunkBytes", 1 << 20))
+        self.known: dict[str, tuple[int, int]] = {}  # size of a file, and its size without an unfinished character
 
     def initialOffset(self) -> dict:
         return {"sizes": "{}"}
@@ -39,7 +40,10 @@ class LogReader(DataSourceStreamReader):
 
         fs, root = _open(self.folder)
         found = fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
-        sizes = {f.path[len(root) :].lstrip("/"): self._whole(fs, f) for f in found if f.is_file and f.path.endswith(self.suffix)}
+        files = [f for f in found if f.is_file and f.path.endswith(self.suffix)]
+        # Only files that have grown are opened.
+        self.known = {f.path: old if (old := self.known.get(f.path)) and old[0] == f.size else (f.size, self._whole(fs, f)) for f in files}
+        sizes = {p[len(root) :].lstrip("/"): whole for p, (_, whole) in self.known.items()}
         return {"sizes": json.dumps(dict(sorted(sizes.items())))}
 
     @staticmethod
@@ -58,7 +62,9 @@ class LogReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
         old, new = json.loads(start["sizes"]), json.loads(end["sizes"])
-        return [Range(n, at, min(at + self.piece, size)) for n, size in new.items() for at in range(min(old.get(n, 0), size), size, self.piece)]
+        # A file that has become shorter was begun anew.
+        begin = lambda n, size: old[n] if old.get(n, size + 1) <= size else 0
+        return [Range(n, at, min(at + self.piece, size)) for n, size in new.items() for at in range(begin(n, size), size, self.piece)]
 
     def read(self, partition: Range) -> Iterator[tuple]:
         fs, root = _open(self.folder)

@@ -18,7 +18,7 @@ from corpusloom.sources import logs, pages
 from corpusloom.sources import shred as X
 from corpusloom.sources import store
 from corpusloom.streaming import lifecycle as L
-from corpusloom.streaming.keyspaces import KeySpaces
+from corpusloom.streaming.keyspaces import KeySpaces, kept_key_spaces
 from tests.test_documents import docs, one, simulate
 
 
@@ -164,6 +164,11 @@ def test_logs_come_once_after_a_restart(spark, tmp_path):
     (folder / "c.log").write_text("")
     assert run() == {"a.log": "äöü one\ntéwo 日本🙂\n"}
     assert run() == {"a.log": "äöü one\ntéwo 日本🙂\n"}
+    (folder / "d.log").write_text("shrinks")
+    run()
+    (folder / "d.log").write_text("new")
+    n = spark.read.parquet(str(tmp_path / "out")).where("run = 'd.log' AND chunk = 'new'").count()
+    assert n == 0 and run()["d.log"] and spark.read.parquet(str(tmp_path / "out")).where("run = 'd.log' AND chunk = 'new'").count() == 1
 
 
 def test_pages_appear_only_when_all_are_written(spark, tmp_path):
@@ -257,3 +262,25 @@ def test_key_spaces_follow_changes(spark, tmp_path):
         if n == 0:
             assert affected == {"s4/t"} and len(files() - before) == 1 and len(before - files()) == 1
     assert not kept.refresh(maps(steps[-1]), dirs).collect()
+
+
+def test_saved_maps_renew_key_spaces(spark, tmp_path):
+    schema = "path string, ts timestamp, op string, content string"
+    dirs = spark.createDataFrame([("a",)], "scope_dir string")
+    state = {"x": "1"}
+
+    def corpus():
+        content = f'<map><keydef keys="k"><topicmeta><keywords><keyword>{state["x"]}</keyword></keywords></topicmeta></keydef></map>'
+        return spark.createDataFrame([("a/m.ditamap", content, ts(int(state["x"])))], "path string, content string, mtime timestamp"), dirs
+
+    spaces = KeySpaces(spark, str(tmp_path / "spaces"), parts=4)
+    spaces.refresh(*corpus())
+    state["x"] = "2"
+    src = tmp_path / "in"
+    spark.createDataFrame([("a/m.ditamap", ts(1), "save", None), ("a/t.dita", ts(1), "save", None)], schema).coalesce(1).write.parquet(str(src))
+    q = kept_key_spaces(spark.readStream.schema(schema).parquet(str(src)), spaces, corpus, str(tmp_path / "c"))
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert [tuple(r) for r in spaces.keys.collect()] == [("a", "k", "2", "a/m.ditamap", 0)]
