@@ -12,3 +12,15 @@ def test_relative_path_of_roots_with_and_without_scheme(spark):
     assert got("/r") == got("/r/", F.col("path")) == ["a/b.html"] * 4 + ["file:/else/b.html"]
     assert got("file:///r") == got("file:/r/") == ["a/b.html", "a/b.html", *(r[0] for r in rows[2:])]
     assert got("hdfs://nn:8020/r")[2:] == ["a/b.html", "/r/a/b.html", "file:/else/b.html"]
+
+
+def test_replaced_places_with_long_keys(spark, tmp_path):
+    import duckdb
+
+    from corpusloom.plans.catalog import ORACLE_SQL, QUERIES
+
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").withColumn("p_partkey", F.col("p_partkey") + 1_000_000)
+    part.write.parquet(f"file://{tmp_path}/part.parquet")
+    want = duckdb.connect().execute(ORACLE_SQL["replaced_places"].replace("FROM part", f"FROM '{tmp_path}/part.parquet/*.parquet' AS part")).fetchall()
+    got = [tuple(r) for r in QUERIES["replaced_places"](spark, f"file://{tmp_path}").collect()]
+    assert sorted(got) == sorted(want) and len(got) > 0
