@@ -24,6 +24,15 @@ LEAVES = ("topic/image", "topic/anchor", "topic/anchorid")
 CONTAINERS = ("topic/section", "topic/example", "topic/fig", "topic/related-links")
 HEADS, BODIES = ("topic/thead", "topic/sthead"), ("topic/tbody", "topic/strow")
 
+#: Columns of the node table that operators read, for ``shred`` and ``stored_nodes`` where the uses are known: texts, titles and link
+#: titles; outlines; column specifications; cells of tables; positions; HTML without source ranges.
+TITLES = ("pre", "post", "parent", "depth", "type", "base", "path", "attrs", "text")
+OUTLINE = (*TITLES, "anc", "tag", "line", "end_line")
+COLSPECS = ("pre", "parent", "base", "attrs")
+CELLS = ("pre", "post", "parent", "anc", "path", "type", "base", "attrs", "text")
+POSITIONS = ("pre", "type", "tag", "line", "col", "end_line", "end_col")
+DRAWN = (*TITLES, "ord", "anc", "tag", "error")
+
 
 def _has(path, types: tuple[str, ...]) -> Column:
     return F.arrays_overlap(path, F.array(*map(F.lit, types)))
@@ -138,7 +147,7 @@ def conref_targets(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """refs (doc, conref, ...) with target, target_pre, target_base, target_tag, target_attrs, target_ord, target_path of the element
     that a conref into another file names. The element id is looked up in the whole file and its first holder counts; a
     conref without a path never resolves."""
-    names = ("pre", "base", "tag", "attrs", "ord", "path", "line", "col", "end_line", "end_col")
+    names = ("pre", "base", "tag", "attrs", "ord", "path", *places_of(nodes))
     r = refs.withColumns({"target": T.resolve(T.dirname("doc"), "conref"), "tid": F.coalesce(T.element_id("conref"), T.topic_id("conref"))}).where("target IS NOT NULL AND tid <> ''")
     el = nodes.where("type = 'element' AND attrs['id'] <> ''")
     t = el.groupBy(F.col("doc").alias("target"), F.col("attrs")["id"].alias("tid")).agg(F.min_by(F.struct(*names), "pre").alias("t"))
@@ -157,12 +166,18 @@ def conref_text(nodes: DataFrame) -> DataFrame:
 
 
 PLACES = ("line", "col", "end_line", "end_col")
-VIEW = ("doc", "key", "path", "type", "tag", "base", "attrs", "text", *PLACES)
+VIEW = ("doc", "key", "path", "type", "tag", "base", "attrs", "text")
+
+
+def places_of(nodes: DataFrame) -> list[str]:
+    """The columns of source ranges that a node table has: all or none."""
+    return [c for c in PLACES if c in nodes.columns]
 
 
 def document_view(nodes: DataFrame) -> DataFrame:
-    """nodes by key (the sibling numbers from the root down) instead of pre: what rendering works on."""
-    return nodes.where("error IS NULL").withColumnRenamed("ord", "key").select(*VIEW)
+    """nodes by key (the sibling numbers from the root down) instead of pre: what rendering works on. Without source ranges if nodes has
+    none."""
+    return nodes.where("error IS NULL").withColumnRenamed("ord", "key").select(*VIEW, *places_of(nodes))
 
 
 def _prefixes(key: str = "key") -> Column:
@@ -178,45 +193,46 @@ def splice_conrefs(nodes: DataFrame, docs: DataFrame | None = None) -> DataFrame
     from the document that shows it; one that was resolved above it is left alone with its literal content, as is one
     that names nothing. Rounds are written and end when nothing is left to follow.
     """
-    spark = nodes.sparkSession
+    spark, places = nodes.sparkSession, places_of(nodes)
+    view_columns = (*VIEW, *places)
     folder, view = shared_dir(spark), document_view(nodes)
     if docs is not None:
         view = view.join(big(docs.select("doc").distinct()), "doc", "left_semi")
     open_refs = lambda v: v.where("type = 'element' AND attrs['conref'] <> ''")
     last = open_refs(view).withColumn("chain", F.array().cast("array<string>"))
-    subtree = nodes.where("error IS NULL").select(F.col("doc").alias("target"), F.explode("anc").alias("target_pre"), "ord", F.col("path").alias("npath"), *[F.col(c).alias(f"n_{c}") for c in VIEW[3:]])
+    subtree = nodes.where("error IS NULL").select(F.col("doc").alias("target"), F.explode("anc").alias("target_pre"), "ord", F.col("path").alias("npath"), *[F.col(c).alias(f"n_{c}") for c in view_columns[3:]])
     swaps, added, k = None, None, 0
     while True:
         refs = last.withColumn("conref", F.col("attrs")["conref"]).where(~F.array_contains("chain", F.col("conref")))
-        got = conref_targets(refs.select("doc", "key", "path", "base", "tag", "attrs", "chain", "conref", "line", "col", "end_line", "end_col"), nodes)
+        got = conref_targets(refs.select("doc", "key", "path", "base", "tag", "attrs", "chain", "conref", *places), nodes)
         got = written(spark, got.withColumn("chain", F.concat("chain", F.array("conref"))), f"{folder}/found{k}")
         if got.isEmpty():
             break
         same = F.coalesce(F.col("target_base") == F.col("base"), F.lit(False))
         rest = F.map_filter("attrs", lambda name, _: name != "conref")
         theirs = F.map_filter("target_attrs", lambda name, _: ~name.isin("conref", "id") & ~F.map_contains_key(rest, name))
-        swap = got.select("doc", "key", F.struct(F.when(same, F.col("tag")).otherwise(F.col("target_tag")).alias("tag"), F.when(same, F.col("base")).otherwise(F.col("target_base")).alias("base"), F.when(same, rest).otherwise(F.map_concat(rest, theirs)).alias("attrs"), *[F.when(same, F.col(n)).otherwise(F.col(f"target_{n}")).alias(n) for n in PLACES]).alias("swap"))
+        swap = got.select("doc", "key", F.struct(F.when(same, F.col("tag")).otherwise(F.col("target_tag")).alias("tag"), F.when(same, F.col("base")).otherwise(F.col("target_base")).alias("base"), F.when(same, rest).otherwise(F.map_concat(rest, theirs)).alias("attrs"), *[F.when(same, F.col(n)).otherwise(F.col(f"target_{n}")).alias(n) for n in places]).alias("swap"))
         base = F.when(same, F.col("base")).otherwise(F.col("target_base"))
         depth = F.size("target_ord")
         inner = got.select("doc", "key", "path", base.alias("b"), "chain", "target", "target_pre", depth.alias("d")).join(big(subtree), ["target", "target_pre"])
         new = inner.select(
             "doc", F.concat("key", F.slice("ord", F.col("d") + 1, F.size("ord"))).alias("key"), F.concat("path", F.array(F.coalesce("b", F.lit(""))), F.slice("npath", F.col("d") + 2, F.size("npath"))).alias("path"),
-            *[F.col(f"n_{c}").alias(c) for c in VIEW[3:]], "chain", F.lit(k).alias("round"),
+            *[F.col(f"n_{c}").alias(c) for c in view_columns[3:]], "chain", F.lit(k).alias("round"),
         )
         new = dealt(spark, new)
         swap = swap.withColumn("round", F.lit(k - 1))  # replaces an element that the round before brought
         swaps, added = (swap, new) if swaps is None else (swaps.unionByName(swap), added.unionByName(new))
-        last, k = open_refs(new).select(*VIEW, "chain"), k + 1
+        last, k = open_refs(new).select(*view_columns, "chain"), k + 1
     if swaps is None:
         return view
     swaps = dealt(spark, swaps)
-    all_nodes = view.withColumn("round", F.lit(-1)).unionByName(added.select(*VIEW, "round"))
+    all_nodes = view.withColumn("round", F.lit(-1)).unionByName(added.select(*view_columns, "round"))
     # The literal content of a replaced element goes: nodes of the same round below it.
     touched = all_nodes.join(big(swaps.select("doc", "round").distinct()), ["doc", "round"], "left_semi")
     under = touched.select("doc", "round", F.col("key").alias("low"), F.explode(_prefixes()).alias("key")).join(big(swaps.select("doc", "round", "key")), ["doc", "round", "key"]).select("doc", "round", F.col("low").alias("key")).distinct()
     out = all_nodes.join(big(under), ["doc", "round", "key"], "left_anti").join(big(swaps), ["doc", "round", "key"], "left")
     pick = lambda c: F.when(F.col("swap").isNotNull(), F.col(f"swap.{c}")).otherwise(F.col(c)).alias(c)
-    return dealt(spark, out.select(*[pick(c) if c in ("tag", "base", "attrs", *PLACES) else F.col(c) for c in VIEW]))
+    return dealt(spark, out.select(*[pick(c) if c in ("tag", "base", "attrs", *places) else F.col(c) for c in view_columns]))
 
 
 # ---------------------------------------------------------------- outline

@@ -112,7 +112,7 @@ UNION ALL SELECT 'prolog', count(DISTINCT l_orderkey) FROM lineitem UNION ALL SE
 UNION ALL SELECT 'body', count(DISTINCT l_orderkey) FROM lineitem UNION ALL SELECT 'p', count(*) FROM lineitem
 UNION ALL SELECT 'xref', count(*) FROM lineitem UNION ALL SELECT 'keyword', count(*) FROM lineitem""")
 def element_counts(spark, sf_dir):
-    return X.stored_nodes(spark, corpus.order_topics(spark, sf_dir)).where("type = 'element'").groupBy("tag").agg(F.count("*").alias("n"))
+    return X.shred(corpus.order_topics(spark, sf_dir), columns=("type", "tag")).where("type = 'element'").groupBy("tag").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -142,19 +142,19 @@ def entity_names(spark, sf_dir):
 
 @query("SELECT 'topics/o' || l_orderkey || '.dita' AS doc, 'o' || l_orderkey AS id, 'Order ' || l_orderkey AS title FROM lineitem GROUP BY l_orderkey")
 def topic_titles(spark, sf_dir):
-    return D.title_map(X.stored_nodes(spark, corpus.order_topics(spark, sf_dir)))
+    return D.title_map(X.stored_nodes(spark, corpus.order_topics(spark, sf_dir), columns=D.TITLES))
 
 
 @query("""
 SELECT 'parts/p' || p_partkey || '.dita' AS doc, 0 AS depth, p_name AS name, 'topic' AS kind FROM part WHERE p_size % 2 = 0""")
 def topic_outline(spark, sf_dir):
-    return D.topic_outline(X.stored_nodes(spark, corpus.part_topics(spark, sf_dir))).select("doc", "depth", "name", "kind")
+    return D.topic_outline(X.stored_nodes(spark, corpus.part_topics(spark, sf_dir), columns=D.OUTLINE)).select("doc", "depth", "name", "kind")
 
 
 @query("""
 SELECT 'topics/o' || l_orderkey || '.dita' AS doc, 'Order ' || l_orderkey AS own FROM lineitem GROUP BY l_orderkey""")
 def suppressed_text(spark, sf_dir):
-    nodes = D.suppress(X.stored_nodes(spark, corpus.order_topics(spark, sf_dir)))
+    nodes = D.suppress(X.stored_nodes(spark, corpus.order_topics(spark, sf_dir), columns=D.TITLES))
     text = D.element_text(nodes)
     root = nodes.where("depth = 0").select("doc", "pre").join(big(text), ["doc", "pre"])
     return root.select("doc", T.js_trim("own").alias("own"))
@@ -165,7 +165,7 @@ SELECT 'topics/o' || l_orderkey || '.dita' AS doc, '../parts/p' || l_partkey ||
        CASE WHEN p_size % 4 = 0 THEN p_name ELSE '../parts/p' || l_partkey || '.dita#p' || l_partkey END AS shown, count(*) AS n
 FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY ALL""")
 def xref_titles(spark, sf_dir):
-    nodes = X.stored_nodes(spark, corpus.order_topics(spark, sf_dir).unionByName(corpus.part_topics(spark, sf_dir)))
+    nodes = X.stored_nodes(spark, corpus.order_topics(spark, sf_dir).unionByName(corpus.part_topics(spark, sf_dir)), columns=D.TITLES)
     return D.xref_titles(nodes).groupBy("doc", "href", "shown").agg(F.count("*").alias("n"))
 
 
@@ -174,7 +174,7 @@ SELECT 'topics/o' || l_orderkey || '.dita' AS doc, md5('<article id="o' || l_ord
   string_agg('<p><span class="xref-external">→ ' || x || '</span><span class="keyword"></span></p>', '' ORDER BY l_linenumber, l_partkey, l_suppkey) || chr(10) || '</main></article>') AS hash
 FROM (SELECT *, CASE WHEN p_size % 4 = 0 THEN p_name ELSE '../parts/p' || l_partkey || '.dita#p' || l_partkey END AS x FROM lineitem LEFT JOIN part ON p_partkey = l_partkey) GROUP BY l_orderkey""")
 def topic_html(spark, sf_dir):
-    both = X.stored_nodes(spark, corpus.order_topics(spark, sf_dir).unionByName(corpus.part_topics(spark, sf_dir)))
+    both = X.stored_nodes(spark, corpus.order_topics(spark, sf_dir).unionByName(corpus.part_topics(spark, sf_dir)), columns=D.DRAWN)
     return D.topic_html(both.where("doc LIKE 'topics/%'"), targets=both).select("doc", F.md5("html").alias("hash"))
 
 
@@ -193,7 +193,7 @@ SELECT 'tables/t' || l_orderkey || '.dita' AS doc, CAST(k AS BIGINT) AS "row", c
   SELECT 1 AS cell, 1 AS col, CASE WHEN l_linenumber % 2 = 0 THEN 2 ELSE 1 END AS colspan, 1 AS rowspan, CAST(l_partkey AS VARCHAR) AS txt
   UNION ALL SELECT 2, 3, 1, l_linenumber % 3 + 1, CAST(l_suppkey AS VARCHAR)) ON true""")
 def cals_cells(spark, sf_dir):
-    cells = D.cals_cells(X.stored_nodes(spark, corpus.table_topics(spark, sf_dir)))
+    cells = D.cals_cells(X.stored_nodes(spark, corpus.table_topics(spark, sf_dir), columns=D.CELLS))
     return cells.select("doc", F.col("row").cast("long").alias("row"), "cell", "col", "colspan", "rowspan", "text")
 
 
@@ -201,7 +201,7 @@ def cals_cells(spark, sf_dir):
 SELECT 'tables/t' || k || '.dita' AS doc, col, width FROM (SELECT DISTINCT l_orderkey AS k, l_orderkey % 3 + 1 AS a FROM lineitem)
 CROSS JOIN LATERAL (VALUES (1, printf('%.2f%%', 100.0 * a / (a + 2))), (2, printf('%.2f%%', 200.0 / (a + 2))), (3, '120px')) AS w(col, width)""")
 def cals_widths(spark, sf_dir):
-    return D.cals_columns(X.stored_nodes(spark, corpus.table_topics(spark, sf_dir))).select("doc", "col", "width")
+    return D.cals_columns(X.shred(corpus.table_topics(spark, sf_dir), columns=D.COLSPECS)).select("doc", "col", "width")
 
 
 @query("""
@@ -212,7 +212,7 @@ def position_element(spark, sf_dir):
     topics = corpus.order_topics(spark, sf_dir)
     places = F.explode(F.array(*[F.struct(F.lit(line).alias("line"), F.lit(col).alias("col")) for line, col in ((0, 0), (0, 1), (1, 1), (1, 5), (2, 1), (2, 9), (3, 0))]))
     points = topics.select(F.col("path").alias("doc"), places.alias("x")).select("doc", "x.*")
-    return D.elements_at(points, X.stored_nodes(spark, topics)).select("doc", "line", "col", "tag", "exact")
+    return D.elements_at(points, X.stored_nodes(spark, topics, columns=D.POSITIONS)).select("doc", "line", "col", "tag", "exact")
 
 
 # ------------------------------------------------------------------ references
@@ -275,7 +275,7 @@ def key_space_nearest(spark, sf_dir):
 SELECT 's' || l_suppkey AS key, CASE WHEN s_suppkey % 5 = 0 THEN 'near ' || s_name WHEN s_suppkey % 3 <> 0 THEN s_name ELSE '' END AS shown, count(*) AS n
 FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL""")
 def keyref_text(spark, sf_dir):
-    nodes = X.stored_nodes(spark, corpus.order_topics(spark, sf_dir))
+    nodes = X.stored_nodes(spark, corpus.order_topics(spark, sf_dir), columns=(*D.TITLES, "tag"))
     uses = nodes.where("tag = 'keyword'").join(big(D.element_text(nodes, ("topic/keyword",))), ["doc", "pre"]).select(T.dirname("doc").alias("scope_dir"), F.col("attrs")["keyref"].alias("key"), "tag", "own")
     return K.resolve_keyrefs(uses, _keys(spark, sf_dir)).groupBy("key", "shown").agg(F.count("*").alias("n"))
 

@@ -214,124 +214,211 @@ def clean_source(xml: str, known: dict[str, str] = ENTITIES) -> Shifted:
     return s
 
 
-_TAG_END = re.compile(rb"""(?:"[^"]*"|'[^']*'|[^>"'])*>""")
+_TAG_END = re.compile(rb"""(?:[^>"']++|"[^"]*"|'[^']*')*+>""")
 _TYPED = re.compile("^(topic|map)/")
+#: Columns of NODES by name, with their types; those that say where a node stands; bytes from which on a document is parsed in pieces.
+_KINDS = dict(x.split(" ") for x in NODES.split(", "))
+_PLACES = ("line", "col", "end_line", "end_col")
+_LARGE, _PIECE = 4 << 20, 1 << 20
 
 
-def shred_document(xml: str | None, types: dict[str, dict[str, str]], clean: bool = True) -> list[list]:
-    """Nodes of one document in pre-order (columns of NODES after doc), or one row with an error. Starts and ends share one
-    counter. A document is a map if its root element is one, by name or by class. Entities are cleaned first unless
-    ``clean`` is off; places are those of the source."""
+def _nodes(xml: str | None, types: dict[str, dict[str, str]], clean: bool = True, places: bool = True, large: int = _LARGE, piece: int = _PIECE) -> Iterator[list[list]]:
+    """Nodes of one document (columns of NODES after doc; attributes as one list of names and values), or one row with an error.
+
+    Small documents come as one list in pre-order. Large ones are read twice: once for errors, then in pieces, and what a piece has
+    closed is handed out before the next one, so memory holds the text, a piece's nodes and the open elements."""
     from xml.parsers import expat
 
     xml = xml or ""
     shifted = clean_source(xml) if clean and ("&" in xml or "<!DOCTYPE" in xml) else None
     data = (shifted.text if shifted else xml).encode("utf-8", "surrogatepass")
-    breaks = [-1, *(m.start() for m in re.finditer("\n", xml))]
+    plain = shifted is None and len(data) == len(xml)  # bytes are characters of the source
+    breaks = [-1, *(m.start() for m in re.finditer("\n", xml))] if places else []
     rows: list[list] = []
-    open_: list[list] = []
+    # Open elements: their row, and what their children share: ancestors, base types and the next sibling number.
+    open_: list[tuple[list, list, list]] = []
     kids: list[int] = []
-    tick, buffer, error, begun, table = 0, [], None, 0, types["topic"]
+    tick, buffer, begun, table = 0, [], 0, None
     parser = expat.ParserCreate("utf-8")
-    PRE, POST, ORD, ANC, PATH, BASE, END_LINE, END_COL = 0, 1, 5, 6, 7, 10, 15, 16
+    parser.ordered_attributes, parser.buffer_text = True, not places
+    POST, ORD, BASE, END_LINE, END_COL = 1, 5, 10, 15, 16
 
     last = [0, 0]  # byte and character of the last place: places only go forward, so each byte is counted once
 
     def place(at: int) -> tuple[int, int]:
-        last[:] = at, last[1] + len(data[last[0] : at].decode("utf-8", "replace"))
-        source = shifted.origin(last[1]) if shifted else last[1]
+        if plain:
+            source = at
+        else:
+            last[:] = at, last[1] + len(data[last[0] : at].decode("utf-8", "replace"))
+            source = shifted.origin(last[1]) if shifted else last[1]
         k = bisect_right(breaks, source - 1) - 1
         return k, source - breaks[k] - 1
 
-    def node(kind, tag, base, attrs, text, at):
-        nonlocal tick
-        tick += 1
-        top, sib = (open_[-1], kids[-1]) if open_ else (None, 0)
-        if top:
-            kids[-1] += 1
-        line, col = place(at)
-        order, anc, path = ([*top[ORD], sib], [*top[ANC], top[PRE]], [*top[PATH], top[BASE] or ""]) if top else ([], [], [])
-        rows.append([tick, None, top[PRE] if top else None, len(open_), sib, order, anc, path, kind, tag, base, attrs, text, line, col, None, None, None])
-        return rows[-1]
-
     def flush():
         nonlocal tick
-        if buffer:
-            if open_:
-                node("text", None, None, None, "".join(buffer), begun)[POST] = tick = tick + 1
-            buffer.clear()
+        if open_:
+            top, anc, path = open_[-1]
+            line, col = place(begun) if places else (None, None)
+            rows.append([tick + 1, tick + 1, top[0], len(open_), kids[-1], [*top[ORD], kids[-1]], anc, path, "text", None, None, None, "".join(buffer), line, col, None, None, None])
+            kids[-1] += 1
+            tick += 1
+        buffer.clear()
 
     def start(tag, attrs):
-        nonlocal table
-        flush()
-        cls = next((t for t in attrs.get("class", "").split() if _TYPED.match(t)), None)
-        if not rows:
-            table = types["map"] if tag in ("map", "bookmap") or (cls or "").startswith("map/") else types["topic"]
-        at = parser.CurrentByteIndex
-        open_.append(node("element", tag, table.get(tag, cls), list(attrs.items()), None, at))
+        nonlocal table, tick
+        if buffer:
+            flush()
+        base = table.get(tag) if table is not None else None
+        if base is None:
+            cls = next((t for k, v in zip(attrs[::2], attrs[1::2]) if k == "class" for t in v.split() if _TYPED.match(t)), None)
+            if table is None:
+                table = types["map"] if tag in ("map", "bookmap") or (cls or "").startswith("map/") else types["topic"]
+            base = table.get(tag, cls)
+        tick += 1
+        if open_:
+            top, anc, path = open_[-1]
+            row = [tick, None, top[0], len(open_), kids[-1], [*top[ORD], kids[-1]], anc, path, "element", tag, base, attrs, None, None, None, None, None, None]
+            kids[-1] += 1
+        else:
+            anc, path = [], []
+            row = [tick, None, None, 0, 0, [], anc, path, "element", tag, base, attrs, None, None, None, None, None, None]
+        if places:
+            at = parser.CurrentByteIndex
+            row[13], row[14] = place(at)
+            closed = _TAG_END.match(data, at).end()
+            if data[closed - 2 : closed] == b"/>":
+                row[END_LINE], row[END_COL] = place(closed)
+        rows.append(row)
+        open_.append((row, [*anc, tick], [*path, base or ""]))
         kids.append(0)
-        closed = _TAG_END.match(data, at).end()
-        if data[closed - 2 : closed] == b"/>":
-            open_[-1][END_LINE], open_[-1][END_COL] = place(closed)
 
     def end(tag):
         nonlocal tick
-        flush()
+        if buffer:
+            flush()
         tick += 1
-        done = open_.pop()
+        done = open_.pop()[0]
         kids.pop()
         done[POST] = tick
-        if done[END_LINE] is None:
-            done[END_LINE], done[END_COL] = place(_TAG_END.match(data, parser.CurrentByteIndex).end())
+        if places and done[END_LINE] is None:
+            done[END_LINE], done[END_COL] = place(data.index(b">", parser.CurrentByteIndex) + 1)
 
     def chars(s):
         nonlocal begun
-        if not buffer:
+        if places and not buffer:
             begun = parser.CurrentByteIndex
         buffer.append(s)
 
+    def failed(e) -> list[list]:
+        return [[None] * 17 + [f"{expat.ErrorString(e.code)} at {e.lineno}:{e.offset}" if e else "no root element"]]
+
+    in_pieces = len(data) > large
+    if in_pieces:
+        try:
+            expat.ParserCreate("utf-8").Parse(data, True)
+        except expat.ExpatError as e:
+            yield failed(e)
+            return
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, chars
     try:
-        parser.Parse(data, True)
+        if not in_pieces:
+            parser.Parse(data, True)
+            yield rows or failed(None)
+        else:
+            for at in range(0, len(data), piece):
+                parser.Parse(data[at : at + piece], at + piece >= len(data))
+                done = [r for r in rows if r[POST] is not None]
+                rows[:] = [r for r in rows if r[POST] is None]
+                if done:
+                    yield done
     except expat.ExpatError as e:
-        error = f"{expat.ErrorString(e.code)} at {e.lineno}:{e.offset}"
-    if error is None and not rows:
-        error = "no root element"
-    return [[None] * 17 + [error]] if error else rows
+        yield failed(e)
+    finally:  # no ring of references is left behind
+        parser.StartElementHandler = parser.EndElementHandler = parser.CharacterDataHandler = None
 
 
-def shred(docs: DataFrame, types: dict[str, dict[str, str]] | None = None, clean: bool = True) -> DataFrame:
+def shred_document(xml: str | None, types: dict[str, dict[str, str]], clean: bool = True) -> list[list]:
+    """Nodes of one document in pre-order (columns of NODES after doc), or one row with an error. Starts and ends share one
+    counter. A document is a map if its root element is one, by name or by class. Entities are cleaned first unless
+    ``clean`` is off; places are those of the source."""
+    rows = sorted((r for rows in _nodes(xml, types, clean) for r in rows), key=lambda r: r[0] or 0)
+    for r in rows:
+        r[11] = list(zip(r[11][::2], r[11][1::2])) if r[11] is not None else None
+    return rows
+
+
+def shred(docs: DataFrame, types: dict[str, dict[str, str]] | None = None, clean: bool = True, columns: Iterable[str] | None = None) -> DataFrame:
     """NODES of docs(path, content); a document that is not well-formed gives one row with its error. Entities are cleaned before
     parsing (``clean_entities``); ranges refer to the source as it is.
 
     ``base`` is the tag's base type in ``types`` (``tag_types()``), else the first class token of the form topic/x or map/x.
+    ``columns``: only these columns of NODES are made, beside doc.
     """
     types = types or tag_types()
+    wanted = ["doc", *(n for n in _KINDS if n != "doc" and (columns is None or n in set(columns)))]
+    places = any(n in _PLACES for n in wanted)
 
     def run(batches: Iterable) -> Iterator:
-        import pyarrow as pa
-
-        ints, words = pa.list_(pa.int32()), pa.list_(pa.string())
-        kinds = [pa.string(), *[pa.int32()] * 5, ints, ints, words, *[pa.string()] * 3, pa.map_(pa.string(), pa.string()), pa.string(), *[pa.int32()] * 4, pa.string()]
-        names = [x.strip().split(" ")[0] for x in NODES.replace("map<string,string>", "map").split(",")]
-        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-        for b in batches:
-            rows: list[list] = []
-            for path, xml in zip(b.column(0).to_pylist(), b.column(1)):
-                rows += ([path, *r] for r in shred_document(xml.as_py(), types, clean))
-                if len(rows) >= 20_000:
-                    yield batch(rows)
-                    rows = []
-            if rows:
-                yield batch(rows)
-
-    return docs.select("path", "content").mapInArrow(run, NODES)
+        import gc
+        from itertools import chain
 
+        import numpy as np
+        import pyarrow as pa
 
-def stored_nodes(spark: SparkSession, docs: DataFrame, types: dict[str, dict[str, str]] | None = None) -> DataFrame:
+        simple = {"int": pa.int32(), "string": pa.string()}
+
+        def offsets(lengths: list[int]):
+            return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+
+        def column(name: str, values) -> pa.Array:
+            kind = _KINDS[name]
+            if kind in simple:
+                return pa.array(values, simple[kind])
+            if kind.startswith("array"):
+                inner = simple[kind[6:-1]]
+                if None in values[:1] or any(v is None for v in values):
+                    return pa.array(values, pa.list_(inner))
+                return pa.ListArray.from_arrays(pa.array(offsets(list(map(len, values)))), pa.array(list(chain.from_iterable(values)), inner))
+            held = [v or () for v in values]
+            at = pa.array(offsets([len(v) >> 1 for v in held]), mask=np.array([v is None for v in values] + [False]))
+            flat = list(chain.from_iterable(held))
+            return pa.MapArray.from_arrays(at, pa.array(flat[::2], pa.string()), pa.array(flat[1::2], pa.string()))
+
+        place = [list(_KINDS).index(n) - 1 for n in wanted[1:]]
+
+        def batch(doc: list, rows: list[list]) -> pa.RecordBatch:
+            cols = list(zip(*rows)) if place else []
+            return pa.RecordBatch.from_arrays([pa.array(doc, pa.string()), *(column(n, cols[k]) for n, k in zip(wanted[1:], place))], wanted)
+
+        def made() -> Iterator:
+            for b in batches:
+                doc, rows = [], []
+                for path, xml in zip(b.column(0).to_pylist(), b.column(1)):
+                    for part in _nodes(xml.as_py(), types, clean, places):
+                        doc += [path] * len(part)
+                        rows += part
+                        if len(rows) >= 20_000:
+                            yield batch(doc, rows)
+                            doc, rows = [], []
+                if rows:
+                    yield batch(doc, rows)
+
+        # Nodes are many small lists without rings: looking for rings again and again would cost more than making them.
+        gc.disable()
+        try:
+            yield from made()
+        finally:
+            gc.enable()
+
+    return docs.select("path", "content").mapInArrow(run, ", ".join(f"{n} {_KINDS[n]}" for n in wanted))
+
+
+def stored_nodes(spark: SparkSession, docs: DataFrame, types: dict[str, dict[str, str]] | None = None, columns: Iterable[str] | None = None) -> DataFrame:
     """NODES stored in the shared folder, dealt by document: documents are parsed once, every use reads only the columns it needs,
-    and what stays inside documents is not shuffled again."""
-    return dealt(spark, shred(docs, types))
+    and what stays inside documents is not shuffled again. Documents are dealt before they are parsed, so their nodes, many
+    times their size, are neither shuffled nor sorted. ``columns``: as in ``shred``, where the uses are known."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return dealt(spark, shred(docs.select("path", "content").repartition(n, "path"), types, columns=columns), buckets=n, placed=True)
 
 
 def class_tokens(cls) -> Column:

@@ -66,14 +66,22 @@ def written(spark: SparkSession, df: DataFrame, path: str | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dealt(spark: SparkSession, df: DataFrame, key: str = "doc", buckets: int | None = None) -> DataFrame:
+def dealt(spark: SparkSession, df: DataFrame, key: str = "doc", buckets: int | None = None, placed: bool = False) -> DataFrame:
     """``df`` written in buckets by ``key``: joins, groups and windows on the key, alone or with more columns, need no exchange.
 
     One shuffle deals the rows, one file a bucket. Buckets are as many as the session's shuffle partitions, so what is
-    shuffled by the key meets them without another one.
+    shuffled by the key meets them without another one. ``placed``: the rows' partitions are already those of the deal.
     """
     n, name = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), f"corpusloom_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", shared_dir(spark)).saveAsTable(name)
+    rows = df if placed else df.repartition(n, key)
+    # A task holds one bucket (a few if partitions were put together), so its rows need no sort before they are written.
+    writers = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(writers, "0")
+    spark.conf.set(writers, "16")
+    try:
+        rows.write.format("parquet").bucketBy(n, key).option("path", shared_dir(spark)).saveAsTable(name)
+    finally:
+        spark.conf.set(writers, before)
     if _SCOPES:
         _SCOPES[-1][1].append(name)
     # A join on (key, more) may use the deal by key alone.
