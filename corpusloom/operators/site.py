@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cache
 from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,8 +44,9 @@ def toc_items(pages: DataFrame) -> DataFrame:
     return pages.select(name, "html").mapInArrow(run, f"page {kind}, pos int, id string, title string")
 
 
-def _page_items(html: str) -> list[tuple[str, str]]:
-    """(id, title) of one page."""
+@cache
+def _contents_reader() -> type:
+    """The reader of a page's contents; its class is made once for each process, not for each page."""
     from html.parser import HTMLParser
 
     class Reader(HTMLParser):
@@ -83,7 +85,12 @@ def _page_items(html: str) -> list[tuple[str, str]]:
             if self.into is not None:
                 self.into.append(data)
 
-    reader = Reader()
+    return Reader
+
+
+def _page_items(html: str) -> list[tuple[str, str]]:
+    """(id, title) of one page."""
+    reader = _contents_reader()()
     reader.feed(html)
     reader.close()
     items = [(i, "".join(t)) for i, t in reader.done if t is not None]
@@ -152,18 +159,18 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 
-def _text_nodes(html: str, tools: tuple[str, ...]) -> list[tuple[int, str, str]]:
-    """(number, tag of the parent, text) of the text nodes of a page's body that a reader sees; tag soup is taken as it comes: an end
-    tag closes what is open up to its start, one without a start is passed over."""
+@cache
+def _text_reader() -> type:
+    """The reader of a page's shown text, as above."""
     from html.parser import HTMLParser
 
     class Reader(HTMLParser):
-        def __init__(self):
+        def __init__(self, tools: tuple[str, ...]):
             super().__init__(convert_charrefs=True)
             self.open: list[tuple[str, bool]] = []  # (tag, whether it or one around it is a tool)
             self.buffer: list[str] = []
             self.out: list[tuple[int, str, str]] = []
-            self.number = 0
+            self.tools, self.number = tools, 0
 
         def flush(self):
             text, self.buffer = "".join(self.buffer), []
@@ -181,7 +188,7 @@ def _text_nodes(html: str, tools: tuple[str, ...]) -> list[tuple[int, str, str]]
             if tag == "body":
                 self.open = [x for x in self.open if x[0] != "head"]
             if tag not in VOID_TAGS:
-                self.open.append((tag, bool(self.open and self.open[-1][1]) or dict(attrs).get("id") in tools))
+                self.open.append((tag, bool(self.open and self.open[-1][1]) or dict(attrs).get("id") in self.tools))
 
         def handle_startendtag(self, tag, attrs):
             self.handle_starttag(tag, attrs)
@@ -198,7 +205,13 @@ def _text_nodes(html: str, tools: tuple[str, ...]) -> list[tuple[int, str, str]]
         def handle_comment(self, data):
             self.flush()
 
-    reader = Reader()
+    return Reader
+
+
+def _text_nodes(html: str, tools: tuple[str, ...]) -> list[tuple[int, str, str]]:
+    """(number, tag of the parent, text) of the text nodes of a page's body that a reader sees; tag soup is taken as it comes: an end
+    tag closes what is open up to its start, one without a start is passed over."""
+    reader = _text_reader()(tools)
     reader.feed(html)
     reader.close()
     reader.flush()
