@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from functools import cache
+from html import unescape
 from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,6 +46,39 @@ def toc_items(pages: DataFrame) -> DataFrame:
     return pages.select(name, "html").mapInArrow(run, f"page {kind}, pos int, id string, title string")
 
 
+#: What pages are mostly made of: text, end and start tags in small letters with plain attributes, short comments, elements whose content
+#: is raw. A page of nothing else is cut up by one pattern; others are left to the tolerant parser, which says the same of these.
+_RAW = ("script", "style", "title", "textarea")
+_ATTRIBUTES = r"""(?:\s+[a-z][a-z0-9-]*=(?:"[^"&<>]*"|[^\s"'&<>=/`]+))*+\s*+"""
+_START = rf"(?!(?:{'|'.join(_RAW)}|xmp|iframe|noembed|noframes|plaintext|noscript|svg|math)\b)[a-z][a-z0-9]*+"
+_PARTS = re.compile(rf"([^<]++)|</([a-z][a-z0-9]*+)>|<({'|'.join(_RAW)})({_ATTRIBUTES})>([^<]*+)</\3>|<({_START})({_ATTRIBUTES})>|<!--([^<>-]*+)-->", re.ASCII)
+_WHOLE = re.compile(rf"(?:[^<]++|</[a-z][a-z0-9]*+>|{'|'.join(f'<{t}{_ATTRIBUTES}>[^<]*+</{t}>' for t in _RAW)}|<{_START}{_ATTRIBUTES}>|<!--[^<>-]*+-->)*+", re.ASCII)
+_PLAIN_ATTRIBUTE = re.compile(r"""([a-z][a-z0-9-]*)=(?:"([^"]*)"|([^\s"]+))""", re.ASCII)
+
+
+def _read(reader, page: str) -> None:
+    """Show a page to a reader of the kind of HTMLParser, plain pages without its parser."""
+    if _WHOLE.match(page).end() < len(page):
+        reader.feed(page)
+        reader.close()
+        return
+    attributes = lambda x: [(n, a or b) for n, a, b in _PLAIN_ATTRIBUTE.findall(x)] if x else []
+    for text, end, raw, raw_attrs, inner, start, attrs, comment in _PARTS.findall(page):
+        if text:
+            reader.handle_data(unescape(text) if "&" in text else text)
+        elif start:
+            reader.handle_starttag(start, attributes(attrs))
+        elif end:
+            reader.handle_endtag(end)
+        elif raw:
+            reader.handle_starttag(raw, attributes(raw_attrs))
+            if inner:
+                reader.handle_data(inner if raw in ("script", "style") or "&" not in inner else unescape(inner))
+            reader.handle_endtag(raw)
+        else:
+            reader.handle_comment(comment)
+
+
 @cache
 def _contents_reader() -> type:
     """The reader of a page's contents; its class is made once for each process, not for each page."""
@@ -91,8 +126,7 @@ def _contents_reader() -> type:
 def _page_items(html: str) -> list[tuple[str, str]]:
     """(id, title) of one page."""
     reader = _contents_reader()()
-    reader.feed(html)
-    reader.close()
+    _read(reader, html)
     items = [(i, "".join(t)) for i, t in reader.done if t is not None]
     if items and reader.top:
         items.insert(0, (reader.top[0], "".join(reader.top[1])))
@@ -212,8 +246,7 @@ def _text_nodes(html: str, tools: tuple[str, ...]) -> list[tuple[int, str, str]]
     """(number, tag of the parent, text) of the text nodes of a page's body that a reader sees; tag soup is taken as it comes: an end
     tag closes what is open up to its start, one without a start is passed over."""
     reader = _text_reader()(tools)
-    reader.feed(html)
-    reader.close()
+    _read(reader, html)
     reader.flush()
     return reader.out
 
