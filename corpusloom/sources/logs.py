@@ -19,9 +19,15 @@ def _open(folder: str):
     return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
 
 
+#: Bytes of a file that one task reads, in as many chunks as they hold.
+TASK = 4 << 20
+
+
 class Range(InputPartition):
-    def __init__(self, name: str, start: int, end: int):
-        self.name, self.start, self.end = name, start, end
+    """Bytes of a file, read by one task and handed out in chunks of ``piece`` bytes (one chunk without it)."""
+
+    def __init__(self, name: str, start: int, end: int, piece: int | None = None):
+        self.name, self.start, self.end, self.piece = name, start, end, piece or max(1, end - start)
 
 
 class LogReader(DataSourceStreamReader):
@@ -64,20 +70,23 @@ class LogReader(DataSourceStreamReader):
         old, new = json.loads(start["sizes"]), json.loads(end["sizes"])
         # A file that has become shorter was begun anew.
         begin = lambda n, size: old[n] if old.get(n, size + 1) <= size else 0
-        return [Range(n, at, min(at + self.piece, size)) for n, size in new.items() for at in range(begin(n, size), size, self.piece)]
+        task = max(1, TASK // self.piece) * self.piece
+        return [Range(n, at, min(at + task, size), self.piece) for n, size in new.items() for at in range(begin(n, size), size, task)]
 
     def read(self, partition: Range) -> Iterator[tuple]:
         fs, root = _open(self.folder)
         with fs.open_input_file(f"{root}/{partition.name}") as f:
             f.seek(partition.start)
             data = f.read(partition.end - partition.start + 3)
-        # A character belongs to the range in which it begins.
-        size, skip, more = partition.end - partition.start, 0, 0
-        while skip < min(3, len(data)) and data[skip] & 0xC0 == 0x80:
-            skip += 1
-        while size + more < len(data) and data[size + more] & 0xC0 == 0x80:
-            more += 1
-        yield partition.name, partition.start, data[skip : size + more].decode("utf-8", "replace")
+        # A character belongs to the chunk in which it begins.
+        within = lambda at: at < len(data) and data[at] & 0xC0 == 0x80
+        for at in range(0, partition.end - partition.start, partition.piece):
+            first, last = at, min(at + partition.piece, partition.end - partition.start)
+            while first < at + 3 and within(first):
+                first += 1
+            while last < min(at + partition.piece, partition.end - partition.start) + 3 and within(last):
+                last += 1
+            yield partition.name, partition.start + at, data[first:last].decode("utf-8", "replace")
 
     def commit(self, end: dict) -> None:
         pass
