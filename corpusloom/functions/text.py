@@ -58,6 +58,11 @@ def is_local_href(value) -> Column:
     return ~is_external(value, F.lit(None)) & ~F.coalesce(_c(value), F.lit("")).startswith("#")
 
 
+def let(value, use) -> Column:
+    """``use`` of a value that is made once for each row, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(_c(value)), use), F.lit(0))
+
+
 def path_part(href) -> Column:
     return F.substring_index(_c(href), "#", 1)
 
@@ -80,15 +85,19 @@ def element_id(href) -> Column:
 
 def decode_href(href) -> Column:
     """Percent-decoded; malformed input is returned as it is."""
-    h = _c(href)
-    d = F.try_url_decode(F.replace(h, F.lit("+"), F.lit("%2B")))
-    return F.when(d.isNull() | d.contains("�"), h).otherwise(d)
+    decoded = lambda h: let(F.try_url_decode(F.replace(h, F.lit("+"), F.lit("%2B"))), lambda d: F.when(d.isNull() | d.contains("�"), h).otherwise(d))
+    return let(href, lambda h: F.when(h.contains("%"), decoded(h)).otherwise(h))
 
 
 #: What comes before the first folder of a path: scheme and host, or slashes; nothing for a relative path.
 _ROOT = r"^([A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?/?|/+)"
 
 
+#: A path that has a root, or a part to be resolved; a folder that is left by the next part.
+_UNSETTLED = _ROOT + r"|(?:^|/)\.{0,2}(?:/|$)"
+_LEFT_AT_ONCE = r"(^|/)(?!\.{1,2}/)[^/:]+/\.\./"
+
+
 def root_of(path) -> Column:
     """Scheme and host (``hdfs://nn/``, ``file:/``) or the slash of an absolute path; '' for a relative one."""
     return F.regexp_replace(F.regexp_extract(_c(path), _ROOT, 1), "^/+$", "/")
@@ -96,15 +105,22 @@ def root_of(path) -> Column:
 
 def normalise(path) -> Column:
     """``.`` and ``..`` resolved; what a path is rooted in stays, and a relative path keeps a leading ``..`` beyond its root."""
-    root = root_of(path)
-    parts = F.filter(F.split(F.regexp_replace(_c(path), _ROOT, ""), "/"), lambda x: ~x.isin("", "."))
-    step = lambda a, x: F.when((x == "..") & (F.size(a) > 0) & (F.get(a, F.size(a) - 1) != ".."), F.slice(a, 1, F.size(a) - 1)).when((x == "..") & (root != ""), a).otherwise(F.concat(a, F.array(x)))
-    return F.concat(root, F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+
+    def walked(root, p):
+        parts = F.filter(F.split(F.regexp_replace(p, _ROOT, ""), "/"), lambda x: ~x.isin("", "."))
+        step = lambda a, x: F.when((x == "..") & (F.size(a) > 0) & (F.get(a, F.size(a) - 1) != ".."), F.slice(a, 1, F.size(a) - 1)).when((x == "..") & (root != ""), a).otherwise(F.concat(a, F.array(x)))
+        return F.concat(root, F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+
+    # The path is made once for each row; one that is settled, or is so without the folders that a ``..`` leaves at once, is not taken apart.
+    walk = lambda p: let(F.when(p.rlike(_ROOT), root_of(p)).otherwise(""), lambda root: walked(root, p))
+    shorter = lambda p: let(F.regexp_replace(p, _LEFT_AT_ONCE, "$1"), lambda q: F.when(q.rlike(_UNSETTLED), walk(p)).otherwise(q))
+    return let(path, lambda p: F.when(p.rlike(_UNSETTLED), shorter(p)).otherwise(p))
 
 
 def dirname(path) -> Column:
     p = _c(path)
-    return F.when(p.rlike("^/[^/]*$"), "/").when(p.contains("/"), F.regexp_replace(p, "/[^/]*$", "")).otherwise("")
+    at = F.length(p) - F.length(F.substring_index(p, "/", -1))
+    return F.when(p.contains("/"), F.when(at == 1, "/").otherwise(F.substring(p, F.lit(1), at - 1))).otherwise("")
 
 
 def ancestors(directory) -> Column:
@@ -132,8 +148,7 @@ def stem(path) -> Column:
 
 def resolve(directory, href) -> Column:
     """Corpus path of a local href seen from a directory; null for a path-less one."""
-    p = decode_href(path_part(href))
-    return F.when(p != "", normalise(under(directory, p)))
+    return let(decode_href(path_part(href)), lambda p: F.when(p != "", normalise(let(directory, lambda d: under(d, p)))))
 
 
 def relative(path, directory) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shred import own_types
 from ..sources.store import big, dealt, met, shared_dir, written
 from .site import data_uris
 
@@ -32,6 +33,8 @@ COLSPECS = ("pre", "parent", "base", "attrs")
 CELLS = ("pre", "post", "parent", "anc", "path", "type", "base", "attrs", "text")
 POSITIONS = ("pre", "type", "tag", "line", "col", "end_line", "end_col")
 DRAWN = (*TITLES, "ord", "anc", "tag", "error")
+#: With the texts that elements carry (``own`` of ``shred``): titles and links; cells of simple tables.
+LINKS, SIMPLE = ("pre", "parent", "depth", "type", "base", "attrs"), ("pre", "parent", "anc", "path", "base")
 
 
 def _has(path, types: tuple[str, ...]) -> Column:
@@ -47,7 +50,11 @@ def is_topic() -> Column:
 
 
 def suppress(nodes: DataFrame, types: tuple[str, ...] = SILENT) -> DataFrame:
-    """nodes without the subtrees that render to nothing."""
+    """nodes without the subtrees that render to nothing. Texts that elements carry hold those of such subtrees, so they go."""
+    if "own" in nodes.columns:
+        if "text" not in nodes.columns:
+            raise ValueError("nodes that carry texts only cannot be suppressed")
+        nodes = nodes.drop("own")
     return nodes.where(~_is(types) & ~_has("path", types))
 
 
@@ -72,18 +79,39 @@ def text_rows(wanted, text) -> tuple[Column, Column]:
 
 
 def element_text(nodes: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
-    """(doc, pre, own): the text below each element (of these base types), in order; '' where there is none."""
+    """(doc, pre, own): the text below each element (of these base types), in order; '' where there is none. Nodes that carry it
+    (``own`` of ``shred``) are only read."""
+    if types and own_types(nodes).issuperset(types):
+        return nodes.where(_is(types)).select("doc", "pre", "own")
     wanted, text = (_is(types), _has("path", types)) if types else (F.lit(True), F.lit(True))
     return text_slices(nodes.select("doc", *text_rows(wanted, text)).where("e IS NOT NULL OR t IS NOT NULL"))
 
 
+def with_own(nodes: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """The elements of these base types with ``own``, the text below each."""
+    e = nodes.where(_is(types))
+    return e if own_types(nodes).issuperset(types) else e.drop("own").join(big(element_text(nodes, types)), ["doc", "pre"])
+
+
 def titles(nodes: DataFrame) -> DataFrame:
     """(doc, pre, id, title) of every element with a title child; the first title child counts."""
+    if "topic/title" in own_types(nodes):
+        return _titled(nodes).where("title IS NOT NULL").select("doc", "pre", "id", "title")
     t = nodes.where(_is(("topic/title",))).select("doc", "pre", "parent").join(big(element_text(nodes, ("topic/title",))), ["doc", "pre"])
     t = t.groupBy("doc", F.col("parent").alias("pre")).agg(F.min_by("own", "pre").alias("title"))
     return nodes.where("type = 'element'").select("doc", "pre", F.col("attrs")["id"].alias("id")).join(big(t), ["doc", "pre"])
 
 
+def _titled(nodes: DataFrame) -> DataFrame:
+    """(doc, pre, id, root, title) of every element that has an id or a title child, or is a root; title is null without a title child. For
+    nodes that carry the texts of titles: elements and their titles meet in one group, so nothing is joined."""
+    a = F.col("attrs")["id"]
+    held = F.when((F.coalesce(a, F.lit("")) != "") | (F.col("depth") == 0), F.struct(F.col("pre").alias("at"), a.alias("id"), (F.col("depth") == 0).alias("root"), F.lit(None).cast("struct<pre:int,own:string>").alias("t")))
+    title = F.when(_is(("topic/title",)) & F.col("parent").isNotNull(), F.struct(F.col("parent").alias("at"), F.lit(None).cast("string").alias("id"), F.lit(False).alias("root"), F.struct("pre", "own").alias("t")))
+    rows = nodes.where(F.expr("type = 'element'") & ((F.coalesce(a, F.lit("")) != "") | (F.col("depth") == 0) | _is(("topic/title",)))).select("doc", F.inline(F.filter(F.array(held, title), lambda x: x.isNotNull())))
+    return rows.groupBy("doc", F.col("at").alias("pre")).agg(F.max("id").alias("id"), F.max("root").alias("root"), F.min("t")["own"].alias("title"))
+
+
 def title_map(nodes: DataFrame) -> DataFrame:
     """(doc, id, title): of several titled elements with one id the last counts."""
     return titles(nodes).where("id <> ''").groupBy("doc", "id").agg(F.max_by("title", "pre").alias("title"))
@@ -91,6 +119,10 @@ def title_map(nodes: DataFrame) -> DataFrame:
 
 def root_titles(nodes: DataFrame) -> DataFrame:
     """(doc, title) of root elements."""
+    if "topic/title" in own_types(nodes):
+        # The root's title is a child of it: no other element is needed.
+        t = nodes.where(_is(("topic/title",)) & (F.col("depth") == 1)).groupBy("doc").agg(F.min(F.struct("pre", "own"))["own"].alias("title"))
+        return t
     return titles(nodes).join(big(nodes.where("depth = 0").select("doc", "pre")), ["doc", "pre"]).select("doc", "title")
 
 
@@ -103,6 +135,11 @@ def note_locales(nodes: DataFrame) -> DataFrame:
 def target_titles(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Titles that links show: (doc, tid, title) inside a file by the last element with the id; (target, tid, by_id) from other
     files by the first one, which may have no title; (target, root_title)."""
+    if "topic/title" in own_types(nodes):
+        named = _titled(nodes).where("id <> ''").groupBy("doc", F.col("id").alias("tid"))
+        named = named.agg(F.max_by("title", F.when(F.col("title").isNotNull(), F.col("pre"))).alias("here"), F.min(F.struct("pre", "title"))["title"].alias("by_id"))
+        other = named.where("by_id IS NOT NULL").select(F.col("doc").alias("target"), "tid", "by_id")
+        return named.where("here IS NOT NULL").select("doc", "tid", "here"), other, root_titles(nodes).select(F.col("doc").alias("target"), F.col("title").alias("root_title"))
     named = titles(nodes)
     local = title_map(nodes).select("doc", F.col("id").alias("tid"), F.col("title").alias("here"))
     first = nodes.where("type = 'element' AND attrs['id'] <> ''").groupBy("doc", F.col("attrs")["id"].alias("tid")).agg(F.min("pre").alias("pre"))
@@ -119,9 +156,10 @@ def with_link_titles(links: DataFrame, nodes: DataFrame) -> DataFrame:
     local, other, roots = target_titles(nodes)
     href = F.col("href")
     here, frag = href.startswith("#"), T.fragment("href")
-    file = F.when(~here & ~T.is_external("href", F.lit(None)), T.resolve(T.dirname("doc"), "href"))
-    kind = F.when(here, "here").when(file.isNull(), "none").when(href.contains("#"), "id").when(T.path_part("href").rlike(r"(?i)\.(dita|xml)$"), "root").otherwise("none")
-    x = links.withColumns({"__kind": F.coalesce(kind, F.lit("none")), "target": file, "tid": F.when(here, F.substring_index(frag, "/", -1)).otherwise(F.split_part(frag, F.lit("/"), F.lit(1)))})
+    # The kind is known without resolving paths, so filters by it are cheap.
+    outside = F.coalesce(~here & ~T.is_external("href", F.lit(None)) & (T.path_part("href") != ""), F.lit(False))
+    kind = F.when(here, "here").when(~outside, "none").when(href.contains("#"), "id").when(T.path_part("href").rlike(r"(?i)\.(dita|xml)$"), "root").otherwise("none")
+    x = links.withColumns({"__kind": F.coalesce(kind, F.lit("none")), "target": F.when(outside, T.resolve(T.dirname("doc"), "href")), "tid": F.when(here, F.substring_index(frag, "/", -1)).otherwise(F.split_part(frag, F.lit("/"), F.lit(1)))})
     # Each kind of link meets only the titles that it can have, so no join sees a null key.
     parts = [x.where("__kind = 'none'").withColumn("found", F.lit(None).cast("string"))]
     for name, side, on, title in (("here", local, ["doc", "tid"], "here"), ("id", other, ["target", "tid"], "by_id"), ("root", roots, ["target"], "root_title")):
@@ -134,8 +172,9 @@ def with_link_titles(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def xref_titles(nodes: DataFrame) -> DataFrame:
     """(doc, pre, href, shown, kind): what each xref shows: its own text, else the target's title, else the href."""
-    x = nodes.where(_is(("topic/xref",))).select("doc", "pre", F.col("attrs")["href"].alias("href")).join(big(element_text(nodes, ("topic/xref",))), ["doc", "pre"])
-    j = with_link_titles(written(nodes.sparkSession, x), nodes)
+    x = with_own(nodes, ("topic/xref",)).select("doc", "pre", F.col("attrs")["href"].alias("href"), "own")
+    # Nodes that carry the texts are as cheap to read again as what is made of them.
+    j = with_link_titles(x if own_types(nodes).issuperset(("topic/xref", "topic/title")) else written(nodes.sparkSession, x), nodes)
     shown = F.when(~T.is_blank("own"), F.col("own")).otherwise(F.coalesce("found", "href", F.lit("")))
     return j.select("doc", "pre", "href", shown.alias("shown"), F.when(F.col("found").isNotNull(), "title").otherwise("href").alias("kind"))
 
@@ -279,20 +318,20 @@ def _spans(e: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def cals_cells(nodes: DataFrame) -> DataFrame:
     """table_cells(doc, tgroup, row, cell, section, header, col, colspan, rowspan, text): entries with their spans."""
-    e = nodes.where(_is(("topic/entry",))).select("doc", "pre", F.col("parent").alias("row_pre"), "anc", "path", "attrs")
+    e = with_own(nodes, ("topic/entry",)).select("doc", "pre", F.col("parent").alias("row_pre"), "anc", "path", "attrs", "own")
     n = F.size("anc")
     e = e.select("*", F.get("anc", n - 3).alias("tgroup"), F.substring(F.get("path", n - 2), 7, 20).alias("section"), in_header().alias("header"))
     e = _spans(e, nodes)
     at = lambda name: F.try_element_at("cols", F.col("attrs")[name])
-    e = e.withColumn("cell", F.row_number().over(Window.partitionBy("doc", "row_pre").orderBy("pre"))).join(big(element_text(nodes, ("topic/entry",))), ["doc", "pre"])
+    e = e.withColumn("cell", F.row_number().over(Window.partitionBy("doc", "row_pre").orderBy("pre")))
     row = F.dense_rank().over(Window.partitionBy("doc", "tgroup").orderBy("row_pre"))
     return e.select("doc", "tgroup", row.alias("row"), "cell", "section", "header", F.coalesce(at("namest"), at("colname"), "cell").alias("col"), F.coalesce(F.greatest(at("nameend") - at("namest") + 1, F.lit(1)), F.lit(1)).alias("colspan"), (F.coalesce(F.col("attrs")["morerows"].try_cast("int"), F.lit(0)) + 1).alias("rowspan"), F.col("own").alias("text"))
 
 
 def simple_cells(nodes: DataFrame) -> DataFrame:
     """The same columns for simple, choice and property tables; every cell spans one column and one row. tgroup is the table."""
-    e = nodes.where(_is(("topic/stentry",))).select("doc", "pre", F.col("parent").alias("row_pre"), F.get("anc", F.size("anc") - 2).alias("tgroup"), F.substring(F.element_at("path", -1), 7, 20).alias("section"), in_header().alias("header"))
-    e = e.withColumn("cell", F.row_number().over(Window.partitionBy("doc", "row_pre").orderBy("pre"))).join(big(element_text(nodes, ("topic/stentry",))), ["doc", "pre"])
+    e = with_own(nodes, ("topic/stentry",)).select("doc", "pre", F.col("parent").alias("row_pre"), F.get("anc", F.size("anc") - 2).alias("tgroup"), F.substring(F.element_at("path", -1), 7, 20).alias("section"), in_header().alias("header"), "own")
+    e = e.withColumn("cell", F.row_number().over(Window.partitionBy("doc", "row_pre").orderBy("pre")))
     row = F.dense_rank().over(Window.partitionBy("doc", "tgroup").orderBy("row_pre"))
     return e.select("doc", "tgroup", row.alias("row"), "cell", "section", "header", F.col("cell").alias("col"), F.lit(1).alias("colspan"), F.lit(1).alias("rowspan"), F.col("own").alias("text"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.store import big
+from ..sources.store import big, met
 from .maps import key_values
 
 
@@ -48,7 +48,8 @@ def key_space(visible: DataFrame, definitions: DataFrame) -> DataFrame:
 def resolve_keyrefs(uses: DataFrame, keys: DataFrame) -> DataFrame:
     """uses(scope_dir, key, tag, own) with the text that is shown: own content, else the key's value, else for a ph a
     placeholder and for an abbreviated form the key's name."""
-    j = uses.join(big(keys.select("scope_dir", "key", F.col("value").alias("__v"))), ["scope_dir", "key"], "left")
+    # Uses are many times the keys: if these are small, no use is shuffled.
+    j = uses.join(met(uses.sparkSession, keys.select("scope_dir", "key", F.col("value").alias("__v"))), ["scope_dir", "key"], "left")
     bare = F.when(F.col("tag") == "ph", F.concat(F.lit("["), F.col("key"), F.lit("]"))).when(F.col("tag") == "abbreviated-form", F.col("key")).otherwise(F.coalesce("own", F.lit("")))
     shown = F.when(~T.is_blank("own"), F.col("own")).when(F.col("__v").isNotNull(), F.col("__v")).otherwise(bare)
     return j.withColumn("shown", shown).withColumn("resolved", F.col("__v").isNotNull()).drop("__v")

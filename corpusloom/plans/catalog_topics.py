@@ -31,7 +31,7 @@ SELECT 'rich/p' || p_partkey || '.dita' AS doc, md5('<article id="t" class="topi
   || '<span class="boolean" data-value="yes">yes</span></main></article>') AS hash FROM p""")
 def rich_html(spark, sf_dir):
     """Topics with notes, figures, code, tables, links, keys and nested transclusion, in two languages."""
-    nodes = X.stored_nodes(spark, corpus.rich_topics(spark, sf_dir), columns=D.DRAWN)
+    nodes = X.stored_nodes(spark, corpus.rich_topics(spark, sf_dir), columns=D.DRAWN, own=("topic/title",))
     keys = spark.createDataFrame([("rich", f"k{k}", f"value {k}") for k in (0, 1)], "scope_dir string, key string, value string")
     return D.topic_html(nodes, keys).where("doc LIKE 'rich/p%'").select("doc", F.md5("html").alias("hash"))
 
@@ -63,7 +63,7 @@ SELECT 'o/p' || p_partkey || '.dita' AS doc, depth, name, detail, kind FROM part
 def nested_outline(spark, sf_dir):
     c = F.col
     docs = table(spark, sf_dir, "part").select(cat("o/p", c("p_partkey"), ".dita").alias("path"), cat("<concept><title>", c("p_name"), "</title><conbody><section><div><example><title> </title></example></div></section><postreq><title>Post ", c("p_size"), '</title></postreq></conbody><topic id="inner"/></concept>').alias("content"))
-    return D.topic_outline(X.stored_nodes(spark, docs, columns=D.OUTLINE)).select("doc", "depth", "name", "detail", "kind")
+    return D.topic_outline(X.stored_nodes(spark, docs, columns=D.OUTLINE, own=("topic/title",))).select("doc", "depth", "name", "detail", "kind")
 
 
 @query("""
@@ -72,7 +72,7 @@ SELECT 's/p' || p_partkey || '.dita' AS doc, "row", cell, section, header, txt A
 def simple_cells(spark, sf_dir):
     c = F.col
     docs = table(spark, sf_dir, "part").select(cat("s/p", c("p_partkey"), ".dita").alias("path"), cat("<reference><refbody><properties><prophead><proptypehd>Type</proptypehd><propvaluehd>Value</propvaluehd></prophead><property><proptype>", c("p_type"), "</proptype><propvalue>", c("p_size"), "</propvalue></property></properties></refbody></reference>").alias("content"))
-    return D.simple_cells(X.stored_nodes(spark, docs, columns=D.CELLS)).select("doc", "row", "cell", "section", "header", "text")
+    return D.simple_cells(X.stored_nodes(spark, docs, columns=D.SIMPLE, own=("topic/stentry",), bare=True)).select("doc", "row", "cell", "section", "header", "text")
 
 
 @query("""
@@ -83,7 +83,7 @@ def local_links(spark, sf_dir):
     c = F.col
     k = c("p_partkey")
     docs = table(spark, sf_dir, "part").select(cat("l/p", k, ".dita").alias("path"), cat('<topic id="a"><title>Top ', k, '</title><body><section id="', k, '"><title>first</title></section><section id="', k, '"><title>', c("p_name"), '</title></section><p><xref href="#a/', k, '"/><xref href="#a/gone"/><xref href="p', k + 1, '.dita"/><xref href="#own">mine</xref></p></body></topic>').alias("content"))
-    return D.xref_titles(X.stored_nodes(spark, docs, columns=D.TITLES)).select("doc", "href", "shown")
+    return D.xref_titles(X.stored_nodes(spark, docs, columns=D.LINKS, own=("topic/title", "topic/xref"), bare=True)).select("doc", "href", "shown")
 
 
 @query("""

@@ -217,15 +217,17 @@ def clean_source(xml: str, known: dict[str, str] = ENTITIES) -> Shifted:
 _TAG_END = re.compile(rb"""(?:[^>"']++|"[^"]*"|'[^']*')*+>""")
 _TYPED = re.compile("^(topic|map)/")
 #: Columns of NODES by name, with their types; those that say where a node stands; bytes from which on a document is parsed in pieces.
-_KINDS = dict(x.split(" ") for x in NODES.split(", "))
+_KINDS = dict(x.split(" ") for x in NODES.split(", ")) | {"own": "string"}
 _PLACES = ("line", "col", "end_line", "end_col")
 _LARGE, _PIECE = 4 << 20, 1 << 20
 
 
-def _nodes(xml: str | None, types: dict[str, dict[str, str]], clean: bool = True, places: bool = True, large: int = _LARGE, piece: int = _PIECE) -> Iterator[list[list]]:
+def _nodes(xml: str | None, types: dict[str, dict[str, str]], clean: bool = True, places: bool = True, large: int = _LARGE, piece: int = _PIECE, own: Iterable[str] = (), bare: bool = False, deep: bool = True) -> Iterator[list[list]]:
     """Nodes of one document (columns of NODES after doc; attributes as one list of names and values), or one row with an error.
+    With ``own`` a last column holds the text below each element of these base types. ``bare``: only elements that have an own
+    text or a child with one, the root, and those with an id. Without ``deep`` sibling numbers, ancestors and base types are left out.
 
-    Small documents come as one list in pre-order. Large ones are read twice: once for errors, then in pieces, and what a piece has
+    Small documents come as one list, in pre-order unless ``bare``. Large ones are read twice: once for errors, then in pieces, and what a piece has
     closed is handed out before the next one, so memory holds the text, a piece's nodes and the open elements."""
     from xml.parsers import expat
 
@@ -239,9 +241,15 @@ def _nodes(xml: str | None, types: dict[str, dict[str, str]], clean: bool = True
     open_: list[tuple[list, list, list]] = []
     kids: list[int] = []
     tick, buffer, begun, table = 0, [], 0, None
+    # Texts since the outermost open element with an own text; those elements with the place where their texts begin; whether an open
+    # element has such a child.
+    own = frozenset(own)
+    said: list[str] = []
+    heard: list[tuple[list, int]] = []
+    asked: list[bool] = []
     parser = expat.ParserCreate("utf-8")
     parser.ordered_attributes, parser.buffer_text = True, not places
-    POST, ORD, BASE, END_LINE, END_COL = 1, 5, 10, 15, 16
+    POST, ORD, ATTRS, END_LINE, END_COL, OWN = 1, 5, 11, 15, 16, 18
 
     last = [0, 0]  # byte and character of the last place: places only go forward, so each byte is counted once
 
@@ -258,8 +266,14 @@ def _nodes(xml: str | None, types: dict[str, dict[str, str]], clean: bool = True
         nonlocal tick
         if open_:
             top, anc, path = open_[-1]
-            line, col = place(begun) if places else (None, None)
-            rows.append([tick + 1, tick + 1, top[0], len(open_), kids[-1], [*top[ORD], kids[-1]], anc, path, "text", None, None, None, "".join(buffer), line, col, None, None, None])
+            text = "".join(buffer)
+            if heard:
+                said.append(text)
+            if not bare:
+                line, col = place(begun) if places else (None, None)
+                rows.append([tick + 1, tick + 1, top[0], len(open_), kids[-1], [*top[ORD], kids[-1]] if deep else anc, anc, path, "text", None, None, None, text, line, col, None, None, None])
+                if own:
+                    rows[-1].append(None)
             kids[-1] += 1
             tick += 1
         buffer.clear()
@@ -277,7 +291,7 @@ def _nodes(xml: str | None, types: dict[str, dict[str, str]], clean: bool = True
         tick += 1
         if open_:
             top, anc, path = open_[-1]
-            row = [tick, None, top[0], len(open_), kids[-1], [*top[ORD], kids[-1]], anc, path, "element", tag, base, attrs, None, None, None, None, None, None]
+            row = [tick, None, top[0], len(open_), kids[-1], [*top[ORD], kids[-1]] if deep else anc, anc, path, "element", tag, base, attrs, None, None, None, None, None, None]
             kids[-1] += 1
         else:
             anc, path = [], []
@@ -288,9 +302,15 @@ def _nodes(xml: str | None, types: dict[str, dict[str, str]], clean: bool = True
             closed = _TAG_END.match(data, at).end()
             if data[closed - 2 : closed] == b"/>":
                 row[END_LINE], row[END_COL] = place(closed)
-        rows.append(row)
-        open_.append((row, [*anc, tick], [*path, base or ""]))
+        open_.append((row, [*anc, tick], [*path, base or ""]) if deep else (row, anc, path))
         kids.append(0)
+        if own:
+            row.append(None)
+            asked.append(False)
+            if base in own:
+                heard.append((row, len(said)))
+        if not bare:
+            rows.append(row)
 
     def end(tag):
         nonlocal tick
@@ -302,6 +322,16 @@ def _nodes(xml: str | None, types: dict[str, dict[str, str]], clean: bool = True
         done[POST] = tick
         if places and done[END_LINE] is None:
             done[END_LINE], done[END_COL] = place(data.index(b">", parser.CurrentByteIndex) + 1)
+        if own:
+            parent_of = asked.pop()
+            if heard and heard[-1][0] is done:
+                done[OWN] = "".join(said[heard.pop()[1] :])
+                if not heard:
+                    said.clear()
+                if asked:
+                    asked[-1] = True
+            if bare and (parent_of or done[OWN] is not None or not open_ or "id" in done[ATTRS][::2]):
+                rows.append(done)
 
     def chars(s):
         nonlocal begun
@@ -310,7 +340,7 @@ def _nodes(xml: str | None, types: dict[str, dict[str, str]], clean: bool = True
         buffer.append(s)
 
     def failed(e) -> list[list]:
-        return [[None] * 17 + [f"{expat.ErrorString(e.code)} at {e.lineno}:{e.offset}" if e else "no root element"]]
+        return [[None] * 17 + [f"{expat.ErrorString(e.code)} at {e.lineno}:{e.offset}" if e else "no root element"] + [None] * bool(own)]
 
     in_pieces = len(data) > large
     if in_pieces:
@@ -347,16 +377,20 @@ def shred_document(xml: str | None, types: dict[str, dict[str, str]], clean: boo
     return rows
 
 
-def shred(docs: DataFrame, types: dict[str, dict[str, str]] | None = None, clean: bool = True, columns: Iterable[str] | None = None) -> DataFrame:
+def shred(docs: DataFrame, types: dict[str, dict[str, str]] | None = None, clean: bool = True, columns: Iterable[str] | None = None, own: tuple[str, ...] = (), bare: bool = False) -> DataFrame:
     """NODES of docs(path, content); a document that is not well-formed gives one row with its error. Entities are cleaned before
     parsing (``clean_entities``); ranges refer to the source as it is.
 
     ``base`` is the tag's base type in ``types`` (``tag_types()``), else the first class token of the form topic/x or map/x.
-    ``columns``: only these columns of NODES are made, beside doc.
+    ``columns``: only these columns of NODES are made, beside doc. ``own``: base types whose elements carry the text below them in a
+    column of that name (null on all other nodes), so that texts need not be put together from their nodes. ``bare``: of all nodes
+    only elements with such a text or a child with one, roots, elements with an id, and errors.
     """
+    if bare and not own:
+        raise ValueError("bare nodes need the base types whose texts are wanted")
     types = types or tag_types()
-    wanted = ["doc", *(n for n in _KINDS if n != "doc" and (columns is None or n in set(columns)))]
-    places = any(n in _PLACES for n in wanted)
+    wanted = ["doc", *(n for n in _KINDS if n not in ("doc", "own") and (columns is None or n in set(columns))), *(["own"] if own else [])]
+    places, deep = any(n in _PLACES for n in wanted), any(n in ("ord", "anc", "path") for n in wanted)
 
     def run(batches: Iterable) -> Iterator:
         import gc
@@ -394,7 +428,7 @@ def shred(docs: DataFrame, types: dict[str, dict[str, str]] | None = None, clean
             for b in batches:
                 doc, rows = [], []
                 for path, xml in zip(b.column(0).to_pylist(), b.column(1)):
-                    for part in _nodes(xml.as_py(), types, clean, places):
+                    for part in _nodes(xml.as_py(), types, clean, places, own=own, bare=bare, deep=deep):
                         doc += [path] * len(part)
                         rows += part
                         if len(rows) >= 20_000:
@@ -410,15 +444,23 @@ def shred(docs: DataFrame, types: dict[str, dict[str, str]] | None = None, clean
         finally:
             gc.enable()
 
-    return docs.select("path", "content").mapInArrow(run, ", ".join(f"{n} {_KINDS[n]}" for n in wanted))
+    nodes = docs.select("path", "content").mapInArrow(run, ", ".join(f"{n} {_KINDS[n]}" for n in wanted))
+    return nodes.withMetadata("own", {"types": sorted(own)}) if own else nodes
 
 
-def stored_nodes(spark: SparkSession, docs: DataFrame, types: dict[str, dict[str, str]] | None = None, columns: Iterable[str] | None = None) -> DataFrame:
+def own_types(nodes: DataFrame) -> set[str]:
+    """The base types whose elements carry their text in the column own."""
+    return set(nodes.schema["own"].metadata.get("types", ())) if "own" in nodes.columns else set()
+
+
+def stored_nodes(
+    spark: SparkSession, docs: DataFrame, types: dict[str, dict[str, str]] | None = None, columns: Iterable[str] | None = None, own: tuple[str, ...] = (), bare: bool = False,
+) -> DataFrame:
     """NODES stored in the shared folder, dealt by document: documents are parsed once, every use reads only the columns it needs,
     and what stays inside documents is not shuffled again. Documents are dealt before they are parsed, so their nodes, many
-    times their size, are neither shuffled nor sorted. ``columns``: as in ``shred``, where the uses are known."""
+    times their size, are neither shuffled nor sorted. ``columns``, ``own``, ``bare``: as in ``shred``, where the uses are known."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt(spark, shred(docs.select("path", "content").repartition(n, "path"), types, columns=columns), buckets=n, placed=True)
+    return dealt(spark, shred(docs.select("path", "content").repartition(n, "path"), types, columns=columns, own=own, bare=bare), buckets=n, placed=True)
 
 
 def class_tokens(cls) -> Column:
