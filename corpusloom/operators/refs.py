@@ -22,8 +22,8 @@ ATTRIBUTE = r'([\w:.-]+)\s*=\s*"([^"]*)"'
 ID, KEYS, MAP_LINK = r'\bid\s*=\s*"([^"]+)"', r'\bkeys\s*=\s*"([^"]*)"', r'href\s*=\s*"([^"]+\.ditamap)"'
 
 
-def _scan(docs: DataFrame, find: Callable[[str], Iterator[tuple]], schema: str) -> DataFrame:
-    """(doc, columns of ``schema``): what ``find`` yields for each content. docs: path, content."""
+def _scan(docs: DataFrame, find: Callable[[str], Iterator[tuple]], schema: str, empty: bool = False) -> DataFrame:
+    """(doc, columns of ``schema``): what ``find`` yields for each content, with ``empty`` for a missing one too. docs: path, content."""
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -31,30 +31,55 @@ def _scan(docs: DataFrame, find: Callable[[str], Iterator[tuple]], schema: str)
         kinds = {"string": pa.string(), "int": pa.int32()}
         fields = [x.split(" ") for x in schema.split(", ")]
         for b in batches:
-            rows = [(path, *r) for path, text in zip(b.column(0).to_pylist(), b.column(1)) if (t := text.as_py()) for r in find(t)]
+            rows = [(path, *r) for path, text in zip(b.column(0).to_pylist(), b.column(1)) if (t := text.as_py()) or empty for r in find(t or "")]
             cols = list(zip(*rows)) or [()] * (len(fields) + 1)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.string(), *(kinds[k] for _, k in fields)])], ["doc", *(n for n, _ in fields)])
 
     return docs.select("path", "content").mapInArrow(run, f"doc string, {schema}")
 
 
+_REFS = "tag string, attr string, value string, value_start int, value_end int, scope string, format string"
+
+
+def _refs(text: str, tag: re.Pattern, attribute: re.Pattern) -> Iterator[tuple]:
+    for m in tag.finditer(text):
+        segment = m[2]
+        if not segment or "ref" not in segment:
+            continue
+        found = list(attribute.finditer(segment))
+        named = {a[1]: a[2] for a in found}  # of several scopes or formats the last counts
+        for a in found:
+            if a[1] in REF_ATTRS:
+                yield m[1], a[1], a[2], m.start(2) + a.start(2), m.start(2) + a.end(2), named.get("scope"), named.get("format")
+
+
 def collect_refs(docs: DataFrame) -> DataFrame:
     """refs(doc, tag, attr, value, value_start, value_end, scope, format): every reference attribute in double quotes, in text
     order. Other attributes of the tag may be bare or in single quotes."""
     tag, attribute = re.compile(TAG, re.ASCII), re.compile(ATTRIBUTE)
+    return _scan(docs, lambda text: _refs(text, tag, attribute), _REFS)
+
+
+def scan_texts(docs: DataFrame) -> DataFrame:
+    """What reports on references need of documents, from one pass over each text: rows (doc, tag, attr, value, value_start,
+    value_end, scope, format) of references as in ``collect_refs``; attr ``id`` with the id as value and its offset for each
+    non-empty id attribute; and one row without attr for each document. Local references have the columns of ``with_targets`` too, so
+    that where the rows are stored a path is resolved once."""
+    tag, attribute, ident = re.compile(TAG, re.ASCII), re.compile(ATTRIBUTE), re.compile(ID, re.ASCII)
 
     def find(text: str) -> Iterator[tuple]:
-        for m in tag.finditer(text):
-            segment = m[2]
-            if not segment or "ref" not in segment:
-                continue
-            found = list(attribute.finditer(segment))
-            named = {a[1]: a[2] for a in found}  # of several scopes or formats the last counts
-            for a in found:
-                if a[1] in REF_ATTRS:
-                    yield m[1], a[1], a[2], m.start(2) + a.start(2), m.start(2) + a.end(2), named.get("scope"), named.get("format")
+        yield None, None, None, None, None, None, None
+        yield from _refs(text, tag, attribute)
+        for m in ident.finditer(text):
+            yield None, "id", m[1], m.start(), None, None, None
+
+    found = _scan(docs, find, _REFS, empty=True)
+    return found.withColumns({name: F.when(_is_local(), value) for name, value in _targets().items()})
 
-    return _scan(docs, find, "tag string, attr string, value string, value_start int, value_end int, scope string, format string")
+
+def references(scanned: DataFrame) -> DataFrame:
+    """The references of ``scan_texts``, as ``collect_refs`` gives them."""
+    return scanned.where(F.col("attr").isin(*REF_ATTRS))
 
 
 def id_positions(docs: DataFrame) -> DataFrame:
@@ -88,12 +113,21 @@ def refs_at(points: DataFrame, refs: DataFrame, block: int = 256) -> DataFrame:
     return p.join(big(best), "__id").select(*points.columns, "r.*")
 
 
+def _is_local() -> Column:
+    return F.col("attr").isin("href", "conref") & ~T.is_external("value", "scope")
+
+
+def _targets() -> dict[str, Column]:
+    elem = T.element_id("value")
+    return {"target": F.coalesce(T.resolve(T.dirname("doc"), "value"), F.col("doc")), "topic": F.when(T.fragment("value") != "", T.topic_id("value")), "elem": F.when(elem != "", elem)}
+
+
 def with_targets(refs: DataFrame) -> DataFrame:
     """Local href and conref references and target (corpus path; the document itself for an empty path), topic and elem of
-    the fragment; an empty element part is none."""
-    local = refs.where(F.col("attr").isin("href", "conref") & ~T.is_external("value", "scope"))
-    elem = T.element_id("value")
-    return local.withColumns({"target": F.coalesce(T.resolve(T.dirname("doc"), "value"), F.col("doc")), "topic": F.when(T.fragment("value") != "", T.topic_id("value")), "elem": F.when(elem != "", elem)})
+    the fragment; an empty element part is none. References that have a target (``scan_texts``) keep it."""
+    if "target" in refs.columns:
+        return refs.where("target IS NOT NULL")
+    return refs.where(_is_local()).withColumns(_targets())
 
 
 def missing_files(refs: DataFrame, paths: DataFrame) -> DataFrame:
@@ -101,12 +135,14 @@ def missing_files(refs: DataFrame, paths: DataFrame) -> DataFrame:
     return with_targets(refs).join(big(paths.select(F.col("path").alias("target")).distinct()), "target", "left_anti")
 
 
-def target_offsets(refs: DataFrame, docs: DataFrame) -> DataFrame:
+def target_offsets(refs: DataFrame, docs: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
     """References to an existing file that name a topic, with target_off: where the topic's id begins in the target, or the
-    element's after it; null where either is missing."""
-    t = with_targets(refs).where("topic IS NOT NULL").join(big(docs.select(F.col("path").alias("target")).distinct()), "target", "left_semi")
+    element's after it; null where either is missing. ``scanned``: ``scan_texts`` of the documents, if it is stored."""
+    paths = docs.select("path") if scanned is None else scanned.where("attr IS NULL").select(F.col("doc").alias("path"))
+    t = with_targets(refs).where("topic IS NOT NULL").join(big(paths.select(F.col("path").alias("target")).distinct()), "target", "left_semi")
     # The places of an id in one file, in order: bounded by the file. Documents are scanned once for them.
-    ids = id_positions(docs).groupBy(F.col("doc").alias("target"), "id").agg(F.array_sort(F.collect_set("off")).alias("offs"))
+    places = id_positions(docs) if scanned is None else scanned.where("attr = 'id'").select("doc", F.col("value").alias("id"), F.col("value_start").alias("off"))
+    ids = places.groupBy(F.col("doc").alias("target"), "id").agg(F.array_sort(F.collect_set("off")).alias("offs"))
     ids = written(docs.sparkSession, ids)
     t = t.join(big(ids.select("target", F.col("id").alias("topic"), F.get("offs", F.lit(0)).alias("topic_off"))), ["target", "topic"], "left")
     # Only references that name an element meet the places of elements.
@@ -115,9 +151,10 @@ def target_offsets(refs: DataFrame, docs: DataFrame) -> DataFrame:
     return named.unionByName(t.where("elem IS NULL").withColumn("target_off", F.col("topic_off"))).drop("topic_off")
 
 
-def missing_ids(refs: DataFrame, docs: DataFrame) -> DataFrame:
-    """References to an existing .dita or .xml file whose topic id, or element id after it, does not occur there."""
-    return target_offsets(refs.where(F.coalesce(F.nullif(T.path_part("value"), F.lit("")), F.col("doc")).rlike(r"(?i)\.(dita|xml)$")), docs).where("target_off IS NULL").drop("target_off")
+def missing_ids(refs: DataFrame, docs: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
+    """References to an existing .dita or .xml file whose topic id, or element id after it, does not occur there. ``scanned``: as in
+    ``target_offsets``; with it ``references`` gives the refs without reading the texts again."""
+    return target_offsets(refs.where(F.coalesce(F.nullif(T.path_part("value"), F.lit("")), F.col("doc")).rlike(r"(?i)\.(dita|xml)$")), docs, scanned).where("target_off IS NULL").drop("target_off")
 
 
 def undefined_keys(refs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -127,12 +164,13 @@ def undefined_keys(refs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def diagnostics(docs: DataFrame, keys: DataFrame, extra_paths: DataFrame | None = None) -> DataFrame:
-    """diagnostics(doc, value_start, value_end, severity, code, value) of all documents. References are collected once."""
-    refs = written(docs.sparkSession, collect_refs(docs).where("value <> ''"))
-    paths = docs.select("path")
+    """diagnostics(doc, value_start, value_end, severity, code, value) of all documents. Each text is made and
+    read once: references, ids and paths come from one stored scan."""
+    scanned = written(docs.sparkSession, scan_texts(docs))
+    refs, paths = references(scanned).where("value <> ''"), scanned.where("attr IS NULL").select(F.col("doc").alias("path"))
     paths = paths.unionByName(extra_paths.select("path")) if extra_paths is not None else paths
     row = lambda df, severity, code: df.select("doc", "value_start", "value_end", F.lit(severity).alias("severity"), F.lit(code).alias("code"), "value")
-    return row(undefined_keys(refs, keys), "warning", "undefined-key").unionByName(row(missing_files(refs, paths), "error", "missing-file")).unionByName(row(missing_ids(refs, docs), "warning", "missing-id"))
+    return row(undefined_keys(refs, keys), "warning", "undefined-key").unionByName(row(missing_files(refs, paths), "error", "missing-file")).unionByName(row(missing_ids(refs, docs, scanned), "warning", "missing-id"))
 
 
 # ---------------------------------------------------------------- where references lead

@@ -254,7 +254,9 @@ def missing_file(spark, sf_dir):
 SELECT 'topics/o' || l_orderkey || '.dita' AS doc, 'p' || l_partkey AS topic, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size % 4 = 2 GROUP BY ALL""")
 def missing_id(spark, sf_dir):
     topics = corpus.order_topics(spark, sf_dir)
-    return R.missing_ids(R.collect_refs(topics), topics.unionByName(corpus.part_topics(spark, sf_dir))).groupBy("doc", "topic").agg(F.count("*").alias("n"))
+    docs = topics.unionByName(corpus.part_topics(spark, sf_dir))
+    scanned = written(spark, R.scan_texts(docs))
+    return R.missing_ids(R.references(scanned).where("doc LIKE 'topics/%'"), docs, scanned).groupBy("doc", "topic").agg(F.count("*").alias("n"))
 
 
 @query("""
