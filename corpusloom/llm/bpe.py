@@ -270,11 +270,13 @@ class Lexicon:
 class Encoder:
     """Texts -> ids as little-endian 32-bit integers. ``many`` gives the ids of a list of words."""
 
-    def __init__(self, many: Callable[[list[bytes]], list[bytes]], special: dict[str, int], split, entries: int | None = None):
-        self.many, self.special, self.split, self.entries = many, special, split, entries or CACHE_ENTRIES
+    def __init__(self, many: Callable[[list[bytes]], list[bytes]], special: dict[str, int], split, entries: int | None = None, aged: bool = False):
+        self.many, self.special, self.split, self.entries, self.aged = many, special, split, entries or CACHE_ENTRIES, aged
         self.heads: dict[str, bytes] = {}  # pieces before the first space of a line
         self.inner: dict[str, bytes] = {}  # pieces after a space
         self.words: dict[str, bytes] = {}
+        # With ``aged``, half of the entries are those of before: what is met again moves on, the rest goes when the new half is full.
+        self.old: tuple[dict[str, bytes], ...] = ({}, {}, {})
 
     def _parts(self, text: str) -> Iterator[bytes | str]:
         """Special tokens as ids, and the text between them in segments that words never cross."""
@@ -307,11 +309,17 @@ class Encoder:
             for line in cut:
                 heads.add(line[0])
                 inner.update(line[1:])
-        if len(self.heads) + len(self.inner) + len(self.words) > self.entries:
-            self.forget()
-        heads.difference_update(self.heads)
-        inner.difference_update(self.inner)
-        words.difference_update(self.words)
+        if len(self.heads) + len(self.inner) + len(self.words) > (self.entries // 2 if self.aged else self.entries):
+            if self.aged:
+                self.old, self.heads, self.inner, self.words = (self.heads, self.inner, self.words), {}, {}, {}
+            else:
+                self.forget()
+        for pieces, memo, old in zip((heads, inner, words), (self.heads, self.inner, self.words), self.old):
+            pieces.difference_update(memo)
+            if old:
+                again = pieces.intersection(old)
+                memo.update(zip(again, map(old.__getitem__, again)))
+                pieces.difference_update(again)
         whole, ends, other = set(), [], []  # one word after its space; the same and one more character; anything else
         for p in inner:
             if p.isalpha():
@@ -336,7 +344,7 @@ class Encoder:
         return [(memo, p) for memo, pieces in ((self.heads, heads), (self.inner, inner), (self.words, words)) for p in pieces if len(p) > CACHE_PIECE]
 
     def forget(self) -> None:
-        for memo in (self.heads, self.inner, self.words):
+        for memo in (self.heads, self.inner, self.words, *self.old):
             memo.clear()
 
     def encode_many(self, texts: Iterable[str | None]) -> list[bytes]:

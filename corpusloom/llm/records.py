@@ -15,6 +15,7 @@ executor or a repeated task leaves files behind, never wrong results.
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -79,8 +80,8 @@ def resize(ids: bytes, old: int, new: int) -> bytes:
     return ids if old == new else np.frombuffer(ids, f"<u{old}").astype(f"<u{new}").tobytes()
 
 
-#: Pieces remembered by an encoder: the library's model takes words one by one, so more are kept (about 70 MB).
-REMEMBERED = 350_000
+#: Pieces remembered by an encoder: the library's model takes words one by one, so more are kept (about 160 MB), and from task to task.
+REMEMBERED = 800_000
 _LOADED: dict = {}
 CACHES.append(_LOADED)
 
@@ -88,16 +89,28 @@ CACHES.append(_LOADED)
 def library_encoder(path: str) -> Encoder:
     """Words encoded by the tokenizers library's own model; pre-tokenizing and remembering words as in ``bpe``."""
     if path not in _LOADED:
-        import numpy as np
+        from array import array
+
         from tokenizers import Tokenizer
 
         from .bpe import Vocabulary, byte_symbols
 
-        model, table = Tokenizer.from_file(path).model, dict(enumerate(byte_symbols()))
+        tokenize, table = Tokenizer.from_file(path).model.tokenize, dict(enumerate(byte_symbols()))
         v = Vocabulary(path)
         _LOADED.clear()
-        word = lambda w: np.array([t.id for t in model.tokenize(w.decode("latin-1").translate(table))], "<u4").tobytes()
-        _LOADED[path] = Encoder(lambda words: list(map(word, words)), v.special, v.split, REMEMBERED)
+
+        def many(words: list[bytes]) -> list[bytes]:
+            symbols, out, at = b"".join(words).decode("latin-1").translate(table), [], 0
+            for w in words:
+                end = at + len(w)
+                ids = array("I", [t.id for t in tokenize(symbols[at:end])])
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                out.append(ids.tobytes())
+                at = end
+            return out
+
+        _LOADED[path] = Encoder(many, v.special, v.split, REMEMBERED, aged=True)
     return _LOADED[path]
 
 
@@ -137,7 +150,6 @@ def write_records(spark: SparkSession, docs: DataFrame, vocabulary_path: str, fo
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [c.split(" ")[0] for c in INDEX.split(", ")])
         if out is not None:
             out.close()
-        enc.forget()
 
     keyed = docs.select("doc_id", "text")
     ordered = (keyed.repartitionByRange(partitions, "doc_id", F.xxhash64("text")) if partitions else keyed.repartitionByRange("doc_id", F.xxhash64("text"))).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
