@@ -649,14 +649,15 @@ def elements_at(points: DataFrame, nodes: DataFrame, block: int = 64) -> DataFra
     """
     p = points.withColumn("__id", F.monotonically_increasing_id())
     spark = nodes.sparkSession
-    p = written(spark, p.withColumn("block", F.expr(f"line div {block}")))
+    # Points are dealt as the nodes are, so nothing below is shuffled again.
+    p = dealt(spark, p.withColumn("block", F.expr(f"line div {block}")))
     e = nodes.where("type = 'element'").select("doc", "pre", "tag", F.col("line").alias("sl"), F.col("col").alias("sc"), F.col("end_line").alias("el"), F.col("end_col").alias("ec"))
-    dealt = e.withColumn("block", F.explode(F.sequence(F.expr(f"sl div {block}"), F.expr(f"el div {block}"))))
+    spread = e.withColumn("block", F.explode(F.sequence(F.expr(f"sl div {block}"), F.expr(f"el div {block}"))))
     asked = p.select("doc", "block").distinct()
-    dealt = dealt.join(big(asked), ["doc", "block"], "left_semi")
-    j = p.join(big(dealt), ["doc", "block"]).where("(line > sl OR line = sl AND col >= sc) AND (line < el OR line = el AND col <= ec)")
-    best = j.groupBy("__id").agg(F.min_by(F.struct("tag", "pre"), F.struct(((F.col("el") - F.col("sl")).cast("long") * 100_000 + F.col("ec") - F.col("sc")).alias("s"), "pre")).alias("hit"))
-    rest = p.join(big(best.select("__id")), "__id", "left_anti").select("__id", "doc", "line")
+    spread = spread.join(big(asked), ["doc", "block"], "left_semi")
+    j = p.join(big(spread), ["doc", "block"]).where("(line > sl OR line = sl AND col >= sc) AND (line < el OR line = el AND col <= ec)")
+    best = j.groupBy("doc", "__id").agg(F.min_by(F.struct("tag", "pre"), F.struct(((F.col("el") - F.col("sl")).cast("long") * 100_000 + F.col("ec") - F.col("sc")).alias("s"), "pre")).alias("hit"))
+    rest = p.join(big(best.select("doc", "__id")), ["doc", "__id"], "left_anti").select("__id", "doc", "line")
     # The nearest start line: the last start at or before the point and the first one after it, by windows over both kinds.
     starts = e.groupBy("doc", "sl").agg(F.min_by(F.struct("tag", "pre"), "pre").alias("at"))
     both = starts.select("doc", F.col("sl").alias("l"), F.struct("sl", "at").alias("s"), F.lit(None).cast("long").alias("__id")).unionByName(rest.select("doc", F.col("line").alias("l"), F.lit(None).cast("struct<sl:int,at:struct<tag:string,pre:int>>").alias("s"), "__id"))
@@ -665,6 +666,6 @@ def elements_at(points: DataFrame, nodes: DataFrame, block: int = 64) -> DataFra
     da, db = F.col("l") - F.col("a.sl"), F.col("b.sl") - F.col("l")
     # Of two equally near lines the element that comes first in the document counts.
     near = F.when(F.col("b").isNull() | (da < db), F.col("a.at")).when(F.col("a").isNull() | (db < da), F.col("b.at")).when(F.col("a.at.pre") < F.col("b.at.pre"), F.col("a.at")).otherwise(F.col("b.at"))
-    out = p.join(big(best), "__id", "left").join(big(both.select("__id", near.alias("near"))), "__id", "left")
+    out = p.join(big(best), ["doc", "__id"], "left").join(big(both.select("doc", "__id", near.alias("near"))), ["doc", "__id"], "left")
     hit = F.coalesce("hit", "near")
     return out.select(*points.columns, hit["tag"].alias("tag"), hit["pre"].alias("pre"), F.col("hit").isNotNull().alias("exact")).where("pre IS NOT NULL")
