@@ -19,6 +19,7 @@ import mmap
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -267,16 +268,55 @@ class Lexicon:
 # ---------------------------------------------------------------- encoding and decoding
 
 
+class _Pieces(dict):
+    """Piece -> ids, made when first asked for; ``old`` is asked before that. Long pieces are not kept."""
+
+    __slots__ = ("make", "old")
+
+    def __init__(self, make: Callable[[str], bytes], old: dict[str, bytes]):
+        self.make, self.old = make, old
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(piece) <= CACHE_PIECE:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """Texts -> ids as little-endian 32-bit integers. ``many`` gives the ids of a list of words."""
+    """Texts -> ids as little-endian 32-bit integers. ``many`` gives the ids of a list of words; with ``aged`` it is asked for one at a time."""
 
     def __init__(self, many: Callable[[list[bytes]], list[bytes]], special: dict[str, int], split, entries: int | None = None, aged: bool = False):
         self.many, self.special, self.split, self.entries, self.aged = many, special, split, entries or CACHE_ENTRIES, aged
         self.heads: dict[str, bytes] = {}  # pieces before the first space of a line
         self.inner: dict[str, bytes] = {}  # pieces after a space
         self.words: dict[str, bytes] = {}
-        # With ``aged``, half of the entries are those of before: what is met again moves on, the rest goes when the new half is full.
-        self.old: tuple[dict[str, bytes], ...] = ({}, {}, {})
+        if aged:
+            self._renew({}, {}, {})
+
+    def _renew(self, *old: dict[str, bytes]) -> None:
+        # With ``aged``, half of the entries are those of before: what is met again moves on, the rest goes when the new half is full. Pieces
+        # are looked up once and made where they are missing: no sets of a block's pieces, which cost more than the merging.
+        for o in old:
+            if isinstance(o, _Pieces):
+                o.old = {}
+        self.heads, self.inner, self.words = map(_Pieces, (self._head, self._inner, self._word), old)
+
+    def _word(self, w: str) -> bytes:
+        return self.many([w.encode("utf-8", "surrogatepass")])[0]
+
+    def _head(self, p: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, _WORDS.findall(p)))
+
+    def _inner(self, p: str) -> bytes:
+        if p.isalpha():
+            return self._word(" " + p)
+        start = p.rstrip(punctuation)
+        if start.isalpha():  # a run of signs is a word of its own
+            return self.inner[start] + self.words[p[len(start) :]]
+        return b"".join(map(self.words.__getitem__, _WORDS.findall(" " + p)))
 
     def _parts(self, text: str) -> Iterator[bytes | str]:
         """Special tokens as ids, and the text between them in segments that words never cross."""
@@ -309,17 +349,10 @@ class Encoder:
             for line in cut:
                 heads.add(line[0])
                 inner.update(line[1:])
-        if len(self.heads) + len(self.inner) + len(self.words) > (self.entries // 2 if self.aged else self.entries):
-            if self.aged:
-                self.old, self.heads, self.inner, self.words = (self.heads, self.inner, self.words), {}, {}, {}
-            else:
-                self.forget()
-        for pieces, memo, old in zip((heads, inner, words), (self.heads, self.inner, self.words), self.old):
+        if len(self.heads) + len(self.inner) + len(self.words) > self.entries:
+            self.forget()
+        for pieces, memo in zip((heads, inner, words), (self.heads, self.inner, self.words)):
             pieces.difference_update(memo)
-            if old:
-                again = pieces.intersection(old)
-                memo.update(zip(again, map(old.__getitem__, again)))
-                pieces.difference_update(again)
         whole, ends, other = set(), [], []  # one word after its space; the same and one more character; anything else
         for p in inner:
             if p.isalpha():
@@ -344,8 +377,10 @@ class Encoder:
         return [(memo, p) for memo, pieces in ((self.heads, heads), (self.inner, inner), (self.words, words)) for p in pieces if len(p) > CACHE_PIECE]
 
     def forget(self) -> None:
-        for memo in (self.heads, self.inner, self.words, *self.old):
+        for memo in (self.heads, self.inner, self.words):
             memo.clear()
+        if self.aged:
+            self._renew({}, {}, {})
 
     def encode_many(self, texts: Iterable[str | None]) -> list[bytes]:
         out: list[list] = []
@@ -353,7 +388,9 @@ class Encoder:
         chars = 0
 
         def flush() -> None:
-            long = self._learn([cut for _, _, cut in held])
+            long = () if self.aged else self._learn([cut for _, _, cut in held])
+            if self.aged and len(self.heads) + len(self.inner) + len(self.words) > self.entries // 2:
+                self._renew(self.heads, self.inner, self.words)
             head, inner, word, end = self.heads.__getitem__, self.inner.__getitem__, self.words.__getitem__, self.words["\n"]
             for parts, at, cut in held:
                 if isinstance(cut[0], str):

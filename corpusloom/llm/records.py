@@ -15,14 +15,13 @@ executor or a repeated task leaves files behind, never wrong results.
 
 from __future__ import annotations
 
-import sys
 import zlib
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, slices
+from .bpe import Encoder, Vocabulary, byte_symbols, slices
 from .common import CACHES, open_fs, shared_dir, small_batches, written
 
 INDEX = "part int, file string, doc_id long, seq long, offset long, length long, n_tokens long, before long"
@@ -86,31 +85,30 @@ _LOADED: dict = {}
 CACHES.append(_LOADED)
 
 
-def library_encoder(path: str) -> Encoder:
+class LibraryEncoder(Encoder):
     """Words encoded by the tokenizers library's own model; pre-tokenizing and remembering words as in ``bpe``."""
-    if path not in _LOADED:
-        from array import array
 
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        from .bpe import Vocabulary, byte_symbols
+        v, model = Vocabulary(path), Tokenizer.from_file(path).model
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)  # words are remembered here; the library's own cache would only be filled
+        self.tokenize, self.table = model.tokenize, dict(enumerate(byte_symbols()))
+        self.id_bytes = [u32(i) for i in range(max(v.bytes_of) + 1)]
+        super().__init__(lambda words: [self._word(w.decode("utf-8", "surrogatepass")) for w in words], v.special, v.split, REMEMBERED, aged=True)
+
+    def _word(self, w: str) -> bytes:
+        plain = w.isascii() and w.isprintable()  # such characters, but for the space, stand for themselves
+        symbols = w.replace(" ", "\u0120") if plain else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)
+        return b"".join([self.id_bytes[t.id] for t in self.tokenize(symbols)])
 
-        tokenize, table = Tokenizer.from_file(path).model.tokenize, dict(enumerate(byte_symbols()))
-        v = Vocabulary(path)
-        _LOADED.clear()
 
-        def many(words: list[bytes]) -> list[bytes]:
-            symbols, out, at = b"".join(words).decode("latin-1").translate(table), [], 0
-            for w in words:
-                end = at + len(w)
-                ids = array("I", [t.id for t in tokenize(symbols[at:end])])
-                if sys.byteorder == "big":
-                    ids.byteswap()
-                out.append(ids.tobytes())
-                at = end
-            return out
-
-        _LOADED[path] = Encoder(many, v.special, v.split, REMEMBERED, aged=True)
+def library_encoder(path: str) -> Encoder:
+    """The library's encoder of this Python worker."""
+    if path not in _LOADED:
+        _LOADED.clear()
+        _LOADED[path] = LibraryEncoder(path)
     return _LOADED[path]
 
 
