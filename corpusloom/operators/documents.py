@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.shred import own_types
-from ..sources.store import SMALL, big, bytes_of, dealt, shared_dir, written
+from ..sources.store import SMALL, big, bytes_of, dealt, met, shared_dir, written
 from .site import data_uris
 
 #: Tags that are topics whatever their base type; base types that render to nothing; whose content is not shown;
@@ -205,6 +205,8 @@ def conref_text(nodes: DataFrame) -> DataFrame:
     return out.select("doc", "pre", "conref", F.coalesce("theirs", "own").alias("shown"), F.col("theirs").isNotNull().alias("resolved"))
 
 
+#: Sibling numbers before and after all others.
+_FIRST, _LAST = -1, (1 << 31) - 1
 PLACES = ("line", "col", "end_line", "end_col")
 VIEW = ("doc", "key", "path", "type", "tag", "base", "attrs", "text")
 
@@ -242,14 +244,20 @@ def splice_conrefs(nodes: DataFrame, docs: DataFrame | None = None) -> DataFrame
         return view
     open_refs = lambda v: v.where("type = 'element' AND attrs['conref'] <> ''")
     last = open_refs(view).withColumn("chain", F.array().cast("array<string>"))
-    subtree = nodes.where("error IS NULL").select(F.col("doc").alias("target"), F.explode(_prefixes("ord")).alias("target_ord"), "ord", F.col("path").alias("npath"), *[F.col(c).alias(f"n_{c}") for c in view_columns[3:]])
     swaps, added, k = None, None, 0
     while True:
         refs = last.withColumn("conref", F.col("attrs")["conref"]).where(~F.array_contains("chain", F.col("conref")))
-        got = conref_targets(refs.select("doc", "key", "path", "base", "tag", "attrs", "chain", "conref", *places), nodes)
-        got = written(spark, got.withColumn("chain", F.concat("chain", F.array("conref"))), f"{folder}/found{k}")
+        refs = written(spark, refs.select("doc", "key", "path", "base", "tag", "attrs", "chain", "conref", *places), f"{folder}/open{k}")
+        # Only the documents that are named are looked into.
+        asked = met(spark, refs.select(T.resolve(T.dirname("doc"), "conref").alias("doc")).where("doc IS NOT NULL").distinct())
+        named = written(spark, nodes.where("error IS NULL").join(asked, "doc", "left_semi"), f"{folder}/named{k}")
+        got = conref_targets(refs, named).withColumn("chain", F.concat("chain", F.array("conref")))
+        # A reference in the literal content of one that is followed goes with that content.
+        over = F.max(F.concat("key", F.array(F.lit(_LAST)))).over(Window.partitionBy("doc").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
+        got = written(spark, got.withColumn("__over", over).where(~F.coalesce(F.col("__over") > F.col("key"), F.lit(False))).drop("__over"), f"{folder}/found{k}")
         if got.isEmpty():
             break
+        subtree = named.select(F.col("doc").alias("target"), F.explode(_prefixes("ord")).alias("target_ord"), "ord", F.col("path").alias("npath"), *[F.col(c).alias(f"n_{c}") for c in view_columns[3:]])
         same = F.coalesce(F.col("target_base") == F.col("base"), F.lit(False))
         rest = F.map_filter("attrs", lambda name, _: name != "conref")
         theirs = F.map_filter("target_attrs", lambda name, _: ~name.isin("conref", "id") & ~F.map_contains_key(rest, name))
@@ -268,13 +276,13 @@ def splice_conrefs(nodes: DataFrame, docs: DataFrame | None = None) -> DataFrame
     if swaps is None:
         return view
     swaps = dealt(spark, swaps)
-    all_nodes = view.withColumn("round", F.lit(-1)).unionByName(added.select(*view_columns, "round"))
-    # The literal content of a replaced element goes: nodes of the same round below it.
-    touched = all_nodes.join(big(swaps.select("doc", "round").distinct()), ["doc", "round"], "left_semi")
-    under = touched.select("doc", "round", F.col("key").alias("low"), F.explode(_prefixes()).alias("key")).join(big(swaps.select("doc", "round", "key")), ["doc", "round", "key"]).select("doc", "round", F.col("low").alias("key")).distinct()
-    out = all_nodes.join(big(under), ["doc", "round", "key"], "left_anti").join(big(swaps), ["doc", "round", "key"], "left")
+    all_nodes = view.withColumn("round", F.lit(-1)).unionByName(added.select(*view_columns, "round")).join(big(swaps), ["doc", "round", "key"], "left")
+    # The literal content of a replaced element goes: nodes of the same round below it, which follow it in document order.
+    cut = F.max(F.when(F.col("swap").isNotNull(), F.concat("key", F.array(F.lit(_LAST))))).over(Window.partitionBy("doc", "round").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
+    out = all_nodes.withColumn("__cut", cut).where(~F.coalesce(F.col("__cut") > F.col("key"), F.lit(False)))
     pick = lambda c: F.when(F.col("swap").isNotNull(), F.col(f"swap.{c}")).otherwise(F.col(c)).alias(c)
-    return dealt(spark, out.select(*[pick(c) if c in ("tag", "base", "attrs", *places) else F.col(c) for c in view_columns]))
+    # The join has dealt the rows by document, as ``swaps`` is.
+    return dealt(spark, out.select(*[pick(c) if c in ("tag", "base", "attrs", *places) else F.col(c) for c in view_columns]), placed=True)
 
 
 # ---------------------------------------------------------------- outline
@@ -376,9 +384,6 @@ def note_label(kind: Column, locale: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.concat(locale, F.lit("/"), kind)), kind)
 
 
-_FIRST, _LAST = -1, (1 << 31) - 1
-
-
 def _bases_of(rows: DataFrame, types: tuple[str, ...]) -> set[str]:
     """Which of these base types occur: files that hold none are skipped by the reader."""
     return {r.base for r in rows.where(F.col("base").isin(*types)).select("base").distinct().collect()}
