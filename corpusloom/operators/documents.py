@@ -28,11 +28,12 @@ CONTAINERS = ("topic/section", "topic/example", "topic/fig", "topic/related-link
 HEADS, BODIES = ("topic/thead", "topic/sthead"), ("topic/tbody", "topic/strow")
 
 #: Columns of the node table that operators read, for ``shred`` and ``stored_nodes`` where the uses are known: texts, titles and link
-#: titles; outlines; column specifications; cells of tables; positions; HTML without source ranges.
+#: titles; outlines; column specifications; cells of tables (with the texts of entries, and only ``TABLE_TYPES``); positions; HTML without source
+#: ranges.
 TITLES = ("pre", "post", "parent", "depth", "type", "base", "path", "attrs", "text")
 OUTLINE = (*TITLES, "anc", "tag", "line", "end_line")
 COLSPECS = ("pre", "parent", "base", "attrs")
-CELLS = ("pre", "post", "parent", "anc", "path", "type", "base", "attrs", "text")
+CELLS, TABLE_TYPES = ("pre", "parent", "anc", "base", "attrs"), ("topic/entry", "topic/colspec")
 POSITIONS = ("pre", "type", "tag", "line", "col", "end_line", "end_col")
 DRAWN = (*TITLES, "ord", "tag", "error")
 #: With the texts that elements carry (``own`` of ``shred``): titles and links; cells of simple tables.
@@ -332,23 +333,37 @@ def in_header(path: str = "path") -> Column:
     return F.coalesce(F.get(marks, F.size(marks) - 1).isin(*HEADS), F.lit(False))
 
 
-def _spans(e: DataFrame, nodes: DataFrame) -> DataFrame:
-    """e (doc, tgroup, attrs, ...) with ``cols``: column numbers by name of the cell's tgroup."""
-    named = cals_columns(nodes).where("colname <> ''").groupBy("doc", "tgroup").agg(F.collect_list(F.struct("pre", "colname", "col")).alias("l"))
-    last = F.aggregate(F.sort_array("l"), F.create_map().cast("map<string,int>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["colname"]), F.create_map(x["colname"], x["col"])))
-    return e.join(big(named.select("doc", "tgroup", last.alias("cols"))), ["doc", "tgroup"], "left")
+def cell_rows(nodes: DataFrame) -> DataFrame:
+    """What ``cals_cells`` looks at, in plain columns: cells with their text and place, and column specifications. Nodes that carry the texts
+    of entries are only read, so this is cheap to store in their place. Without ``path`` section and header are left out."""
+    a, spec, n = F.col("attrs"), F.col("base") == "topic/colspec", F.size("anc")
+    e = nodes.where(_is(TABLE_TYPES))
+    if not own_types(nodes).issuperset(("topic/entry",)):
+        e = e.drop("own").join(big(element_text(nodes, ("topic/entry",))), ["doc", "pre"], "left")
+    tgroup = F.when(spec, F.col("parent")).otherwise(F.get("anc", n - 3))
+    names = [F.when(F.col("base") == ("topic/colspec" if name == "colnum" else "topic/entry"), a[name]).alias(name) for name in ("colnum", "namest", "nameend", "morerows")]
+    cell = lambda c, name: F.when(~spec, c).alias(name)
+    around = [cell(F.substring(F.get("path", n - 2), 7, 20), "section"), cell(in_header(), "header")] if "path" in nodes.columns else []
+    return e.select("doc", "pre", (~spec).alias("entry"), tgroup.alias("tgroup"), cell(F.col("parent"), "row_pre"), *around, a["colname"].alias("colname"), *names, cell(F.col("own"), "own"))
 
 
 def cals_cells(nodes: DataFrame) -> DataFrame:
-    """table_cells(doc, tgroup, row, cell, section, header, col, colspan, rowspan, text): entries with their spans."""
-    e = with_own(nodes, ("topic/entry",)).select("doc", "pre", F.col("parent").alias("row_pre"), "anc", "path", "attrs", "own")
-    n = F.size("anc")
-    e = e.select("*", F.get("anc", n - 3).alias("tgroup"), F.substring(F.get("path", n - 2), 7, 20).alias("section"), in_header().alias("header"))
-    e = _spans(e, nodes)
-    at = lambda name: F.try_element_at("cols", F.col("attrs")[name])
-    e = e.withColumn("cell", F.row_number().over(Window.partitionBy("doc", "row_pre").orderBy("pre")))
-    row = F.dense_rank().over(Window.partitionBy("doc", "tgroup").orderBy("row_pre"))
-    return e.select("doc", "tgroup", row.alias("row"), "cell", "section", "header", F.coalesce(at("namest"), at("colname"), "cell").alias("col"), F.coalesce(F.greatest(at("nameend") - at("namest") + 1, F.lit(1)), F.lit(1)).alias("colspan"), (F.coalesce(F.col("attrs")["morerows"].try_cast("int"), F.lit(0)) + 1).alias("rowspan"), F.col("own").alias("text"))
+    """table_cells(doc, tgroup, row, cell, section, header, col, colspan, rowspan, text): entries with their spans. ``nodes``: the node table, or
+    ``cell_rows`` of it; section and header are there if these were made with ``path``.
+
+    One sort: column specifications come first in their group, and its cells see them all; rows and cells are counted as they follow.
+    """
+    e = nodes if "tgroup" in nodes.columns else cell_rows(nodes)
+    e = e.withColumn("cell", F.row_number().over(Window.partitionBy("doc", "tgroup", "entry", "row_pre").orderBy("pre")))
+    # A row's first cell begins it; the specifications are one such row, and their count is their number.
+    e = e.withColumn("row", F.count_if(F.col("cell") == 1).over(Window.partitionBy("doc", "tgroup", "entry").orderBy("row_pre", "pre").rowsBetween(Window.unboundedPreceding, 0)))
+    number = F.coalesce(F.col("colnum").try_cast("int"), "cell")
+    specs = F.collect_list(F.when(~F.col("entry") & (F.col("colname") != ""), F.struct("colname", number.alias("col"))))
+    e = e.withColumn("specs", specs.over(Window.partitionBy("doc", "tgroup").orderBy("entry", "row_pre", "pre").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    # Of several columns with one name the last counts; what is in no group has no columns.
+    e = e.where("entry").withColumn("specs", F.when(F.col("tgroup").isNotNull(), F.reverse("specs")))
+    at = lambda name: F.get(F.col("specs")["col"], (F.array_position(F.col("specs")["colname"], F.col(name)) - 1).cast("int"))
+    return e.select("doc", "tgroup", F.col("row").cast("int").alias("row"), "cell", *(c for c in ("section", "header") if c in e.columns), F.coalesce(at("namest"), at("colname"), "cell").alias("col"), F.coalesce(F.greatest(at("nameend") - at("namest") + 1, F.lit(1)), F.lit(1)).alias("colspan"), (F.coalesce(F.col("morerows").try_cast("int"), F.lit(0)) + 1).alias("rowspan"), F.col("own").alias("text"))
 
 
 def simple_cells(nodes: DataFrame) -> DataFrame:

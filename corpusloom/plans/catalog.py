@@ -193,7 +193,7 @@ SELECT 'tables/t' || l_orderkey || '.dita' AS doc, CAST(k AS BIGINT) AS "row", c
   SELECT 1 AS cell, 1 AS col, CASE WHEN l_linenumber % 2 = 0 THEN 2 ELSE 1 END AS colspan, 1 AS rowspan, CAST(l_partkey AS VARCHAR) AS txt
   UNION ALL SELECT 2, 3, 1, l_linenumber % 3 + 1, CAST(l_suppkey AS VARCHAR)) ON true""")
 def cals_cells(spark, sf_dir):
-    cells = D.cals_cells(X.stored_nodes(spark, corpus.table_topics(spark, sf_dir), columns=D.CELLS))
+    cells = D.cals_cells(X.stored_nodes(spark, corpus.table_topics(spark, sf_dir), columns=D.CELLS, own=("topic/entry",), only=D.TABLE_TYPES, kept=D.cell_rows))
     return cells.select("doc", F.col("row").cast("long").alias("row"), "cell", "col", "colspan", "rowspan", "text")
 
 

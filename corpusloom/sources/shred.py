@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -218,20 +218,146 @@ _TAG_END = re.compile(rb"""(?:[^>"']++|"[^"]*"|'[^']*')*+>""")
 _TYPED = re.compile("^(topic|map)/")
 #: Columns of NODES by name, with their types; those that say where a node stands; bytes from which on a document is parsed in pieces.
 _KINDS = dict(x.split(" ") for x in NODES.split(", ")) | {"own": "string"}
-_PLACES = ("line", "col", "end_line", "end_col")
+_PLACES, _DEEP = ("line", "col", "end_line", "end_col"), ("ord", "anc", "path")
 _LARGE, _PIECE = 4 << 20, 1 << 20
 
 
-def _nodes(xml: str | None, types: dict[str, dict[str, str]], clean: bool = True, places: bool = True, large: int = _LARGE, piece: int = _PIECE, own: Iterable[str] = (), bare: bool = False, deep: bool = True) -> Iterator[list[list]]:
+#: What a plain document may hold: characters; tags (before their >) whose attributes need no normalisation. All else is expat's.
+_PLAIN_BYTES = bytes([9, 10, *range(32, 127)])
+_PLAIN_TEXT = re.compile("[\t\n -~\xa0-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]*")
+_PLAIN_TAG = re.compile(r"""([A-Za-z_][\w.-]*)((?:[ \t\n]+[A-Za-z_][\w.:-]*[ \t\n]*=[ \t\n]*(?:"[^"\t\n]*"|'[^'\t\n]*'))*)[ \t\n]*(/?)""", re.ASCII)
+_PLAIN_ATTRS = re.compile(r"""([A-Za-z_][\w.:-]*)[ \t\n]*=[ \t\n]*(?:"([^"]*)"|'([^']*)')""", re.ASCII)
+_PLAIN_CLOSE = re.compile(r"/([A-Za-z_][\w.-]*)[ \t\n]*", re.ASCII)
+_OPEN, _EMPTY, _CLOSE = 0, 1, 2
+#: Different tags that a task remembers.
+_TAGS = 50_000
+
+
+def _tag(text: str, types: dict[str, dict[str, str]], side: str | None) -> tuple | None:
+    """What a tag (without < and >) of a plain document says: (kind, name, base type, attributes, side), None if it is not a plain one.
+    ``side``: the one whose base types count; None for the root, which decides it."""
+    m = _PLAIN_CLOSE.fullmatch(text)
+    if m:
+        return _CLOSE, m[1], None, None, side
+    m = _PLAIN_TAG.fullmatch(text)
+    if m is None:
+        return None
+    found = _PLAIN_ATTRS.findall(m[2])
+    if len({a for a, _, _ in found}) < len(found):
+        return None
+    cls = next((t for a, x, y in found if a == "class" for t in (x or y).split() if _TYPED.match(t)), None)
+    if side is None:
+        side = "map" if m[1] in ("map", "bookmap") or (cls or "").startswith("map/") else "topic"
+    return _EMPTY if m[3] else _OPEN, m[1], types[side].get(m[1], cls), [x for a, v, w in found for x in (a, v or w)], side
+
+
+def _plain_nodes(xml: str, types: dict[str, dict[str, str]], memory: dict, own: frozenset, bare: bool, deep: Collection[str], only: frozenset | None) -> list[list] | None:
+    """As ``_nodes`` without places, for a document of tags and texts alone (most are), cut up at its tags; None for any other, well-formed
+    or not. ``memory``: what tags met before say, by side."""
+    if "&" in xml or "<!" in xml or "<?" in xml or "]]>" in xml or (xml.encode().translate(None, _PLAIN_BYTES) if xml.isascii() else not _PLAIN_TEXT.fullmatch(xml)):
+        return None
+    pieces = iter(xml.split("<"))
+    if next(pieces).strip(" \t\n"):
+        return None
+    rows, said, heard = [], [], []
+    above: list[tuple] = []  # around the innermost open element
+    row, name, ords, anc, path, sib, parent_of = None, None, [], [], [], 0, False
+    side, known, tick, depth = None, None, 0, 0
+    ordered, nested, typed = ("ord" in deep), ("anc" in deep), ("path" in deep)
+    for piece in pieces:
+        tag, closed, text = piece.partition(">")
+        if not closed:
+            return None
+        got = known.get(tag) if known is not None else None
+        if got is None:
+            got = _tag(tag, types, side)
+            if got is None or side is None and got[0] == _CLOSE:
+                return None
+            if side is None:
+                side = got[4]
+                known = memory.setdefault(side, {})
+            if len(known) >= _TAGS:
+                known.clear()
+            known[tag] = got
+        kind, tag, base, attrs, _ = got
+        tick += 1
+        if kind != _CLOSE:
+            if depth:
+                new = [tick, None, row[0], depth, sib, [*ords, sib] if ordered else ords, anc, path, "element", tag, base, attrs, None, None, None, None, None, None]
+            elif row is None:
+                new = [tick, None, None, 0, 0, [], anc, path, "element", tag, base, attrs, None, None, None, None, None, None]
+            else:
+                return None  # a second root
+            above.append((row, name, ords, anc, path, sib, parent_of))
+            if own:
+                new.append(None)
+                parent_of = False
+                if base in own:
+                    heard.append((new, len(said)))
+            if not bare and (only is None or base in only):
+                rows.append(new)
+            row, name, sib = new, tag, 0
+            depth += 1
+            if kind == _OPEN:
+                ords = new[5]
+                if nested:
+                    anc = [*anc, tick]
+                if typed:
+                    path = [*path, base or ""]
+            if kind == _EMPTY:
+                tick += 1
+        elif not depth or tag != name:
+            return None
+        if kind != _OPEN:
+            row[1], done, last = tick, row, parent_of
+            row, name, ords, anc, path, sib, parent_of = above.pop()
+            depth -= 1
+            sib += 1
+            if own:
+                if heard and heard[-1][0] is done:
+                    done[18] = "".join(said[heard.pop()[1] :])
+                    if not heard:
+                        said.clear()
+                    parent_of = True
+                if bare and (last or done[18] is not None or not depth or "id" in done[11][::2]):
+                    rows.append(done)
+            if not depth:
+                row = done  # the root is closed
+        if text:
+            if not depth:
+                if text.strip(" \t\n"):
+                    return None
+                continue
+            tick += 1
+            if heard:
+                said.append(text)
+            if not bare and only is None:
+                rows.append([tick, tick, row[0], depth, sib, [*ords, sib] if ordered else ords, anc, path, "text", None, None, None, text, None, None, None, None, None])
+                if own:
+                    rows[-1].append(None)
+            sib += 1
+    return rows if row is not None and not depth else None
+
+
+def _nodes(
+    xml: str | None, types: dict[str, dict[str, str]], clean: bool = True, places: bool = True, large: int = _LARGE, piece: int = _PIECE, own: Iterable[str] = (), bare: bool = False, deep: Collection[str] = _DEEP,
+    only: frozenset | None = None, memory: dict | None = None,
+) -> Iterator[list[list]]:
     """Nodes of one document (columns of NODES after doc; attributes as one list of names and values), or one row with an error.
     With ``own`` a last column holds the text below each element of these base types. ``bare``: only elements that have an own
-    text or a child with one, the root, and those with an id. Without ``deep`` sibling numbers, ancestors and base types are left out.
+    text or a child with one, the root, and those with an id. ``deep``: which of ``_DEEP`` are needed (others may be made).
+    ``only``: of all nodes only elements of these base types. With ``memory`` plain documents are read by ``_plain_nodes``.
 
     Small documents come as one list, in pre-order unless ``bare``. Large ones are read twice: once for errors, then in pieces, and what a piece has
     closed is handed out before the next one, so memory holds the text, a piece's nodes and the open elements."""
     from xml.parsers import expat
 
-    xml = xml or ""
+    xml, own = xml or "", frozenset(own)
+    if memory is not None and not places and len(xml) <= large >> 2:
+        done = _plain_nodes(xml, types, memory, own, bare, deep, only)
+        if done is not None:
+            yield done
+            return
     shifted = clean_source(xml) if clean and ("&" in xml or "<!DOCTYPE" in xml) else None
     data = (shifted.text if shifted else xml).encode("utf-8", "surrogatepass")
     plain = shifted is None and len(data) == len(xml)  # bytes are characters of the source
@@ -243,7 +369,6 @@ def _nodes(xml: str | None, types: dict[str, dict[str, str]], clean: bool = True
     tick, buffer, begun, table = 0, [], 0, None
     # Texts since the outermost open element with an own text; those elements with the place where their texts begin; whether an open
     # element has such a child.
-    own = frozenset(own)
     said: list[str] = []
     heard: list[tuple[list, int]] = []
     asked: list[bool] = []
@@ -269,7 +394,7 @@ def _nodes(xml: str | None, types: dict[str, dict[str, str]], clean: bool = True
             text = "".join(buffer)
             if heard:
                 said.append(text)
-            if not bare:
+            if not bare and only is None:
                 line, col = place(begun) if places else (None, None)
                 rows.append([tick + 1, tick + 1, top[0], len(open_), kids[-1], [*top[ORD], kids[-1]] if deep else anc, anc, path, "text", None, None, None, text, line, col, None, None, None])
                 if own:
@@ -309,7 +434,7 @@ def _nodes(xml: str | None, types: dict[str, dict[str, str]], clean: bool = True
             asked.append(False)
             if base in own:
                 heard.append((row, len(said)))
-        if not bare:
+        if not bare and (only is None or base in only):
             rows.append(row)
 
     def end(tag):
@@ -353,7 +478,7 @@ def _nodes(xml: str | None, types: dict[str, dict[str, str]], clean: bool = True
     try:
         if not in_pieces:
             parser.Parse(data, True)
-            yield rows or failed(None)
+            yield rows if table is not None else failed(None)
         else:
             for at in range(0, len(data), piece):
                 parser.Parse(data[at : at + piece], at + piece >= len(data))
@@ -377,20 +502,24 @@ def shred_document(xml: str | None, types: dict[str, dict[str, str]], clean: boo
     return rows
 
 
-def shred(docs: DataFrame, types: dict[str, dict[str, str]] | None = None, clean: bool = True, columns: Iterable[str] | None = None, own: tuple[str, ...] = (), bare: bool = False) -> DataFrame:
+def shred(docs: DataFrame, types: dict[str, dict[str, str]] | None = None, clean: bool = True, columns: Iterable[str] | None = None, own: tuple[str, ...] = (), bare: bool = False, only: tuple[str, ...] | None = None) -> DataFrame:
     """NODES of docs(path, content); a document that is not well-formed gives one row with its error. Entities are cleaned before
     parsing (``clean_entities``); ranges refer to the source as it is.
 
     ``base`` is the tag's base type in ``types`` (``tag_types()``), else the first class token of the form topic/x or map/x.
     ``columns``: only these columns of NODES are made, beside doc. ``own``: base types whose elements carry the text below them in a
     column of that name (null on all other nodes), so that texts need not be put together from their nodes. ``bare``: of all nodes
-    only elements with such a text or a child with one, roots, elements with an id, and errors.
+    only elements with such a text or a child with one, roots, elements with an id, and errors. ``only``: of all nodes only elements of
+    these base types, and errors.
     """
     if bare and not own:
         raise ValueError("bare nodes need the base types whose texts are wanted")
+    if bare and only is not None:
+        raise ValueError("nodes are either bare or of some base types only")
     types = types or tag_types()
     wanted = ["doc", *(n for n in _KINDS if n not in ("doc", "own") and (columns is None or n in set(columns))), *(["own"] if own else [])]
-    places, deep = any(n in _PLACES for n in wanted), any(n in ("ord", "anc", "path") for n in wanted)
+    places, deep = any(n in _PLACES for n in wanted), [n for n in _DEEP if n in wanted]
+    kept = None if only is None else frozenset(only)
 
     def run(batches: Iterable) -> Iterator:
         import gc
@@ -404,13 +533,13 @@ def shred(docs: DataFrame, types: dict[str, dict[str, str]] | None = None, clean
         def offsets(lengths: list[int]):
             return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
 
-        def column(name: str, values) -> pa.Array:
+        def column(name: str, values, whole: bool) -> pa.Array:
             kind = _KINDS[name]
             if kind in simple:
                 return pa.array(values, simple[kind])
             if kind.startswith("array"):
                 inner = simple[kind[6:-1]]
-                if None in values[:1] or any(v is None for v in values):
+                if not whole:
                     return pa.array(values, pa.list_(inner))
                 return pa.ListArray.from_arrays(pa.array(offsets(list(map(len, values)))), pa.array(list(chain.from_iterable(values)), inner))
             held = [v or () for v in values]
@@ -422,13 +551,15 @@ def shred(docs: DataFrame, types: dict[str, dict[str, str]] | None = None, clean
 
         def batch(doc: list, rows: list[list]) -> pa.RecordBatch:
             cols = list(zip(*rows)) if place else []
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.string()), *(column(n, cols[k]) for n, k in zip(wanted[1:], place))], wanted)
+            whole = not any(cols[17]) if place else True  # only rows of errors have no lists
+            return pa.RecordBatch.from_arrays([pa.array(doc, pa.string()), *(column(n, cols[k], whole) for n, k in zip(wanted[1:], place))], wanted)
 
         def made() -> Iterator:
+            memory: dict = {}
             for b in batches:
                 doc, rows = [], []
                 for path, xml in zip(b.column(0).to_pylist(), b.column(1)):
-                    for part in _nodes(xml.as_py(), types, clean, places, own=own, bare=bare, deep=deep):
+                    for part in _nodes(xml.as_py(), types, clean, places, own=own, bare=bare, deep=deep, only=kept, memory=memory):
                         doc += [path] * len(part)
                         rows += part
                         if len(rows) >= 20_000:
@@ -455,12 +586,16 @@ def own_types(nodes: DataFrame) -> set[str]:
 
 def stored_nodes(
     spark: SparkSession, docs: DataFrame, types: dict[str, dict[str, str]] | None = None, columns: Iterable[str] | None = None, own: tuple[str, ...] = (), bare: bool = False,
+    only: tuple[str, ...] | None = None, kept: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """NODES stored in the shared folder, dealt by document: documents are parsed once, every use reads only the columns it needs,
     and what stays inside documents is not shuffled again. Documents are dealt before they are parsed, so their nodes, many
-    times their size, are neither shuffled nor sorted. ``columns``, ``own``, ``bare``: as in ``shred``, where the uses are known."""
+    times their size, are neither shuffled nor sorted. Documents are sorted, though: then their nodes lie in order, and sorting those later takes one
+    look at each. ``columns``, ``own``, ``bare``, ``only``: as in ``shred``, where the uses are known; ``kept``: what is made of single nodes and stored
+    in their place."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt(spark, shred(docs.select("path", "content").repartition(n, "path"), types, columns=columns, own=own, bare=bare), buckets=n, placed=True)
+    nodes = shred(docs.select("path", "content").repartition(n, "path").sortWithinPartitions("path"), types, columns=columns, own=own, bare=bare, only=only)
+    return dealt(spark, kept(nodes) if kept else nodes, buckets=n, placed=True)
 
 
 def class_tokens(cls) -> Column:
