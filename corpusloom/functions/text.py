@@ -123,6 +123,12 @@ def dirname(path) -> Column:
     return F.when(p.contains("/"), F.when(at == 1, "/").otherwise(F.substring(p, F.lit(1), at - 1))).otherwise("")
 
 
+def file_in(directory) -> Column:
+    """A name whose ``dirname`` is this folder."""
+    d = _c(directory)
+    return F.when(d == "", "_").when(d == "/", "/_").otherwise(F.concat(d, F.lit("/_")))
+
+
 def ancestors(directory) -> Column:
     """A folder and the folders above it, nearest first, as ``dirname`` names them."""
     d = _c(directory)

@@ -616,8 +616,9 @@ def _with_links(pages: DataFrame, targets: DataFrame) -> DataFrame:
     held = pages.where(F.col("html").contains(_HOLE)).select("doc", "level", F.posexplode(F.split("html", "\\x00l")).alias("n", "href")).where("n % 2 = 1")
     held = held.withColumn("href", back(href)).select("doc", "level", "n", "href", F.when(href.startswith("#"), F.col("doc")).otherwise(T.dirname("doc")).alias("at"))
     links = dealt(spark, held, key="href")
-    # Any document of the folder stands for all of them.
-    named = dealt(spark, links.groupBy("at", "href").agg(F.min("doc").alias("doc")), key="href", placed=True)
+    # A name in the folder stands for all documents there.
+    named = links.select("at", "href").distinct()
+    named = dealt(spark, named.withColumn("doc", F.when(href.startswith("#"), F.col("at")).otherwise(T.file_in("at"))), key="href", placed=True)
     kinds = {r.kind for r in named.select(link_kind().alias("kind")).distinct().collect()}  # four at most
     found = with_link_titles(named, targets, kinds).where("found IS NOT NULL").select("at", "href", "found")
     shown = links.join(met(spark, found), ["at", "href"], "left").select("doc", "level", "n", T.escape_attr(F.coalesce("found", "href")).alias("html"))

@@ -17,7 +17,7 @@ from ..sources.store import Layers, big, written
 #: Attributes that refer to something; what counts as a tag and as an attribute of it, as an id, as a list of keys
 #: and as a link to a map.
 REF_ATTRS = ("href", "conref", "conkeyref", "keyref")
-TAG = r"""<([A-Za-z][\w.-]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>"""
+TAG = r"""<([A-Za-z][\w.-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>"""
 ATTRIBUTE = r'([\w:.-]+)\s*=\s*"([^"]*)"'
 ID, KEYS, MAP_LINK = r'\bid\s*=\s*"([^"]+)"', r'\bkeys\s*=\s*"([^"]*)"', r'href\s*=\s*"([^"]+\.ditamap)"'
 
@@ -28,7 +28,7 @@ def _scan(docs: DataFrame, find: Callable[[str], Iterator[tuple]], schema: str,
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        kinds = {"string": pa.string(), "int": pa.int32()}
+        kinds = {"string": pa.string(), "int": pa.int32(), "array<int>": pa.list_(pa.int32())}
         fields = [x.split(" ") for x in schema.split(", ")]
         for b in batches:
             rows = [(path, *r) for path, text in zip(b.column(0).to_pylist(), b.column(1)) if (t := text.as_py()) or empty for r in find(t or "")]
@@ -77,11 +77,50 @@ def scan_texts(docs: DataFrame) -> DataFrame:
     return found.withColumns({name: F.when(_is_local(), value) for name, value in _targets().items()})
 
 
+#: Different tags that a task remembers.
+_TAGS = 50_000
+
+
+def scan_places(docs: DataFrame) -> DataFrame:
+    """What leads to places and what places are needs of documents, from one pass over each text: rows (doc, attr, value, value_start, scope,
+    breaks) of references, without their offsets; attr ``id`` as in ``scan_texts``; and one row without attr for each document, with the offsets
+    of its line ends."""
+    tag, attribute, ident, line = re.compile(TAG, re.ASCII), re.compile(ATTRIBUTE), re.compile(ID, re.ASCII), re.compile("\n")
+    known: dict[str, list[tuple]] = {}  # what tags met before refer to
+
+    def find(text: str) -> Iterator[tuple]:
+        yield None, None, None, None, [m.start() for m in line.finditer(text)]
+        for _, segment in tag.findall(text):
+            if "ref" in segment:
+                refs = known.get(segment)
+                if refs is None:
+                    found = attribute.findall(segment)
+                    scope = dict(found).get("scope")
+                    refs = [(name, value, None, scope, None) for name, value in found if name in REF_ATTRS]
+                    if len(known) >= _TAGS:
+                        known.clear()
+                    known[segment] = refs
+                yield from refs
+        for m in ident.finditer(text):
+            yield "id", m[1], m.start(), None, None
+
+    return _scan(docs, find, "attr string, value string, value_start int, scope string, breaks array<int>", empty=True)
+
+
 def references(scanned: DataFrame) -> DataFrame:
-    """The references of ``scan_texts``, as ``collect_refs`` gives them."""
+    """The references of ``scan_texts``, as ``collect_refs`` gives them, or of ``scan_places``."""
     return scanned.where(F.col("attr").isin(*REF_ATTRS))
 
 
+def alike(refs: DataFrame) -> DataFrame:
+    """(doc, attr, value, scope, n): references that lead to one place, counted: those with one value from one folder, or from one document
+    where the value names no file. ``doc`` is that document, or a name in that folder."""
+    inside = F.col("attr").isin("href", "conref") & (T.path_part("value") == "")
+    at = F.when(inside, F.col("doc")).otherwise(T.dirname("doc"))
+    groups = refs.groupBy(inside.alias("__inside"), at.alias("__at"), "attr", "value", "scope").agg(F.count("*").alias("n"))
+    return groups.select(F.when(F.col("__inside"), F.col("__at")).otherwise(T.file_in("__at")).alias("doc"), "attr", "value", "scope", "n")
+
+
 def id_positions(docs: DataFrame) -> DataFrame:
     """(doc, id, off): every non-empty id attribute with the offset where it begins; duplicates stay."""
     pattern = re.compile(ID, re.ASCII)
@@ -211,24 +250,29 @@ def key_locations(order: DataFrame, maps: DataFrame) -> DataFrame:
     return best.select("scope_dir", "key", "b.*")
 
 
-def definitions(refs: DataFrame, docs: DataFrame, locations: DataFrame) -> DataFrame:
-    """refs with target and the 0-based target_line and target_col that each leads to; references that lead nowhere are left out.
+def definitions(refs: DataFrame, docs: DataFrame, locations: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
+    """refs (doc, attr, value, scope and any more) with target and the 0-based target_line and target_col that each leads to; references that
+    lead nowhere are left out.
 
     Key references lead to their key's definition; others to the id that their fragment names, or to the top of the
-    file without a fragment or where it names nothing. docs (path, content) holds topics and maps.
+    file without a fragment or where it names nothing. docs (path, content) holds topics and maps; ``scanned``: ``scan_places`` of
+    them, if it is stored. Paths are resolved once for each row of refs, so many of one kind are best given as ``alike`` counts them.
     """
-    cols = ("doc", "tag", "attr", "value", "value_start", "value_end")
+    spark = docs.sparkSession
+    scanned = written(spark, scan_places(docs)) if scanned is None else scanned
+    cols = [c for c in refs.columns if c not in ("scope", "format", "target", "topic", "elem")]
+    if "target" not in refs.columns:
+        refs = written(spark, refs.withColumns({name: F.when(_is_local(), value) for name, value in _targets().items()}))
     k = refs.where(F.col("attr").isin("keyref", "conkeyref")).withColumns({"key": F.split_part("value", F.lit("/"), F.lit(1)), "scope_dir": T.dirname("doc")})
     k = k.join(big(locations), ["scope_dir", "key"]).select(*cols, F.col("map_path").alias("target"), "off")
-    there = big(docs.select(F.col("path").alias("target")).distinct())
+    held = scanned.where("attr IS NULL").select(F.col("doc").alias("target"), "breaks")
     f = with_targets(refs).where("value <> ''")
-    plain = f.where("topic IS NULL").join(there, "target", "left_semi").select(*cols, "target", F.lit(0).alias("off"))
-    inside = target_offsets(refs, docs).select(*cols, "target", F.coalesce("target_off", F.lit(0)).alias("off"))
-    all_refs = k.unionByName(plain).unionByName(inside)
-    # Lines and columns are taken once for each place, so a text is joined once however many references lead there.
+    plain = f.where("topic IS NULL").join(big(held.select("target").distinct()), "target", "left_semi").select(*cols, "target", F.lit(0).alias("off"))
+    inside = target_offsets(refs, docs, scanned).select(*cols, "target", F.coalesce("target_off", F.lit(0)).alias("off"))
+    all_refs = written(spark, k.unionByName(plain).unionByName(inside))
+    # Lines and columns are taken once for each place, so a text's line ends are joined once however many references lead there.
     places = all_refs.select("target", "off").distinct().groupBy("target").agg(F.collect_list("off").alias("offs"))
-    held = places.join(big(line_index(docs.join(big(places.select(F.col("target").alias("path"))), "path", "left_semi")).withColumnRenamed("doc", "target")), "target")
-    at = held.select("target", F.inline(F.transform("offs", lambda o: F.struct(o.alias("off"), *places_of("breaks", o)))))
+    at = places.join(big(held), "target").select("target", F.inline(F.transform("offs", lambda o: F.struct(o.alias("off"), *places_of("breaks", o)))))
     return all_refs.join(big(at), ["target", "off"]).drop("off")
 
 
