@@ -276,19 +276,6 @@ def definitions(refs: DataFrame, docs: DataFrame, locations: DataFrame, scanned:
     return all_refs.join(big(at), ["target", "off"]).drop("off")
 
 
-def line_index(docs: DataFrame) -> DataFrame:
-    """(doc, breaks): the offsets of a text's line ends, sorted: one pass over each text, however many places are asked for."""
-
-    def run(batches: Iterable) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            breaks = [[m.start() for m in re.finditer("\n", t.as_py() or "")] for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(breaks, pa.list_(pa.int32()))], ["doc", "breaks"])
-
-    return docs.select("path", "content").mapInArrow(run, "doc string, breaks array<int>")
-
-
 def places_of(breaks: str, off) -> tuple[Column, Column]:
     """0-based target_line and target_col of an offset, by binary search in the line ends of its text."""
     line = T.lower_bound(breaks, off)
